@@ -11,8 +11,13 @@ keys under which similar sets meet. Then, without ever listing all pairs of a bu
 3. Pairs that the joint likelihood of their registers rules out are dropped; the
    rest are confirmed on the full sets.
 4. Confirmed links give components. Only buckets that still hold several components
-   are looked at again: there, pairs of different components go through step 3, so no
-   link between different components that share a bucket is left out.
+   are looked at again. Their documents' shingles are counted. Two of these documents
+   of different components that share a bucket, and that could be linked, either share
+   a shingle that at most ``RARE`` of the documents have, and are found under it; or
+   all they share is more frequent, so that each must have enough frequent shingles,
+   and a pair is made in the bucket only where both do. These pairs go through step 3.
+   No link between different components that share a bucket is left out, and near
+   copies that each have changes of their own make no pairs.
 5. Components of all links are the result.
 
 At similarity 0.85 a pair shares no band with a probability below 1e-6.
@@ -37,6 +42,8 @@ REGISTERS = BANDS * ROWS
 MEMO_WORDS = 400_000
 #: A hub's members are dealt to tasks in parts of about so many.
 HUB_PART = 256
+#: A shingle of at most so many documents is rare.
+RARE = 4
 #: Log-likelihood by which the threshold must lose for a pair to be dropped unconfirmed.
 RULED_OUT = 16.0
 
@@ -256,6 +263,45 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components not settled after {most_rounds} rounds")
 
 
+def _across(left: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (a, b), a < b, of different components that share a band and may be linked,
+    from left(band, id, n, c, hub) with c the component and hub that of the band's hub."""
+    import pyarrow as pa
+
+    members = left.select("id", "n", "c").distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+    def run(batches):
+        words = _WordHash()
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                batch = whole.slice(lo, 500)
+                sets = [shingle_set(t, words, width) for t in batch.column("text").to_pylist()]
+                times = pa.array(np.repeat(np.arange(len(sets)), list(map(len, sets))))
+                h = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(times) for c in ("id", "n", "c")), pa.array(h)], names=["id", "n", "c", "h"])
+
+    shingles = materialise(texts.join(members, "id").select("id", "n", "c", "text").mapInArrow(run, "id long, n long, c long, h long"))
+    few = shingles.groupBy("h").agg(F.count("*").alias("times")).where(F.col("times") <= RARE)
+    rare = materialise(shingles.join(few, "h"))
+    own = rare.where("times > 1")
+    under = own.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")).join(
+        own.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "h"
+    )
+    under = under.where("a < b and ca != cb").where(_near_sizes(F.col("na"), F.col("nb"), percent)).select("a", "b")
+
+    # Without a common rare shingle, what a and b share is at most the lesser of their
+    # frequent parts, which must reach percent of the union.
+    spent = rare.groupBy("id").agg(F.count("*").alias("spent"))
+    left = left.join(spent, "id", "left").withColumn("f", F.col("n") - F.coalesce("spent", F.lit(0)))
+    left = left.where(F.col("f") * 100 >= F.col("n") * percent)
+    one = left.where("c != hub").select("band", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("f").alias("fx"))
+    two = left.select("band", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.col("f").alias("fy"))
+    enough = F.least("fx", "fy") * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
+    banded = one.join(two, "band").where("cx != cy and x != y").where(enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return under.unionByName(banded).distinct()
+
+
 def _near_sizes(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
@@ -284,14 +330,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     first = materialise(_confirmed(_likely(stars, sets, similarity), docs, width, percent, id_col, text_col))
     found = components(first)
 
-    named = rows.select("band", "id", "n").join(found, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("c"))
-    mixed = named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("band")
-    left = materialise(named.join(mixed, "band", "left_semi"))
-    other = left.select("band", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    cross = (
-        left.withColumnRenamed("id", "a").join(other, "band").where("a < b and c != cb").where(_near_sizes(F.col("n"), F.col("nb"), percent))
-        .select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    )
+    named = rows.select("band", "id", "n", "a").join(found, "id", "left").select("band", "id", "n", "a", F.coalesce("component", "id").alias("c"))
+    hub = F.max(F.when(F.col("id") == F.col("a"), F.col("c"))).alias("hub")
+    mixed = named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), hub).where("lo != hi").select("band", "hub")
+    left = materialise(named.select("band", "id", "n", "c").join(mixed, "band"))
+    cross = _across(left, docs, width, percent, id_col, text_col).join(stars, ["a", "b"], "left_anti")
     second = materialise(_confirmed(_likely(cross, sets, similarity), docs, width, percent, id_col, text_col))
     found = components(first.unionByName(second))
 
