@@ -43,9 +43,9 @@ MEMO_WORDS = 400_000
 #: A hub's members are dealt to tasks in parts of about so many.
 HUB_PART = 256
 #: A shingle of at most so many documents is rare.
-RARE = 4
+RARE = 10
 #: Log-likelihood by which the threshold must lose for a pair to be dropped unconfirmed.
-RULED_OUT = 16.0
+RULED_OUT = 10.0
 
 
 class _WordHash(dict):
@@ -268,7 +268,7 @@ def _across(left: DataFrame, docs: DataFrame, width: int, percent: int, id_col:
     from left(band, id, n, c, hub) with c the component and hub that of the band's hub."""
     import pyarrow as pa
 
-    members = left.select("id", "n", "c").distinct()
+    members = materialise(left.select("id", "n", "c").distinct())
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):
@@ -279,12 +279,12 @@ def _across(left: DataFrame, docs: DataFrame, width: int, percent: int, id_col:
                 sets = [shingle_set(t, words, width) for t in batch.column("text").to_pylist()]
                 times = pa.array(np.repeat(np.arange(len(sets)), list(map(len, sets))))
                 h = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(times) for c in ("id", "n", "c")), pa.array(h)], names=["id", "n", "c", "h"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(times), pa.array(h)], names=["id", "h"])
 
-    shingles = materialise(texts.join(members, "id").select("id", "n", "c", "text").mapInArrow(run, "id long, n long, c long, h long"))
+    shingles = materialise(texts.join(members.select("id"), "id").select("id", "text").mapInArrow(run, "id long, h long"))
     few = shingles.groupBy("h").agg(F.count("*").alias("times")).where(F.col("times") <= RARE)
     rare = materialise(shingles.join(few, "h"))
-    own = rare.where("times > 1")
+    own = rare.where("times > 1").select("id", "h").join(members, "id")
     under = own.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")).join(
         own.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "h"
     )
@@ -327,6 +327,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     hubs = rows.groupBy("band").agg(F.min("id").alias("a"), F.min_by("n", "id").alias("na"), F.count("*").alias("size")).where("size > 1")
     rows = materialise(rows.join(hubs, "band"))
     stars = rows.where(F.col("id") != F.col("a")).where(_near_sizes(F.col("n"), F.col("na"), percent)).select("a", F.col("id").alias("b")).distinct()
+    # Texts of documents that share a bucket, moved once.
+    near = rows.select(F.col("id").alias(id_col)).distinct()
+    docs = materialise(docs.select(F.col(id_col).cast("long").alias(id_col), text_col).join(near, id_col))
     first = materialise(_confirmed(_likely(stars, sets, similarity), docs, width, percent, id_col, text_col))
     found = components(first)
 
