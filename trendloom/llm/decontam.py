@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame operations only.
 
 Text becomes template tokens: words in lower case, with typed placeholders for numbers,
-units behind numbers, and names (capitalised words inside a sentence). Windows of
+units behind numbers, and names (capitalised words inside a sentence; the first word
+of a sentence is no name). Windows of
 ``WIDTH`` tokens of all documents are hash-joined with those of all items; Spark
 broadcasts the items' windows while they are within its size threshold and shuffles
 both sides beyond. Matched windows on one diagonal (position in the document less
