@@ -174,20 +174,19 @@ class WordBpe:
         """The ids of one piece, by merging the pair of least rank, leftmost first."""
         letters = word if isinstance(word, _Cut) else word.encode().decode("latin-1").translate(self.letters)
         parts = [*letters[:-1], letters[-1] + END]
-        ranks, none = self.ranks, len(self.ranks)
-        while len(parts) > 1:
-            best = min(zip(parts, parts[1:]), key=lambda p: ranks.get(p, none))
-            if best not in ranks:
+        get, none = self.ranks.get, len(self.ranks)
+        ranks = [get(pair, none) for pair in zip(parts, parts[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == none:
                 break
-            out, i, n = [], 0, len(parts)
-            while i < n:
-                if i + 1 < n and parts[i] == best[0] and parts[i + 1] == best[1]:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+            i = ranks.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((parts[i - 1], parts[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((parts[i], parts[i + 1]), none)
         return tuple(self.vocab[p] for p in parts)
 
     def word(self, word: str) -> tuple[int, ...]:
