@@ -11,8 +11,9 @@ over a document's hits gives the score.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ THRESHOLD = 0.3
 MEMO_WORDS, MEMO_STATES = 400_000, 100_000
 N_FEATURES = 9
 
-TOKENS = regex.compile(r"[\p{L}\p{N}]+(?:['’][\p{L}]+)?|[\"“”„«»]")
+TOKENS = re.compile(r"[^\W_]+(?:['’][^\W\d_]+)?|[\"“”„«»]")
 
 # Cues in the languages of the corpus.
 QUOTE_MARKS = frozenset('"“”„«»')
@@ -259,7 +260,7 @@ def score(
     train = materialise(texts.join(marks, "id").select("id", "toxic", F.coalesce("text", F.lit("")).alias("text")))
     lexicon = spark.sparkContext.broadcast(learn_lexicon(train))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = _features(train, lexicon, f"id {kind}, toxic long").orderBy("id", "toxic").collect()
+    rows = sorted(_features(train, lexicon, f"id {kind}, toxic long").collect(), key=lambda r: (r["id"], r["x"]))
     y = np.array([r["toxic"] for r in rows], float)
     weights = fit_logistic(np.array([r["x"] for r in rows]), y) if y.any() else None
 
