@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The lexicon's most words. It is a cache: any value gives the same ids.
-LEXICON_WORDS = 50_000
+LEXICON_WORDS = 100_000
 #: Entries of a worker's word table before it starts afresh.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 500_000
 END = "</w>"
 
 # Code points on which Python's normalisation, lower case and classes agree with the
