@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 LABEL_FILLERS = ("the", "and", "of", "for", "with", "issue", "issues", "problem", "problems")
 
 
+def _once(value: Column, body) -> Column:
+    """body(value), with value worked out once instead of at each use in a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalize_text(text: Column) -> Column:
     """Without links, mentions, hash signs and runs of one closing mark; one space
     between words. A null text is empty."""
@@ -28,15 +33,16 @@ def sentences(text: Column) -> Column:
 def hard_chunks(text: Column, size: int = 450, overlap: int = 60) -> Column:
     """Overlapping windows of characters, trimmed, without empty ones."""
     step = max(size - overlap, 1)
-    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(step))
-    return F.filter(F.transform(starts, lambda i: F.trim(F.substring(text, i + 1, F.lit(size)))), lambda c: c != "")
+    starts = lambda t: F.sequence(F.lit(0), F.greatest(F.length(t) - 1, F.lit(0)), F.lit(step))
+    every = _once(text, lambda t: F.transform(starts(t), lambda i: F.trim(F.substring(t, i + 1, F.lit(size)))))
+    return F.filter(every, lambda c: c != "")
 
 
 def capped(chunks: Column, most: int = 6) -> Column:
     """At most ``most`` chunks, evenly spaced, the first and last among them."""
     at = F.sequence(F.lit(0), F.lit(most - 1))
-    picked = F.transform(at, lambda i: F.element_at(chunks, (F.floor(i * (F.size(chunks) - 1) / F.lit(most - 1)) + 1).cast("int")))
-    return F.when(F.size(chunks) > most, picked).otherwise(chunks)
+    place = lambda c, i: (F.floor(i * (F.size(c) - 1) / F.lit(most - 1)) + 1).cast("int")
+    return _once(chunks, lambda c: F.when(F.size(c) > most, F.transform(at, lambda i: F.element_at(c, place(c, i)))).otherwise(c))
 
 
 def content_words(text: Column, stop: tuple[str, ...] = (), shortest: int = 3) -> Column:
