@@ -295,10 +295,15 @@ def _across(left: DataFrame, docs: DataFrame, width: int, percent: int, id_col:
     spent = rare.groupBy("id").agg(F.count("*").alias("spent"))
     left = left.join(spent, "id", "left").withColumn("f", F.col("n") - F.coalesce("spent", F.lit(0)))
     left = left.where(F.col("f") * 100 >= F.col("n") * percent)
-    one = left.where("c != hub").select("band", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("f").alias("fx"))
-    two = left.select("band", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.col("f").alias("fy"))
-    enough = F.least("fx", "fy") * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
-    banded = one.join(two, "band").where("cx != cy and x != y").where(enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    # Each pair is made once: in the least of its common bands, and from the side that
+    # is out of the hub's component, or the lesser id where both are.
+    held = left.groupBy("id").agg(F.collect_set("band").alias("held"))  # BANDS at most
+    left = left.join(held, "id")
+    one = left.where("c != hub").select("band", "hub", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "c", "f", "held")])
+    two = left.select("band", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "c", "f", "held")])
+    enough = F.least("x_f", "y_f") * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
+    once = F.expr("(y_c = hub or x_id < y_id) and array_min(array_intersect(x_held, y_held)) = band")
+    banded = one.join(two, "band").where(F.expr("x_c != y_c") & enough & once).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
     return under.unionByName(banded).distinct()
 
 
