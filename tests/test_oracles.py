@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from trendloom.plans import lifecycle  # noqa: F401  adds its queries
 from trendloom.plans.queries import QUERIES, SQL
 
 SF = Path("/root/testdata/sf0.001")
