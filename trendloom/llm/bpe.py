@@ -262,6 +262,13 @@ def _texts(batch, column: str) -> list[str]:
     return ["" if t is None else t for t in batch.column(column).to_pylist()]
 
 
+def _slices(batches, rows: int = 500):
+    """Batches in slices of a few hundred rows, so that a task holds no more ids at once."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, rows):
+            yield whole.slice(lo, rows)
+
+
 def _prepare(docs: DataFrame, tokenizer: str, text_col: str, lexicon_words: int):
     sc = docs.sparkSession.sparkContext
     spec = Path(tokenizer).read_text(encoding="utf-8")
@@ -283,7 +290,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches):
         bpe = WordBpe(*shared.value)
         memo: dict[str, tuple[int, ...]] = {}
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for text in _texts(batch, "text"):
                 out: list[int] = []
@@ -318,7 +325,7 @@ def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col:
 
     def run(batches):
         bpe = WordBpe(shared.value)
-        for batch in batches:
+        for batch in _slices(batches):
             texts = [bpe.decode(ids or ()) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], names=["id", "text"])
 
@@ -339,7 +346,7 @@ def digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         memo = _Memo(bpe)
         look = memo.__getitem__
         sha = hashlib.sha256
-        for batch in batches:
+        for batch in _slices(batches):
             n, first, second = [], [], []
             for text in _texts(batch, "text"):
                 found: list[tuple[str, str]] = []
