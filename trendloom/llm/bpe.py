@@ -17,17 +17,22 @@ import mmap
 import struct
 import tempfile
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import cached_property
+from itertools import chain
 from pathlib import Path
 
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trendloom.llm.shared import materialise
+
 #: The lexicon's most words. It is a cache: any value gives the same ids.
 LEXICON_WORDS = 100_000
 #: Entries of a worker's word table before it starts afresh.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 END = "</w>"
 
 # Code points on which Python's normalisation, lower case and classes agree with the
@@ -148,11 +153,8 @@ class WordBpe:
     """A word-end BPE tokenizer read from a tokenizers file."""
 
     def __init__(self, spec: str, lexicon: bytes | None = None):
-        from tokenizers import Tokenizer
-
         data = json.loads(spec)
         model = data["model"]
-        self.library = Tokenizer.from_str(spec)
         self.vocab: dict[str, int] = model["vocab"]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.ranks = {tuple(m): i for i, m in enumerate(pairs)}
@@ -161,6 +163,14 @@ class WordBpe:
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         self.letters = str.maketrans(byte_letters())
         self.lexicon = Transducer(lexicon) if lexicon else None
+        self._spec = spec
+
+    @cached_property
+    def library(self):
+        """The library's tokenizer, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self._spec)
 
     def pieces(self, text: str) -> list[str]:
         """Words of a text without special tokens, as byte letters in the end."""
@@ -225,27 +235,64 @@ class _Cut(str):
 
 
 class _Memo(dict):
-    """piece -> (ids as text, tokens as text), worked out at first sight."""
+    """piece -> ids, worked out at first sight; starts afresh when it is full."""
 
     def __init__(self, bpe: WordBpe):
         super().__init__()
         self.bpe = bpe
 
-    def __missing__(self, piece: str) -> tuple[str, str]:
-        ids = self.bpe.word(piece)
-        got = (" ".join(map(str, ids)), self.bpe.decode(ids))
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        ids = self[piece] = self.bpe.word(piece)
+        return ids
+
+
+class _TextMemo(dict):
+    """piece -> ids as text; ``tokens`` holds piece -> tokens as text beside it."""
+
+    class Tokens(dict):
+        def __missing__(self, piece: str) -> str:
+            return self.owner.learn(piece)[1]
+
+    def __init__(self, bpe: WordBpe):
+        super().__init__()
+        self.bpe = bpe
+        self.tokens = self.Tokens()
+        self.tokens.owner = self
+
+    def learn(self, piece: str) -> tuple[str, str]:
         if len(self) >= MEMO_WORDS:
             self.clear()
-        if not isinstance(piece, _Cut):  # equal letters may mean another piece there
-            self[piece] = got
-        return got
+            self.tokens.clear()
+        ids = self.bpe.word(piece)
+        self[piece] = " ".join(map(str, ids))
+        self.tokens[piece] = self.bpe.decode(ids)
+        return self[piece], self.tokens[piece]
+
+    def __missing__(self, piece: str) -> str:
+        return self.learn(piece)[0]
+
+
+def _memo_for(pieces: list[str], plain, cut):
+    """Byte letters may spell another piece, so that cut ones have a table of their own."""
+    return cut if pieces and isinstance(pieces[0], _Cut) else plain
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON_WORDS) -> list[str]:
-    """The words seen most often over all documents; ties go by the word."""
+    """The words seen most often over all documents, whole classes of like counts at a
+    time, at most ``most`` of them. The driver gets the sizes of the classes, then these
+    words alone: a sort with a limit would send it as many from every partition."""
     words = F.explode(F.split(F.lower(F.col(text_col)), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"))
     counts = docs.select(words.alias("w")).where(F.length("w").between(1, 24)).groupBy("w").agg(F.count("*").alias("n")).where("n > 1")
-    return [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(most).collect()]
+    classed = materialise(counts.select("w", F.floor(F.log2("n") * 16).cast("int").alias("class")))
+    least, total = None, 0
+    for r in sorted(classed.groupBy("class").agg(F.count("*").alias("n")).collect(), reverse=True):
+        total += r["n"]
+        if total > most:
+            break
+        least = r["class"]
+    return [] if least is None else [r["w"] for r in classed.where(F.col("class") >= least).select("w").collect()]
 
 
 def build_lexicon(spec: str, words: list[str]) -> bytes:
@@ -284,33 +331,27 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     aren't read.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     shared = _prepare(docs, tokenizer, text_col, lexicon_words)
 
     def run(batches):
         bpe = WordBpe(*shared.value)
-        memo: dict[str, tuple[int, ...]] = {}
+        plain, cut = _Memo(bpe), _Memo(bpe)
         for batch in _slices(batches):
-            rows = []
+            ids, ends = array("i"), [0]
             for text in _texts(batch, "text"):
-                out: list[int] = []
                 for special, part in bpe.sections(text):
                     if special:
-                        out.append(bpe.added[part])
+                        ids.append(bpe.added[part])
                         continue
-                    for p in bpe.pieces(part):
-                        if isinstance(p, _Cut):
-                            out += bpe.word(p)
-                            continue
-                        ids = memo.get(p)
-                        if ids is None:
-                            if len(memo) >= MEMO_WORDS:
-                                memo.clear()
-                            ids = memo[p] = bpe.word(p)
-                        out += ids
-                rows.append(out)
-            n = pa.array([len(r) for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, pa.list_(pa.int32())), n], names=["id", "ids", "n_tokens"])
+                    pieces = bpe.pieces(part)
+                    ids.extend(chain.from_iterable(map(_memo_for(pieces, plain, cut).__getitem__, pieces)))
+                ends.append(len(ids))
+            offsets = pa.array(ends, pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)]))
+            n = pc.cast(pc.subtract(offsets[1:], offsets[:-1]), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lists, n], names=["id", "ids", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, n_tokens long")
@@ -343,22 +384,26 @@ def digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         bpe = WordBpe(*shared.value)
-        memo = _Memo(bpe)
-        look = memo.__getitem__
+        plain, cut = _TextMemo(bpe), _TextMemo(bpe)
         sha = hashlib.sha256
         for batch in _slices(batches):
             n, first, second = [], [], []
             for text in _texts(batch, "text"):
-                found: list[tuple[str, str]] = []
+                numbers: list[str] = []
+                tokens: list[str] = []
                 for special, part in bpe.sections(text):
                     if special:
-                        found.append((str(bpe.added[part]), part))
-                    else:
-                        found += map(look, bpe.pieces(part))
-                ids = " ".join([f[0] for f in found])
+                        numbers.append(str(bpe.added[part]))
+                        tokens.append(part)
+                        continue
+                    pieces = bpe.pieces(part)
+                    memo = _memo_for(pieces, plain, cut)
+                    numbers += map(memo.__getitem__, pieces)
+                    tokens += map(memo.tokens.__getitem__, pieces)
+                ids = " ".join(numbers)
                 n.append(ids.count(" ") + 1 if ids else 0)
                 first.append(sha(ids.encode()).hexdigest())
-                second.append(sha(" ".join([f[1] for f in found]).encode()).hexdigest())
+                second.append(sha(" ".join(tokens).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())],
                 names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
