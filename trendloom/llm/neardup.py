@@ -283,8 +283,9 @@ def _across(left: DataFrame, docs: DataFrame, width: int, percent: int, id_col:
 
     shingles = materialise(texts.join(members.select("id"), "id").select("id", "text").mapInArrow(run, "id long, h long"))
     few = shingles.groupBy("h").agg(F.count("*").alias("times")).where(F.col("times") <= RARE)
-    rare = materialise(shingles.join(few, "h"))
-    own = rare.where("times > 1").select("id", "h").join(members, "id")
+    # A shingle of one document is only counted, so its hash isn't kept.
+    rare = materialise(shingles.join(few, "h").select("id", F.when(F.col("times") > 1, F.col("h")).alias("h")))
+    own = rare.where("h is not null").join(members, "id")
     under = own.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")).join(
         own.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "h"
     )

@@ -30,13 +30,23 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Whether a query's shuffle files go as soon as it ends.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back, which cuts the
-    lineage: a lost executor costs its running tasks only. The files go when the
-    application ends."""
+    lineage: a lost executor costs its running tasks only. Nothing reads the write's
+    shuffle files after it, so they go at once rather than at some later garbage
+    collection of the driver. The table goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/trendloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FILE_CLEANUP)
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FILE_CLEANUP, before)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
