@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.shared import ascii_words, materialise
+from trendloom.llm.shared import ascii_words, discard, materialise, written
 
 #: The sketch: base, rate and largest value of registers, and their number.
 BASE, RATE, TOP = 1.001, 20.0, 65534
@@ -324,10 +324,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     gives no rows. Other columns aren't read.
     """
     similarity = percent / 100
-    sig = materialise(sketch(docs, width, id_col, text_col))
     keys = ["n", "k1", "k2"]
+    full, path = written(sketch(docs, width, id_col, text_col))
+    sig = materialise(full.select("id", *keys))
     groups = sig.where("n > 0 and id is not null").groupBy(*keys).agg(F.min("id").alias("id"))
-    sets = materialise(sig.where("n > 0").join(groups, [*keys, "id"], "left_semi").dropDuplicates(["id"]))
+    sets = materialise(full.where("n > 0").join(groups, [*keys, "id"], "left_semi").dropDuplicates(["id"]))
+    discard(docs.sparkSession, path)  # registers of copies aren't needed any more
     rows = sets.select("id", "n", F.explode("bands").alias("band"))
 
     hubs = rows.groupBy("band").agg(F.min("id").alias("a"), F.min_by("n", "id").alias("na"), F.count("*").alias("size")).where("size > 1")

@@ -39,6 +39,11 @@ def materialise(df: DataFrame) -> DataFrame:
     lineage: a lost executor costs its running tasks only. Nothing reads the write's
     shuffle files after it, so they go at once rather than at some later garbage
     collection of the driver. The table goes when the application ends."""
+    return written(df)[0]
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """materialise(), with the table's path for discard()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/trendloom-{uuid.uuid4().hex}"
     before = spark.conf.get(FILE_CLEANUP)
@@ -50,7 +55,14 @@ def materialise(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a written table once everything made from it is written itself."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def hash_share(key: Column, seed: int) -> Column:
