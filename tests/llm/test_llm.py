@@ -145,6 +145,28 @@ def test_html_odd_pages():
     assert main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_html_keeps_the_whole_article():
+    from trendloom.llm.html_text import main_text
+
+    long = "A sentence of the article, with commas, and quite enough letters to count as running text, again and again."
+    ten = "".join(f"<p>{i} {long}</p>" for i in range(10))
+    menu = '<div class="menu"><a href="/">Home</a></div>'
+    rest = "<section><h2>B</h2><p>Short.</p><pre>code = 1</pre><ul><li>one</li></ul><table><tr><td>cell</td></tr></table></section><p>End.</p>"
+    figure = "<figure><table><tr><td>7</td></tr></table><figcaption>Caption</figcaption></figure>"
+    want = [f"{i} {long}" for i in range(10)] + ["B", "Short.", "code = 1", "one", "cell", "End.", "7", "Caption"]
+    for name in ("article", "main", "div"):
+        page = f"<body>{menu}<{name}><section>{ten}</section>{rest}{figure}</{name}><footer>foot</footer></body>"
+        assert main_text(page).split("\n") == want, name
+    for wrapper in ('div class="has-sidebar"', 'div id="header-content"', "form"):
+        page = f"<body><{wrapper}>{menu}<div>{ten}</div></{wrapper.split()[0]}></body>"
+        assert main_text(page).split("\n") == want[:10], wrapper
+        assert main_text(page.replace("<div>", "<article>").replace("</div></body>", "</article></div></body>")).split("\n")[:10] == want[:10], wrapper
+    page = f'<body><article>{ten}<div class="alert"><p>{long}</p><p>{long}</p></div><div class="ad">Buy</div></article><div class="comments"><p>{long}</p><p>{long}</p></div></body>'
+    assert main_text(page).split("\n") == [*want[:10], long, long]
+    links = '<ul><li><a href="/a">One more page</a></li><li><a href="/b">Another page</a></li></ul>'
+    assert main_text(f"<body><div>{links}<div>Loose <a>link</a> and more text beside<div>{ten}</div></div></div></body>").split("\n") == ["Loose link and more text beside", *want[:10]]
+
+
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 

@@ -3,8 +3,12 @@
 A page becomes a tree of elements. Every paragraph gives points, for its length and its
 commas, discounted by its link density, to its parent in full, to the grandparent by
 half and further up by a third, a quarter, ... The element with the best total, again
-discounted by its own link density, is the container; its siblings stay if they score
-like it or are paragraphs of running text. Blocks of what stays are the text.
+discounted by its own link density, is the container. The article or main that it lies
+in stays with all its blocks; without one, the whole page but its lists of links stays.
+Siblings of an article stay if they are articles, score like it or are paragraphs of
+running text. Elements with a class or id like that of a menu, an advertisement and the
+like go only if they hold no article and few paragraph points, or many links. Blocks of
+what stays are the text.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import functions as F
 # HTML element names by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
-DROPPED = RAW | frozenset("nav footer aside form button select option input label dialog menu head object canvas audio video figure map".split())
+DROPPED = RAW | frozenset("nav footer aside button select option input label dialog menu head canvas audio video".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -32,7 +36,16 @@ UNWANTED = re.compile(
     r"pagination|pager|tags|hidden|skip|skip-link|copyright|legal|disclaimer)s?(?:$|[\s_-]|\d)",
     re.I,
 )
-UNWANTED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Names of what other people add to a page, at any length.
+FOREIGN = re.compile(
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|comment|comments|disqus|replies|respond|cookie|cookies|consent|gdpr|"
+    r"related|recommended|recommendations)s?(?:$|[\s_-]|\d)",
+    re.I,
+)
+#: Elements with an unwanted name stay with so many paragraph points, foreign ones with
+#: so large a share of the page's; and with a link density under MANY_LINKS.
+POINTS, SHARE, MANY_LINKS = 4.0, 0.5, 0.33
+UNWANTED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -40,13 +53,15 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("children", "letters", "links", "parent", "score", "tag", "unwanted")
+    __slots__ = ("children", "commas", "doubt", "holds", "letters", "links", "parent", "points", "score", "tag", "unwanted")
 
     def __init__(self, tag: str, parent: Node | None, unwanted: bool = False):
         self.tag, self.parent, self.unwanted = tag, parent, unwanted
         self.children: list[Node | str] = []
-        self.letters = self.links = 0
-        self.score = 0.0
+        self.letters = self.links = self.commas = 0
+        self.score = self.points = 0.0
+        self.doubt = 0  # 1 for an unwanted name, 2 for a foreign one
+        self.holds = False  # an article or main
 
 
 def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
@@ -56,8 +71,6 @@ def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
         return False
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
-        if name in ("class", "id") and UNWANTED.search(value):
-            return True
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in UNWANTED_ROLES):
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -65,6 +78,13 @@ def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
     return False
 
 
+def _doubt(tag: str, attributes: str) -> int:
+    if tag in ("body", "html", "main"):
+        return 0
+    names = [v for name, *values in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id") for v in values if UNWANTED.search(v)] if attributes else []
+    return 2 if any(map(FOREIGN.search, names)) else 1 if names or tag == "form" else 0
+
+
 def parse(page: str) -> Node:
     """A tree of elements and decoded text. Open elements end as browsers end them: p at
     the next block, li, td and the like at the next of their kind; unknown end tags are
@@ -109,6 +129,7 @@ def parse(page: str) -> Node:
                     if tag in same and (found := open_above(set(same), frozenset(stop))):
                         close(found)
                 child = Node(tag, node, node.unwanted or _unwanted(tag, m[3], articles > 0))
+                child.doubt = _doubt(tag, m[3])
                 node.children.append(child)
                 if tag not in VOID and not m[3].rstrip().endswith("/"):
                     node = child
@@ -128,13 +149,17 @@ def _walk(node: Node) -> Iterator[Node]:
 
 
 def _measure(root: Node) -> list[Node]:
-    """Sets letters and letters in links of every wanted element; elements in page order."""
+    """Sets letters, letters in links, commas and paragraph points of every wanted
+    element, and whether it holds an article; elements in page order."""
     order = [n for n in _walk(root) if not n.unwanted]
     for n in reversed(order):
-        own = sum(len(SPACE.sub(" ", c).strip()) for c in n.children if isinstance(c, str))
+        own = [c for c in n.children if isinstance(c, str)]
         below = [c for c in n.children if isinstance(c, Node) and not c.unwanted]
-        n.letters = own + sum(c.letters for c in below)
+        n.letters = sum(len(SPACE.sub(" ", c).strip()) for c in own) + sum(c.letters for c in below)
         n.links = n.letters if n.tag == "a" else sum(c.links for c in below)
+        n.commas = sum(sum(map(c.count, ",،、，")) for c in own) + sum(c.commas for c in below)
+        n.points = _points(n) + sum(c.points for c in below)
+        n.holds = (n.tag in ("article", "main") and not n.doubt and n.letters > 0) or any(c.holds for c in below)
     return order
 
 
@@ -148,27 +173,56 @@ def _is_paragraph(n: Node) -> bool:
     return n.tag in ("div", "section", "article", "td") and any(isinstance(c, str) and c.strip() for c in n.children)
 
 
-def _commas(n: Node) -> int:
-    found, stack = 0, [n]
-    while stack:
-        x = stack.pop()
-        for c in x.children:
-            if isinstance(c, str):
-                found += sum(map(c.count, ",،、，"))
-            elif not c.unwanted:
-                stack.append(c)
-    return found
+def _points(n: Node) -> float:
+    if not n.letters or not _is_paragraph(n):
+        return 0.0
+    return (1 + n.commas + min(n.letters / 100, 3)) * (1 - _density(n))
+
+
+def _drop_doubtful(root: Node) -> None:
+    """Elements of unwanted names go, unless they hold an article or are rich in
+    paragraph points and poor in links."""
+    for n in _measure(root):
+        if not n.doubt or n.unwanted or n.holds:
+            continue
+        rich = n.points >= (POINTS if n.doubt == 1 else max(POINTS, SHARE * root.points)) and not (n.doubt == 2 and root.holds)
+        if not rich or _density(n) >= MANY_LINKS:
+            for x in _walk(n):
+                x.unwanted = True
+
+
+def _poor_in_links(children: list[Node | str]) -> list[Node | str]:
+    """Without the blocks, and runs of loose text, that are mostly links."""
+    kept: list[Node | str] = []
+    run: list[Node | str] = []
+
+    def cut() -> None:
+        letters = sum(len(c.strip()) if isinstance(c, str) else c.letters for c in run)
+        if 2 * sum(c.links for c in run if isinstance(c, Node)) <= letters:
+            kept.extend(run)
+        run.clear()
+
+    for c in children:
+        if isinstance(c, str) or c.tag in INLINE:
+            if isinstance(c, str) or not c.unwanted:
+                run.append(c)
+            continue
+        cut()
+        if c.tag in HEADINGS or c.holds or _density(c) <= 0.5:
+            kept.append(c)
+    cut()
+    return kept
 
 
 def container(root: Node) -> list[Node]:
-    """The best element and the siblings that stay, in page order."""
+    """What stays of the page, in page order: the article or main around the best
+    element and those of its siblings that stay, or the page without lists of links."""
+    _drop_doubtful(root)
     order = _measure(root)
     for n in order:
-        if not n.letters or not _is_paragraph(n):
-            continue
-        points = (1 + _commas(n) + min(n.letters / 100, 3)) * (1 - _density(n))
+        points = _points(n)
         above, share = n if n.tag not in PARAGRAPHS else n.parent, 1
-        while above is not None and share <= 5:
+        while points and above is not None and share <= 5:
             above.score += points / share
             above, share = above.parent, share + 1
     scored = [n for n in order if n.score > 0]
@@ -176,8 +230,14 @@ def container(root: Node) -> list[Node]:
         return [root] if root.letters else []
     value = lambda n: n.score * (1 - _density(n)) * (1.25 if n.tag in ("article", "main") else 1.0)
     best = max(scored, key=value)
-    while best.parent is not None and best.tag in INLINE:
-        best = best.parent
+    path = [best]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    inner = max((i for i, n in enumerate(path) if n.tag == "article"), default=0)
+    top = max((i for i, n in enumerate(path) if n.tag in ("article", "main")), default=len(path) - 1)
+    for n in path[inner + 1 : top + 1]:
+        n.children = _poor_in_links(n.children)
+    best = path[top]
     if best.parent is None:
         return [best]
     kept = []
@@ -187,7 +247,7 @@ def container(root: Node) -> list[Node]:
             kept.append(c)
         elif isinstance(c, Node) and not c.unwanted and c.letters:
             text_like = c.tag == "p" and _density(c) < (0.25 if c.letters > 80 else 0.01) and c.letters > 40
-            if value(c) >= least or text_like or (c.tag in HEADINGS and best.tag not in ("article", "main")):
+            if value(c) >= least or text_like or (c.tag in ("article", "main") and _density(c) <= 0.5):
                 kept.append(c)
     return kept
 
