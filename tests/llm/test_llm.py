@@ -293,6 +293,22 @@ def test_decontamination(spark):
     assert {(1, 9), (2, 9)} <= got and not {(3, 9), (6, 9)} & got
 
 
+def test_decontamination_of_altered_copies(spark):
+    from trendloom.llm.decontam import contaminated
+
+    item = "When John has 5 apples and gives 2 apples to Mary, so how many apples does John keep at the very end of the day?"
+    short = "we find that the sum of both angles is less than what the other rule had us think"
+    copies = [item.lower(), item.upper(), *(re.sub(" (?=John has|Mary|John keep)", gap, item) for gap in ("\n", "  ", "\u00a0", "\r\n\t"))]
+    words = short.split()
+    changed = [" ".join([*words[:i], "zebra", *words[i + 1 :]]) for i in range(len(words))]
+    assert len(words) == 18
+    texts = [f"intro. {t} And more." for t in copies + changed]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in contaminated(docs, spark.createDataFrame([(9, item), (8, short)], "item_id long, text string")).collect()}
+    assert set(got) == {(i, 9 if i < len(copies) else 8) for i in range(len(texts))}
+    assert all(got[i, 9].cover == 1 for i in range(len(copies)))
+
+
 @pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op6", "op7", "op8", "op9", "op10", "stages"])
 def test_odd_rows_and_empty_tables(spark, odd, name):
     import public_tokenizers

@@ -3,13 +3,15 @@
 Text becomes template tokens: words in lower case, with typed placeholders for numbers,
 units behind numbers, and names (capitalised words inside a sentence; the first word
 of a sentence is no name). Windows of
-``WIDTH`` tokens of all documents are hash-joined with those of all items; Spark
+``WIDTH`` tokens, of the raw tokens in lower case and of the template tokens, of all
+documents are hash-joined with those of all items; Spark
 broadcasts the items' windows while they are within its size threshold and shuffles
 both sides beyond. Matched windows on one diagonal (position in the document less
 position in the item) are aligned. There, slots must be consistent: one value of the
-item stands for one value in the document. A document is contaminated by an item if
-windows of consistent diagonals cover ``COVER`` of the item's windows, or if one such
-diagonal has a run of ``RUN`` tokens' worth of windows.
+item stands for one value in the document; if they aren't, the diagonal's windows count
+where their raw tokens are the item's. A document is contaminated by an item if such
+windows cover ``COVER`` of the item's tokens, or if one diagonal has a run of ``RUN``
+tokens' worth of windows.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from trendloom.llm.shared import materialise
 WIDTH, COVER, RUN = 5, 0.8, 13
 # Placeholders and units of measurement.
 NUMBER, UNIT, NAME = "ǂnumber", "ǂunit", "ǂname"
+SPACES = r"[\s\u0085\u00A0\u2000-\u200A\u2028\u2029\u202F\u3000]"
 UNITS = (
     "mm cm dm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t gram grams kilogram kilograms ton tons tonnes oz ounce ounces lb lbs pound pounds "
     "ml cl l liter liters litre litres gallon gallons ms s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
@@ -48,16 +51,23 @@ def raw_tokens(text: Column) -> Column:
 def template_tokens(text: Column) -> Column:
     """One for each raw token."""
     short = "|".join(sorted((u for u in UNITS.split() if "/" not in u), key=len, reverse=True))
-    named = F.lower(F.regexp_replace(_plain(F.coalesce(text, F.lit(""))), r"(?<=[\p{Ll}0-9,;:] )\p{Lu}[\p{Ll}]+(?![\p{L}\p{N}])", NAME))
+    named = F.lower(F.regexp_replace(_plain(F.coalesce(text, F.lit(""))), rf"\p{{Lu}}(?<=[\p{{Ll}}0-9,;:]{SPACES}{{1,16}}\p{{Lu}})\p{{Ll}}+(?![\p{{L}}\p{{N}}])", NAME))
     numbered = F.regexp_replace(named, r"(?<![\p{L}\p{N}])[0-9]+(?![\p{L}\p{N}])", NUMBER)
-    measured = F.regexp_replace(numbered, rf"{NUMBER} (?:{short})(?![\p{{L}}\p{{N}}])", f"{NUMBER} {UNIT}")
+    measured = F.regexp_replace(numbered, rf"{NUMBER}{SPACES}+(?:{short})(?![\p{{L}}\p{{N}}])", f"{NUMBER} {UNIT}")
     return _split(F.when(named.rlike("[0-9]"), measured).otherwise(named))
 
 
-def _windows(tokens: str) -> Column:
-    """Hashes of all windows in order; none if there are fewer tokens."""
+def _windows_sql(tokens: str, but: str | None = None) -> str:
+    """SQL: hashes of all windows in order; none if there are fewer tokens. Null where
+    the window is that of but."""
     starts = f"sequence(1, size({tokens}) - {WIDTH - 1})"
-    return F.expr(f"if(size({tokens}) < {WIDTH}, cast(array() as array<bigint>), transform({starts}, i -> xxhash64(slice({tokens}, i, {WIDTH}))))")
+    window = f"slice({tokens}, i, {WIDTH})"
+    value = f"if({window} = slice({but}, i, {WIDTH}), null, xxhash64({window}))" if but else f"xxhash64({window})"
+    return f"if(size({tokens}) < {WIDTH}, cast(array() as array<bigint>), transform({starts}, i -> {value}))"
+
+
+def _windows(tokens: str) -> Column:
+    return F.expr(_windows_sql(tokens))
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -65,15 +75,19 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col:
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
     bench = items.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("item is not null")
     bench = bench.select("item", raw_tokens(F.col("text")).alias("raw"), template_tokens(F.col("text")).alias("tokens"))
-    bench = bench.select("item", "raw", "tokens", F.posexplode(_windows("tokens")).alias("at", "h"))
+    # A window of raw tokens has no slots; one of template tokens is there if it has some.
     slots = F.expr(f"filter(sequence(0, {WIDTH - 1}), k -> tokens[at + k] in ('{NUMBER}', '{UNIT}', '{NAME}'))")
-    bench = bench.select("item", "at", "h", F.slice("raw", F.col("at") + 1, F.lit(WIDTH)).alias("raw"), slots.alias("slots"))
+    plain = bench.select("item", "raw", F.posexplode(_windows("raw")).alias("at", "h")).withColumn("slots", F.array().cast("array<int>"))
+    typed = bench.select("item", "raw", "tokens", F.posexplode(_windows("tokens")).alias("at", "h")).withColumn("slots", slots).where(F.size("slots") > 0)
+    bench = plain.unionByName(typed.select(plain.columns)).select("item", "at", "h", F.slice("raw", F.col("at") + 1, F.lit(WIDTH)).alias("raw"), "slots")
     bench = materialise(bench)
-    wanted = materialise(bench.groupBy("item").agg(F.countDistinct("at").alias("windows")))
+    wanted = materialise(bench.groupBy("item").agg((F.max("at") + WIDTH).alias("tokens")))
     keys = materialise(bench.select("h").distinct())
 
-    seen = texts.select("doc", template_tokens(F.col("text")).alias("tokens")).select("doc", F.posexplode(_windows("tokens")).alias("pos", "h"))
-    seen = materialise(seen.join(keys, "h"))
+    seen = texts.select("doc", raw_tokens(F.col("text")).alias("raw"), template_tokens(F.col("text")).alias("tokens"))
+    typed = F.expr(f"if(tokens = raw, cast(array() as array<bigint>), {_windows_sql('tokens', 'raw')})")
+    seen = seen.select("doc", F.greatest(F.size("raw") - (WIDTH - 1), F.lit(0)).alias("n"), F.posexplode(F.concat(_windows("raw"), typed)).alias("pos", "h"))
+    seen = materialise(seen.select("doc", F.when(F.col("pos") < F.col("n"), F.col("pos")).otherwise(F.col("pos") - F.col("n")).alias("pos"), "h").join(keys, "h"))
     found = seen.join(bench.select("item", "at", "h", F.size("slots").alias("n")), "h").select("doc", "item", "at", "pos", (F.col("pos") - F.col("at")).alias("diagonal"), "n")
 
     # Slots: only documents with a matched window that has any are read again.
@@ -81,10 +95,11 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col:
     readers = materialise(open_slots.select("doc").distinct())
     raw = texts.join(readers, "doc").select("doc", raw_tokens(F.col("text")).alias("own"))
     filled = open_slots.join(raw, "doc").select("doc", "item", "at", "diagonal", F.slice("own", F.col("pos") + 1, F.lit(WIDTH)).alias("own"))
-    filled = filled.join(bench.select("item", "at", "raw", "slots"), ["item", "at"]).select("doc", "item", "diagonal", "own", "raw", F.explode("slots").alias("k"))
+    filled = filled.join(bench.where(F.size("slots") > 0).select("item", "at", "raw", "slots"), ["item", "at"]).select("doc", "item", "diagonal", "own", "raw", F.explode("slots").alias("k"))
     values = filled.select("doc", "item", "diagonal", F.expr("raw[k]").alias("given"), F.expr("own[k]").alias("value"))
     broken = values.groupBy("doc", "item", "diagonal", "given").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo != hi")
-    found = found.join(broken.select("doc", "item", "diagonal").distinct(), ["doc", "item", "diagonal"], "left_anti")
+    broken = broken.select("doc", "item", "diagonal", F.lit(True).alias("broken")).distinct()
+    found = found.join(broken, ["doc", "item", "diagonal"], "left").where("n = 0 or broken is null")
 
     # A diagonal's windows in a row: positions less their rank are equal.
     runs = found.groupBy("doc", "item", "diagonal").agg(F.array_sort(F.collect_set("at")).alias("ats"))
@@ -93,15 +108,18 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col:
         "'now', if(a = s.last + 1, s.now + 1, 1), 'best', greatest(s.best, if(a = s.last + 1, s.now + 1, 1))), s -> s.best)"
     )
     best = runs.select("doc", "item", longest.alias("run"), F.explode("ats").alias("at")).groupBy("doc", "item", "at").agg(F.max("run").alias("run"))
-    pairs = best.groupBy("doc", "item").agg(F.count("*").alias("covered"), F.max("run").alias("run")).join(wanted, "item")
+    covered = F.expr(
+        f"aggregate(ats, named_struct('last', -{WIDTH}, 'n', 0), (s, a) -> named_struct('last', a, 'n', s.n + least({WIDTH}, a - s.last)), s -> s.n)"
+    )
+    pairs = best.groupBy("doc", "item").agg(F.array_sort(F.collect_list("at")).alias("ats"), F.max("run").alias("run")).join(wanted, "item")
     return pairs.select(
-        F.col("doc").alias(id_col), F.col("item").alias(item_col), (F.col("covered") / F.col("windows")).alias("cover"),
+        F.col("doc").alias(id_col), F.col("item").alias(item_col), (covered / F.col("tokens")).alias("cover"),
         (F.col("run") + (WIDTH - 1)).cast("long").alias("run"),
     )
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """id_col, item_col, cover (share of the item's windows), run (tokens in a row): one
+    """id_col, item_col, cover (share of the item's tokens), run (tokens in a row): one
     row for each document and item that contaminates it.
 
     Null and empty texts, texts and items of under WIDTH tokens, and rows with null ids
