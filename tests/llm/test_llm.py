@@ -87,6 +87,17 @@ def test_toxicity_held_out(spark, tables):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in rows.items())
 
 
+def test_toxicity_learns_words_from_all_rows(spark):
+    from trendloom.llm.toxicity import score
+
+    bad, rare = [i for i in range(400) if i % 10 == 0], {0, 40, 80, 120, 160, 200, 240, 280, 320, 360}
+    texts = [f"plain words here {'grobnak' if i in rare else 'vurdish' if i in bad else 'gentle'} and more" for i in range(400)] + ["plain words here grobnak and more", "plain words here gentle and more"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in bad)) for i in range(400)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in score(docs, labels, sample=30).where("doc_id >= 400").collect()}
+    assert got[400].predicted == 1 and got[401].predicted == 0
+
+
 def test_fuzzy_lexicon_against_edit_distance():
     from itertools import product
 

@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from trendloom.llm.shared import hash_share, materialise
 
-#: About so many labelled training rows are used.
+#: The logistic model is fitted to about so many labelled training rows.
 SAMPLE = 20_000
-#: The lexicon's most words and most stems.
-MOST_TERMS, MOST_STEMS = 3000, 1000
+#: Least log-likelihood ratio of a word or stem against the share of toxic rows (1 %).
+SIGNIFICANT = 6.63
 #: Words of at least so many letters may have one edit.
 EDIT_LETTERS = 5
 WINDOW = 8
@@ -165,13 +165,15 @@ def document_features(text: str | None, memo: _Memo) -> list[float]:
     return [1.0, np.log1p(exact), np.log1p(stem), np.log1p(near), quoted / n, addressed / n, np.log1p(weight), float(exact + stem > 0), float(near > 1)]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 100) -> np.ndarray:
-    """Newton's method with a small ridge: no randomness."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 100, share: np.ndarray | None = None) -> np.ndarray:
+    """Newton's method with a small ridge: no randomness. share, of each row, adds up
+    to 1."""
     w = np.zeros(x.shape[1])
+    share = np.full(len(y), 1 / len(y)) if share is None else share
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) / len(y) + ridge * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x / len(y) + ridge * np.eye(x.shape[1])
+        grad = x.T @ ((p - y) * share) + ridge * w
+        hess = (x * (p * (1 - p) * share)[:, None]).T @ x + ridge * np.eye(x.shape[1])
         step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -199,19 +201,23 @@ def _features(docs: DataFrame, shared, carried: str) -> DataFrame:
 
 def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], dict[str, float], frozenset]:
     """Terms and stems with their log odds, and words of clean rows one edit from a
-    term, from train(id, text, toxic). The driver gets at most MOST_TERMS words and
-    MOST_STEMS stems, and the clean words near them."""
+    term, from all rows of train(id, text, toxic). The driver gets the words and stems
+    that are SIGNIFICANT, and the clean words near them."""
     words = train.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("w")).where(F.length("w").between(2, 40))
     stats = materialise(words.groupBy("w").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")))
     n = train.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
     if not n["bad"]:
         return {}, {}, frozenset()
     odds = F.log((F.col("bad") + 0.5) / (n["bad"] + 1) / ((F.col("good") + 0.5) / ((n["good"] or 0) + 1)))
-    terms = {r["w"]: r["odds"] for r in stats.select("w", "bad", odds.alias("odds")).where("bad >= 3 and odds >= 2.5").orderBy(F.desc("bad"), "w").limit(MOST_TERMS).collect()}
+    part = lambda c, toxic: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * F.lit(n["bad"] + n["good"]) / ((F.col("bad") + F.col("good")) * F.lit(max(toxic, 1))))).otherwise(0.0)
+    sure = 2 * (part("bad", n["bad"]) + part("good", n["good"])) >= SIGNIFICANT
+    if not n["good"]:
+        sure = F.lit(True)
+    terms = {r["w"]: r["odds"] for r in stats.where(sure).select("w", "bad", odds.alias("odds")).where("bad >= 3 and odds >= 2.5").collect()}
     cuts = F.filter(F.array(*[F.substring("w", 1, k) for k in (4, 5, 6, 7)]), lambda s: F.length(s) < F.length("w"))
     starts = stats.where("length(w) >= 5").select("bad", "good", F.explode(cuts).alias("w"))
     by_start = starts.groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("words"))
-    rows = by_start.select("w", "bad", "words", odds.alias("odds")).where("bad >= 8 and words >= 3 and odds >= 3.5").orderBy(F.desc("bad"), "w").limit(MOST_STEMS).collect()
+    rows = by_start.where(sure).select("w", "bad", "words", odds.alias("odds")).where("bad >= 8 and words >= 3 and odds >= 3.5").collect()
     stems: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: len(r["w"])):
         if not any(r["w"].startswith(s) for s in stems):
@@ -242,8 +248,8 @@ def score(
 ) -> DataFrame:
     """id_col, held_out, score, predicted for every whole text.
 
-    Learns from about ``sample`` labelled rows whose crc32 of the id modulo fold isn't
-    held_out; an id with several labels is toxic if one says so; a null id is held out.
+    Learns from labelled rows whose crc32 of the id modulo fold isn't held_out: the
+    lexicon from all, the model from about ``sample``, toxic ones up to half; an id with several labels is toxic if one says so; a null id is held out.
     Null and empty texts are scored like a text without hits. Without toxic training
     rows every score is 0. Repeated rows and null ids are kept. An empty table gives no
     rows. Other columns aren't read.
@@ -254,15 +260,19 @@ def score(
     remainder = F.crc32(F.col("id").cast("string").cast("binary")) % fold
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("long").alias("toxic")).where("id is not null and toxic is not null")
     marks = marks.groupBy("id").agg(F.max("toxic").alias("toxic")).where(remainder != held_out)
-    there = max(marks.count(), 1)
-    marks = marks.where(hash_share(F.col("id"), 3) < sample / there)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     train = materialise(texts.join(marks, "id").select("id", "toxic", F.coalesce("text", F.lit("")).alias("text")))
     lexicon = spark.sparkContext.broadcast(learn_lexicon(train))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = sorted(_features(train, lexicon, f"id {kind}, toxic long").collect(), key=lambda r: (r["id"], r["x"]))
+    there = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
+    bad, good = there.get(1, 0), there.get(0, 0)
+    of_bad = min(1.0, max(sample / 2, sample - good) / max(bad, 1))
+    of_good = min(1.0, (sample - of_bad * bad) / max(good, 1))
+    some = train.where(hash_share(F.col("id"), 3) < F.when(F.col("toxic") == 1, of_bad).otherwise(of_good))
+    rows = sorted(_features(some, lexicon, f"id {kind}, toxic long").collect(), key=lambda r: (r["id"], r["x"]))
     y = np.array([r["toxic"] for r in rows], float)
-    weights = fit_logistic(np.array([r["x"] for r in rows]), y) if y.any() else None
+    share = np.where(y == 1, bad / max(y.sum(), 1), good / max(len(y) - y.sum(), 1))
+    weights = fit_logistic(np.array([r["x"] for r in rows]), y, share=share / share.sum()) if y.any() else None
 
     def run(batches):
         for batch in batches:
