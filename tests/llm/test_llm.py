@@ -248,11 +248,17 @@ def test_secrets(spark):
 
 
 def test_near_duplicates(spark, tables):
-    def shingles(text):
-        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c in string.ascii_uppercase else c for c in text or ""))
-        return {tuple(w)} if 0 < len(w) < 3 else {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    want = brute_components({i: t for i, t, *_ in tables["documents"]}, 3, 85)
+    got = result(spark, "op8_near_duplicates").collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and all(r.kept == (r.doc_id == r.component_id) for r in got)
+
 
-    sets = {i: shingles(t) for i, t, *_ in tables["documents"]}
+def brute_components(texts, width, percent):
+    """Set sizes and least reachable ids of {id: text}, over all pairs."""
+    sets = {}
+    for i, text in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c in string.ascii_uppercase else c for c in text or ""))
+        sets[i] = frozenset({tuple(w)} if 0 < len(w) < width else {tuple(w[k : k + width]) for k in range(len(w) - width + 1)})
     parent = {i: i for i in sets}
 
     def find(i):
@@ -263,11 +269,84 @@ def test_near_duplicates(spark, tables):
     ids = sorted(sets)
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
-    want = {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
-    assert {r[0]: tuple(r[1:]) for r in result(spark, "op8_near_duplicates").collect()} == want
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def test_near_duplicates_of_one_large_group(spark):
+    """A thousand near copies of one text with changes of their own (words replaced,
+    dropped and added), a family of copies of a changed copy, and chains."""
+    import random
+
+    from trendloom.llm.neardup import near_duplicates
+
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(500)}" for _ in range(150)]
+
+    def changed(words, n):
+        words = list(words)
+        for _ in range(n):
+            at, kind = rng.randrange(len(words)), rng.randrange(3)
+            words[at : at + (kind < 2)] = [] if kind == 1 else [f"x{rng.randrange(10**6)}"]
+        return words
+
+    texts = {i: " ".join(changed(base, rng.randrange(9))) for i in range(700)}
+    side = changed(base, 6)
+    texts |= {i: " ".join(changed(side, rng.randrange(6))) for i in range(700, 900)}
+    chain = base
+    for i in range(900, 1000):
+        chain = changed(chain, 2)
+        texts[i] = " ".join(chain)
+    rows = list(texts.items())
+    rng.shuffle(rows)
+    for width, percent in ((3, 85), (5, 80)):
+        got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width, percent).collect()
+        want = brute_components(texts, width, percent)
+        assert len({c for _, c in want.values()}) > 50
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_prefixes_hold_a_common_element():
+    """Over random sets around a hub: members that could be linked share a prefix element."""
+    import random
+
+    from trendloom.llm.neardup import _prefixes
+
+    rng = random.Random(3)
+    linked = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    tried = 0
+    for _ in range(300):
+        hub = set(range(rng.randrange(3, 40)))
+        members = [{x for x in hub if rng.random() > rng.choice((0.05, 0.15))} | {100 + rng.randrange(12) for _ in range(rng.randrange(7))} for _ in range(14)]
+        rows = []
+        for own in (m for m in members if m and m != hub):
+            keys = sorted(own - hub) + sorted(hub - own)
+            is_linked, k, m = _prefixes(len(own - hub), len(hub - own), len(own), len(hub), 80)
+            assert is_linked == linked(own, hub)
+            rows.append((own, is_linked, keys[:k], keys[:m]))
+        for i, (a, la, ka, ma) in enumerate(rows):
+            for b, lb, kb, mb in rows[:i]:
+                if a != b and linked(a, b) and not (la and lb):
+                    tried += 1
+                    assert set(ma) & set(mb) if la != lb else set(ka) & set(kb)
+    assert tried > 200
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    from trendloom.llm.neardup import near_duplicates
+
+    x, y = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(50))
+    rows = [(1, x), (1, y), (2, y), (3, y + " more"), (4, x), (5, None), (None, x), (5, ""), (6, "one two"), (7, "ONE  two"), (2, y)]
+    got = collections.Counter(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect())
+    # Id 1 is spoken for by the lesser set, x.
+    want = [
+        (1, 38, 1, True), (1, 48, 1, True), (2, 48, 2, True), (2, 48, 2, True), (3, 49, 2, False), (4, 38, 1, False), (5, 0, 5, True), (5, 0, 5, True),
+        (None, 38, None, True), (6, 1, 6, True), (7, 1, 6, False),
+    ]
+    assert got == collections.Counter(want)
 
 
 def test_registers_merge_and_tell_similarity():

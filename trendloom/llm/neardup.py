@@ -7,32 +7,37 @@ maxima of the parts' registers. ``BANDS`` groups of ``ROWS`` register values are
 keys under which similar sets meet. Then, without ever listing all pairs of a bucket:
 
 1. Equal sets are collapsed to the least id.
-2. In each bucket every set is paired with the bucket's least id (a star).
-3. Pairs that the joint likelihood of their registers rules out are dropped; the
-   rest are confirmed on the full sets.
-4. Confirmed links give components. Only buckets that still hold several components
-   are looked at again. Their documents' shingles are counted. Two of these documents
-   of different components that share a bucket, and that could be linked, either share
-   a shingle that at most ``RARE`` of the documents have, and are found under it; or
-   all they share is more frequent, so that each must have enough frequent shingles,
-   and a pair is made in the bucket only where both do. These pairs go through step 3.
-   No link between different components that share a bucket is left out, and near
-   copies that each have changes of their own make no pairs.
+2. In each bucket every set is paired with the bucket's hub: the member that shares
+   most buckets with most others, so the one with the fewest changes of its own. A hub
+   with one partner only is compared by the joint likelihood of the registers first.
+   The other pairs' full sets are compared, which gives links, and each member's
+   difference from the hub.
+3. |A ^ B| = |Da| + |Db| - 2 |Da & Db| for two members' differences Da, Db from one
+   hub. Unless both are linked with the hub (and so in one component already), A and B
+   can only be linked if Da and Db share so many elements that they share one in their
+   prefixes (see ``_prefixes``). Members that share such an element are paired if
+   they are at most ``RARE``; more of them get a hub of their own, and step 2 and 3 are
+   done with that. Near copies that each have changes of their own share none.
+4. Those pairs are estimated by the joint likelihood of their registers, and confirmed
+   on the full sets unless the registers rule them out.
 5. Components of all links are the result.
 
-At similarity 0.85 a pair shares no band with a probability below 1e-6.
+No link between sets that share a bucket is lost but by the likelihood (see
+``RULED_OUT``). At similarity 0.85 a pair shares no bucket with a probability below
+1e-6, at 0.8 below 1e-4.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.shared import ascii_words, discard, materialise, written
+from trendloom.llm.shared import ascii_words, counted, materialise, observed
 
 #: The sketch: base, rate and largest value of registers, and their number.
 BASE, RATE, TOP = 1.001, 20.0, 65534
@@ -41,9 +46,11 @@ REGISTERS = BANDS * ROWS
 #: Distinct words whose hashes a task remembers.
 MEMO_WORDS = 400_000
 #: A hub's members are dealt to tasks in parts of about so many.
-HUB_PART = 256
-#: A shingle of at most so many documents is rare.
-RARE = 10
+HUB_PART = 64
+#: At most so many members that share an element are paired with each other directly.
+RARE = 16
+#: Hubs of hubs' groups are taken so often; what is left then is paired directly.
+LEVELS = 5
 #: Log-likelihood by which the threshold must lose for a pair to be dropped unconfirmed.
 RULED_OUT = 10.0
 
@@ -160,7 +167,8 @@ def _ruled_out(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, sim
 
 
 def sketch(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n (set size), k1, k2 (128-bit key of the set), bands, regs."""
+    """id, t (a hash of the text), n (set size), k1, k2 (128-bit key of the set), bands,
+    regs."""
     import pyarrow as pa
 
     def run(batches):
@@ -176,14 +184,15 @@ def sketch(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str =
                 offsets = np.arange(0, BANDS * (len(sets) + 1), BANDS, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
+                        batch.column("id"), batch.column("t"), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.ravel())), pa.array([r.tobytes() for r in regs], pa.binary()),
                     ],
-                    names=["id", "n", "k1", "k2", "bands", "regs"],
+                    names=["id", "t", "n", "k1", "k2", "bands", "regs"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "id long, n long, k1 long, k2 long, bands array<long>, regs binary"
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t"), text.alias("text")).mapInArrow(
+        run, "id long, t long, n long, k1 long, k2 long, bands array<long>, regs binary"
     )
 
 
@@ -205,57 +214,165 @@ def _likely(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Pairs whose full sets are similar enough. Every pair's b is sent to its hub a;
-    a hub of many pairs is dealt to several tasks, each with its own copy of a's text.
-    A task holds one hub's set and one other at a time."""
-    import pyarrow as pa
-
+def _dealt(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, text: every pair's b with its text sent to its hub a, whose own row comes
+    first. A hub of many pairs is dealt to several tasks, each with a's text."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(HUB_PART)).cast("int").alias("parts"))
     members = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     hubs = parts.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    texts = docs.select(F.col(id_col).cast("long").alias("b"), F.col(text_col).alias("text")).where("b is not null")
-    sent = members.unionByName(hubs).join(texts, "b")
-    dealt = sent.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b") != F.col("a"))
+    sent = members.unionByName(hubs).join(texts.withColumnRenamed("id", "b"), "b")
+    return sent.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b") != F.col("a")).select("a", "b", "text")
+
+
+def _sets_with_hubs(batches, width: int):
+    """For each batch, (a, b, hub's set, own set) of its pairs; a task holds one hub's
+    set and one other at a time."""
+    words = _WordHash()
+    hub, held = None, np.empty(0, np.uint64)
+
+    def of(batch):
+        nonlocal hub, held
+        for a, b, text in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text"))):
+            own = shingle_set(text, words, width)
+            if a == b:
+                hub, held = a, own
+            elif hub != a:
+                raise ValueError(f"pair ({a}, {b}) came before its hub")
+            else:
+                yield a, b, held, own
+
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 200):
+            yield of(whole.slice(lo, 200))
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs whose full sets are similar enough."""
+    import pyarrow as pa
 
     def run(batches):
-        words = _WordHash()
-        hub, held = None, np.empty(0, np.uint64)
-        for batch in batches:
-            out_a, out_b = [], []
-            for a, b, text in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text"))):
-                own = shingle_set(text, words, width)
-                if a == b:
-                    hub, held = a, own
-                    continue
-                if hub != a:
-                    raise ValueError(f"pair ({a}, {b}) came before its hub")
+        for rows in _sets_with_hubs(batches, width):
+            out = []
+            for a, b, held, own in rows:
                 both = len(np.intersect1d(held, own, assume_unique=True))
                 if 100 * both >= percent * (len(held) + len(own) - both):
-                    out_a.append(a)
-                    out_b.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return _dealt(pairs, texts).mapInArrow(run, "a long, b long")
+
+
+def _prefixes(g: int, l: int, n: int, hub: int, percent: int) -> tuple[bool, int, int]:
+    """(linked, k, m) of a member of n elements, g of them not in its hub of ``hub``
+    elements, which has l others. The first k elements of its difference (first those
+    gained, then those lost) hold one that it shares with every other unlinked member it
+    could be linked with; the first m, one that it shares with every linked member (if
+    it is unlinked) or unlinked member (if it is linked) that it could be linked with.
+
+    With P = 100 + percent and Q = 100 - percent, A and B are linked if
+    P |A ^ B| <= Q (|A| + |B|), that is if 2 P x >= Ea + Eb with x the number of common
+    elements of their differences and E = P d - Q n. A is linked with the hub if
+    Ea <= Q hub. As x <= Db, Eb is at least Ea - 2 Q |B|, and |B| at most
+    100 |A| / percent; as |B| is at most hub + Db, Eb is at least 2 percent Db - Q hub.
+    Sharing x elements means sharing one among the first d - x + 1 of each."""
+    p, q, d = 100 + percent, 100 - percent, g + l
+    e = p * d - q * n
+    prefix = lambda least: max(0, d + 1 - max(1, -(-(e + least) // (2 * p))))
+    if e <= q * hub:
+        return True, 0, prefix(q * hub + 1)
+    near = e - 2 * q * (100 * n // percent)
+    return False, prefix(max(q * hub + 1, near)), prefix(max(2 * percent - q * hub, near)) if near <= q * hub else 0
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b, linked, n, g, d, k, m, keys: every pair of a hub a and a member b compared
+    on the full sets, with the prefixes of b's difference from a (see _prefixes)."""
+    import pyarrow as pa
+
+    names = ["a", "b", "linked", "n", "g", "d", "k", "m"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_()] + [pa.int64()] * 5
 
-    return dealt.select("a", "b", "text").mapInArrow(run, "a long, b long")
+    def run(batches):
+        for rows in _sets_with_hubs(batches, width):
+            out, keys, ends = [], [np.empty(0, np.uint64)], [0]
+            for a, b, held, own in rows:
+                gained, lost = np.setdiff1d(own, held, assume_unique=True), np.setdiff1d(held, own, assume_unique=True)
+                linked, k, m = _prefixes(len(gained), len(lost), len(own), len(held), percent)
+                out.append((a, b, linked, len(own), len(gained), len(gained) + len(lost), k, m))
+                keys.append(np.concatenate([gained, lost])[: max(k, m)])
+                ends.append(ends[-1] + len(keys[-1]))
+            columns = [pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*columns, lists], names=[*names, "keys"])
+
+    schema = "a long, b long, linked boolean, n long, g long, d long, k long, m long, keys array<long>"
+    return _dealt(pairs, texts).mapInArrow(run, schema)
+
+
+def _open_keys(compared: DataFrame) -> DataFrame:
+    """a, h, side, b, linked, n, d, rg, rl: the prefixes' elements in the groups of hubs
+    that some member isn't linked with. side is 0 between unlinked members, 1 between
+    an unlinked and a linked one; rg and rl count the gained and lost elements behind h."""
+    mixed = compared.groupBy("a").agg(F.count_if(~F.col("linked")).alias("open"), F.count("*").alias("all")).where("open > 0 and all > 1").select("a")
+    rows = compared.join(mixed, "a").select("a", "b", "linked", "n", "g", "d", "k", "m", F.posexplode("keys").alias("at", "h"))
+    side = F.filter(F.array(F.when(F.col("at") < F.col("k"), 0), F.when(F.col("at") < F.col("m"), 1)), lambda x: x.isNotNull())
+    rows = rows.withColumn("side", F.explode(side))
+    rg = F.greatest(F.col("g") - 1 - F.col("at"), F.lit(0))
+    return rows.select("a", "h", "side", "b", "linked", "n", "d", rg.alias("rg"), (F.col("d") - 1 - F.col("at") - rg).alias("rl"))
+
+
+def _within(keys: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of members that share a key and may be linked."""
+    p, q = 100 + percent, 100 - percent
+    one = keys.select("a", "h", "side", *[F.col(c).alias(f"x_{c}") for c in ("b", "linked", "n", "d", "rg", "rl")])
+    two = keys.select("a", "h", "side", *[F.col(c).alias(f"y_{c}") for c in ("b", "linked", "n", "d", "rg", "rl")])
+    # At the first common element, all others are among those behind it.
+    most = 2 * p * (1 + F.least("x_rg", "y_rg") + F.least("x_rl", "y_rl"))
+    needed = p * (F.col("x_d") + F.col("y_d")) - q * (F.col("x_n") + F.col("y_n"))
+    apart = F.expr("(side = 0 and x_b < y_b) or (side = 1 and not x_linked and y_linked)")
+    pairs = one.join(two, ["a", "h", "side"]).where(apart & (most >= needed) & _near_sizes(F.col("x_n"), F.col("y_n"), percent))
+    return pairs.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b"))
+
+
+def _links(stars: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """All links (a, b) between members of one hub's group; stars are pairs (hub, member)."""
+    links, wanted = [], []
+    for level in range(LEVELS):
+        compared = materialise(_compared(stars, texts, width, percent))
+        links.append(compared.where("linked").select("a", "b"))
+        keys, n = counted(_open_keys(compared))
+        if not n:
+            break
+        shared = keys.groupBy("a", "h", "side").agg(
+            F.count("*").alias("all"), F.count_if("linked").alias("ends"), F.min(F.struct("d", "b"))["b"].alias("hub")
+        )
+        shared = shared.where("all > 1 and (side = 0 or (ends > 0 and ends < all))")
+        small = F.col("all") <= (RARE if level < LEVELS - 1 else 1 << 62)
+        wanted.append(_within(keys.join(shared.where(small).select("a", "h", "side"), ["a", "h", "side"]), percent))
+        again = keys.join(shared.where(~small).select("a", "h", "side", "hub"), ["a", "h", "side"]).where("b != hub")
+        stars, n = counted(again.select(F.col("hub").alias("a"), "b").distinct())
+        if not n:
+            break
+    if wanted:
+        pairs, n = counted(reduce(DataFrame.unionByName, wanted).distinct())
+        if n:
+            links.append(materialise(_confirmed(_likely(pairs, sets, percent / 100), texts, width, percent)))
+    return reduce(DataFrame.unionByName, links)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) of all ids in edges (a, b), a != b; component is the least id
     reachable. Alternates large-star and small-star steps; a node's neighbours are
     only ever aggregated, never gathered."""
-    both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    print_of = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = print_of(edges)
+    prints = (F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s"))
+    edges, seen = observed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), *prints)
     for _ in range(most_rounds):
-        around = both(edges)
+        around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialise(large)
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = materialise(small.unionByName(lower.select("a", F.col("m").alias("b"))).distinct())
-        now = print_of(edges)
+        edges, now = observed(small.unionByName(lower.select("a", F.col("m").alias("b"))).distinct(), *prints)
         if now == seen:
             roots = edges.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component"))
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
@@ -263,51 +380,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components not settled after {most_rounds} rounds")
 
 
-def _across(left: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (a, b), a < b, of different components that share a band and may be linked,
-    from left(band, id, n, c, hub) with c the component and hub that of the band's hub."""
-    import pyarrow as pa
-
-    members = materialise(left.select("id", "n", "c").distinct())
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-
-    def run(batches):
-        words = _WordHash()
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
-                sets = [shingle_set(t, words, width) for t in batch.column("text").to_pylist()]
-                times = pa.array(np.repeat(np.arange(len(sets)), list(map(len, sets))))
-                h = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(times), pa.array(h)], names=["id", "h"])
-
-    shingles = materialise(texts.join(members.select("id"), "id").select("id", "text").mapInArrow(run, "id long, h long"))
-    few = shingles.groupBy("h").agg(F.count("*").alias("times")).where(F.col("times") <= RARE)
-    # A shingle of one document is only counted, so its hash isn't kept.
-    rare = materialise(shingles.join(few, "h").select("id", F.when(F.col("times") > 1, F.col("h")).alias("h")))
-    own = rare.where("h is not null").join(members, "id")
-    under = own.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")).join(
-        own.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "h"
-    )
-    under = under.where("a < b and ca != cb").where(_near_sizes(F.col("na"), F.col("nb"), percent)).select("a", "b")
-
-    # Without a common rare shingle, what a and b share is at most the lesser of their
-    # frequent parts, which must reach percent of the union.
-    spent = rare.groupBy("id").agg(F.count("*").alias("spent"))
-    left = left.join(spent, "id", "left").withColumn("f", F.col("n") - F.coalesce("spent", F.lit(0)))
-    left = left.where(F.col("f") * 100 >= F.col("n") * percent)
-    # Each pair is made once: in the least of its common bands, and from the side that
-    # is out of the hub's component, or the lesser id where both are.
-    held = left.groupBy("id").agg(F.collect_set("band").alias("held"))  # BANDS at most
-    left = left.join(held, "id")
-    one = left.where("c != hub").select("band", "hub", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "c", "f", "held")])
-    two = left.select("band", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "c", "f", "held")])
-    enough = F.least("x_f", "y_f") * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
-    once = F.expr("(y_c = hub or x_id < y_id) and array_min(array_intersect(x_held, y_held)) = band")
-    banded = one.join(two, "band").where(F.expr("x_c != y_c") & enough & once).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
-    return under.unionByName(banded).distinct()
-
-
 def _near_sizes(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
@@ -318,40 +390,46 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     Two sets are linked if 100 * intersection >= percent * union. A text without words
     (null, empty, white space) has an empty set and is linked with nothing. Rows that
-    repeat an id count as one document: with equal sets they share a component; with
-    different ones the row with the least set key speaks for the id in links. A row
-    with a null id is linked with nothing: component_id null, kept true. An empty table
+    repeat an id count as one document: with different sets, the least non-empty one (by
+    size, then key) speaks for the id, and the component is that set's. A row with a
+    null id is linked with nothing: component_id null, kept true. An empty table
     gives no rows. Other columns aren't read.
     """
-    similarity = percent / 100
     keys = ["n", "k1", "k2"]
-    full, path = written(sketch(docs, width, id_col, text_col))
-    sig = materialise(full.select("id", *keys))
-    groups = sig.where("n > 0 and id is not null").groupBy(*keys).agg(F.min("id").alias("id"))
-    sets = materialise(full.where("n > 0").join(groups, [*keys, "id"], "left_semi").dropDuplicates(["id"]))
-    discard(docs.sparkSession, path)  # registers of copies aren't needed any more
-    rows = sets.select("id", "n", F.explode("bands").alias("band"))
-
-    hubs = rows.groupBy("band").agg(F.min("id").alias("a"), F.min_by("n", "id").alias("na"), F.count("*").alias("size")).where("size > 1")
-    rows = materialise(rows.join(hubs, "band"))
-    stars = rows.where(F.col("id") != F.col("a")).where(_near_sizes(F.col("n"), F.col("na"), percent)).select("a", F.col("id").alias("b")).distinct()
-    # Texts of documents that share a bucket, moved once.
-    near = rows.select(F.col("id").alias(id_col)).distinct()
-    docs = materialise(docs.select(F.col(id_col).cast("long").alias(id_col), text_col).join(near, id_col))
-    first = materialise(_confirmed(_likely(stars, sets, similarity), docs, width, percent, id_col, text_col))
-    found = components(first)
-
-    named = rows.select("band", "id", "n", "a").join(found, "id", "left").select("band", "id", "n", "a", F.coalesce("component", "id").alias("c"))
-    hub = F.max(F.when(F.col("id") == F.col("a"), F.col("c"))).alias("hub")
-    mixed = named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), hub).where("lo != hi").select("band", "hub")
-    left = materialise(named.select("band", "id", "n", "c").join(mixed, "band"))
-    cross = _across(left, docs, width, percent, id_col, text_col).join(stars, ["a", "b"], "left_anti")
-    second = materialise(_confirmed(_likely(cross, sets, similarity), docs, width, percent, id_col, text_col))
-    found = components(first.unionByName(second))
-
-    owners = sets.select(*keys, F.col("id").alias("rep")).join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    owners = owners.select(*keys, F.coalesce("component", "rep").alias("c"))
-    out = sig.select("id", *keys).join(owners, keys, "left")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    full = materialise(sketch(rows, width, "id", "text"))
+    owned = full.where("n > 0 and id is not null").groupBy("id").agg(F.min(F.struct(*keys, "t")).alias("o")).select("id", "o.*")
+    owned = materialise(owned)
+    groups = materialise(owned.groupBy(*keys).agg(F.min(F.struct("id", "t")).alias("o")).select("o.id", "o.t", *keys))
+    sets = full.where("n > 0").join(groups, ["id", "t", *keys], "left_semi").dropDuplicates(["id"]).select("id", "n", "bands", "regs")
+    sets = materialise(sets)
+
+    # A set's fame is the number of others in its buckets, with repeats.
+    placed = sets.select("id", "n", F.explode("bands").alias("band"))
+    sizes = placed.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    placed = materialise(placed.join(sizes, "band"))
+    fame = placed.groupBy("id").agg(F.sum("size").alias("fame"))
+    placed = placed.select("id", "band").join(fame, "id")
+    hubs = placed.groupBy("band").agg(F.max(F.struct("fame", (-F.col("id")).alias("id")))["id"].alias("hub"))
+    stars = placed.join(hubs, "band").select((-F.col("hub")).alias("a"), F.col("id").alias("b")).where("a != b").distinct()
+    stars, n = counted(stars)
+    if n:
+        alone = stars.groupBy("a").agg(F.count("*").alias("m")).where("m = 1").select("a")
+        few = _likely(stars.join(alone, "a"), sets, percent / 100)
+        stars = materialise(few.unionByName(stars.join(alone, "a", "left_anti")))
+    # Texts of the sets that share a bucket, moved once. Written as a difference, the
+    # second condition is no join key, so that the rows stay dealt by id.
+    near = groups.select("id", F.col("t").alias("own")).join(placed.select("id").distinct(), "id")
+    texts = rows.withColumn("t", F.xxhash64("text")).join(near, "id").where("(t ^ own) = 0").select("id", "text").dropDuplicates(["id"])
+    found = components(_links(stars, sets, materialise(texts), width, percent)) if n else None
+
+    out = full.select("id", "n").join(owned.select("id", *[F.col(k).alias(f"o_{k}") for k in keys]), "id", "left")
+    if found is not None:
+        named = groups.select(F.col("id").alias("rep"), *[F.col(k).alias(f"o_{k}") for k in keys]).join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    else:
+        named = groups.select(F.col("id").alias("rep"), *[F.col(k).alias(f"o_{k}") for k in keys], F.lit(None).cast("long").alias("component"))
+    named = named.select(*[f"o_{k}" for k in keys], F.coalesce("component", "rep").alias("c"))
+    out = out.join(named, [f"o_{k}" for k in keys], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),

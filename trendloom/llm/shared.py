@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Executors need no copy of this package: its functions travel with the tasks.
@@ -19,12 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none
-    (as in tests, on one machine) a local temporary folder is set."""
+    """The folder that driver and executors share. Only where the session names none and
+    runs on one machine, as in tests, a local temporary folder is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     sc = spark.sparkContext
+    if sc.getCheckpointDir() is None and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="trendloom-"))
     return sc.getCheckpointDir()
@@ -39,11 +41,6 @@ def materialise(df: DataFrame) -> DataFrame:
     lineage: a lost executor costs its running tasks only. Nothing reads the write's
     shuffle files after it, so they go at once rather than at some later garbage
     collection of the driver. The table goes when the application ends."""
-    return written(df)[0]
-
-
-def written(df: DataFrame) -> tuple[DataFrame, str]:
-    """materialise(), with the table's path for discard()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/trendloom-{uuid.uuid4().hex}"
     before = spark.conf.get(FILE_CLEANUP)
@@ -55,14 +52,19 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path), path
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a written table once everything made from it is written itself."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def observed(df: DataFrame, *metrics: Column) -> tuple[DataFrame, dict]:
+    """materialise(), with aggregates over the rows that are worked out on the way."""
+    seen = Observation()
+    return materialise(df.observe(seen, *metrics)), seen.get
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """materialise(), with the number of rows."""
+    out, seen = observed(df, F.count("*").alias("n"))
+    return out, seen["n"]
 
 
 def hash_share(key: Column, seed: int) -> Column:
