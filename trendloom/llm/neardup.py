@@ -16,8 +16,9 @@ keys under which similar sets meet. Then, without ever listing all pairs of a bu
    hub. Unless both are linked with the hub (and so in one component already), A and B
    can only be linked if Da and Db share so many elements that they share one in their
    prefixes (see ``_prefixes``). Members that share such an element are paired if
-   they are at most ``RARE``; more of them get a hub of their own, and step 2 and 3 are
-   done with that. Near copies that each have changes of their own share none.
+   they are at most ``RARE`` and their differences' sizes, places and marks allow a
+   link; more of them get a hub of their own, and step 2 and 3 are done with that. Near
+   copies that each have changes of their own make no pairs.
 4. Those pairs are estimated by the joint likelihood of their registers, and confirmed
    on the full sets unless the registers rule them out.
 5. Components of all links are the result.
@@ -48,9 +49,11 @@ MEMO_WORDS = 400_000
 #: A hub's members are dealt to tasks in parts of about so many.
 HUB_PART = 64
 #: At most so many members that share an element are paired with each other directly.
-RARE = 16
+RARE = 256
 #: Hubs of hubs' groups are taken so often; what is left then is paired directly.
 LEVELS = 5
+#: Columns of the marks of a difference, 64 in each.
+MARKS = ("s0", "s1", "s2", "s3")
 #: Log-likelihood by which the threshold must lose for a pair to be dropped unconfirmed.
 RULED_OUT = 10.0
 
@@ -285,12 +288,13 @@ def _prefixes(g: int, l: int, n: int, hub: int, percent: int) -> tuple[bool, int
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b, linked, n, g, d, k, m, keys: every pair of a hub a and a member b compared
-    on the full sets, with the prefixes of b's difference from a (see _prefixes)."""
+    """a, b, linked, n, g, d, k, m, s0 to s3, keys: every pair of a hub a and a member b
+    compared on the full sets, with the prefixes of b's difference from a (see _prefixes)
+    and 256 marks, one for each element by its last bits."""
     import pyarrow as pa
 
-    names = ["a", "b", "linked", "n", "g", "d", "k", "m"]
-    kinds = [pa.int64(), pa.int64(), pa.bool_()] + [pa.int64()] * 5
+    names = ["a", "b", "linked", "n", "g", "d", "k", "m", *MARKS]
+    kinds = [pa.int64(), pa.int64(), pa.bool_()] + [pa.int64()] * (5 + len(MARKS))
 
     def run(batches):
         for rows in _sets_with_hubs(batches, width):
@@ -298,39 +302,45 @@ def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             for a, b, held, own in rows:
                 gained, lost = np.setdiff1d(own, held, assume_unique=True), np.setdiff1d(held, own, assume_unique=True)
                 linked, k, m = _prefixes(len(gained), len(lost), len(own), len(held), percent)
-                out.append((a, b, linked, len(own), len(gained), len(gained) + len(lost), k, m))
-                keys.append(np.concatenate([gained, lost])[: max(k, m)])
+                both, marks = np.concatenate([gained, lost]), np.zeros(64 * len(MARKS), bool)
+                marks[both % np.uint64(len(marks))] = True
+                out.append((a, b, linked, len(own), len(gained), len(both), k, m, *np.packbits(marks).view(np.int64).tolist()))
+                keys.append(both[: max(k, m)])
                 ends.append(ends[-1] + len(keys[-1]))
             columns = [pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)]
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
             yield pa.RecordBatch.from_arrays([*columns, lists], names=[*names, "keys"])
 
-    schema = "a long, b long, linked boolean, n long, g long, d long, k long, m long, keys array<long>"
+    schema = f"a long, b long, linked boolean, n long, g long, d long, k long, m long, {', '.join(f'{c} long' for c in MARKS)}, keys array<long>"
     return _dealt(pairs, texts).mapInArrow(run, schema)
 
 
 def _open_keys(compared: DataFrame) -> DataFrame:
-    """a, h, side, b, linked, n, d, rg, rl: the prefixes' elements in the groups of hubs
-    that some member isn't linked with. side is 0 between unlinked members, 1 between
-    an unlinked and a linked one; rg and rl count the gained and lost elements behind h."""
+    """a, h, side, b, linked, n, d, rg, rl, marks: the prefixes' elements in the groups of
+    hubs that some member isn't linked with. side is 0 between unlinked members, 1
+    between an unlinked and a linked one; rg and rl count the gained and lost elements
+    behind h."""
     mixed = compared.groupBy("a").agg(F.count_if(~F.col("linked")).alias("open"), F.count("*").alias("all")).where("open > 0 and all > 1").select("a")
-    rows = compared.join(mixed, "a").select("a", "b", "linked", "n", "g", "d", "k", "m", F.posexplode("keys").alias("at", "h"))
+    rows = compared.join(mixed, "a").select("a", "b", "linked", "n", "g", "d", "k", "m", *MARKS, F.posexplode("keys").alias("at", "h"))
     side = F.filter(F.array(F.when(F.col("at") < F.col("k"), 0), F.when(F.col("at") < F.col("m"), 1)), lambda x: x.isNotNull())
     rows = rows.withColumn("side", F.explode(side))
     rg = F.greatest(F.col("g") - 1 - F.col("at"), F.lit(0))
-    return rows.select("a", "h", "side", "b", "linked", "n", "d", rg.alias("rg"), (F.col("d") - 1 - F.col("at") - rg).alias("rl"))
+    return rows.select("a", "h", "side", "b", "linked", "n", "d", rg.alias("rg"), (F.col("d") - 1 - F.col("at") - rg).alias("rl"), *MARKS)
 
 
 def _within(keys: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b), a < b, of members that share a key and may be linked."""
     p, q = 100 + percent, 100 - percent
-    one = keys.select("a", "h", "side", *[F.col(c).alias(f"x_{c}") for c in ("b", "linked", "n", "d", "rg", "rl")])
-    two = keys.select("a", "h", "side", *[F.col(c).alias(f"y_{c}") for c in ("b", "linked", "n", "d", "rg", "rl")])
+    held = ("b", "linked", "n", "d", "rg", "rl", *MARKS)
+    one = keys.select("a", "h", "side", *[F.col(c).alias(f"x_{c}") for c in held])
+    two = keys.select("a", "h", "side", *[F.col(c).alias(f"y_{c}") for c in held])
+    # Every mark that only one of them has is an element that only that one has.
+    unlike = F.expr(" + ".join(f"bit_count(x_{c} ^ y_{c})" for c in MARKS)) * p <= (F.col("x_n") + F.col("y_n")) * q
     # At the first common element, all others are among those behind it.
     most = 2 * p * (1 + F.least("x_rg", "y_rg") + F.least("x_rl", "y_rl"))
     needed = p * (F.col("x_d") + F.col("y_d")) - q * (F.col("x_n") + F.col("y_n"))
     apart = F.expr("(side = 0 and x_b < y_b) or (side = 1 and not x_linked and y_linked)")
-    pairs = one.join(two, ["a", "h", "side"]).where(apart & (most >= needed) & _near_sizes(F.col("x_n"), F.col("y_n"), percent))
+    pairs = one.join(two, ["a", "h", "side"]).where(apart & unlike & (most >= needed) & _near_sizes(F.col("x_n"), F.col("y_n"), percent))
     return pairs.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b"))
 
 
