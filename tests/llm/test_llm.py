@@ -55,15 +55,33 @@ def test_bpe_round_trip_and_every_code_point():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    from trendloom.llm.bpe import WordBpe, build_lexicon
+    from trendloom.llm.bpe import WordBpe, compile_words
 
     path = public_tokenizers.path("word_bpe_49k.json")
     spec = open(path, encoding="utf-8").read()
-    lib, own = Tokenizer.from_str(spec), WordBpe(spec, build_lexicon(spec, ["the", "then", "thens", "über", "a"]))
+    lib, own = Tokenizer.from_str(spec), WordBpe(spec, compile_words(spec, ["the", "then", "thens", "über", "a"]))
     assert own.lexicon.get(b"thens") == own.merge("thens") and own.lexicon.get(b"the ") is None and own.lexicon.get(b"th") is None
     texts = [f"a{chr(c)}B {chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     for text, e in zip(texts, lib.encode_batch(texts, add_special_tokens=False)):
         assert own.encode(text) == e.ids, repr(text)
+        assert own.decode(e.ids) == lib.decode(e.ids, skip_special_tokens=False)
+
+
+def test_bpe_decodes_what_it_encodes(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from trendloom.llm.bpe import decode, encode
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["The quick fox's den, 12 34!", "é ÀÉ <|endoftext|> İ ΣΑΣ x\x1cy", "", None, " \n\t", "don't <|x|> \u00a0 'll 's", "word " * 30_000, "same", "same"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lib = Tokenizer.from_file(path)
+    want = {i: lib.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+    ids = encode(docs, path)
+    assert {r.doc_id: r.ids for r in ids.collect()} == want
+    got = {r.doc_id: r.text for r in decode(ids.unionByName(spark.createDataFrame([(99, None, None)], ids.schema)), path).collect()}
+    assert got == {i: lib.decode(x, skip_special_tokens=False) for i, x in want.items()} | {99: ""}
 
 
 def test_sharding(spark, tables):

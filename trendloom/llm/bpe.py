@@ -1,7 +1,7 @@
 """BPE encoding and decoding over a minimal acyclic transducer lexicon.
 
-The corpus's most frequent words are counted over all documents, encoded once on the
-driver, and compiled into a minimal acyclic automaton: words with a common ending
+The corpus's most frequent words are counted over all documents, encoded once, and
+compiled by one task into a minimal acyclic automaton: words with a common ending
 share their last states. Each arc carries the number of words that sort before it, so
 that a walk yields the word's number, and the number yields its ids. The bytes are
 broadcast; each worker process maps them from an unlinked file of its own. Words that
@@ -18,9 +18,11 @@ import struct
 import tempfile
 import unicodedata
 from array import array
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cached_property
 from itertools import chain
+from os.path import commonprefix
 from pathlib import Path
 
 import regex
@@ -33,11 +35,15 @@ from trendloom.llm.shared import materialise
 LEXICON_WORDS = 100_000
 #: Entries of a worker's word table before it starts afresh.
 MEMO_WORDS = 200_000
+#: Distinct words that a task counts before it passes the counts on.
+COUNTED_WORDS = 400_000
 END = "</w>"
 
 # Code points on which Python's normalisation, lower case and classes agree with the
 # tokenizers library (tests go through all of them); other texts are cut by the library.
 PLAIN = regex.compile(r"[\x00-\x7F\xA0-ſ‐-‧‰-⁞₠-₿]*+")
+# Python's split() cuts at these, the tokenizers library doesn't.
+UNSPLIT = regex.compile(r"[\x1C-\x1F]")
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
@@ -161,6 +167,8 @@ class WordBpe:
         self.added = {a["content"]: a["id"] for a in data["added_tokens"]}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
+        #: What every special token begins with.
+        self.hint = commonprefix(list(self.added))
         self.letters = str.maketrans(byte_letters())
         self.lexicon = Transducer(lexicon) if lexicon else None
         self._spec = spec
@@ -172,12 +180,27 @@ class WordBpe:
 
         return Tokenizer.from_str(self._spec)
 
+    def words(self, text: str) -> list[str]:
+        """Stretches of a text without special tokens whose ids can be worked out one by
+        one: those between white space where pieces() can cut them, else pieces in byte
+        letters."""
+        if text.isascii() or PLAIN.fullmatch(text):
+            if not text.isascii() and not unicodedata.is_normalized("NFC", text):
+                text = unicodedata.normalize("NFC", text)
+            if not UNSPLIT.search(text):
+                return text.split()
+        return self.cut(text)
+
     def pieces(self, text: str) -> list[str]:
-        """Words of a text without special tokens, as byte letters in the end."""
+        """The pieces of a text without special tokens that are merged on their own."""
         if PLAIN.fullmatch(text):
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             return PIECES.findall(text.lower())
+        return self.cut(text)
+
+    def cut(self, text: str) -> list[_Cut]:
+        """The library's pieces, in byte letters."""
         return [_Cut(p) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
 
     def merge(self, word: str) -> tuple[int, ...]:
@@ -208,21 +231,25 @@ class WordBpe:
 
     def sections(self, text: str) -> Iterator[tuple[bool, str]]:
         """(whether it is a special token, stretch of text) in order."""
-        if self.marks is None or "<|" not in text:
+        if self.marks is None or self.hint not in text:
             yield False, text
             return
         for i, part in enumerate(self.marks.split(text)):
             if part:
                 yield bool(i % 2), part
 
+    def parts(self, word: str) -> Iterator[tuple[int, ...]]:
+        """The ids of each piece of one of words()."""
+        return map(self.word, [word] if isinstance(word, _Cut) else PIECES.findall(word.lower()))
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         for special, part in self.sections(text):
             if special:
                 out.append(self.added[part])
             else:
-                for p in self.pieces(part):
-                    out += self.word(p)
+                for w in self.words(part):
+                    out += chain.from_iterable(self.parts(w))
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -235,25 +262,25 @@ class _Cut(str):
 
 
 class _Memo(dict):
-    """piece -> ids, worked out at first sight; starts afresh when it is full."""
+    """word -> ids, worked out at first sight; starts afresh when it is full."""
 
     def __init__(self, bpe: WordBpe):
         super().__init__()
         self.bpe = bpe
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= MEMO_WORDS:
             self.clear()
-        ids = self[piece] = self.bpe.word(piece)
+        ids = self[word] = tuple(chain.from_iterable(self.bpe.parts(word)))
         return ids
 
 
 class _TextMemo(dict):
-    """piece -> ids as text; ``tokens`` holds piece -> tokens as text beside it."""
+    """word -> ids as text; ``tokens`` holds word -> tokens as text beside it."""
 
     class Tokens(dict):
-        def __missing__(self, piece: str) -> str:
-            return self.owner.learn(piece)[1]
+        def __missing__(self, word: str) -> str:
+            return self.owner.learn(word)[1]
 
     def __init__(self, bpe: WordBpe):
         super().__init__()
@@ -261,41 +288,68 @@ class _TextMemo(dict):
         self.tokens = self.Tokens()
         self.tokens.owner = self
 
-    def learn(self, piece: str) -> tuple[str, str]:
+    def learn(self, word: str) -> tuple[str, str]:
         if len(self) >= MEMO_WORDS:
             self.clear()
             self.tokens.clear()
-        ids = self.bpe.word(piece)
-        self[piece] = " ".join(map(str, ids))
-        self.tokens[piece] = self.bpe.decode(ids)
-        return self[piece], self.tokens[piece]
+        ids = tuple(chain.from_iterable(self.bpe.parts(word)))
+        self[word] = " ".join(map(str, ids))
+        self.tokens[word] = self.bpe.decode(ids)
+        return self[word], self.tokens[word]
+
+    def __missing__(self, word: str) -> str:
+        return self.learn(word)[0]
 
-    def __missing__(self, piece: str) -> str:
-        return self.learn(piece)[0]
 
+def _memo_for(words: list[str], plain, cut):
+    """Byte letters may spell another word, so that cut pieces have a table of their own."""
+    return cut if words and isinstance(words[0], _Cut) else plain
 
-def _memo_for(pieces: list[str], plain, cut):
-    """Byte letters may spell another piece, so that cut ones have a table of their own."""
-    return cut if pieces and isinstance(pieces[0], _Cut) else plain
 
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """w, n: how often each piece of up to 24 letters is found in all documents. A task
+    counts what stands between white space, and cuts each such word once."""
+    import pyarrow as pa
+
+    def run(batches):
+        seen: Counter[str] = Counter()
+
+        def cut():
+            out: Counter[str] = Counter()
+            for word, n in seen.items():
+                if PLAIN.fullmatch(word):
+                    for p in PIECES.findall(unicodedata.normalize("NFC", word).lower()):
+                        if len(p) <= 24 and p.isalpha():
+                            out[p] += n
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["w", "n"])
 
-def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON_WORDS) -> list[str]:
-    """The words seen most often over all documents, whole classes of like counts at a
-    time, at most ``most`` of them. The driver gets the sizes of the classes, then these
-    words alone: a sort with a limit would send it as many from every partition."""
-    words = F.explode(F.split(F.lower(F.col(text_col)), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"))
-    counts = docs.select(words.alias("w")).where(F.length("w").between(1, 24)).groupBy("w").agg(F.count("*").alias("n")).where("n > 1")
+        for batch in _slices(batches):
+            for text in _texts(batch, "text"):
+                seen.update(text.split())
+            if len(seen) >= COUNTED_WORDS:
+                yield cut()
+        yield cut()
+
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "w string, n long")
+    return counts.groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON_WORDS) -> DataFrame:
+    """w: the words seen most often over all documents, whole classes of like counts at
+    a time, at most ``most`` of them. The driver gets the sizes of the classes."""
+    counts = word_counts(docs, text_col).where("n > 1")
     classed = materialise(counts.select("w", F.floor(F.log2("n") * 16).cast("int").alias("class")))
-    least, total = None, 0
+    least, total = 1 << 30, 0
     for r in sorted(classed.groupBy("class").agg(F.count("*").alias("n")).collect(), reverse=True):
         total += r["n"]
         if total > most:
             break
         least = r["class"]
-    return [] if least is None else [r["w"] for r in classed.where(F.col("class") >= least).select("w").collect()]
+    return classed.where(F.col("class") >= least).select("w")
 
 
-def build_lexicon(spec: str, words: list[str]) -> bytes:
+def compile_words(spec: str, words: Iterable[str]) -> bytes:
     """Compiles words into a transducer; those that the tokenizer cuts are left out."""
     bpe = WordBpe(spec)
     entries = {}
@@ -305,6 +359,18 @@ def build_lexicon(spec: str, words: list[str]) -> bytes:
     return Transducer.compile(entries)
 
 
+def build_lexicon(spec: str, words: DataFrame) -> bytes:
+    """The transducer of words(w), which one task compiles: they are LEXICON_WORDS at
+    most. The driver gets its bytes only."""
+    import pyarrow as pa
+
+    def run(batches):
+        image = compile_words(spec, chain.from_iterable(b.column("w").to_pylist() for b in batches))
+        yield pa.RecordBatch.from_arrays([pa.array([image], pa.binary())], names=["image"])
+
+    return bytes(words.repartition(1).mapInArrow(run, "image binary").first()["image"])
+
+
 def _texts(batch, column: str) -> list[str]:
     return ["" if t is None else t for t in batch.column(column).to_pylist()]
 
@@ -319,7 +385,7 @@ def _slices(batches, rows: int = 500):
 def _prepare(docs: DataFrame, tokenizer: str, text_col: str, lexicon_words: int):
     sc = docs.sparkSession.sparkContext
     spec = Path(tokenizer).read_text(encoding="utf-8")
-    lexicon = build_lexicon(spec, frequent_words(docs, text_col, lexicon_words) if lexicon_words else [])
+    lexicon = build_lexicon(spec, frequent_words(docs, text_col, lexicon_words)) if lexicon_words else None
     return sc.broadcast((spec, lexicon))  # a few MB: the vocabulary and at most lexicon_words words
 
 
@@ -345,8 +411,8 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                     if special:
                         ids.append(bpe.added[part])
                         continue
-                    pieces = bpe.pieces(part)
-                    ids.extend(chain.from_iterable(map(_memo_for(pieces, plain, cut).__getitem__, pieces)))
+                    words = bpe.words(part)
+                    ids.extend(chain.from_iterable(map(_memo_for(words, plain, cut).__getitem__, words)))
                 ends.append(len(ids))
             offsets = pa.array(ends, pa.int32())
             lists = pa.ListArray.from_arrays(offsets, pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)]))
@@ -396,10 +462,10 @@ def digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                         numbers.append(str(bpe.added[part]))
                         tokens.append(part)
                         continue
-                    pieces = bpe.pieces(part)
-                    memo = _memo_for(pieces, plain, cut)
-                    numbers += map(memo.__getitem__, pieces)
-                    tokens += map(memo.tokens.__getitem__, pieces)
+                    words = bpe.words(part)
+                    memo = _memo_for(words, plain, cut)
+                    numbers += map(memo.__getitem__, words)
+                    tokens += map(memo.tokens.__getitem__, words)
                 ids = " ".join(numbers)
                 n.append(ids.count(" ") + 1 if ids else 0)
                 first.append(sha(ids.encode()).hexdigest())

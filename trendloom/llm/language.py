@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.shared import hash_share
+from trendloom.llm.shared import hash_share, materialise
 
 #: About so many training documents are drawn for each language, by a hash of the id.
 SAMPLE = 1000
@@ -65,9 +65,9 @@ def features(text: str | None) -> np.ndarray:
 
 def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 150) -> np.ndarray:
     """Weights (the last one is the bias) of a linear machine with squared hinge loss
-    between rows with y = 1 and y = -1; rows with 0 don't count, so that no part of x
-    is copied. Classes weigh the same. Plain accelerated gradient steps: no randomness."""
-    weight = np.select([y > 0, y < 0], [0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)], 0.0) * cost
+    between rows with y = 1 and y = -1. Classes weigh the same. Plain accelerated
+    gradient steps: no randomness."""
+    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * cost
     w = v = np.zeros(x.shape[1] + 1)
     step, t = 1.0 / (1.0 + 2 * cost * 2.0), 1.0
     for _ in range(rounds):
@@ -96,24 +96,38 @@ def _votes(x: np.ndarray, names: list[str], machines: dict[tuple[str, str], np.n
     return best, 1 / (1 + np.exp(-4 * least[np.arange(len(x)), best]))
 
 
-def _machines(x: np.ndarray, y: np.ndarray, names: list[str]) -> dict[tuple[str, str], np.ndarray]:
-    out = {}
-    for a, b in combinations(names, 2):
-        out[a, b] = train_svm(x, np.select([y == a, y == b], [1.0, -1.0], 0.0))
-    return out
+def _pairs(langs: list[str]) -> list[tuple[str, str, str, str]]:
+    """(step, a, b, lang) for every machine and every language whose rows it learns from:
+    between families, and between the languages of one family."""
+    kinds: dict[str, list[str]] = {}
+    for lang in langs:
+        kinds.setdefault(family(lang), []).append(lang)
+    out = [("family", a, b, lang) for a, b in combinations(sorted(kinds), 2) for k in (a, b) for lang in kinds[k]]
+    return out + [("language", a, b, lang) for own in kinds.values() for a, b in combinations(sorted(own), 2) for lang in (a, b)]
 
 
 def fit(train: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> dict:
-    """The models, from rows with a text and a language. The driver gets the features
-    of about ``sample`` documents for each language."""
+    """The models, from rows with a text and a language. Of each language, about
+    ``sample`` documents are drawn, and for a machine between families about as many of
+    each family. Every machine is trained in a task of its own on its bounded rows; the
+    driver gets the numbers of rows and the weights only."""
+    import pandas as pd
     import pyarrow as pa
 
     train = train.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     counts = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return {"families": [], "split": {}, "langs": {}}
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, sample / n)))])
-    chosen = train.where(hash_share(F.col("id"), 9) < share[F.col("lang")]).select("id", "lang", "text")
+    langs = sorted(counts)
+    kinds = {f: [lang for lang in langs if family(lang) == f] for f in sorted({family(lang) for lang in langs})}
+    model = {"families": list(kinds), "split": {}, "langs": {f: (own, {}) for f, own in kinds.items()}}
+    machines = _pairs(langs)
+    if not machines:
+        return model
+    for step, a, b, _ in machines:  # one without rows decides nothing
+        (model["split"] if step == "family" else model["langs"][family(a)][1])[a, b] = np.zeros(BUCKETS + 1, np.float32)
+    spark = train.sparkSession
+    share = spark.createDataFrame([(lang, min(1.0, sample / n)) for lang, n in counts.items()], "lang string, share double")
+    chosen = train.join(F.broadcast(share), "lang")  # a row for each language
+    chosen = chosen.where(hash_share(F.col("id"), 9) < F.col("share")).select("id", "lang", "text")
 
     def run(batches):
         for batch in batches:
@@ -125,18 +139,27 @@ def fit(train: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), pa.array(found, pa.binary())], names=["id", "lang", "x"])
 
     kind = train.schema["id"].dataType.simpleString()
-    rows = sorted((r["lang"], bytes(r["x"])) for r in chosen.mapInArrow(run, f"id {kind}, lang string, x binary").select("lang", "x").collect())
-    y = np.array([lang for lang, _ in rows])
-    x = np.zeros((len(rows), BUCKETS), np.float32)
-    for i, (_, found) in enumerate(rows):
-        n = len(found) // 6  # two bytes of a place and four of a value each
-        x[i, np.frombuffer(found, np.uint16, n)] = np.frombuffer(found[2 * n :], np.float32)
-    del rows
-    kinds = np.array([family(lang) for lang in y])
-    families = sorted({*kinds})
-    langs = {f: sorted({*y[kinds == f]}) for f in families}
-    split = _machines(x, kinds, families)
-    return {"families": families, "split": split, "langs": {f: (langs[f], _machines(x, y, langs[f])) for f in families}}
+    rows = materialise(chosen.mapInArrow(run, f"id {kind}, lang string, x binary"))
+    # A machine between families takes its share of each language's rows.
+    wanted = [(step, a, b, lang, 1.0 if step == "language" else 1.0 / len(kinds[family(lang)]), family(lang) if step == "family" else lang) for step, a, b, lang in machines]
+    wanted = spark.createDataFrame(wanted, "step string, a string, b string, lang string, part double, side string")
+    dealt = rows.join(F.broadcast(wanted), "lang")  # rows for each two languages
+    dealt = dealt.where(hash_share(F.col("id"), 10) < F.col("part")).select("step", "a", "b", "side", "x")
+
+    def learn(table: pd.DataFrame) -> pd.DataFrame:
+        table = table.sort_values(["side", "x"])
+        x = np.zeros((len(table), BUCKETS), np.float32)
+        for i, found in enumerate(table["x"]):
+            n = len(found) // 6  # two bytes of a place and four of a value each
+            x[i, np.frombuffer(found, np.uint16, n)] = np.frombuffer(found[2 * n :], np.float32)
+        y = np.where(table["side"] == table["a"], 1.0, -1.0)
+        head = table[["step", "a", "b"]].iloc[:1].reset_index(drop=True)
+        return head.assign(w=[train_svm(x, y).astype(np.float32).tobytes()])
+
+    for r in dealt.groupBy("step", "a", "b").applyInPandas(learn, "step string, a string, b string, w binary").collect():
+        into = model["split"] if r["step"] == "family" else model["langs"][family(r["a"])][1]
+        into[r["a"], r["b"]] = np.frombuffer(bytes(r["w"]), np.float32)
+    return model
 
 
 def predict(texts: list[str | None], model: dict) -> tuple[list[str], np.ndarray]:
