@@ -173,6 +173,46 @@ def test_html_odd_pages():
     assert main_text("plain &amp; text") == "plain & text"
     assert main_text("<p>a" * 3000).count("\n") == 2999
     assert main_text("<div>" * 3000 + "deep") == "deep"
+    assert main_text('<p>x <a title="y>hello</a>') == "x hello"
+    assert main_text('<p>a < b and 5 > 3 <b class=\'it"s\'>c</b>') == "a < b and 5 > 3 c"
+
+
+def test_html_takes_linear_time():
+    import time
+
+    from trendloom.llm.html_text import main_text
+
+    began = time.time()
+    n = 100_000
+    assert main_text("<div>" * n + "deep") == "deep"
+    assert main_text("<p><table>" + "<div>x" * n).count("x") == n
+    main_text('<a "' * n)
+    main_text('<a title="' * n)
+    main_text("<div><p>a, b</p>" * (n // 2))
+    main_text("<script>" * n)
+    main_text("</td>" * n + "<ul>" + "<div>" * 1000 + "<li>x" * n)
+    assert time.time() - began < 40
+
+
+def test_html_names_inside_an_article():
+    from trendloom.llm.html_text import main_text
+
+    long = "A sentence of the article, with commas, and quite enough letters to count as running text, again and again."
+    kept = f'<section id="related-work"><p>Short one.</p></section><p class="legal">Law.</p><figure><figcaption>Caption</figcaption></figure><div class="notice">Note</div>'
+    gone = '<div class="related-posts"><p>Other page</p></div><ul class="share"><li>Share</li></ul><div class="ad-slot-3">Buy</div>'
+    page = f"<body><article><p>{long}</p>{kept}{gone}<p>{long}</p></article><p class='copyright'>(c)</p></body>"
+    assert main_text(page).split("\n") == [long, "Short one.", "Law.", "Caption", "Note", long]
+
+
+def test_html_odd_rows(spark):
+    from trendloom.llm.html_text import extract
+
+    rows = [(1, "u", "<p>a &lt; b</p>", "x"), (1, "u", "<p>a &lt; b</p>", "x"), (None, None, "<p>é</p>", "y"), (2, "v", None, "z"), (3, None, "", None), (4, "w", "<p>" + "word " * 100_000, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string").withColumn("n_chars", F.lit("clash"))
+    got = collections.Counter(tuple(r) for r in extract(pages).collect())
+    long = ("word " * 100_000).strip()
+    assert got == collections.Counter([(1, "u", "a < b", 5), (1, "u", "a < b", 5), (None, None, "é", 1), (2, "v", "", 0), (3, None, "", 0), (4, "w", long, len(long))])
+    assert extract(pages.limit(0)).count() == 0
 
 
 def test_html_keeps_the_whole_article():

@@ -1,21 +1,22 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree of elements. Every paragraph gives points, for its length and its
-commas, discounted by its link density, to its parent in full, to the grandparent by
-half and further up by a third, a quarter, ... The element with the best total, again
+commas, discounted by its link density, to its parent in full and to each further
+ancestor half as many as to the one below. The element with the best total, again
 discounted by its own link density, is the container. The article or main that it lies
 in stays with all its blocks; without one, the whole page but its lists of links stays.
 Siblings of an article stay if they are articles, score like it or are paragraphs of
 running text. Elements with a class or id like that of a menu, an advertisement and the
 like go only if they hold no article and few paragraph points, or many links. Blocks of
-what stays are the text.
+what stays are the text. Inside an article only names that are whole names of menus and
+what other people add count. All steps take time in proportion to the page.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,12 +43,20 @@ FOREIGN = re.compile(
     r"related|recommended|recommendations)s?(?:$|[\s_-]|\d)",
     re.I,
 )
+#: Words of names that count inside an article, and words that may stand beside them.
+INSIDE = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus replies respond cookie cookies consent gdpr related recommended "
+    "recommendations menu nav navbar navigation breadcrumb breadcrumbs sidebar share sharing social newsletter subscribe subscription signup login widget toolbar pagination pager hidden".split()
+)
+BESIDE = frozenset("area articles bar block box buttons container content form inner items left links list module outer panel posts right section slot stories top unit wrap wrapper".split())
 #: Elements with an unwanted name stay with so many paragraph points, foreign ones with
 #: so large a share of the page's; and with a link density under MANY_LINKS.
 POINTS, SHARE, MANY_LINKS = 4.0, 0.5, 0.33
 UNWANTED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# A quotation mark counts behind = only, and only if another one follows; < ends a tag
+# that isn't closed.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/><]*+)((?>[^><=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"\s+")
 
@@ -78,65 +87,89 @@ def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
     return False
 
 
-def _doubt(tag: str, attributes: str) -> int:
+def _doubt(tag: str, attributes: str, inside_article: bool) -> int:
     if tag in ("body", "html", "main"):
         return 0
     names = [v for name, *values in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id") for v in values if UNWANTED.search(v)] if attributes else []
+    if inside_article:
+        words = [[w for w in re.split(r"[\s_-]+|\d+", name.lower()) if w] for name in " ".join(names).split()]
+        names = [" ".join(w) for w in words if INSIDE.intersection(w) and INSIDE.union(BESIDE).issuperset(w)]
     return 2 if any(map(FOREIGN.search, names)) else 1 if names or tag == "form" else 0
 
 
+class _Open:
+    """The open elements, and the depths at which those of each name are."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.depths = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def deepest(self, tags: Iterable[str]) -> int:
+        return max((at[-1] for at in map(self.depths.get, tags) if at), default=0)
+
+    def close(self, tags: Iterable[str], stop: Iterable[str] = ()) -> bool:
+        """Closes the innermost of tags and all in it, unless one of stop is further in."""
+        depth = self.deepest(tags)
+        if depth <= self.deepest(stop):
+            return False
+        for n in self.nodes[depth:]:
+            self.depths[n.tag].pop()
+        del self.nodes[depth:]
+        return True
+
+
+#: Start tags that close open elements of these names, up to these.
+CLOSES = {
+    **{t: (("li",), ("ul", "ol", "menu")) for t in ("li",)}, **{t: (("td", "th"), ("table", "tr")) for t in ("td", "th")}, "tr": (("tr",), ("table",)),
+    **{t: (("dt", "dd"), ("dl",)) for t in ("dt", "dd")}, "option": (("option",), ("select",)),
+}
+
+
 def parse(page: str) -> Node:
     """A tree of elements and decoded text. Open elements end as browsers end them: p at
     the next block, li, td and the like at the next of their kind; unknown end tags are
     skipped. Comments, declarations and the insides of raw elements are left out."""
     root = Node("html", None)
-    at, node, articles = 0, root, 0
-
-    def close(until: Node) -> None:
-        nonlocal node
-        node = until.parent or root
-
-    def open_above(tags: frozenset | set, stop: frozenset) -> Node | None:
-        n = node
-        while n is not root and n.tag not in stop:
-            if n.tag in tags:
-                return n
-            n = n.parent
-        return None
-
+    at, opened = 0, _Open(root)
+    ends: dict[str, re.Pattern] = {}
     m = TOKEN.search(page)
     while m:
+        node = opened.nodes[-1]
         if m.start() > at:
             node.children.append(html.unescape(page[at : m.start()]))
         at = m.end()
         if m[2]:
             tag = m[2].lower()
             if m[1]:
-                if tag in HEADINGS and (found := open_above(HEADINGS, frozenset())):
-                    close(found)
-                elif found := open_above({tag}, frozenset({"table"} if tag in ("p", "li", "div", "b", "span", "a") else ())):
-                    articles -= found.tag == "article"
-                    close(found)
-                elif tag in ("br", "p"):
+                if tag in HEADINGS:
+                    opened.close(HEADINGS)
+                elif not opened.close((tag,), ("table",) if tag in ("p", "li", "div", "b", "span", "a") else ()) and tag in ("br", "p"):
                     node.children.append(Node(tag, node))
             elif tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                if tag not in ends:
+                    ends[tag] = re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+                end = ends[tag].search(page, at) if ends[tag] else None
+                if end is None:
+                    ends[tag] = None  # there are no more of them
                 at = end.end() if end else len(page)
             else:
-                if tag not in INLINE and (found := open_above({"p"}, frozenset(("td", "th", "table", "button", "object")))):
-                    close(found)
-                for same, stop in ((("li",), ("ul", "ol", "menu")), (("td", "th"), ("table", "tr")), (("tr",), ("table",)), (("dt", "dd"), ("dl",)), (("option",), ("select",))):
-                    if tag in same and (found := open_above(set(same), frozenset(stop))):
-                        close(found)
-                child = Node(tag, node, node.unwanted or _unwanted(tag, m[3], articles > 0))
-                child.doubt = _doubt(tag, m[3])
+                if tag not in INLINE:
+                    opened.close(("p",), ("td", "th", "table", "button", "object"))
+                if tag in CLOSES:
+                    opened.close(*CLOSES[tag])
+                node = opened.nodes[-1]
+                inside = opened.deepest(("article",)) > 0
+                child = Node(tag, node, node.unwanted or _unwanted(tag, m[3], inside))
+                child.doubt = _doubt(tag, m[3], inside)
                 node.children.append(child)
                 if tag not in VOID and not m[3].rstrip().endswith("/"):
-                    node = child
-                    articles += tag == "article"
+                    opened.push(child)
         m = TOKEN.search(page, at)
     if at < len(page):
-        node.children.append(html.unescape(page[at:]))
+        opened.nodes[-1].children.append(html.unescape(page[at:]))
     return root
 
 
@@ -219,12 +252,15 @@ def container(root: Node) -> list[Node]:
     element and those of its siblings that stay, or the page without lists of links."""
     _drop_doubtful(root)
     order = _measure(root)
-    for n in order:
-        points = _points(n)
-        above, share = n if n.tag not in PARAGRAPHS else n.parent, 1
-        while points and above is not None and share <= 5:
-            above.score += points / share
-            above, share = above.parent, share + 1
+    for n in reversed(order):
+        points, passed = _points(n), n.score / 2
+        if n.tag in PARAGRAPHS:
+            passed += points
+        else:
+            n.score += points
+            passed += points / 2
+        if n.parent is not None:
+            n.parent.score += passed
     scored = [n for n in order if n.score > 0]
     if not scored:
         return [root] if root.letters else []
