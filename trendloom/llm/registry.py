@@ -46,9 +46,9 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from trendloom.llm.pii import pseudonymise
+    from trendloom.llm.pii import DEMO_KEY, pseudonymise
 
-    return pseudonymise(table(spark, sf_dir, "documents"))
+    return pseudonymise(table(spark, sf_dir, "documents"), DEMO_KEY)
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
