@@ -11,7 +11,12 @@ position in the item) are aligned. There, slots must be consistent: one value of
 item stands for one value in the document; if they aren't, the diagonal's windows count
 where their raw tokens are the item's. A document is contaminated by an item if such
 windows cover ``COVER`` of the item's tokens, or if one diagonal has a run of ``RUN``
-tokens' worth of windows.
+tokens' worth of windows. An item of fewer than ``WIDTH`` tokens is one window of its own
+raw tokens.
+
+A window that more than ``COMMON`` items have says little: documents are joined with it
+only for items of which too few other windows are left, and otherwise only for the pairs
+of documents and items that share another window.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from pyspark.sql import functions as F
 from trendloom.llm.shared import materialise
 
 WIDTH, COVER, RUN = 5, 0.8, 13
+#: A window that more items have is common.
+COMMON = 16
 # Placeholders and units of measurement.
 NUMBER, UNIT, NAME = "ǂnumber", "ǂunit", "ǂname"
 SPACES = r"[\s\u0085\u00A0\u2000-\u200A\u2028\u2029\u202F\u3000]"
@@ -57,13 +64,13 @@ def template_tokens(text: Column) -> Column:
     return _split(F.when(named.rlike("[0-9]"), measured).otherwise(named))
 
 
-def _windows_sql(tokens: str, but: str | None = None) -> str:
+def _windows_sql(tokens: str, but: str | None = None, width: int = WIDTH) -> str:
     """SQL: hashes of all windows in order; none if there are fewer tokens. Null where
     the window is that of but."""
-    starts = f"sequence(1, size({tokens}) - {WIDTH - 1})"
-    window = f"slice({tokens}, i, {WIDTH})"
-    value = f"if({window} = slice({but}, i, {WIDTH}), null, xxhash64({window}))" if but else f"xxhash64({window})"
-    return f"if(size({tokens}) < {WIDTH}, cast(array() as array<bigint>), transform({starts}, i -> {value}))"
+    starts = f"sequence(1, size({tokens}) - {width - 1})"
+    window = f"slice({tokens}, i, {width})"
+    value = f"if({window} = slice({but}, i, {width}), null, xxhash64({window}))" if but else f"xxhash64({window})"
+    return f"if(size({tokens}) < {width}, cast(array() as array<bigint>), transform({starts}, i -> {value}))"
 
 
 def _windows(tokens: str) -> Column:
@@ -77,18 +84,37 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col:
     bench = bench.select("item", raw_tokens(F.col("text")).alias("raw"), template_tokens(F.col("text")).alias("tokens"))
     # A window of raw tokens has no slots; one of template tokens is there if it has some.
     slots = F.expr(f"filter(sequence(0, {WIDTH - 1}), k -> tokens[at + k] in ('{NUMBER}', '{UNIT}', '{NAME}'))")
-    plain = bench.select("item", "raw", F.posexplode(_windows("raw")).alias("at", "h")).withColumn("slots", F.array().cast("array<int>"))
-    typed = bench.select("item", "raw", "tokens", F.posexplode(_windows("tokens")).alias("at", "h")).withColumn("slots", slots).where(F.size("slots") > 0)
-    bench = plain.unionByName(typed.select(plain.columns)).select("item", "at", "h", F.slice("raw", F.col("at") + 1, F.lit(WIDTH)).alias("raw"), "slots")
-    bench = materialise(bench)
-    wanted = materialise(bench.groupBy("item").agg((F.max("at") + WIDTH).alias("tokens")))
+    none = F.array().cast("array<int>")
+    plain = bench.select("item", "raw", F.size("raw").alias("size"), F.posexplode(_windows("raw")).alias("at", "h")).withColumn("slots", none)
+    typed = bench.select("item", "raw", "tokens", F.size("raw").alias("size"), F.posexplode(_windows("tokens")).alias("at", "h")).withColumn("slots", slots).where(F.size("slots") > 0)
+    short = bench.where(F.size("raw").between(1, WIDTH - 1)).select("item", "raw", F.size("raw").alias("size"), F.lit(0).alias("at"), F.xxhash64("raw").alias("h"), none.alias("slots"))
+    bench = plain.unionByName(typed.select(plain.columns)).unionByName(short)
+    bench = materialise(bench.select("item", "at", "h", F.slice("raw", F.col("at") + 1, F.lit(WIDTH)).alias("raw"), "slots", "size"))
+    wanted = bench.select("item", F.col("size").alias("tokens")).distinct()
+    widths = sorted(r["size"] for r in bench.where(F.col("size") < WIDTH).select("size").distinct().collect())  # WIDTH - 1 at most
+
+    # Matched positions that an item needs at least, and those that no common window has.
+    common = bench.groupBy("h").agg(F.countDistinct("item").alias("items")).where(F.col("items") > COMMON).select("h", F.lit(True).alias("common"))
+    bench = bench.join(common, "h", "left").withColumn("common", F.coalesce("common", F.lit(False)))
+    needed = F.least(F.when(F.col("tokens") >= RUN, RUN - WIDTH + 1).otherwise(1 << 30), F.greatest(F.ceil(COVER * F.col("tokens") / WIDTH), F.lit(1)))
+    hidden = bench.groupBy("item").agg(F.countDistinct(F.when(F.col("common"), F.col("at"))).alias("hidden")).join(wanted, "item")
+    hidden = hidden.select("item", (F.col("hidden") >= needed).alias("open"))
+    bench = materialise(bench.join(hidden, "item").select("item", "at", "h", "raw", "slots", F.expr("common and not open").alias("late")))
     keys = materialise(bench.select("h").distinct())
 
     seen = texts.select("doc", raw_tokens(F.col("text")).alias("raw"), template_tokens(F.col("text")).alias("tokens"))
     typed = F.expr(f"if(tokens = raw, cast(array() as array<bigint>), {_windows_sql('tokens', 'raw')})")
-    seen = seen.select("doc", F.greatest(F.size("raw") - (WIDTH - 1), F.lit(0)).alias("n"), F.posexplode(F.concat(_windows("raw"), typed)).alias("pos", "h"))
-    seen = materialise(seen.select("doc", F.when(F.col("pos") < F.col("n"), F.col("pos")).otherwise(F.col("pos") - F.col("n")).alias("pos"), "h").join(keys, "h"))
-    found = seen.join(bench.select("item", "at", "h", F.size("slots").alias("n")), "h").select("doc", "item", "at", "pos", (F.col("pos") - F.col("at")).alias("diagonal"), "n")
+    lists = [_windows("raw"), typed, *[F.expr(_windows_sql("raw", width=w)) for w in widths]]
+    every = F.flatten(F.array(*[F.transform(x, lambda h, i: F.struct(i.alias("pos"), h.alias("h"))) for x in lists]))
+    seen = seen.select("doc", F.explode(every).alias("w")).select("doc", "w.pos", "w.h").where("h is not null")
+    seen = materialise(seen.join(keys, "h"))
+    pair = ["doc", "item", "at", "pos", (F.col("pos") - F.col("at")).alias("diagonal"), F.size("slots").alias("n")]
+    found = seen.join(bench.where("not late"), "h").select(*pair)
+    late = bench.where("late")
+    if not late.isEmpty():
+        found = materialise(found)
+        late = found.select("doc", "item").distinct().join(late, "item").join(seen, ["doc", "h"])
+        found = found.unionByName(late.select(*pair))
 
     # Slots: only documents with a matched window that has any are read again.
     open_slots = found.where("n > 0").select("doc", "item", "at", "pos", "diagonal")
@@ -108,13 +134,13 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col:
         "'now', if(a = s.last + 1, s.now + 1, 1), 'best', greatest(s.best, if(a = s.last + 1, s.now + 1, 1))), s -> s.best)"
     )
     best = runs.select("doc", "item", longest.alias("run"), F.explode("ats").alias("at")).groupBy("doc", "item", "at").agg(F.max("run").alias("run"))
-    covered = F.expr(
+    covered = F.least(F.col("tokens"), F.expr(
         f"aggregate(ats, named_struct('last', -{WIDTH}, 'n', 0), (s, a) -> named_struct('last', a, 'n', s.n + least({WIDTH}, a - s.last)), s -> s.n)"
-    )
+    ))
     pairs = best.groupBy("doc", "item").agg(F.array_sort(F.collect_list("at")).alias("ats"), F.max("run").alias("run")).join(wanted, "item")
     return pairs.select(
         F.col("doc").alias(id_col), F.col("item").alias(item_col), (covered / F.col("tokens")).alias("cover"),
-        (F.col("run") + (WIDTH - 1)).cast("long").alias("run"),
+        F.least(F.col("tokens"), F.col("run") + (WIDTH - 1)).cast("long").alias("run"),
     )
 
 
@@ -122,8 +148,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item
     """id_col, item_col, cover (share of the item's tokens), run (tokens in a row): one
     row for each document and item that contaminates it.
 
-    Null and empty texts, texts and items of under WIDTH tokens, and rows with null ids
-    match nothing. Repeated rows of one id are one document. Without items or documents
+    Null and empty texts and items, and rows with null ids match nothing. An item of
+    under WIDTH tokens matches where all of them stand in a row. Repeated rows of one id are one document. Without items or documents
     there are no rows. Other columns aren't read.
     """
     return matches(docs, items, id_col, item_col, text_col).where((F.col("cover") >= COVER) | (F.col("run") >= RUN))
