@@ -135,7 +135,7 @@ class _Memo(dict):
     def __missing__(self, word: str):
         if len(self) >= MEMO_WORDS:
             self.clear()
-        got = None if len(word) > 64 else self.lexicon.classify(word)
+        got = self.lexicon.classify(word)
         if got and got[1] == 2 and word in self.harmless:
             got = None
         self[word] = got
@@ -203,7 +203,7 @@ def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], dict[str, float],
     """Terms and stems with their log odds, and words of clean rows one edit from a
     term, from all rows of train(id, text, toxic). The driver gets the words and stems
     that are SIGNIFICANT, and the clean words near them."""
-    words = train.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("w")).where(F.length("w").between(2, 40))
+    words = train.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("w")).where(F.length("w") >= 2)
     stats = materialise(words.groupBy("w").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")))
     n = train.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
     if not n["bad"]:
