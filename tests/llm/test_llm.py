@@ -106,6 +106,15 @@ def test_toxicity_held_out(spark, tables):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in rows.items())
 
 
+def test_toxicity_recall(spark):
+    """Of the held-out labelled documents of the largest table."""
+    sf = "/root/testdata/sf0.1"
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [(toxic[r.doc_id], r.predicted) for r in registry.queries()["op3_toxicity"](spark, sf).where("held_out").collect() if toxic.get(r.doc_id) is not None]
+    caught = sum(p for y, p in held if y)
+    assert caught >= 0.9 * sum(y for y, _ in held) and sum(p for y, p in held if not y) <= 0.03 * len(held)
+
+
 def test_toxicity_learns_words_from_all_rows(spark):
     from trendloom.llm.toxicity import score
 
@@ -242,13 +251,13 @@ def luhn(d):
 
 
 def test_pii(spark):
-    from trendloom.llm.pii import pseudonymise
+    from trendloom.llm.pii import DEMO_KEY, pseudonymise
 
     rows = [
         (1, "card 4111111111111111 12, 5500 0000 0000 0004; not 4111111111111112"), (2, "x 4111111111111111"), (3, "ip 10.0.0.1 mail Ann.B@x.example.org phone +1 (743) 555-3824"),
         (4, "born 2000-02-29 on 31.12.1999, not 2001-02-29; GB82 WEST 1234 5698 7654 32; 123-45-6789; 000-12-3456"), (5, None), (6, ""),
     ]
-    got = {r.doc_id: r for r in pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), DEMO_KEY).collect()}
     cards = re.findall(r"\d{16}|\d{4} \d{4} \d{4} \d{4}", got[1].text)
     assert luhn(cards[0]) and luhn(cards[1].replace(" ", "")) and cards[2] == "4111111111111112" and got[2].text == f"x {cards[0]}"
     assert not re.search(r"10\.0\.0\.1 |Ann|743\) 555-3824", got[3].text) and re.fullmatch(r"ip \d+(\.\d+){3} mail u\w+@\S+ phone \+1 \(\d{3}\) \d{3}-\d{4}", got[3].text)
@@ -259,10 +268,28 @@ def test_pii(spark):
 
 
 def test_pii_dates_one_to_one(spark):
-    from trendloom.llm.pii import pseudonymise
+    from trendloom.llm.pii import DEMO_KEY, pseudonymise
 
     days = spark.sql("select explode(sequence(date'1900-01-01', date'2099-12-31')) d").select(F.monotonically_increasing_id().alias("doc_id"), F.col("d").cast("string").alias("text"))
-    assert pseudonymise(days).agg(F.countDistinct("text"), F.count("*")).first()[:2] == (73049, 73049)
+    assert pseudonymise(days, DEMO_KEY).agg(F.countDistinct("text"), F.count("*")).first()[:2] == (73049, 73049)
+
+
+def test_pii_links_equal_values(spark):
+    from trendloom.llm.pii import pseudonymise
+
+    key = "a key that is nowhere else"
+    texts = ["+49 170 1234567", "+491701234567", "+1 743 555 3824", "(743) 555-3824", "2001-12-25", "12/25/2001", "25.12.2001", "at 2001-12-25T10:30:00Z", "BE68 5390 0754 7034 AND", "BE68539007547034 12", "word " * 200_000 + "4111111111111111", "4111111111111111"]
+    rows = list(enumerate(texts)) + [(0, texts[0])]
+    out = pseudonymise(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"h": F.lit("clash"), "p": F.lit(1)}), key)
+    assert key not in out._jdf.queryExecution().toString()
+    found = out.collect()
+    got = {r.doc_id: r.text for r in found}
+    assert len(found) == len(rows) and all(r.n_pii == 1 and r.text != texts[r.doc_id] for r in found)
+    plain = lambda i: re.sub(r"\D", "", got[i])
+    assert plain(0) == plain(1) and plain(0)[:2] == "49" and plain(2) == "1" + plain(3)
+    y, m, d = got[4].split("-")
+    assert got[5].split("/") == [m, d, y] and got[6] == f"{d}.{m}.{y}" and got[7] == f"at {y}-{m}-{d}T10:30:00Z"
+    assert got[8].endswith(" AND") and got[9].endswith(" 12") and got[8][:-4].replace(" ", "") == got[9][:-3] and got[10] == "word " * 200_000 + got[11]
 
 
 def brute_spans(text):
@@ -459,11 +486,46 @@ def test_decontamination(spark):
     other = item.replace("John", "Peter").replace("Mary", "Lucy").replace("5", "12").replace("2 ", "7 ")
     broken = other.replace("does Peter keep", "does Susan keep")
     docs = [(1, f"Intro words here. {item} And more."), (2, f"so then {other}"), (3, "quite another text about apples and days at the very end"), (4, None), (5, ""), (6, broken)]
-    out = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, item), (10, None), (11, "too short")], "item_id long, text string"))
+    out = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, item), (10, None), (11, "text too short")], "item_id long, text string"))
     got = {(r.doc_id, r.item_id) for r in out.collect()}
     assert {(1, 9), (2, 9)} <= got and not {(3, 9), (6, 9)} & got
 
 
+def test_decontamination_against_brute_force(spark, monkeypatch):
+    """Windows of raw tokens of texts without names and numbers, with common windows."""
+    from trendloom.llm import decontam
+
+    rng = random.Random(4)
+    vocabulary = [f"{a}{b}" for a in "bcdfghklm" for b in "aeio"]
+    common = [rng.choice(vocabulary) for _ in range(9)]
+    items = {i: [rng.choice(vocabulary) for _ in range(rng.randrange(6, 20))] + common * (i % 2) + [rng.choice(vocabulary) for _ in range(i % 5)] for i in range(40)}
+    items |= {40: ["zab", "zeb"], 41: ["zab"], 42: list(common)}
+    docs = {}
+    for d in range(120):
+        words = [rng.choice(vocabulary) for _ in range(10)]
+        source = items[rng.randrange(43)]
+        lo = rng.randrange(max(1, len(source) // 3))
+        docs[d] = words + source[lo : len(source) - rng.randrange(max(1, len(source) // 3))] + words[::-1] + (common if d % 3 == 0 else [])
+
+    def hits(doc, item):
+        width = min(5, len(item))
+        at = {}
+        for p in range(len(doc) - width + 1):
+            for a in range(len(item) - width + 1):
+                if doc[p : p + width] == item[a : a + width]:
+                    at.setdefault(p - a, set()).add(a)
+        covered = {a + k for found in at.values() for a in found for k in range(width)}
+        run = max((n + width - 1 for found in at.values() for a in found if a - 1 not in found for n in [next(k for k in range(1, 99) if a + k not in found)]), default=0)
+        return len(covered) >= 0.8 * len(item) or run >= 13
+
+    want = {(d, i) for d in docs for i in items if hits(docs[d], items[i])}
+    frame = lambda rows, name: spark.createDataFrame([(k, " ".join(v)) for k, v in rows.items()], f"{name} long, text string")
+    for limit in (1, 16):
+        monkeypatch.setattr(decontam, "COMMON", limit)
+        got = {(r.doc_id, r.item_id) for r in decontam.contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+        assert got == want and len(want) > 60
+
+
 def test_decontamination_of_altered_copies(spark):
     from trendloom.llm.decontam import contaminated
 
@@ -492,7 +554,7 @@ def test_odd_rows_and_empty_tables(spark, odd, name):
     bench = spark.createDataFrame([(1, "a b c d e f"), (None, None)], "item_id long, text string")
     run = {
         "op1": lambda d: bpe.digest(d, tok), "op2": sharding.shard_by_bytes, "op3": lambda d: toxicity.score(d, labels), "op4": lambda d: quality.judge(d, labels),
-        "op6": pii.pseudonymise, "op7": secret_scan.scan, "op8": lambda d: neardup.near_duplicates(d, 3, 85), "op9": language.identify,
+        "op6": lambda d: pii.pseudonymise(d, "k"), "op7": secret_scan.scan, "op8": lambda d: neardup.near_duplicates(d, 3, 85), "op9": language.identify,
     }
     if name == "op10":
         assert decontam.contaminated(odd, bench).count() == decontam.contaminated(odd.limit(0), bench).count() == 0
@@ -507,6 +569,16 @@ def test_odd_rows_and_empty_tables(spark, odd, name):
         assert run[name](odd).count() == len(CASES) and run[name](odd.limit(0)).count() == 0
 
 
+def test_pipeline_with_repeated_ids(spark):
+    import corpus_pipeline
+
+    x, y = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(50))
+    rows = [(1, x), (1, x), (2, x), (3, y), (3, y + " more"), (4, y), (None, x), (5, None), (6, ""), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", None, 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
+    assert kept == collections.Counter([(1, x), (3, y), (None, x), (5, None), (6, ""), (6, "")])
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
