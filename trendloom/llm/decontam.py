@@ -104,9 +104,11 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col:
 
     seen = texts.select("doc", raw_tokens(F.col("text")).alias("raw"), template_tokens(F.col("text")).alias("tokens"))
     typed = F.expr(f"if(tokens = raw, cast(array() as array<bigint>), {_windows_sql('tokens', 'raw')})")
-    lists = [_windows("raw"), typed, *[F.expr(_windows_sql("raw", width=w)) for w in widths]]
-    every = F.flatten(F.array(*[F.transform(x, lambda h, i: F.struct(i.alias("pos"), h.alias("h"))) for x in lists]))
-    seen = seen.select("doc", F.explode(every).alias("w")).select("doc", "w.pos", "w.h").where("h is not null")
+    tokens = seen
+    seen = seen.select("doc", F.greatest(F.size("raw") - (WIDTH - 1), F.lit(0)).alias("n"), F.posexplode(F.concat(_windows("raw"), typed)).alias("pos", "h"))
+    seen = seen.select("doc", F.when(F.col("pos") < F.col("n"), F.col("pos")).otherwise(F.col("pos") - F.col("n")).alias("pos"), "h")
+    for w in widths:
+        seen = seen.unionByName(tokens.select("doc", F.posexplode(F.expr(_windows_sql("raw", width=w))).alias("pos", "h")))
     seen = materialise(seen.join(keys, "h"))
     pair = ["doc", "item", "at", "pos", (F.col("pos") - F.col("at")).alias("diagonal"), F.size("slots").alias("n")]
     found = seen.join(bench.where("not late"), "h").select(*pair)
