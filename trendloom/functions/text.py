@@ -6,7 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that label merging ignores.
-LABEL_FILLERS = ("the", "and", "of", "for", "with", "issue", "issues", "problem", "problems")
+LABEL_FILLERS = ("and", "of", "the", "with", "for", "to", "in", "on", "a", "an", "or", "issue", "issues", "problem", "problems", "complaint", "complaints")
+# Words of acknowledgements.
+ACK_WORDS = tuple(
+    "thanks thank thankyou ty thx yes yeah yep yup ok okay sure no nope nah hi hello hey please pls sorry welcome lol haha hahah great good nice cool love done sent did got dm dms "
+    "dmed message gracias merci danke obrigado obrigada grazie si oui ja nein non nao não bien vielen mto cheers ta np".split()
+)
+# Words and patterns that carry no meaning in labels.
+NOISE_WORDS = tuple("__email__ __url__ __phone__ __user__ __number__ __date__ mobile_care mobile_carexi mobilecare amp http https co rt via pic twitter com".split())
+NOISE_FORM = r"(?i)^(?:mobile_?care\w*|__\w+__|[0-9]+)$"
 
 
 def _once(value: Column, body) -> Column:
@@ -17,10 +25,10 @@ def _once(value: Column, body) -> Column:
 def normalize_text(text: Column) -> Column:
     """Without links, mentions, hash signs and runs of one closing mark; one space
     between words. A null text is empty."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\u200B-\u200D\uFEFF\r\n]", " ")
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\u200B\r\n]", " ")
     t = F.regexp_replace(t, r"(?i)(?:https?://|www\.)\S+", " ")
     t = F.regexp_replace(t, r"(?U)(?<!\w)@\w+", " ")
-    t = F.regexp_replace(t, "#", "")
+    t = F.regexp_replace(t, "#", " ")
     t = F.regexp_replace(t, r"([!?.,])\1{2,}", "$1")
     return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
 
@@ -38,6 +46,24 @@ def hard_chunks(text: Column, size: int = 450, overlap: int = 60) -> Column:
     return F.filter(every, lambda c: c != "")
 
 
+def packed_chunks(text: Column, size: int = 450, overlap: int = 60) -> Column:
+    """A text of up to size characters whole; of a longer one, sentences in a row packed
+    into chunks of up to size, and longer sentences in hard chunks."""
+
+    def pack(state: Column, s: Column) -> Column:
+        done, now = state["done"], state["now"]
+        flushed = F.when(now == "", done).otherwise(F.concat(done, F.array(now)))
+        both = F.when(now == "", s).otherwise(F.concat_ws(" ", now, s))
+        fits = F.length(both) <= size
+        long = F.struct(F.concat(flushed, hard_chunks(s, size, overlap)).alias("done"), F.lit("").alias("now"))
+        short = F.struct(F.when(fits, done).otherwise(flushed).alias("done"), F.when(fits, both).otherwise(s).alias("now"))
+        return F.when(F.length(s) > size, long).otherwise(short)
+
+    none = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+    packed = F.aggregate(sentences(text), none, pack, lambda st: F.when(st["now"] == "", st["done"]).otherwise(F.concat(st["done"], F.array(st["now"]))))
+    return F.when(F.length(text) <= size, F.filter(F.array(text), lambda c: c != "")).otherwise(packed)
+
+
 def capped(chunks: Column, most: int = 6) -> Column:
     """At most ``most`` chunks, evenly spaced, the first and last among them."""
     at = F.sequence(F.lit(0), F.lit(most - 1))
@@ -57,9 +83,28 @@ def label_wordset(label: Column, fillers: tuple[str, ...] = LABEL_FILLERS) -> Co
     return F.array_sort(F.array_distinct(F.filter(words, lambda w: ~w.isin(*fillers))))
 
 
+def is_noise_term(term: Column) -> Column:
+    """Whether every word of a label term is an artefact; false without words."""
+    words = F.filter(F.split(term, r"\s+"), lambda w: w != "")
+    return (F.size(words) > 0) & F.forall(words, lambda w: w.rlike(NOISE_FORM) | w.isin(*NOISE_WORDS))
+
+
+def junk_term_ratio(label: Column) -> Column:
+    """Share of the label's terms (between strokes) that are acknowledgements only."""
+    terms = F.filter(F.transform(F.split(label, "/"), lambda t: F.trim(t)), lambda t: t != "")
+    words = lambda t: F.regexp_extract_all(F.lower(t), F.lit(r"\p{L}+"), F.lit(0))
+    junk = F.filter(terms, lambda t: (F.size(words(t)) > 0) & F.forall(words(t), lambda w: w.isin(*ACK_WORDS)))
+    return F.size(junk) / F.greatest(F.size(terms), F.lit(1))
+
+
+def option_text(label: Column, example: Column, most: int = 12) -> Column:
+    """A label and the first words of an example, as one choice of a question."""
+    return F.concat_ws(": ", label, F.array_join(F.slice(F.split(F.trim(example), r"\s+"), 1, most), " "))
+
+
 def near_duplicate_key(text: Column) -> Column:
     """Lower case, without punctuation and digits."""
-    t = F.regexp_replace(F.lower(normalize_text(text)), r"[^\p{L}\s]", " ")
+    t = F.regexp_replace(F.lower(normalize_text(text)), r"[^\p{L}_\s]", " ")
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 

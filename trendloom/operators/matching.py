@@ -2,35 +2,99 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.functions.vectors import dot, unit
 
 
-def resolve_scope(segments: DataFrame, topics: DataFrame, scope: str, pool: str) -> DataFrame:
-    """Adds scope_key: the own scope if it has topics, else the pool if that has, else null."""
+#: Topics whose centroids are sent to every task; more are joined.
+SENT_TOPICS = 20_000
+
+
+def resolve_scope(segments: DataFrame, topics: DataFrame, scope: str, pools: tuple[str, ...]) -> DataFrame:
+    """Adds scope_key: the own scope if it has topics, else the first of pools if any of
+    them has, else null."""
     own = topics.select(F.col(scope).alias("_s")).distinct()
-    pooled = topics.where(F.col(scope) == pool).limit(1).select(F.lit(pool).alias("_p"))
+    pooled = topics.where(F.col(scope).isin(*pools)).limit(1).select(F.lit(pools[0]).alias("_p"))
     rows = segments.join(own, segments[scope] == F.col("_s"), "left").join(F.broadcast(pooled), F.lit(True), "left")
     return rows.withColumn("scope_key", F.coalesce("_s", "_p")).drop("_s", "_p")
 
 
+def _best_by_join(segments: DataFrame, topics: DataFrame, scope: str | None, pools: tuple[str, ...], k: int) -> DataFrame:
+    """The best k of each segment, by an equi-join on the scope: for any number of topics."""
+    if scope:
+        topics = topics.withColumn("scope_key", F.when(F.col(scope).isin(*pools), pools[0]).otherwise(F.col(scope))).drop(scope)
+        pairs = resolve_scope(segments, topics.withColumn(scope, F.col("scope_key")), scope, pools).drop(scope).join(topics, "scope_key", "left")
+    else:
+        pairs = segments.withColumn("_one", F.lit(1)).join(topics.withColumn("_one", F.lit(1)), "_one", "left")
+    scored = pairs.select("_id", "topic_id", F.coalesce(dot(unit(F.col("_v")), F.col("centroid")), F.lit(-1.0)).alias("similarity"))
+    order = Window.partitionBy("_id").orderBy(F.desc("similarity"), "topic_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _best_by_matrix(segments: DataFrame, names: list, scopes: list, matrix: np.ndarray, scope: str | None, pools: tuple[str, ...], k: int, kinds: tuple[str, str]) -> DataFrame:
+    """The best k of each segment: one product of matrices for each batch, no shuffle."""
+    import pandas as pd
+
+    order = np.argsort(np.array(names, object), kind="stable")
+    names, matrix = [names[i] for i in order], matrix[order]
+    allowed: dict = {}
+    for column, i in enumerate(order):
+        allowed.setdefault(scopes[i], []).append(column)
+    pooled = sorted(c for p in pools for c in allowed.get(p, []))
+
+    def run(tables):
+        for table in tables:
+            for lo in range(0, len(table), 4096):
+                part = table.iloc[lo : lo + 4096]
+                v = np.stack([np.asarray(x, float) for x in part["_v"]]) if len(part) else np.zeros((0, matrix.shape[1]))
+                sims = v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12) @ matrix.T
+                rows = []
+                for i, (key, own) in enumerate(zip(part["_id"], part[scope] if scope else part["_id"])):
+                    columns = np.array((allowed.get(own) or pooled) if scope else range(len(names)), int)
+                    if not len(columns):
+                        rows.append((key, None, -1.0, 1))
+                        continue
+                    best = columns[np.argsort(-sims[i, columns], kind="stable")[:k]]
+                    rows += [(key, names[c], float(sims[i, c]), r + 1) for r, c in enumerate(best)]
+                yield pd.DataFrame(rows, columns=["_id", "topic_id", "similarity", "rank"])
+
+    return segments.mapInPandas(run, f"_id {kinds[0]}, topic_id {kinds[1]}, similarity double, rank int")
+
+
 def assign_topics(
-    segments: DataFrame, topics: DataFrame, segment_id: str, vector: str, threshold: float, k: int = 2, margin: float = 0.05, scope_key: str | None = None
-) -> DataFrame:
-    """segment_id, topic_id, similarity, rank: the best topic at or over threshold and
-    up to k - 1 more, as long as each is within margin of the best. topics has topic_id
-    and centroid (and scope_key, on which both are then equi-joined). Topics are few per
-    scope; ties go to the lesser topic_id."""
-    left = segments.select(segment_id, unit(F.col(vector)).alias("_v"), *([scope_key] if scope_key else []))
-    right = topics.select("topic_id", F.col("centroid").alias("_c"), *([scope_key] if scope_key else []))
-    pairs = left.join(right, scope_key) if scope_key else left.crossJoin(right)
-    scored = pairs.select(segment_id, "topic_id", dot(F.col("_v"), F.col("_c")).alias("similarity")).where(F.col("similarity") >= threshold)
-    order = Window.partitionBy(segment_id).orderBy(F.desc("similarity"), "topic_id")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    best = F.max("similarity").over(Window.partitionBy(segment_id))
-    return ranked.withColumn("_b", best).where(F.col("similarity") >= F.col("_b") - margin).drop("_b")
+    segments: DataFrame, topics: DataFrame, segment_id: str, vector: str, threshold: float, k: int = 2, margin: float = 0.05, scope: str | None = None,
+    pools: tuple[str, ...] = ("__POOL__",),
+) -> DataFrame:
+    """segment_id, topic_id, similarity, rank, assignment_type: the best topic if it
+    reaches threshold and up to k - 1 more, as long as each does and is within margin of
+    the best (EXISTING); else one row without a topic, with the best similarity
+    (UNASSIGNED). topics has topic_id and centroid (of unit length), and the scope if
+    named: a segment sees the topics of its scope, those of the pools if that has none,
+    and none (similarity -1) if they have none either. Ties go to the lesser topic_id.
+
+    Up to SENT_TOPICS centroids are sent to the tasks; more are joined."""
+    rows = segments.select(F.col(segment_id).alias("_id"), F.col(vector).alias("_v"), *([F.col(scope).cast("string").alias(scope)] if scope else []))
+    topics = topics.select("topic_id", "centroid", *([F.col(scope).cast("string").alias(scope)] if scope else []))
+    few = topics.limit(SENT_TOPICS + 1).collect()
+    if len(few) > SENT_TOPICS:
+        best = _best_by_join(rows, topics, scope, pools, k)
+    else:
+        matrix = np.array([t["centroid"] for t in few], float).reshape(len(few), -1)
+        kinds = (segments.schema[segment_id].dataType.simpleString(), topics.schema["topic_id"].dataType.simpleString())
+        best = _best_by_matrix(rows, [t["topic_id"] for t in few], [t[scope] if scope else None for t in few], matrix, scope, pools, k, kinds)
+    lists = best.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("rank", "similarity", "topic_id"))).alias("b"))  # k at most
+    first = F.col("b")[0]["similarity"]
+    fits = lambda x: (x["similarity"] >= threshold) & ((x["rank"] == 1) | (x["similarity"] >= first - margin))
+    none = F.array(F.struct(F.lit(1).alias("rank"), first.alias("similarity"), F.lit(None).cast(topics.schema["topic_id"].dataType).alias("topic_id")))
+    kept = F.filter("b", fits)
+    out = lists.select("_id", F.explode(F.when(F.size(kept) > 0, kept).otherwise(none)).alias("x"))
+    return out.select(
+        F.col("_id").alias(segment_id), "x.topic_id", "x.similarity", F.col("x.rank").cast("int").alias("rank"),
+        F.when(F.col("x.topic_id").isNull(), "UNASSIGNED").otherwise("EXISTING").alias("assignment_type"),
+    )
 
 
 def topic_pairs(topics: DataFrame, least: float, scope: str | None = None) -> DataFrame:
@@ -50,6 +114,48 @@ def containment(members: DataFrame, topic: str, record: str) -> DataFrame:
     return shared.select("a", "b", "common", (F.col("common") / F.least("na", "nb")).alias("containment"))
 
 
+def similarity_bands(pairs: DataFrame) -> DataFrame:
+    """One row: pairs of one scope in the bands [.80, .85), [.85, .92) and from .92."""
+    s = F.col("similarity")
+    return pairs.agg(
+        F.count_if((s >= 0.8) & (s < 0.85)).alias("weak"), F.count_if((s >= 0.85) & (s < 0.92)).alias("middle"), F.count_if(s >= 0.92).alias("strong"),
+    )
+
+
+def _expected_information(a: np.ndarray, b: np.ndarray) -> float:
+    """Mutual information to be expected of two labellings with these sizes by chance."""
+    from math import lgamma
+
+    n = int(a.sum())
+    fact = np.array([lgamma(i + 1) for i in range(n + 1)])
+    out = 0.0
+    for x in a.astype(int):
+        for y in b.astype(int):
+            k = np.arange(max(1, x + y - n), min(x, y) + 1)
+            p = fact[x] + fact[y] + fact[n - x] + fact[n - y] - fact[n] - fact[k] - fact[x - k] - fact[y - k] - fact[n - x - y + k]
+            out += float((k / n * np.log(n * k / (x * y)) * np.exp(p)).sum())
+    return out
+
+
+def adjusted_information(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: ami, the adjusted mutual information of two labellings (mean of the
+    entropies as the norm), from the contingency table: a cell for each two topics."""
+    import pandas as pd
+
+    def settle(cells: pd.DataFrame) -> pd.DataFrame:
+        table = cells.pivot_table(index="x", columns="y", values="n", aggfunc="sum", fill_value=0).to_numpy(float)
+        n, rows, columns = table.sum(), table.sum(axis=1), table.sum(axis=0)
+        at = table > 0
+        shared = float((table[at] / n * np.log(n * table[at] / np.outer(rows, columns)[at])).sum())
+        entropy = lambda v: float(-(v / n * np.log(v / n)).sum())
+        chance = _expected_information(rows, columns)
+        norm = (entropy(rows) + entropy(columns)) / 2 - chance
+        return pd.DataFrame({"ami": [(shared - chance) / norm if abs(norm) > 1e-15 else 1.0]})
+
+    cells = pairs.groupBy(F.col(a).cast("string").alias("x"), F.col(b).cast("string").alias("y")).agg(F.count("*").alias("n"))
+    return cells.groupBy(F.lit(1).alias("_one")).applyInPandas(settle, "ami double")
+
+
 def rand_index(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """One row: n and the adjusted Rand index of two labellings, from the contingency
     table."""

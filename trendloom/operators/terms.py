@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendloom.functions.text import near_duplicate_key
+from trendloom.functions.text import is_noise_term, near_duplicate_key
 
 WORD = r"\p{L}{3,}"
 
@@ -36,29 +36,151 @@ def class_tfidf(docs: DataFrame, topic: str, text: str, most: int = 5) -> DataFr
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
-def npmi(docs: DataFrame, terms: DataFrame, topic: str, doc: str, text: str) -> DataFrame:
-    """topic, coherence: mean NPMI over pairs of the topic's terms; a pair that never
-    meets is -1, one of an absent word 0, one that always meets counts as 1; topics of
-    fewer than two terms are null. terms has topic and term."""
+def grams(text: Column, stop: tuple[str, ...], form: str = r"(?U)\b\w\w+\b") -> Column:
+    """Words of a text without stop words, then pairs of neighbours among them."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(form), F.lit(0))
+    kept = F.filter(found, lambda w: ~w.isin(*stop)) if stop else found
+    pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y))
+    return F.element_at(F.transform(F.array(kept), lambda w: F.concat(w, pairs(w))), 1)
+
+
+def tfidf_terms(docs: DataFrame, topic: str, doc: str, text: str, stop: tuple[str, ...], most: int = 5, features: int = 1000) -> DataFrame:
+    """topic, term, score, rank: mean TF-IDF over the topic's documents of words and
+    pairs; of each topic, only its ``features`` most frequent ones. Every document's
+    vector has unit length; idf is ln((1 + n) / (1 + df)) + 1 within the topic."""
+    tf = docs.select(topic, doc, F.explode(grams(F.col(text), stop)).alias("term")).groupBy(topic, doc, "term").agg(F.count("*").alias("n"))
+    df = tf.groupBy(topic, "term").agg(F.sum("n").alias("all"), F.count("*").alias("df"))
+    df = df.withColumn("r", F.row_number().over(Window.partitionBy(topic).orderBy(F.desc("all"), "term"))).where(F.col("r") <= features)
+    size = docs.groupBy(topic).agg(F.count("*").alias("docs"))
+    rows = tf.join(df.select(topic, "term", "df"), [topic, "term"]).join(size, topic)
+    rows = rows.withColumn("w", F.col("n") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1))
+    norm = rows.groupBy(topic, doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    scored = rows.join(norm, [topic, doc]).groupBy(topic, "term").agg(F.round(F.sum(F.col("w") / F.col("norm")) / F.first("docs"), 9).alias("score"))
+    order = Window.partitionBy(topic).orderBy(F.desc("score"), "term")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+def class_labels(docs: DataFrame, topic: str, text: str, stop: tuple[str, ...], most: int = 5, scope: str | None = None) -> DataFrame:
+    """topic, label: the topic's most characteristic words and pairs by class-based
+    TF-IDF, without artefacts and without terms whose words hold or are held by those of
+    one before, joined by strokes. Scored over all topics, or within each scope that
+    has several. The best ``12 * most`` terms are looked at."""
+    pool = F.lit(0) if scope is None else F.col(scope)
+    tf = docs.select(topic, pool.alias("_p"), F.explode(grams(F.col(text), stop)).alias("term")).groupBy("_p", topic, "term").agg(F.count("*").alias("n"))
+    topics = tf.select("_p", topic).distinct()
+    if scope is not None:  # a scope of one topic is compared with all topics
+        alone = topics.groupBy("_p").agg(F.count("*").alias("k")).where("k = 1").select("_p", F.lit(True).alias("_alone"))
+        tf = tf.join(alone, "_p", "left")
+    idf = tf.groupBy("_p", "term").agg(F.count("*").alias("df")).join(topics.groupBy("_p").agg(F.count("*").alias("topics")), "_p")
+    rows = tf.join(idf, ["_p", "term"])
+    if scope is not None:
+        over = tf.groupBy("term").agg(F.countDistinct("_p", topic).alias("_df")).crossJoin(F.broadcast(topics.agg(F.count("*").alias("_topics"))))  # one row
+        rows = rows.join(over, "term")
+        rows = rows.withColumns({"df": F.when(F.col("_alone"), F.col("_df")).otherwise(F.col("df")), "topics": F.when(F.col("_alone"), F.col("_topics")).otherwise(F.col("topics"))})
+    total = tf.groupBy("_p", topic).agg(F.sum("n").alias("total"))
+    rows = rows.join(total, ["_p", topic]).select("_p", topic, "term", F.round(F.col("n") / F.col("total") * F.log1p(F.col("topics") / F.col("df")), 9).alias("score"))
+    order = Window.partitionBy("_p", topic).orderBy(F.desc("score"), "term")
+    best = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 12 * most).where(~is_noise_term(F.col("term")))
+    listed = best.groupBy("_p", topic).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]).alias("terms"))
+    inside = lambda a, b: F.size(F.array_except(F.split(a, " "), F.split(b, " "))) == 0
+    fold = F.aggregate(
+        "terms", F.array().cast("array<string>"),
+        lambda kept, t: F.when((F.size(kept) >= most) | F.exists(kept, lambda k: inside(k, t) | inside(t, k)), kept).otherwise(F.concat(kept, F.array(t))),
+    )
+    return listed.select(topic, F.array_join(fold, " / ").alias("label"))
+
+
+def audit_terms(docs: DataFrame, topic: str, text: str, stop: tuple[str, ...], most: int = 10) -> DataFrame:
+    """topic, term, score, rank: single words by share of the topic's words times
+    ln(1 + mean words of a topic / count in all topics)."""
+    tf = words(docs, text, topic).where(~F.col("term").isin(*stop)).groupBy(topic, "term").agg(F.count("*").alias("n"))
+    every = F.sum("n").over(Window.partitionBy("term"))
+    total = tf.groupBy(topic).agg(F.sum("n").alias("total"))
+    mean = F.broadcast(total.agg(F.avg("total").alias("mean")))  # one row
+    rows = tf.withColumn("all", every).join(total, topic).crossJoin(mean)
+    rows = rows.select(topic, "term", F.round(F.col("n") / F.col("total") * F.log1p(F.col("mean") / F.col("all")), 9).alias("score"))
+    order = Window.partitionBy(topic).orderBy(F.desc("score"), "term")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+#: Words of a coherence score.
+PLAIN_WORD = r"\b[a-z][a-z']{2,}\b"
+
+
+def pair_counts(docs: DataFrame, terms: DataFrame, topic: str, doc: str, text: str, form: str = PLAIN_WORD) -> DataFrame:
+    """topic, a, b, na, nb, nab, n for all ordered pairs of each topic's terms, a = b
+    among them: how many documents have a, b, both, and how many there are. A document's
+    pairs are made from the wanted terms that it has only, and only where some topic has
+    both."""
     wanted = terms.select("term").distinct()
-    seen = words(docs, text, doc).distinct().join(wanted, "term")
-    n = F.broadcast(docs.agg(F.countDistinct(doc).alias("n")))
-    df = seen.groupBy("term").agg(F.count("*").alias("df"))
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(form), F.lit(0))
     one, two = terms.select(F.col(topic).alias("t"), F.col("term").alias("a")), terms.select(F.col(topic).alias("t"), F.col("term").alias("b"))
-    pairs = one.join(two, "t").where("a < b")
-    needed = pairs.select("a", "b").distinct()
-    both = seen.select(doc, F.col("term").alias("a")).join(needed, "a").join(seen.select(doc, F.col("term").alias("b")), [doc, "b"]).groupBy("a", "b").agg(F.count("*").alias("nab"))
-    rows = pairs.join(both, ["a", "b"], "left").join(df.withColumnsRenamed({"term": "a", "df": "na"}), "a", "left").join(df.withColumnsRenamed({"term": "b", "df": "nb"}), "b", "left").crossJoin(n)
-    pab = F.col("nab") / F.col("n")
+    pairs = one.join(two, "t")
+    partners = pairs.where("a <= b").groupBy("a").agg(F.collect_set("b").alias("_with"))  # as many as topics have terms
+    seen = docs.select(doc, F.explode(F.array_distinct(found)).alias("term")).join(wanted, "term").distinct()
+    held = seen.groupBy(doc).agg(F.collect_set("term").alias("_held"))  # wanted terms of one document
+    both = held.select(F.explode("_held").alias("a"), "_held").join(partners, "a").select("a", F.explode(F.array_intersect("_held", "_with")).alias("b"))
+    both = both.groupBy("a", "b").agg(F.count("*").alias("nab"))
+    df = both.where("a = b").select(F.col("a").alias("term"), F.col("nab").alias("df"))
+    n = F.broadcast(docs.agg(F.countDistinct(doc).alias("n")))  # one row
+    rows = pairs.withColumns({"_lo": F.least("a", "b"), "_hi": F.greatest("a", "b")}).join(both.withColumnsRenamed({"a": "_lo", "b": "_hi"}), ["_lo", "_hi"], "left")
+    rows = rows.join(df.withColumnsRenamed({"term": "a", "df": "na"}), "a", "left").join(df.withColumnsRenamed({"term": "b", "df": "nb"}), "b", "left").crossJoin(n)
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("na", "nb", "nab")]
+    return rows.select(F.col("t").alias(topic), "a", "b", *counts, "n")
+
+
+def npmi(pairs: DataFrame, topic: str) -> DataFrame:
+    """topic, coherence from pair_counts(): mean NPMI over pairs of the topic's terms; a
+    pair that never meets is -1, one of an absent word 0, one that always meets counts
+    as 1; topics of fewer than two terms are null."""
+    pab, na, nb = F.col("nab") / F.col("n"), F.col("na"), F.col("nb")
     value = (
-        F.when(F.col("na").isNull() | F.col("nb").isNull(), 0.0).when(F.col("nab").isNull(), -1.0).when(F.col("nab") == F.col("n"), 1.0)
-        .otherwise(F.log(pab * F.col("n") * F.col("n") / (F.col("na") * F.col("nb"))) / -F.log(pab))
+        F.when((na == 0) | (nb == 0), 0.0).when(F.col("nab") == 0, -1.0).when(F.col("nab") == F.col("n"), 1.0)
+        .otherwise(F.log(pab * F.col("n") * F.col("n") / (na * nb)) / -F.log(pab))
     )
-    means = rows.groupBy("t").agg(F.avg(value).alias("coherence"))
-    return terms.select(F.col(topic).alias("t")).distinct().join(means, "t", "left").select(F.col("t").alias(topic), "coherence")
+    return pairs.groupBy(topic).agg(F.avg(F.when(F.col("a") < F.col("b"), value)).alias("coherence"))
+
+
+EPSILON = 1e-12
+
+
+def _context(rows: DataFrame, topic: str) -> DataFrame:
+    """topic, c_v of (topic, a, b, v): mean cosine of each word's row to the sum of all."""
+    rows = rows.withColumn("_t", F.sum("v").over(Window.partitionBy(topic, "b")))
+    v, t = F.col("v"), F.col("_t")
+    each = rows.groupBy(topic, "a").agg((F.sum(v * t) / (F.sqrt(F.sum(v * v)) * F.sqrt(F.sum(t * t)) + EPSILON)).alias("c"))
+    return each.groupBy(topic).agg(F.avg("c").alias("c_v"))
+
+
+def smoothed_coherence(pairs: DataFrame, topic: str) -> DataFrame:
+    """topic, c_npmi, c_v with epsilon in both, of topics with two words or more that
+    occur; the diagonal is 1."""
+    pa, pb, pab = F.col("na") / F.col("n"), F.col("nb") / F.col("n"), F.col("nab") / F.col("n")
+    value = F.log((pab + EPSILON) / (pa * pb)) / -F.log(pab + EPSILON)
+    rows = pairs.where("na > 0 and nb > 0").withColumn("v", F.when(F.col("a") == F.col("b"), 1.0).otherwise(value))
+    means = rows.groupBy(topic).agg(F.avg(F.when(F.col("a") != F.col("b"), F.col("v"))).alias("c_npmi")).where("c_npmi is not null")
+    return means.join(_context(rows, topic), topic)
+
+
+def benchmark_coherence(pairs: DataFrame, topic: str) -> DataFrame:
+    """topic, c_npmi, c_v with epsilon inside both logarithms and the diagonal kept, of
+    topics with two words or more."""
+    p = lambda c: F.greatest(F.col(c).cast("double"), F.lit(EPSILON)) / F.col("n")
+    pab = F.col("nab") / F.col("n")
+    value = F.log((pab + EPSILON) / (p("na") * p("nb") + EPSILON)) / -F.log(pab + EPSILON)
+    rows = pairs.withColumn("v", F.when(F.isnan(value), 0.0).otherwise(value))
+    means = rows.groupBy(topic).agg(F.avg(F.when(F.col("a") < F.col("b"), F.col("v"))).alias("c_npmi")).where("c_npmi is not null")
+    return means.join(_context(rows, topic), topic)
+
+
+def diversity(terms: DataFrame) -> DataFrame:
+    """One row: diversity, the distinct terms over all terms of all topics."""
+    return terms.agg((F.countDistinct("term") / F.greatest(F.count("*"), F.lit(1))).alias("diversity"))
 
 
 def duplicate_ratio(docs: DataFrame, topic: str, text: str) -> DataFrame:
-    """topic, members, ratio: members with the commonest near-duplicate key over all."""
+    """topic, members, ratio: members with the commonest near-duplicate key, an empty one
+    aside, over all members."""
     keys = docs.groupBy(topic, near_duplicate_key(F.col(text)).alias("_k")).agg(F.count("*").alias("n"))
-    return keys.groupBy(topic).agg(F.sum("n").alias("members"), (F.max("n") / F.sum("n")).alias("ratio"))
+    most = F.coalesce(F.max(F.when(F.col("_k") != "", F.col("n"))), F.lit(0))
+    return keys.groupBy(topic).agg(F.sum("n").alias("members"), (most / F.sum("n")).alias("ratio"))

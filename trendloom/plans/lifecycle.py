@@ -99,12 +99,12 @@ def flagged_topics(spark, sf_dir):
     return registry.flag_topics(rows).select("p_partkey", "junk_reason", "is_junk", "is_residual", "is_campaign", "suppressed")
 
 
-@query("""WITH t AS (SELECT user_id AS topic_id, event_type AS scope, CAST(SUM(value) AS BIGINT) AS size FROM events GROUP BY 1, 2), n AS (SELECT user_id AS topic_id, event_type AS scope, COUNT(*) AS n FROM events WHERE value > 20 GROUP BY 1, 2),
+@query("""WITH t AS (SELECT user_id AS topic_id, event_type AS scope, CAST(floor(SUM(value)) AS BIGINT) AS size FROM events GROUP BY 1, 2), n AS (SELECT user_id AS topic_id, event_type AS scope, COUNT(*) AS n FROM events WHERE value > 20 GROUP BY 1, 2),
 m AS (SELECT topic_id, scope AS main FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY n DESC, scope) AS r FROM n) WHERE r = 1)
 SELECT topic_id, scope, size FROM (SELECT t.*, row_number() OVER (PARTITION BY topic_id ORDER BY COALESCE(scope = main, FALSE) DESC, size DESC, scope) AS r FROM t LEFT JOIN m USING (topic_id)) WHERE r = 1""")
 def deduped_topic_ids(spark, sf_dir):
     e = read(spark, sf_dir, "events").select(F.col("user_id").alias("topic_id"), F.col("event_type").alias("scope"), "value")
-    topics = e.groupBy("topic_id", "scope").agg(F.round(F.sum("value")).cast("long").alias("size"))
+    topics = e.groupBy("topic_id", "scope").agg(F.floor(F.sum("value")).cast("long").alias("size"))
     return registry.dedupe_ids(topics, e.where("value > 20"), "scope").select("topic_id", "scope", "size")
 
 

@@ -100,10 +100,10 @@ def alert_gate(spark, sf_dir):
 
 
 def _normal_sql(t: str) -> str:
-    t = f"regexp_replace(COALESCE({t}, ''), '[\\x{{200B}}-\\x{{200D}}\\x{{FEFF}}\\r\\n]', ' ', 'g')"
+    t = f"regexp_replace(COALESCE({t}, ''), '[\\x{{200B}}\\r\\n]', ' ', 'g')"
     t = f"regexp_replace({t}, '(?:https?://|www\\.)\\S+', ' ', 'gi')"
     t = f"regexp_replace({t}, '(^|[^\\p{{L}}\\p{{N}}_])@[\\p{{L}}\\p{{N}}_]+', '\\1 ', 'g')"
-    t = f"replace({t}, '#', '')"
+    t = f"replace({t}, '#', ' ')"
     for mark in "!?.,":
         t = f"regexp_replace({t}, '\\{mark}{{3,}}', '{mark}', 'g')"
     return f"trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
@@ -114,17 +114,21 @@ def normalized_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("clean_text"))
 
 
-@query(f"""WITH n AS (SELECT doc_id, {_normal_sql("text")} AS t FROM documents),
-c AS (SELECT doc_id, UNNEST(generate_series(0, GREATEST(length(t) - 1, 0), 390)) AS s, t FROM n),
-k AS (SELECT doc_id, s, trim(substr(t, CAST(s AS BIGINT) + 1, 450)) AS raw FROM c),
-m AS (SELECT doc_id, raw, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS i, COUNT(*) OVER (PARTITION BY doc_id) AS n FROM k WHERE raw <> ''),
-j AS (SELECT UNNEST(generate_series(0, 5)) AS j),
-f AS (SELECT doc_id, i AS segment_index, raw FROM m WHERE n <= 6 UNION ALL SELECT doc_id, j AS segment_index, raw FROM m JOIN j ON i = floor(j * (n - 1) / 5.0) WHERE n > 6)
-SELECT CAST(doc_id AS VARCHAR) || '::' || CAST(segment_index AS VARCHAR) AS segment_id, doc_id, CAST(segment_index AS INT) AS segment_index, raw AS clean_text FROM f""")
+# A list whose last member is the chunk that is being packed ('' for none).
+PACKED = """list_filter(list_reduce(list_prepend([''], list_transform(list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> ''), lambda s: [s])),
+  lambda acc, s: CASE WHEN length(s[1]) > 450 THEN list_concat(acc, list_concat(list_transform(generate_series(0, length(s[1]) - 1, 390), lambda i: trim(substr(s[1], i + 1, 450))), ['']))
+    WHEN acc[len(acc)] = '' THEN list_concat(acc[1:len(acc) - 1], s) WHEN length(acc[len(acc)]) + 1 + length(s[1]) <= 450 THEN list_concat(acc[1:len(acc) - 1], [acc[len(acc)] || ' ' || s[1]]) ELSE list_concat(acc, s) END), lambda c: c <> '')"""
+
+
+@query(f"""WITH n AS (SELECT doc_id, {_normal_sql("text")} AS t FROM documents), k AS (SELECT doc_id, CASE WHEN length(t) <= 450 THEN [t] ELSE {PACKED} END AS k FROM n WHERE t <> ''),
+f AS (SELECT doc_id, UNNEST(generate_series(0, LEAST(len(k), 6) - 1)) AS i, k FROM k)
+SELECT CAST(doc_id AS VARCHAR) || '::' || CAST(i AS VARCHAR) AS segment_id, doc_id, CAST(i AS INT) AS segment_index, CAST(LEAST(len(k), 6) AS INT) AS segment_count,
+  CASE WHEN len(k) > 6 THEN k[CAST(floor(i * (len(k) - 1) / 5.0) AS BIGINT) + 1] ELSE k[i + 1] END AS clean_text FROM f""")
 def segments(spark, sf_dir):
-    chunks = T.capped(T.hard_chunks(T.normalize_text(F.col("text"))))
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks).alias("segment_index", "clean_text"))
-    return rows.select(F.concat_ws("::", F.col("doc_id").cast("string"), F.col("segment_index").cast("string")).alias("segment_id"), "doc_id", "segment_index", "clean_text")
+    chunks = T.capped(T.packed_chunks(T.normalize_text(F.col("text"))))
+    rows = read(spark, sf_dir, "documents").select("doc_id", chunks.alias("c")).select("doc_id", F.size("c").alias("segment_count"), F.posexplode("c").alias("segment_index", "clean_text"))
+    name = F.concat_ws("::", F.col("doc_id").cast("string"), F.col("segment_index").cast("string"))
+    return rows.select(name.alias("segment_id"), "doc_id", "segment_index", "segment_count", "clean_text")
 
 
 STOP = ("the", "and", "that", "with", "for", "der", "die", "und", "que", "les", "des", "las", "los")
@@ -161,13 +165,22 @@ def topic_centroids(spark, sf_dir):
     return _centroids(spark, sf_dir).select("topic_id", F.posexplode("centroid").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
-@query(f"""WITH c AS {CENTRE}, s AS (SELECT vec_id, label AS topic_id, list_dot_product(embedding::DOUBLE[], centroid) / GREATEST(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12) AS sim
-  FROM (SELECT vec_id, embedding FROM embeddings) CROSS JOIN c),
-r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, topic_id) AS rank, MAX(sim) OVER (PARTITION BY vec_id) AS best FROM s WHERE sim >= .3)
-SELECT vec_id, topic_id, ROUND(sim, 6) AS similarity, CAST(rank AS INT) AS rank FROM r WHERE rank <= 2 AND sim >= best - .05""")
+# Scopes: '1' has two topics of ten, '0' and '7' one in five, 2 and 3 none but the pool's.
+OWNERS = "CASE label % 5 WHEN 0 THEN '0' WHEN 1 THEN '1' WHEN 2 THEN '1' WHEN 3 THEN '__POOL__' ELSE '7' END"
+
+
+@query(f"""WITH c AS (SELECT *, {OWNERS} AS scope FROM {CENTRE}), v AS (SELECT vec_id, CAST(vec_id % 4 AS VARCHAR) AS own, embedding::DOUBLE[] AS v FROM embeddings),
+k AS (SELECT *, CASE WHEN own IN (SELECT scope FROM c) THEN own ELSE '__POOL__' END AS scope FROM v),
+s AS (SELECT vec_id, label AS topic_id, list_dot_product(v, centroid) / GREATEST(sqrt(list_dot_product(v, v)), 1e-12) AS sim FROM k JOIN c USING (scope)),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, topic_id) AS rank, MAX(sim) OVER (PARTITION BY vec_id) AS best FROM s)
+SELECT vec_id, CASE WHEN best >= .2 THEN topic_id END AS topic_id, ROUND(sim, 6) AS similarity, CAST(rank AS INT) AS rank, CASE WHEN best >= .2 THEN 'EXISTING' ELSE 'UNASSIGNED' END AS assignment_type
+FROM r WHERE rank = 1 OR (rank = 2 AND sim >= .2 AND sim >= best - .05)""")
 def topic_assignment(spark, sf_dir):
-    out = matching.assign_topics(read(spark, sf_dir, "embeddings"), _centroids(spark, sf_dir), "vec_id", "embedding", 0.3)
-    return out.select("vec_id", "topic_id", F.round("similarity", 6).alias("similarity"), "rank")
+    n = F.col("topic_id") % 5
+    owner = F.when(n == 0, "0").when(n <= 2, "1").when(n == 3, "__POOL__").otherwise("7")
+    rows = read(spark, sf_dir, "embeddings").withColumn("scope", F.col("vec_id") % 4)
+    out = matching.assign_topics(rows, _centroids(spark, sf_dir).withColumn("scope", owner), "vec_id", "embedding", 0.2, scope="scope")
+    return out.withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"""WITH c AS {CENTRE} SELECT a.label AS a, b.label AS b, ROUND(list_dot_product(a.centroid, b.centroid), 6) AS similarity FROM c a JOIN c b ON a.label < b.label
@@ -270,25 +283,11 @@ def class_tfidf(spark, sf_dir):
     return terms.class_tfidf(read(spark, sf_dir, "documents"), "source", "text")
 
 
-@query(f"""WITH w AS (SELECT DISTINCT lang, doc_id, UNNEST({WORDS}) AS term FROM documents), d AS (SELECT lang, term, COUNT(*) AS df FROM w GROUP BY 1, 2),
-t AS (SELECT lang, term FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY df DESC, term) AS rank FROM d) WHERE rank <= 10),
-n AS (SELECT COUNT(DISTINCT doc_id)::DOUBLE AS n FROM documents), u AS (SELECT DISTINCT doc_id, term FROM w), c AS (SELECT term, COUNT(*)::DOUBLE AS c FROM u GROUP BY 1),
-p AS (SELECT a.lang, a.term AS a, b.term AS b FROM t a JOIN t b ON a.lang = b.lang AND a.term < b.term),
-x AS (SELECT a, b, COUNT(*)::DOUBLE AS nab FROM (SELECT DISTINCT a, b FROM p) p JOIN u ua ON ua.term = a JOIN u ub ON ub.term = b AND ub.doc_id = ua.doc_id GROUP BY 1, 2),
-v AS (SELECT p.lang, CASE WHEN ca.c IS NULL OR cb.c IS NULL THEN 0 WHEN nab IS NULL THEN -1 WHEN nab = n THEN 1 ELSE ln(nab * n / (ca.c * cb.c)) / -ln(nab / n) END AS v
-  FROM p LEFT JOIN x ON x.a = p.a AND x.b = p.b LEFT JOIN c ca ON ca.term = p.a LEFT JOIN c cb ON cb.term = p.b, n)
-SELECT lang, ROUND(AVG(v), 6) AS coherence FROM v GROUP BY 1""")
-def npmi_coherence(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    best = terms.top_terms(docs, "lang", "doc_id", "text").select("lang", "term")
-    return terms.npmi(docs, best, "lang", "doc_id", "text").withColumn("coherence", F.round("coherence", 6))
-
-
-KEY = f"trim(regexp_replace(regexp_replace(lower({_normal_sql('text')}), '[^\\p{{L}}\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+KEY = f"trim(regexp_replace(regexp_replace(lower({_normal_sql('text')}), '[^\\p{{L}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
 @query(f"""WITH k AS (SELECT source, {KEY} AS k, COUNT(*) AS n FROM documents GROUP BY 1, 2)
-SELECT source, CAST(SUM(n) AS BIGINT) AS members, ROUND(MAX(n) / SUM(n)::DOUBLE, 9) AS ratio FROM k GROUP BY 1""")
+SELECT source, CAST(SUM(n) AS BIGINT) AS members, ROUND(COALESCE(MAX(n) FILTER (k <> ''), 0) / SUM(n)::DOUBLE, 9) AS ratio FROM k GROUP BY 1""")
 def duplicate_ratio(spark, sf_dir):
     return terms.duplicate_ratio(read(spark, sf_dir, "documents"), "source", "text").withColumn("ratio", F.round("ratio", 9))
 
@@ -321,7 +320,10 @@ def anchor_filter(spark, sf_dir):
     return out.withColumn("nearest", F.round("nearest", 6))
 
 
-@query("SELECT * FROM (PIVOT (SELECT CAST(ts AS DATE) AS date, event_type FROM events) ON event_type USING COUNT(*) GROUP BY date)")
+TYPES = ("click", "error", "login", "logout", "purchase", "search", "signup", "view")
+
+
+@query(f"SELECT CAST(ts AS DATE) AS date, {', '.join(f"COUNT(*) FILTER (event_type = '{t}') AS {t}" for t in TYPES)} FROM events GROUP BY 1")
 def daily_pivot(spark, sf_dir):
     e = read(spark, sf_dir, "events").select(F.to_date("ts").alias("date"), "event_type")
-    return e.groupBy("date").pivot("event_type").count().na.fill(0)
+    return e.groupBy("date").pivot("event_type", list(TYPES)).count().na.fill(0)
