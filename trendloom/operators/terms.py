@@ -104,7 +104,7 @@ def audit_terms(docs: DataFrame, topic: str, text: str, stop: tuple[str, ...], m
 
 
 #: Words of a coherence score.
-PLAIN_WORD = r"\b[a-z][a-z']{2,}\b"
+PLAIN_WORD = r"(?U)\b[a-z][a-z']{2,}\b"
 
 
 def pair_counts(docs: DataFrame, terms: DataFrame, topic: str, doc: str, text: str, form: str = PLAIN_WORD) -> DataFrame:

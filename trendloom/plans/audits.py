@@ -42,7 +42,11 @@ def audit_terms(spark, sf_dir):
     return terms.audit_terms(read(spark, sf_dir, "documents"), "source", "text", STOP)
 
 
-PLAIN = "regexp_extract_all(lower(COALESCE(text, '')), '\\b[a-z][a-z'']{2,}\\b')"
+# DuckDB's word boundary knows ASCII only, so whole words are cut first.
+PLAIN = (
+    "list_filter(list_transform(regexp_extract_all(lower(COALESCE(text, '')), '[\\p{L}\\p{N}\\p{M}_'']+'), lambda w: trim(w, '''')), "
+    "lambda w: regexp_full_match(w, '[a-z][a-z'']{2,}'))"
+)
 PAIRS = f"""w AS (SELECT DISTINCT lang, doc_id, UNNEST({WORDS}) AS term FROM documents), d AS (SELECT lang, term, COUNT(*) AS df FROM w GROUP BY 1, 2),
 t AS (SELECT lang, term FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY df DESC, term) AS r FROM d) WHERE r <= 10), u AS (SELECT DISTINCT doc_id, UNNEST({PLAIN}) AS term FROM documents),
 x AS (SELECT a.term AS a, b.term AS b, COUNT(*) AS nab FROM u a JOIN u b USING (doc_id) WHERE a.term IN (SELECT term FROM t) AND b.term IN (SELECT term FROM t) GROUP BY 1, 2),
