@@ -36,8 +36,31 @@ def test_merges_make_no_chains(spark):
     assert sorted((r.topic_id, r.into_id) for r in plan) == [(2, 1), (4, 3)]
 
 
+def test_merge_bounds(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.95), (1, 3, 0.9), (4, 5, 0.8)], "a long, b long, similarity double")
+    rows = [(1, "x", 9, False, ["7"]), (2, "x", 5, False, ["8"]), (3, "x", 3, False, []), (4, "x", 2, False, []), (5, "x", 1, False, [])]
+    topics = spark.createDataFrame(rows, "topic_id long, scope string, size long, protected boolean, aliases array<string>")
+    plan = lambda **more: sorted((r.topic_id, r.into_id) for r in registry.plan_merges(pairs, topics, "scope", 0.5, **more).collect())
+    assert plan() == [(2, 1), (3, 1), (5, 4)] and plan(most_aliases=3) == [(2, 1), (5, 4)] and plan(most_aliases=2) == [(3, 1), (5, 4)] and plan(blocked=(1,)) == [(5, 4)]
+
+
+def test_consolidation(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.95), (2, 3, 0.9), (4, 5, 0.85), (6, 7, 0.8), (8, 9, 0.79)], "a long, b long, similarity double")
+    rows = [(1, 9, False), (2, 5, False), (3, 3, False), (4, 2, True), (5, 1, True), (6, 2, True), (7, 7, False), (8, 3, True), (9, 9, False), (10, 0, False)]
+    topics = spark.createDataFrame(rows, "topic_id long, size long, protected boolean")
+    plan = lambda n: sorted((r.topic_id, r.into_id) for r in registry.consolidate(pairs, topics, n, 0.75).collect())
+    assert plan(8) == [(2, 1)] and plan(2) == [(2, 1), (9, 8)] and plan(9) == plan(0) == []
+
+
+def test_duplicates_go_into_the_largest(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.95), (2, 3, 0.95), (3, 4, 0.95)], "a long, b long, similarity double")
+    topics = spark.createDataFrame([(1, "x", 5), (2, "x", 4), (3, "x", 3), (4, "x", 2)], "topic_id long, scope string, size long")
+    assert sorted((r.topic_id, r.into_id) for r in registry.merge_duplicates(pairs, topics, "scope", 0.9).collect()) == [(2, 1), (4, 3)]
+
+
 def test_queries_without_sql(spark):
     sf = "/root/testdata/sf0.001"
     for name in ("stabilised_topics", "greedy_mapping", "planned_merges"):
         rows = getattr(lifecycle, name)(spark, sf).collect()
+        assert rows, name
         assert len({r[1] for r in rows} if name != "planned_merges" else {r.topic_id for r in rows}) == len(rows)

@@ -7,12 +7,14 @@ with joins, are settled in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendloom.functions.vectors import dot
+from trendloom.functions.vectors import dot, unit
 
 
 def scoped_pairs(new: DataFrame, old: DataFrame, scope: str) -> DataFrame:
@@ -105,23 +107,42 @@ def best_match(pairs: DataFrame, least: float, margin: float) -> DataFrame:
     )
 
 
-def plan_merges(pairs: DataFrame, topics: DataFrame, scope: str, least: float) -> DataFrame:
+#: Topics that one task settles at most; a scope or registry with more is refused.
+MOST_TOPICS = 100_000
+
+
+def _few(topics: DataFrame) -> DataFrame:
+    """topics, once it is sure that they are few enough for one task."""
+    n = topics.count()
+    if n > MOST_TOPICS:
+        raise ValueError(f"{n} topics; ordered choices are made over {MOST_TOPICS} at most")
+    return topics
+
+
+def plan_merges(pairs: DataFrame, topics: DataFrame, scope: str, least: float, blocked: tuple = (), most_aliases: int = 0) -> DataFrame:
     """topic_id, into_id, similarity: pairs(a, b, similarity) of one scope, strongest
     first, the lesser topic into the larger. A topic that was merged away takes no
-    more, and one that has taken others isn't merged away: no chains. topics has
-    topic_id, scope, size and protected (never merged away)."""
-    meta = topics.select("topic_id", scope, "size", "protected")
-    side = lambda x: meta.select(F.col("topic_id").alias(x), *([scope] if x == "a" else []), F.col("size").alias(f"size_{x}"), F.col("protected").alias(f"held_{x}"))
+    more, and one that has taken others isn't merged away: no chains. Blocked topics take
+    no part. A topic holds at most ``most_aliases`` absorbed ids (0: any number), a merge
+    bringing one and all that the lesser topic has. topics has topic_id, scope, size,
+    protected (never merged away) and, if aliases are bounded, aliases (an array)."""
+    held = F.size("aliases") if most_aliases else F.lit(0)
+    meta = _few(topics).where(~F.col("topic_id").isin(*blocked) if blocked else F.lit(True)).select("topic_id", scope, "size", "protected", held.alias("ids"))
+    side = lambda x: meta.select(F.col("topic_id").alias(x), *([scope] if x == "a" else []), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "protected", "ids")])
     strong = pairs.where(F.col("similarity") >= least).select("a", "b", "similarity").join(side("a"), "a").join(side("b"), "b")
     schema = topics.select("topic_id", F.col("topic_id").alias("into_id"), F.lit(0.0).alias("similarity")).schema
 
     def settle(table: pd.DataFrame) -> pd.DataFrame:
-        gone, absorbers, rows = set(), set(), []
+        gone, absorbers, gained, rows = set(), set(), {}, []
         for r in table.sort_values(["similarity", "a", "b"], ascending=[False, True, True]).itertuples(index=False):
             small_first = (r.size_a, r.b) < (r.size_b, r.a)
-            small, large, held = (r.a, r.b, r.held_a) if small_first else (r.b, r.a, r.held_b)
-            if held or small in gone or large in gone or small in absorbers:
+            small, large, kept = (r.a, r.b, r.protected_a) if small_first else (r.b, r.a, r.protected_b)
+            if kept or small in gone or large in gone or small in absorbers:
                 continue
+            more, own = (r.ids_a, r.ids_b) if small_first else (r.ids_b, r.ids_a)
+            if most_aliases and own + gained.get(large, 0) + 1 + more > most_aliases:
+                continue
+            gained[large] = gained.get(large, 0) + 1 + more
             gone.add(small)
             absorbers.add(large)
             rows.append((small, large, r.similarity))
@@ -130,18 +151,143 @@ def plan_merges(pairs: DataFrame, topics: DataFrame, scope: str, least: float) -
     return strong.groupBy(scope).applyInPandas(settle, schema)
 
 
+def consolidate(pairs: DataFrame, topics: DataFrame, capacity: int, least: float) -> DataFrame:
+    """topic_id, into_id, similarity: merges of pairs(a, b, similarity), strongest first
+    over all scopes, until no more than ``capacity`` topics of size over 0 are left. The
+    lesser goes into the larger; a protected one is never merged away, and takes a larger
+    one only if that is at most three times its size. No chains."""
+    live = _few(topics.where("size > 0"))
+    excess = live.count() - capacity
+    side = lambda x: live.select(F.col("topic_id").alias(x), F.col("size").alias(f"size_{x}"), F.col("protected").alias(f"protected_{x}"))
+    strong = pairs.where((F.col("similarity") >= least) & F.lit(capacity > 0 and excess > 0)).join(side("a"), "a").join(side("b"), "b")
+    schema = topics.select("topic_id", F.col("topic_id").alias("into_id"), F.lit(0.0).alias("similarity")).schema
+
+    def settle(table: pd.DataFrame) -> pd.DataFrame:
+        gone, absorbers, rows = set(), set(), []
+        for r in table.sort_values(["similarity", "a", "b"], ascending=[False, True, True]).itertuples(index=False):
+            if len(rows) >= excess:
+                break
+            x, y = (r.a, r.size_a, r.protected_a), (r.b, r.size_b, r.protected_b)
+            small, large = (y, x) if x[1] > y[1] else (x, y)
+            if small[2]:
+                if large[2]:
+                    continue
+                small, large = large, small
+                if small[1] > 3 * large[1]:
+                    continue
+            if small[0] in gone or large[0] in gone or small[0] in absorbers:
+                continue
+            gone.add(small[0])
+            absorbers.add(large[0])
+            rows.append((small[0], large[0], r.similarity))
+        return pd.DataFrame(rows, columns=["topic_id", "into_id", "similarity"])
+
+    return strong.groupBy(F.lit(1).alias("_all")).applyInPandas(settle, schema)
+
+
+def merge_duplicates(pairs: DataFrame, topics: DataFrame, scope: str, least: float) -> DataFrame:
+    """topic_id, into_id: topics from the largest on; each goes into the first (largest)
+    survivor of its scope that is similar enough, else it survives."""
+    ends = pairs.where(F.col("similarity") >= least)
+    ends = ends.select("a", "b").unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = ends.groupBy("a").agg(F.collect_set("b").alias("near"))  # topics of one scope
+    rows = _few(topics).select("topic_id", scope, "size").join(near.withColumnRenamed("a", "topic_id"), "topic_id")
+    schema = topics.select("topic_id", F.col("topic_id").alias("into_id")).schema
+
+    def settle(table: pd.DataFrame) -> pd.DataFrame:
+        survivors, out = [], []
+        for r in table.sort_values(["size", "topic_id"], ascending=[False, True]).itertuples(index=False):
+            near = set(r.near)
+            into = next((s for s in survivors if s in near), None)
+            if into is None:
+                survivors.append(r.topic_id)
+            else:
+                out.append((r.topic_id, into))
+        return pd.DataFrame(out, columns=["topic_id", "into_id"])
+
+    return rows.groupBy(scope).applyInPandas(settle, schema)
+
+
+def label_merges(topics: DataFrame, scope: str, key: str) -> DataFrame:
+    """topic_id, into_id: topics of one scope under one key (a label, or its set of words)
+    go into the largest, ties into the lesser id; empty and null keys don't count."""
+    order = Window.partitionBy(scope, key).orderBy(F.desc("size"), "topic_id")
+    rows = topics.where(F.col(key).isNotNull() & (F.col(key) != "")).withColumn("into_id", F.first("topic_id").over(order))
+    return rows.where("topic_id != into_id").select("topic_id", "into_id")
+
+
+def id_floor(*registries: DataFrame) -> DataFrame:
+    """One row: floor, the largest number that an id of any registry ends with, or 0."""
+    ids = reduce(DataFrame.unionByName, [r.select(F.col("topic_id").cast("string")) for r in registries])
+    number = F.try_to_number(F.regexp_extract("topic_id", "([0-9]{1,18})$", 1), F.lit("9" * 18)).cast("long")
+    return ids.agg(F.coalesce(F.max(number), F.lit(0)).alias("floor"))
+
+
+def sanitize(topics: DataFrame, end: Column) -> DataFrame:
+    """Topics without times behind the end of the window: what is known too early goes."""
+    return topics.withColumns({c: F.when(F.col(c) <= end, F.col(c)) for c in ("created_at", "last_seen")})
+
+
+def carry_registry(topics: DataFrame, end: Column, most_days: int) -> DataFrame:
+    """All topics as DORMANT with size 0, the size before as previous_size; topics last
+    seen more than most_days before end go, and those never seen."""
+    stays = F.datediff(end, F.col("last_seen")) <= most_days
+    return topics.where(stays).withColumn("previous_size", F.col("size")).withColumns({"size": F.lit(0).cast("long"), "status": F.lit("DORMANT")})
+
+
+def retire_idle(topics: DataFrame, active: DataFrame, scope: str, pool: str) -> DataFrame:
+    """Topics without those of size 0 whose scope was active, or that are the pool's."""
+    gone = topics.where("size = 0").join(active.select(scope).distinct(), scope, "left_semi").unionByName(topics.where((F.col("size") == 0) & (F.col(scope) == pool)).select(scope, *[c for c in topics.columns if c != scope]))
+    return topics.join(gone.select("topic_id").distinct(), "topic_id", "left_anti")
+
+
+def candidate_pool(buffer: DataFrame, fresh: DataFrame, key: str, time: str, days: int) -> DataFrame:
+    """Buffered and fresh leftovers of the last days before the latest, one row for each
+    key: the latest, fresh before buffered."""
+    both = buffer.withColumn("_f", F.lit(0)).unionByName(fresh.withColumn("_f", F.lit(1)))
+    end = F.broadcast(both.agg(F.max(time).alias("_end")))  # one row
+    inside = both.crossJoin(end).where(F.col(time) >= F.col("_end") - F.make_dt_interval(F.lit(days))).drop("_end")
+    names = [c for c in buffer.columns if c != key]
+    return inside.groupBy(key).agg(F.max_by(F.struct(*names), F.struct("_f", time)).alias("_r")).select(key, "_r.*")
+
+
+def stabilise(new: DataFrame, old: DataFrame, matches: DataFrame, end: Column, most_days: int, keep_label: float = 0.92) -> DataFrame:
+    """The registry of a run: new topics matched with old ones (new_id, old_id,
+    similarity) take the old id, created_at and aliases, and from keep_label on the label;
+    others get ids above all old ones, in order. Old topics without a match are carried
+    as DORMANT with size 0, unless last seen more than most_days before end. All have
+    topic_id (long), label, created_at, last_seen, size and aliases."""
+    kept = old.select(F.col("topic_id").alias("old_id"), F.col("label").alias("_label"), F.col("created_at").alias("_created"), F.col("aliases").alias("_aliases"))
+    rows = new.join(matches.select(F.col("new_id").alias("topic_id"), "old_id", "similarity"), "topic_id", "left").join(kept, "old_id", "left")
+    order = F.row_number().over(Window.partitionBy(F.col("old_id").isNull()).orderBy("topic_id"))
+    floor = F.broadcast(old.agg(F.coalesce(F.max("topic_id"), F.lit(0)).alias("_floor")))  # one row
+    live = rows.crossJoin(floor).select(
+        F.coalesce("old_id", F.col("_floor") + order).alias("topic_id"), F.when(F.col("similarity") >= keep_label, F.coalesce("_label", "label")).otherwise(F.col("label")).alias("label"),
+        F.least("_created", "created_at").alias("created_at"), "last_seen", "size", F.coalesce("_aliases", "aliases").alias("aliases"), F.lit("ACTIVE").alias("status"),
+    )
+    idle = old.join(matches.select(F.col("old_id").alias("topic_id")), "topic_id", "left_anti").where(F.datediff(end, F.col("last_seen")) <= most_days)
+    idle = idle.select("topic_id", "label", "created_at", "last_seen", F.lit(0).cast(new.schema["size"].dataType).alias("size"), "aliases", F.lit("DORMANT").alias("status"))
+    return live.unionByName(idle)
+
+
 def remap(assignments: DataFrame, plan: DataFrame, *key: str) -> DataFrame:
     """Assignments under the topics that theirs went into; one row for each key and topic."""
     moved = assignments.join(F.broadcast(plan.select("topic_id", "into_id")), "topic_id", "left")  # a row for each merged topic
     return moved.withColumn("topic_id", F.coalesce("into_id", "topic_id")).drop("into_id").dropDuplicates([*key, "topic_id"])
 
 
-def merge_sizes(topics: DataFrame, plan: DataFrame) -> DataFrame:
-    """topic_id, size, created_at, aliases after the merges: sizes summed, the earliest
-    created_at, and the labels of the topics merged in, in order."""
+def merge_topics(topics: DataFrame, plan: DataFrame) -> DataFrame:
+    """topic_id, size, created_at, centroid, aliases after the merges: sizes summed, the
+    earliest created_at, the centroid weighted by sizes of at least 1, and as aliases the
+    ids merged in with their own aliases, in order."""
     into = topics.join(plan.select("topic_id", "into_id"), "topic_id", "left").withColumn("_t", F.coalesce("into_id", "topic_id"))
-    alias = F.array_sort(F.collect_set(F.when(F.col("into_id").isNotNull(), F.col("label"))))
-    return into.groupBy(F.col("_t").alias("topic_id")).agg(F.sum("size").alias("size"), F.min("created_at").alias("created_at"), alias.alias("aliases"))
+    gone = F.col("into_id").isNotNull()
+    ids = F.when(gone, F.concat(F.array(F.col("topic_id").cast("string")), "aliases")).otherwise(F.col("aliases"))
+    weight = F.greatest("size", F.lit(1))
+    parts = into.select("_t", weight.alias("_w"), F.posexplode("centroid").alias("_at", "_x")).groupBy("_t", "_at").agg((F.sum(F.col("_x") * F.col("_w")) / F.sum("_w")).alias("_m"))
+    centre = parts.groupBy("_t").agg(unit(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_m"))), lambda x: x["_m"])).alias("centroid"))
+    rows = into.groupBy("_t").agg(F.sum("size").alias("size"), F.min("created_at").alias("created_at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(ids)))).alias("aliases"))
+    return rows.join(centre, "_t").select(F.col("_t").alias("topic_id"), "size", "created_at", "centroid", "aliases")
 
 
 def age_registry(topics: DataFrame, live: DataFrame, end, most_days: int) -> DataFrame:
@@ -159,8 +305,9 @@ def age_registry(topics: DataFrame, live: DataFrame, end, most_days: int) -> Dat
 
 def flag_topics(topics: DataFrame, veto: float = 0.1) -> DataFrame:
     """Adds is_junk with junk_reason, is_residual, is_campaign and suppressed to topics
-    with term_ratio, empty_ratio, ack_ratio, duplicate_ratio, coherence and size. A
-    coherence at or over veto clears the first two reasons for junk."""
+    with term_ratio, empty_ratio, ack_ratio, duplicate_ratio, coherence, size and
+    substantive (a judgement or null). A coherence at or over veto clears the first two
+    reasons for junk; a topic judged not substantive is suppressed too."""
     coherent = F.coalesce(F.col("coherence") >= veto, F.lit(False))
     reasons = F.concat_ws(
         ";", F.when((F.col("term_ratio") >= 0.6) & ~coherent, "ack_terms"), F.when((F.col("empty_ratio") >= 0.5) & ~coherent, "empty_members"),
@@ -170,7 +317,7 @@ def flag_topics(topics: DataFrame, veto: float = 0.1) -> DataFrame:
     no = F.lit(False)
     flags = {"junk_reason": reasons, "is_residual": F.coalesce(residual, no), "is_campaign": F.coalesce((F.col("size") >= 10) & (F.col("duplicate_ratio") >= 0.25), no)}
     rows = topics.withColumns(flags).withColumn("is_junk", F.col("junk_reason") != "")
-    return rows.withColumn("suppressed", F.col("is_junk") | F.col("is_residual") | F.col("is_campaign"))
+    return rows.withColumn("suppressed", F.col("is_junk") | F.col("is_residual") | F.col("is_campaign") | F.col("substantive").eqNullSafe(F.lit(False)))
 
 
 def dedupe_ids(topics: DataFrame, members: DataFrame, scope: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trendloom.functions import vectors as V
 from trendloom.operators import registry, reports
+from trendloom.functions import text as T
 from trendloom.plans.queries import CENTRE, EVENTS, query, read, topical
 
 
@@ -18,20 +19,24 @@ def _runs(spark, sf_dir):
     return made(0), made(1)
 
 
-@query()
+def _half(n: int) -> str:
+    return CENTRE.replace("FROM embeddings", f"FROM (SELECT * FROM embeddings WHERE vec_id % 2 = {n}) e")
+
+
+@query(f"""WITH p AS (SELECT a.label % 2 AS scope, a.label AS new_id, b.label + 100 AS old_id, list_dot_product(a.centroid, b.centroid) AS s FROM {_half(0)} a JOIN {_half(1)} b ON a.label % 2 = b.label % 2),
+o AS (SELECT scope, list(DISTINCT old_id ORDER BY old_id) AS o, list(DISTINCT new_id ORDER BY new_id) AS n FROM p GROUP BY 1), i AS (SELECT UNNEST([1, 2, 3, 4, 5]) AS i),
+q AS (SELECT scope, n, [o[a.i], o[b.i], o[c.i], o[d.i], o[e.i]] AS o FROM o, i a, i b, i c, i d, i e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+u AS (SELECT scope, o, UNNEST(n) AS new_id, UNNEST(o) AS old_id FROM q), t AS (SELECT u.scope, u.o, SUM(s) AS total FROM u JOIN p USING (scope, new_id, old_id) GROUP BY 1, 2),
+w AS (SELECT scope, arg_max(o, total) AS o FROM t GROUP BY 1) SELECT p.scope, p.new_id, p.old_id, ROUND(s, 6) AS similarity FROM u JOIN w USING (scope, o) JOIN p USING (scope, new_id, old_id) WHERE s >= -.2""")
 def stabilised_topics(spark, sf_dir):
     new, old = _runs(spark, sf_dir)
-    return registry.match_optimal(registry.scoped_pairs(new, old, "scope"), "scope", 0.5)
+    return registry.match_optimal(registry.scoped_pairs(new, old, "scope"), "scope", -0.2).withColumn("similarity", F.round("similarity", 6))
 
 
 @query()
 def greedy_mapping(spark, sf_dir):
     new, old = _runs(spark, sf_dir)
-    return registry.match_greedy(registry.scoped_pairs(new, old, "scope"), "scope", 0.5, 0.02)
-
-
-def _half(n: int) -> str:
-    return CENTRE.replace("FROM embeddings", f"FROM (SELECT * FROM embeddings WHERE vec_id % 2 = {n}) e")
+    return registry.match_greedy(registry.scoped_pairs(new, old, "scope"), "scope", 0.0, 0.02)
 
 
 @query(f"""WITH p AS (SELECT a.label AS new_id, b.label + 100 AS old_id, list_dot_product(a.centroid, b.centroid) AS s FROM {_half(0)} a JOIN {_half(1)} b ON a.label % 2 = b.label % 2),
@@ -49,7 +54,7 @@ def planned_merges(spark, sf_dir):
 
     new, old = _runs(spark, sf_dir)
     topics = new.unionByName(old).withColumn("protected", F.col("topic_id") == 0)
-    return registry.plan_merges(topic_pairs(topics, 0.75, "scope"), topics, "scope", 0.75)
+    return registry.plan_merges(topic_pairs(topics, 0.05, "scope"), topics, "scope", 0.05)
 
 
 def _nations(spark, sf_dir):
@@ -60,10 +65,16 @@ def _nations(spark, sf_dir):
     return topics, plan
 
 
-@query("""WITH t AS (SELECT n_nationkey AS k, n_nationkey - n_nationkey % 2 AS topic_id, n_name, (SELECT COUNT(*) FROM customer WHERE c_nationkey = n_nationkey) AS n FROM nation)
-SELECT CAST(topic_id AS BIGINT) AS topic_id, CAST(SUM(n) AS BIGINT) AS size, CAST(MIN(100 - k) AS BIGINT) AS created_at, COALESCE(string_agg(n_name, ',' ORDER BY n_name) FILTER (k % 2 = 1), '') AS aliases FROM t GROUP BY 1""")
+@query(f"""WITH c AS {CENTRE}, t AS (SELECT c.*, label - label % 2 AS topic_id, n FROM c JOIN (SELECT label, COUNT(*) AS n FROM embeddings GROUP BY 1) USING (label)),
+x AS (SELECT topic_id, i, SUM(centroid[i] * n) / SUM(n) AS x FROM t, (SELECT UNNEST(generate_series(1, 64)) AS i) GROUP BY 1, 2), m AS (SELECT topic_id, sqrt(SUM(x * x)) AS m FROM x GROUP BY 1),
+s AS (SELECT topic_id, SUM(n) AS size, MIN(100 - label) AS created_at, string_agg(CAST(label AS VARCHAR), ',' ORDER BY label) FILTER (label % 2 = 1) AS aliases FROM t GROUP BY 1)
+SELECT CAST(s.topic_id AS INT) AS topic_id, CAST(size AS BIGINT) AS size, CAST(created_at AS INT) AS created_at, aliases, CAST(i - 1 AS INT) AS pos, ROUND(x / m, 6) AS x FROM s JOIN x USING (topic_id) JOIN m USING (topic_id)""")
 def merged_topics(spark, sf_dir):
-    return registry.merge_sizes(*_nations(spark, sf_dir)).withColumn("aliases", F.array_join("aliases", ","))
+    topics = V.centroids(read(spark, sf_dir, "embeddings"), "label", "embedding").withColumnRenamed("label", "topic_id")
+    topics = topics.select("topic_id", "size", "centroid", (100 - F.col("topic_id")).alias("created_at"), F.array().cast("array<string>").alias("aliases"))
+    plan = topics.where("topic_id % 2 = 1").select("topic_id", (F.col("topic_id") - 1).alias("into_id"))
+    out = registry.merge_topics(topics, plan).withColumn("aliases", F.array_join("aliases", ","))
+    return out.select("topic_id", "size", "created_at", "aliases", F.posexplode("centroid").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
 @query("SELECT DISTINCT o_orderpriority, CAST(c_nationkey - c_nationkey % 2 AS BIGINT) AS topic_id FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -86,15 +97,16 @@ def aged_registry(spark, sf_dir):
     return registry.age_registry(known, live, F.lit(end), 6)
 
 
-@query("""WITH t AS (SELECT p_partkey, p_partkey % 10 / 10.0 AS tr, p_partkey % 7 / 10.0 AS er, p_partkey % 11 / 20.0 AS ar, p_partkey % 5 / 10.0 AS dr, CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE (p_partkey % 17 - 3) / 30.0 END AS c, p_size AS n FROM part),
+@query("""WITH t AS (SELECT p_partkey, p_partkey % 10 / 10.0 AS tr, p_partkey % 7 / 10.0 AS er, p_partkey % 11 / 20.0 AS ar, p_partkey % 5 / 10.0 AS dr, CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE (p_partkey % 17 - 3) / 30.0 END AS c, CASE p_partkey % 3 WHEN 0 THEN FALSE WHEN 1 THEN TRUE END AS sub, p_size AS n FROM part),
 j AS (SELECT *, concat_ws(';', CASE WHEN tr >= .6 AND NOT COALESCE(c >= .1, FALSE) THEN 'ack_terms' END, CASE WHEN er >= .5 AND NOT COALESCE(c >= .1, FALSE) THEN 'empty_members' END, CASE WHEN c < -.05 AND n >= 30 THEN 'incoherent' END) AS junk_reason,
   COALESCE(ar >= .4 OR c < 0, FALSE) AS is_residual, n >= 10 AND dr >= .25 AS is_campaign FROM t)
-SELECT p_partkey, junk_reason, junk_reason <> '' AS is_junk, is_residual, is_campaign, junk_reason <> '' OR is_residual OR is_campaign AS suppressed FROM j""")
+SELECT p_partkey, junk_reason, junk_reason <> '' AS is_junk, is_residual, is_campaign, junk_reason <> '' OR is_residual OR is_campaign OR sub IS NOT DISTINCT FROM FALSE AS suppressed FROM j""")
 def flagged_topics(spark, sf_dir):
     k = F.col("p_partkey")
     rows = read(spark, sf_dir, "part").select(
         "p_partkey", (k % 10 / 10).alias("term_ratio"), (k % 7 / 10).alias("empty_ratio"), (k % 11 / 20).alias("ack_ratio"), (k % 5 / 10).alias("duplicate_ratio"),
         F.when(k % 13 != 0, (k % 17 - 3) / 30).alias("coherence"), F.col("p_size").alias("size"),
+        F.when(k % 3 == 0, False).when(k % 3 == 1, True).alias("substantive"),
     )
     return registry.flag_topics(rows).select("p_partkey", "junk_reason", "is_junk", "is_residual", "is_campaign", "suppressed")
 
@@ -182,3 +194,76 @@ def matched_threshold(spark, sf_dir):
     scores = read(spark, sf_dir, "lineitem").select("l_extendedprice", (F.col("l_quantity") * (1 + F.col("l_discount"))).alias("other"))
     out = reports.matched_threshold(scores, "l_extendedprice", "other", 30000)
     return out.select(F.round("share", 9).alias("share"), F.round("threshold", 6).alias("threshold"))
+
+
+WORDSET = f"list_aggregate(list_sort(list_distinct(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda w: w NOT IN {T.LABEL_FILLERS}))), 'string_agg', ' ')"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, p_brand, p_size, {WORDSET} AS k FROM part), r AS (SELECT *, first_value(p_partkey) OVER (PARTITION BY p_brand, k ORDER BY p_size DESC, p_partkey) AS into_id FROM t WHERE k <> '')
+SELECT p_partkey AS topic_id, into_id FROM r WHERE p_partkey <> into_id""")
+def label_merges(spark, sf_dir):
+    words = F.array_join(T.label_wordset(F.col("p_name")), " ")
+    topics = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("topic_id"), "p_brand", F.col("p_size").alias("size"), words.alias("k"))
+    return registry.label_merges(topics, "p_brand", "k")
+
+
+@query("SELECT CAST(MAX(k) AS BIGINT) AS floor FROM (SELECT MAX(c_custkey) AS k FROM customer UNION ALL SELECT MAX(s_suppkey) FROM supplier)")
+def id_floor(spark, sf_dir):
+    named = lambda table, key: read(spark, sf_dir, table).select(F.concat(F.lit("T_NEW_"), key).alias("topic_id"))
+    return registry.id_floor(named("customer", "c_custkey"), named("supplier", "s_suppkey"))
+
+
+REGISTRY = "(SELECT user_id AS topic_id, event_type AS scope, MIN(ts) AS created_at, MAX(ts) AS last_seen, COUNT(*) FILTER (value >= 20) AS size FROM events GROUP BY 1, 2)"
+
+
+def _registry(spark, sf_dir):
+    e = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("topic_id"), F.col("event_type").alias("scope"))
+    return e.agg(F.min("ts").alias("created_at"), F.max("ts").alias("last_seen"), F.count_if(F.col("value") >= 20).alias("size"))
+
+
+CUT = "TIMESTAMP '2024-01-20 00:00:00'"
+
+
+@query(f"SELECT topic_id, scope, CASE WHEN created_at <= {CUT} THEN created_at END AS created_at, CASE WHEN last_seen <= {CUT} THEN last_seen END AS last_seen FROM {REGISTRY}")
+def sanitized_topics(spark, sf_dir):
+    out = registry.sanitize(_registry(spark, sf_dir), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+    return out.select("topic_id", "scope", "created_at", "last_seen")
+
+
+@query(f"SELECT topic_id, scope, CAST(0 AS BIGINT) AS size, size AS previous_size, 'DORMANT' AS status FROM {REGISTRY} WHERE date_diff('day', CAST(last_seen AS DATE), DATE '2024-01-30') <= 5")
+def carried_registry(spark, sf_dir):
+    out = registry.carry_registry(_registry(spark, sf_dir), F.lit("2024-01-30").cast("date"), 5)
+    return out.select("topic_id", "scope", "size", "previous_size", "status")
+
+
+@query(f"""WITH r AS (SELECT topic_id || '-' || scope AS topic_id, scope, size FROM {REGISTRY}), a AS (SELECT 'click' AS scope UNION ALL SELECT 'view')
+SELECT topic_id, scope, size FROM r WHERE NOT (size = 0 AND (scope IN (SELECT scope FROM a) OR scope = 'error'))""")
+def retired_idle(spark, sf_dir):
+    topics = _registry(spark, sf_dir).select(F.concat_ws("-", "topic_id", "scope").alias("topic_id"), "scope", "size")
+    active = spark.createDataFrame([("click",), ("view",)], "scope string")
+    return registry.retire_idle(topics, active, "scope", "error").select("topic_id", "scope", "size")
+
+
+@query("""WITH b AS (SELECT user_id, ts, event_id, 0 AS f FROM events WHERE event_type = 'view' UNION ALL SELECT user_id, ts, event_id, 1 FROM events WHERE event_type = 'click'),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY f DESC, ts DESC) AS r FROM b WHERE ts >= (SELECT MAX(ts) FROM b) - INTERVAL 14 DAY) SELECT user_id, ts, event_id FROM r WHERE r = 1""")
+def candidate_pool(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    some = lambda kind: e.where(F.col("event_type") == kind).drop("event_type")
+    return registry.candidate_pool(some("view"), some("click"), "user_id", "ts", 14)
+
+
+@query("""WITH n AS (SELECT user_id AS k, 'new ' || user_id AS label, MIN(ts) AS c, MAX(ts) AS s, COUNT(*) AS size FROM events WHERE ts >= TIMESTAMP '2024-01-16' AND user_id % 3 <> 0 GROUP BY 1, 2),
+o AS (SELECT user_id AS k, 'old ' || user_id AS label, MIN(ts) AS c, MAX(ts) AS s FROM events WHERE ts < TIMESTAMP '2024-01-16' AND user_id % 3 <> 1 GROUP BY 1, 2),
+l AS (SELECT n.*, o.k AS ok, o.label AS ol, o.c AS oc, CASE WHEN n.k % 2 = 0 THEN .95 ELSE .7 END AS sim FROM n LEFT JOIN o USING (k))
+SELECT CAST(COALESCE(ok, (SELECT MAX(k) FROM o) + row_number() OVER (PARTITION BY ok IS NULL ORDER BY k)) AS BIGINT) AS topic_id, CASE WHEN ok IS NOT NULL AND sim >= .92 THEN ol ELSE label END AS label, LEAST(oc, c) AS created_at, s AS last_seen, size, 'ACTIVE' AS status FROM l
+UNION ALL SELECT k, label, c, s, 0, 'DORMANT' FROM o WHERE k NOT IN (SELECT ok FROM l WHERE ok IS NOT NULL) AND date_diff('day', CAST(s AS DATE), DATE '2024-01-30') <= 20""")
+def stabilised_registry(spark, sf_dir):
+    e, k = read(spark, sf_dir, "events"), F.col("user_id")
+    made = lambda rows, name: rows.groupBy(k.alias("topic_id")).agg(
+        F.min("ts").alias("created_at"), F.max("ts").alias("last_seen"), F.count("*").alias("size")
+    ).select("topic_id", F.concat(F.lit(name), F.col("topic_id").cast("string")).alias("label"), "created_at", "last_seen", "size", F.array().cast("array<string>").alias("aliases"))
+    cut = F.lit("2024-01-16").cast("timestamp_ntz")
+    new, old = made(e.where((F.col("ts") >= cut) & (k % 3 != 0)), "new "), made(e.where((F.col("ts") < cut) & (k % 3 != 1)), "old ")
+    matches = new.select(F.col("topic_id").alias("new_id")).join(old.select(F.col("topic_id").alias("old_id")), F.col("new_id") == F.col("old_id"))
+    matches = matches.withColumn("similarity", F.when(F.col("new_id") % 2 == 0, 0.95).otherwise(0.7))
+    return registry.stabilise(new, old, matches, F.lit("2024-01-30").cast("date"), 20).drop("aliases")
