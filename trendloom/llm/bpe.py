@@ -14,11 +14,11 @@ from __future__ import annotations
 import hashlib
 import json
 import mmap
+import re
 import struct
 import tempfile
 import unicodedata
 from array import array
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cached_property
 from itertools import chain
@@ -35,8 +35,8 @@ from trendloom.llm.shared import materialise
 LEXICON_WORDS = 100_000
 #: Entries of a worker's word table before it starts afresh.
 MEMO_WORDS = 200_000
-#: Distinct words that a task counts before it passes the counts on.
-COUNTED_WORDS = 400_000
+#: Entries of its table of pieces, which holds few more than the words have in common.
+MEMO_PIECES = 300_000
 END = "</w>"
 
 # Code points on which Python's normalisation, lower case and classes agree with the
@@ -47,6 +47,18 @@ UNSPLIT = regex.compile(r"[\x1C-\x1F]")
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
+def _plain_pieces() -> re.Pattern:
+    """PIECES for words of PLAIN code points, with the classes spelt out."""
+    plain = [chr(c) for c in range(0x2100) if PLAIN.fullmatch(chr(c))]
+    every = sorted({*plain, *"".join(plain).lower()})
+    members = lambda form: "".join(map(re.escape, filter(regex.compile(form).fullmatch, every)))
+    letters, numbers, spaces = members(r"\p{L}"), members(r"\p{N}"), members(r"\s")
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{spaces}{letters}{numbers}]+")
+
+
+PLAIN_PIECES = _plain_pieces()
+
+
 def byte_letters() -> dict[int, str]:
     """The printable character that stands for each byte: itself where it prints, else
     the next free one from 256 on."""
@@ -240,7 +252,7 @@ class WordBpe:
 
     def parts(self, word: str) -> Iterator[tuple[int, ...]]:
         """The ids of each piece of one of words()."""
-        return map(self.word, [word] if isinstance(word, _Cut) else PIECES.findall(word.lower()))
+        return map(self.word, [word] if isinstance(word, _Cut) else PLAIN_PIECES.findall(word.lower()))
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -261,17 +273,34 @@ class _Cut(str):
     """A piece that is in byte letters already."""
 
 
+class _Pieces(dict):
+    """piece -> made(its ids), worked out at first sight; starts afresh when it is full."""
+
+    def __init__(self, bpe: WordBpe, made):
+        super().__init__()
+        self.bpe, self.made = bpe, made
+
+    def __missing__(self, piece: str):
+        if len(self) >= MEMO_PIECES:
+            self.clear()
+        got = self[piece] = self.made(self.bpe.word(piece))
+        return got
+
+    def of(self, word: str) -> list:
+        return [self[word]] if isinstance(word, _Cut) else list(map(self.__getitem__, PLAIN_PIECES.findall(word.lower())))
+
+
 class _Memo(dict):
-    """word -> ids, worked out at first sight; starts afresh when it is full."""
+    """word -> ids, put together from those of its pieces at first sight."""
 
     def __init__(self, bpe: WordBpe):
         super().__init__()
-        self.bpe = bpe
+        self.pieces = _Pieces(bpe, tuple)
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= MEMO_WORDS:
             self.clear()
-        ids = self[word] = tuple(chain.from_iterable(self.bpe.parts(word)))
+        ids = self[word] = tuple(chain.from_iterable(self.pieces.of(word)))
         return ids
 
 
@@ -284,7 +313,7 @@ class _TextMemo(dict):
 
     def __init__(self, bpe: WordBpe):
         super().__init__()
-        self.bpe = bpe
+        self.pieces = _Pieces(bpe, lambda ids: (" ".join(map(str, ids)), bpe.decode(ids)))
         self.tokens = self.Tokens()
         self.tokens.owner = self
 
@@ -292,10 +321,9 @@ class _TextMemo(dict):
         if len(self) >= MEMO_WORDS:
             self.clear()
             self.tokens.clear()
-        ids = tuple(chain.from_iterable(self.bpe.parts(word)))
-        self[word] = " ".join(map(str, ids))
-        self.tokens[word] = self.bpe.decode(ids)
-        return self[word], self.tokens[word]
+        ids, tokens = map(" ".join, zip(*self.pieces.of(word)))
+        self[word], self.tokens[word] = ids, tokens
+        return ids, tokens
 
     def __missing__(self, word: str) -> str:
         return self.learn(word)[0]
@@ -307,32 +335,9 @@ def _memo_for(words: list[str], plain, cut):
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """w, n: how often each piece of up to 24 letters is found in all documents. A task
-    counts what stands between white space, and cuts each such word once."""
-    import pyarrow as pa
-
-    def run(batches):
-        seen: Counter[str] = Counter()
-
-        def cut():
-            out: Counter[str] = Counter()
-            for word, n in seen.items():
-                if PLAIN.fullmatch(word):
-                    for p in PIECES.findall(unicodedata.normalize("NFC", word).lower()):
-                        if len(p) <= 24 and p.isalpha():
-                            out[p] += n
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["w", "n"])
-
-        for batch in _slices(batches):
-            for text in _texts(batch, "text"):
-                seen.update(text.split())
-            if len(seen) >= COUNTED_WORDS:
-                yield cut()
-        yield cut()
-
-    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "w string, n long")
-    return counts.groupBy("w").agg(F.sum("n").alias("n"))
+    """w, n: how often each word of up to 24 letters is found in all documents."""
+    words = F.explode(F.split(F.lower(F.col(text_col)), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"))
+    return docs.select(words.alias("w")).where(F.length("w").between(1, 24)).groupBy("w").agg(F.count("*").alias("n"))
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON_WORDS) -> DataFrame:
