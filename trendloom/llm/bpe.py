@@ -16,7 +16,9 @@ import json
 import mmap
 import re
 import struct
+import sys
 import tempfile
+import types
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
@@ -334,6 +336,18 @@ def _memo_for(words: list[str], plain, cut):
     return cut if words and isinstance(words[0], _Cut) else plain
 
 
+def _tables(shared: tuple[str, bytes | None], kind: type) -> tuple:
+    """(tokenizer, table of words, table of cut pieces, choice of a table), kept by a
+    worker process from task to task, so that it learns each word once. The choice is
+    kept with them, as every task brings classes of its own."""
+    held = sys.modules.setdefault("trendloom_worker_tables", types.ModuleType("trendloom_worker_tables")).__dict__
+    key = (kind.__name__, *map(hash, shared))
+    if held.get("key") != key:
+        bpe = WordBpe(*shared)
+        held["key"], held["tables"] = key, (bpe, kind(bpe), kind(bpe), _memo_for)
+    return held["tables"]
+
+
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """w, n: how often each word of up to 24 letters is found in all documents."""
     words = F.explode(F.split(F.lower(F.col(text_col)), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"))
@@ -407,8 +421,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     shared = _prepare(docs, tokenizer, text_col, lexicon_words)
 
     def run(batches):
-        bpe = WordBpe(*shared.value)
-        plain, cut = _Memo(bpe), _Memo(bpe)
+        bpe, plain, cut, memo_for = _tables(shared.value, _Memo)
         for batch in _slices(batches):
             ids, ends = array("i"), [0]
             for text in _texts(batch, "text"):
@@ -417,7 +430,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                         ids.append(bpe.added[part])
                         continue
                     words = bpe.words(part)
-                    ids.extend(chain.from_iterable(map(_memo_for(words, plain, cut).__getitem__, words)))
+                    ids.extend(chain.from_iterable(map(memo_for(words, plain, cut).__getitem__, words)))
                 ends.append(len(ids))
             offsets = pa.array(ends, pa.int32())
             lists = pa.ListArray.from_arrays(offsets, pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)]))
@@ -454,8 +467,7 @@ def digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     shared = _prepare(docs, tokenizer, text_col, lexicon_words)
 
     def run(batches):
-        bpe = WordBpe(*shared.value)
-        plain, cut = _TextMemo(bpe), _TextMemo(bpe)
+        bpe, plain, cut, memo_for = _tables(shared.value, _TextMemo)
         sha = hashlib.sha256
         for batch in _slices(batches):
             n, first, second = [], [], []
@@ -468,7 +480,7 @@ def digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                         tokens.append(part)
                         continue
                     words = bpe.words(part)
-                    memo = _memo_for(words, plain, cut)
+                    memo = memo_for(words, plain, cut)
                     numbers += map(memo.__getitem__, words)
                     tokens += map(memo.tokens.__getitem__, words)
                 ids = " ".join(numbers)
