@@ -199,16 +199,17 @@ def _features(docs: DataFrame, shared, carried: str) -> DataFrame:
     return docs.select(*names, "text").mapInArrow(run, f"{carried}, x array<double>")
 
 
-def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], dict[str, float], frozenset]:
+def learn_lexicon(words: DataFrame, bad: int, good: int) -> tuple[dict[str, float], dict[str, float], frozenset]:
     """Terms and stems with their log odds, and words of clean rows one edit from a
-    term, from all rows of train(id, text, toxic). The driver gets the words and stems
-    that are SIGNIFICANT, and the clean words near them."""
-    words = train.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("w")).where(F.length("w") >= 2)
-    stats = materialise(words.groupBy("w").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")))
-    n = train.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
-    if not n["bad"]:
+    term, from words(words, toxic), the distinct words of every training row, of which
+    ``bad`` rows are toxic and ``good`` aren't. The driver gets the words and stems that
+    are SIGNIFICANT, and the clean words near them."""
+    if not bad:
         return {}, {}, frozenset()
-    odds = F.log((F.col("bad") + 0.5) / (n["bad"] + 1) / ((F.col("good") + 0.5) / ((n["good"] or 0) + 1)))
+    n = {"bad": bad, "good": good}
+    single = words.select("toxic", F.explode("words").alias("w")).where("w != ''")
+    stats = materialise(single.groupBy("w").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")))
+    odds = F.log((F.col("bad") + 0.5) / (n["bad"] + 1) / ((F.col("good") + 0.5) / (n["good"] + 1)))
     part = lambda c, toxic: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * F.lit(n["bad"] + n["good"]) / ((F.col("bad") + F.col("good")) * F.lit(max(toxic, 1))))).otherwise(0.0)
     sure = 2 * (part("bad", n["bad"]) + part("good", n["good"])) >= SIGNIFICANT
     if not n["good"]:
@@ -229,7 +230,7 @@ def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], dict[str, float],
     if not lengths:
         return terms, stems, frozenset()
     near = stats.where(F.col("good") > F.col("bad")).where(F.length("w").between(lengths[0] - 1, lengths[-1] + 1)).select("w")
-    both = train.sparkSession.sparkContext.broadcast((terms, stems))
+    both = words.sparkSession.sparkContext.broadcast((terms, stems))
 
     def run(batches):
         import pyarrow as pa
@@ -261,14 +262,22 @@ def score(
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("long").alias("toxic")).where("id is not null and toxic is not null")
     marks = marks.groupBy("id").agg(F.max("toxic").alias("toxic")).where(remainder != held_out)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    train = materialise(texts.join(marks, "id").select("id", "toxic", F.coalesce("text", F.lit("")).alias("text")))
-    lexicon = spark.sparkContext.broadcast(learn_lexicon(train))
-    kind = docs.schema[id_col].dataType.simpleString()
+    # Always the same join: texts stay, their distinct words are moved to the labels.
+    marks = materialise(marks)
+    joined = lambda rows: rows.where(remainder != held_out).join(marks.hint("merge"), "id")
+    words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"))
+    # As one string they take less room than the text; an array of them takes more.
+    some_words = texts.select("id", F.array_join(F.filter(words, lambda w: F.length(w) >= 2), " ").alias("words"))
+    train = materialise(joined(texts.select("id")).select("id", "toxic"))
     there = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     bad, good = there.get(1, 0), there.get(0, 0)
+    lexicon = spark.sparkContext.broadcast(learn_lexicon(joined(some_words).select("toxic", F.split("words", " ").alias("words")), bad, good))
+    kind = docs.schema[id_col].dataType.simpleString()
     of_bad = min(1.0, max(sample / 2, sample - good) / max(bad, 1))
     of_good = min(1.0, (sample - of_bad * bad) / max(good, 1))
-    some = train.where(hash_share(F.col("id"), 3) < F.when(F.col("toxic") == 1, of_bad).otherwise(of_good))
+    # About ``sample`` ids at most, so that they can go to where the texts are.
+    drawn = train.where(hash_share(F.col("id"), 3) < F.when(F.col("toxic") == 1, of_bad).otherwise(of_good)).distinct()
+    some = texts.join(F.broadcast(drawn), "id")
     rows = sorted(_features(some, lexicon, f"id {kind}, toxic long").collect(), key=lambda r: (r["id"], r["x"]))
     y = np.array([r["toxic"] for r in rows], float)
     share = np.where(y == 1, bad / max(y.sum(), 1), good / max(len(y) - y.sum(), 1))
