@@ -67,9 +67,12 @@ def template_tokens(text: Column) -> Column:
 def _windows_sql(tokens: str, but: str | None = None, width: int = WIDTH) -> str:
     """SQL: hashes of all windows in order; none if there are fewer tokens. Null where
     the window is that of but."""
-    starts = f"sequence(1, size({tokens}) - {width - 1})"
-    window = f"slice({tokens}, i, {width})"
-    value = f"if({window} = slice({but}, i, {width}), null, xxhash64({window}))" if but else f"xxhash64({window})"
+    # Element by element: slice() would copy the whole array for every window.
+    starts = f"sequence(0, size({tokens}) - {width})"
+    value = f"xxhash64({', '.join(f'{tokens}[i + {k}]' for k in range(width))})"
+    if but:
+        same = " and ".join(f"{tokens}[i + {k}] = {but}[i + {k}]" for k in range(width))
+        value = f"if({same}, null, {value})"
     return f"if(size({tokens}) < {width}, cast(array() as array<bigint>), transform({starts}, i -> {value}))"
 
 
