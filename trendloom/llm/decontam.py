@@ -108,7 +108,10 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col:
     seen = texts.select("doc", raw_tokens(F.col("text")).alias("raw"), template_tokens(F.col("text")).alias("tokens"))
     typed = F.expr(f"if(tokens = raw, cast(array() as array<bigint>), {_windows_sql('tokens', 'raw')})")
     tokens = seen
-    seen = seen.select("doc", F.greatest(F.size("raw") - (WIDTH - 1), F.lit(0)).alias("n"), F.posexplode(F.concat(_windows("raw"), typed)).alias("pos", "h"))
+    # Sizes first: needed behind the generator, every window would carry a copy of the tokens. The
+    # hashes stay inside the generator: of a column, Spark would infer a filter and work them out twice.
+    seen = seen.withColumn("n", F.greatest(F.size("raw") - (WIDTH - 1), F.lit(0)))
+    seen = seen.select("doc", "n", F.posexplode(F.concat(_windows("raw"), typed)).alias("pos", "h"))
     seen = seen.select("doc", F.when(F.col("pos") < F.col("n"), F.col("pos")).otherwise(F.col("pos") - F.col("n")).alias("pos"), "h")
     for w in widths:
         seen = seen.unionByName(tokens.select("doc", F.posexplode(F.expr(_windows_sql("raw", width=w))).alias("pos", "h")))
