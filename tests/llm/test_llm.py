@@ -292,6 +292,29 @@ def test_pii_links_equal_values(spark):
     assert got[8].endswith(" AND") and got[9].endswith(" 12") and got[8][:-4].replace(" ", "") == got[9][:-3] and got[10] == "word " * 200_000 + got[11]
 
 
+def test_pii_ibans_of_all_lengths(spark):
+    """Bodies of 9 to 29 digits, and of one or none, are all replaced by valid IBANs of their form."""
+    from trendloom.llm.pii import IBAN_LENGTHS, pseudonymise
+
+    def iban(country, body):
+        left = int("".join(str(int(c, 36)) for c in f"{body}{country}00")) % 97
+        return f"{country}{98 - left:02}{body}"
+
+    rng = random.Random(3)
+    texts = [iban(c, "".join(rng.choices("0123456789", k=n - 4))) for n, names in IBAN_LENGTHS.items() for c in names.split()]
+    texts += [iban("GI", "NWBKABCDEFGHIJKLMNO"[:19]), iban("LC", "ABCDEFGHIJKLMNOPQRSTUVWXYZAB"), iban("PK", "SCBL7" + "Z" * 15), iban("PK", "SCBL7" + "Z" * 14 + "Y")]
+    spaced = "PL61 1090 1014 0000 0712 1981 2874"
+    rows = list(enumerate([*texts, spaced, spaced.replace(" ", "")]))
+    got = {r.doc_id: r for r in pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    form = lambda t: re.sub("[A-Z]", "A", re.sub("[0-9]", "0", t))
+    for i, text in rows:
+        new = got[i].text
+        assert got[i].pii_kinds == ["iban"] and new != text and new[:2] == text[:2] and form(new) == form(text), (text, new)
+        plain = new.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    assert got[len(texts)].text.replace(" ", "") == got[len(texts) + 1].text and len({r.text for r in got.values()}) == len(rows)
+
+
 def brute_spans(text):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     out = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]

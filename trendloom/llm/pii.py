@@ -13,7 +13,8 @@ no retries, and equal values stay equal in all documents. Check digits are made
     ipv4       2**16 x 2**16
     phone      the digits behind the country code, however it is set apart; numbers
                without one are as those of country 1
-    iban       the digits behind country and check digits; check digits anew
+    iban       the digits behind country and check digits, or the last 24 letters where
+               there is one digit at most; check digits anew
     date       1900 to 2099: 200 years x 365 days, leap days 7 x 7 among themselves,
                the same in all orders of day, month and year
 
@@ -84,7 +85,7 @@ def _feistel(key: str, kind: str, a: str, b: str, ma: str, mb: str, done: str) -
 
 
 def _digits(key: str, kind: str, d: str) -> str:
-    """SQL: permutes a string of two to twenty digits among those of its length."""
+    """SQL: permutes a string of 2 to 36 digits among those of its length."""
     u = f"cast(length({d}) div 2 as int)"
     v = f"(length({d}) - {u})"
     power = lambda n: f"cast(pow(10, {n}) as bigint)"
@@ -92,10 +93,23 @@ def _digits(key: str, kind: str, d: str) -> str:
     return _feistel(key, kind, f"substr({d}, 1, {u})", f"substr({d}, {u} + 1)", power(u), power(v), done)
 
 
-def _refill(form: str, digits: str, skip: str = "0") -> str:
-    """SQL: the form with its digits, but the first skip ones, replaced in order."""
+def _letters(key: str, kind: str, text: str) -> str:
+    """SQL: permutes a string of 2 to 24 capitals among those of its length."""
+    capitals, places = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'0123456789ABCDEFGHIJKLMNOP'"
+    u = f"cast(length({text}) div 2 as int)"
+    v = f"(length({text}) - {u})"
+    number = lambda part: f"conv(translate({part}, {capitals}, {places}), 26, 10)"
+    power = lambda n: f"cast(pow(26, {n}) as bigint)"
+    spelt = lambda half, n: f"lpad(conv(cast({half} as string), 10, 26), {n}, '0')"
+    done = f"translate(concat({spelt('s.a', u)}, {spelt('s.b', v)}), {places}, {capitals})"
+    return _feistel(key, kind, number(f"substr({text}, 1, {u})"), number(f"substr({text}, {u} + 1)"), power(u), power(v), done)
+
+
+def _refill(form: str, digits: str, skip: str = "0", first: str = "0", last: str = "9") -> str:
+    """SQL: the form with its digits (its characters from first to last), but the first
+    skip ones, replaced in order."""
     return (
-        f"aggregate(split({form}, ''), named_struct('out', '', 'k', 0), (s, c) -> if(c between '0' and '9', "
+        f"aggregate(split({form}, ''), named_struct('out', '', 'k', 0), (s, c) -> if(c between '{first}' and '{last}', "
         f"named_struct('out', concat(s.out, if(s.k < {skip}, c, substr({digits}, s.k - {skip} + 1, 1))), 'k', s.k + 1), "
         f"named_struct('out', concat(s.out, c), 'k', s.k)), s -> s.out)"
     )
@@ -159,10 +173,15 @@ def _pseudonym(key: str) -> str:
     phone = _let(_digits(key, "phone", f"substr({digits}, {country} + 1)"), "p", _refill("h", "p", country))
     plain = "replace(h, ' ', '')"
     held = f"regexp_replace(substr({plain}, 5), '[^0-9]', '')"
-    moved = _let(_let(_digits(key, "iban", held), "p", _refill(f"substr({plain}, 5)", "p")), "r", f"concat(substr(h, 1, 2), lpad(cast(98 - {_remainder97('concat(r, substr(h, 1, 2), ' + _quoted('00') + ')')} as string), 2, '0'), r)")
+    # Forms have up to 29 digits here; 24 letters are what two halves of 64 bits hold.
+    capitals = f"regexp_replace(substr({plain}, 5), '[^A-Z]', '')"
+    early = f"greatest(length({capitals}) - 24, 0)"
+    spelt = _let(_letters(key, "iban letters", f"substr({capitals}, {early} + 1)"), "p", _refill(f"substr({plain}, 5)", "p", early, "A", "Z"))
+    numbered = _let(_digits(key, "iban", held), "p", _refill(f"substr({plain}, 5)", "p"))
+    moved = _let(f"if(length({held}) > 1, {numbered}, {spelt})", "r", f"concat(substr(h, 1, 2), lpad(cast(98 - {_remainder97('concat(r, substr(h, 1, 2), ' + _quoted('00') + ')')} as string), 2, '0'), r)")
     spaced = "aggregate(split(h, ''), named_struct('out', '', 'k', 1), (s, c) -> if(c = ' ', named_struct('out', concat(s.out, ' '), 'k', s.k), named_struct('out', concat(s.out, substr(w, s.k, 1)), 'k', s.k + 1)), s -> s.out)"
     iban = _let(moved, "w", spaced)
-    valid_iban = f"length({held}) between 2 and 20 and " + _remainder97(f"concat(substr({plain}, 5), substr({plain}, 1, 4))") + " = 1"
+    valid_iban = _remainder97(f"concat(substr({plain}, 5), substr({plain}, 1, 4))") + " = 1"
     return f"""case
         when h like '%@%' then {result("mail", address)}
         when {full("ipv4")} then {result("ipv4", ipv4)}
