@@ -68,6 +68,35 @@ def test_bpe_round_trip_and_every_code_point():
         assert own.decode(e.ids) == lib.decode(e.ids, skip_special_tokens=False)
 
 
+def test_bpe_merges_side_by_side(monkeypatch):
+    """merge_all() gives what merge() gives, piece by piece; tables that are full at once, and
+    texts cut into stretches, give what the library gives."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from trendloom.llm import bpe as module
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    rng = random.Random(5)
+    pieces = ["".join(rng.choices("etaoinshrdlüß", k=rng.choice([1, 2, 3, 5, 9, 17, 31, 32, 33, 200]))) for _ in range(3000)] + ["aaaa", "a" * 31, "!!!!!", "'s", "7"]
+    bpe = module.WordBpe(spec, module.compile_words(spec, pieces[::7]))
+    pieces += bpe.cut("İ Ünï ΣΑΣ")
+    assert [tuple(x) for x in bpe.merge_all(pieces)] == [bpe.merge(p) for p in pieces] and bpe.merge_all([]) == []
+    words = [rng.choice(pieces[:3000]).capitalize() + rng.choice(["", ",", "'s", "!!7"]) for _ in range(4000)]
+    texts = ["", " ".join(words), "a <|endoftext|> b, İ ΣΑΣ", " ".join(words[:50]), " \n", "the end."]
+    library = Tokenizer.from_str(spec)
+    library.no_truncation()
+    library.no_padding()
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for limits in ((module.MEMO_WORDS, module.TEXTS_CHARS, module.TEXT_WORDS), (10, 100, 7)):
+        for name, value in zip(("MEMO_WORDS", "TEXTS_CHARS", "TEXT_WORDS"), limits):
+            monkeypatch.setattr(module, name, value)
+        plain, cut = module._Memo(bpe, "texts"), module._Memo(bpe, "texts")
+        found = [[i for special, known in sections for i in ([str(bpe.added[special])] if special else [k[0] for k in known])] for sections in module._found(texts, bpe, plain, cut, module._memo_for)]
+        assert [" ".join(x) for x in found] == [" ".join(map(str, w)) for w in want]
+
+
 def test_bpe_decodes_what_it_encodes(spark):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -5,8 +5,9 @@ compiled by one task into a minimal acyclic automaton: words with a common endin
 share their last states. Each arc carries the number of words that sort before it, so
 that a walk yields the word's number, and the number yields its ids. The bytes are
 broadcast; each worker process maps them from an unlinked file of its own. Words that
-aren't in the automaton are merged exactly by rank, so the lexicon's size affects speed
-and never the result.
+aren't in the automaton, as a filter of bits mostly tells without a walk, are merged
+exactly by rank, many side by side, so the lexicon's size affects speed and never the
+result.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import sys
 import tempfile
 import types
 import unicodedata
+import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import cached_property
@@ -27,6 +29,7 @@ from itertools import chain
 from os.path import commonprefix
 from pathlib import Path
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +38,12 @@ from trendloom.llm.shared import materialise
 
 #: The lexicon's most words. It is a cache: any value gives the same ids.
 LEXICON_WORDS = 100_000
-#: Entries of a worker's word table before it starts afresh.
-MEMO_WORDS = 200_000
-#: Entries of its table of pieces, which holds few more than the words have in common.
-MEMO_PIECES = 300_000
+#: Entries of a worker's table before it keeps only what the texts at hand use.
+MEMO_WORDS = 250_000
+#: Characters of the texts, and words of one text, that are looked up together.
+TEXTS_CHARS, TEXT_WORDS = 1_000_000, 200_000
+#: Pieces of at most so many bytes are merged side by side.
+SIDE_BY_SIDE = 32
 END = "</w>"
 
 # Code points on which Python's normalisation, lower case and classes agree with the
@@ -77,10 +82,11 @@ class Transducer:
 
     Layout: eight-byte header (states, arcs, words as 32-bit numbers follow it), arc
     labels, then 32-bit arrays: first arc of each state (plus an end mark), final marks,
-    arc targets, arc skips, id offsets, ids.
+    arc targets, arc skips, id offsets, ids; at the end the filter, a power of two of
+    bits, at least 16 for each word, and its size in bytes.
     """
 
-    MAGIC = b"mat-lex1"
+    MAGIC = b"mat-lex2"
 
     @staticmethod
     def compile(entries: dict[bytes, tuple[int, ...]]) -> bytes:
@@ -135,7 +141,11 @@ class Transducer:
         head = Transducer.MAGIC + struct.pack("<3i", len(order), len(labels), len(words))
         labels += b"\0" * (-len(labels) % 4)
         body = b"".join(struct.pack(f"<{len(x)}i", *x) for x in (first, finals, targets, skips, offsets, ids))
-        return head + bytes(labels) + body
+        bits = bytearray(max(8, 1 << (2 * len(words)).bit_length()))
+        for word in words:
+            h = zlib.crc32(word) & 8 * len(bits) - 1
+            bits[h >> 3] |= 1 << (h & 7)
+        return head + bytes(labels) + body + bytes(bits) + struct.pack("<i", len(bits))
 
     def __init__(self, image: bytes):
         with tempfile.TemporaryFile() as file:  # unlinked: gone with the process
@@ -152,9 +162,14 @@ class Transducer:
             parts.append(view[at : at + 4 * n].cast("i"))
             at += 4 * n
         self._first, self._final, self._target, self._skip, self._offset = parts
-        self._ids = view[at:].cast("i")
+        (size,) = struct.unpack_from("<i", self._map, len(view) - 4)
+        self._bits, self._mask = view[-4 - size : -4], 8 * size - 1
+        self._ids = view[at : -4 - size].cast("i")
 
     def get(self, word: bytes) -> tuple[int, ...] | None:
+        h = zlib.crc32(word) & self._mask
+        if not self._bits[h >> 3] >> (h & 7) & 1:
+            return None
         state = number = 0
         labels, find = self._labels, self._map.find
         for b in word:
@@ -236,6 +251,80 @@ class WordBpe:
                 ranks[i] = get((parts[i], parts[i + 1]), none)
         return tuple(self.vocab[p] for p in parts)
 
+    @cached_property
+    def pairs(self) -> tuple | None:
+        """For merging by numbers: sorted keys of pairs of ids and their ranks, the id
+        that each rank makes, and the ids of byte letters inside and at the end. None if
+        the vocabulary lacks some of these or gives a number twice."""
+        needed = [*chain.from_iterable((c, c + END) for c in byte_letters().values()), *chain.from_iterable((a, b, a + b) for a, b in self.ranks)]
+        if not self.vocab.keys() >= set(needed) or len(set(self.vocab.values())) < len(self.vocab):
+            return None
+        base = max(self.vocab.values()) + 2
+        keys = np.array([self.vocab[a] * base + self.vocab[b] for a, b in self.ranks], np.int64)
+        ranks = np.array(list(self.ranks.values()), np.int32)
+        made = np.zeros(max(self.ranks.values(), default=0) + 1, np.int32)
+        made[ranks] = [self.vocab[a + b] for a, b in self.ranks]
+        order = np.argsort(keys)
+        letters = np.zeros((2, 512), np.int32)
+        for c in byte_letters().values():
+            letters[:, ord(c)] = self.vocab[c], self.vocab[c + END]
+        return base, np.append(keys[order], np.int64(-1)), np.append(ranks[order], 0), made, letters
+
+    def merge_all(self, words: list[str]) -> list[list[int]]:
+        """merge() of each piece: in every round, each piece that still has a pair of some
+        rank gets its least one merged, leftmost first."""
+        out: list = [None] * len(words)
+        groups: dict[int, list[tuple[int, str]]] = {}
+        for i, word in enumerate(words):
+            letters = word if isinstance(word, _Cut) else word.encode().decode("latin-1").translate(self.letters)
+            if 0 < len(letters) <= SIDE_BY_SIDE and self.pairs:
+                groups.setdefault((len(letters) + 3) // 4, []).append((i, letters))
+            else:
+                out[i] = list(self.merge(word))
+        for group in groups.values():
+            self._merge_group(group, out)
+        return out
+
+    def _merge_group(self, group: list[tuple[int, str]], out: list) -> None:
+        base, keys, ranks_of, made, letters = self.pairs
+        none = np.int32(np.iinfo(np.int32).max)
+
+        def rank(a, b):
+            key = a.astype(np.int64) * base + b
+            at = np.searchsorted(keys[:-1], key)
+            return np.where(keys[at] == key, ranks_of[at], none)
+
+        owner = np.array([i for i, _ in group])
+        sizes = np.array([len(t) for _, t in group])
+        flat = np.frombuffer("".join(t for _, t in group).encode("utf-32-le"), np.uint32)
+        width = int(sizes.max())
+        ids = np.full((len(group), width), base - 1, np.int32)  # the last number is no id
+        ids[np.arange(width) < sizes[:, None]] = letters[0][flat]
+        ids[np.arange(len(group)), sizes - 1] = letters[1][flat[np.cumsum(sizes) - 1]]
+        ranks = rank(ids[:, :-1], ids[:, 1:])
+        while len(owner):
+            width = ids.shape[1]
+            if width > 1:
+                at = ranks.argmin(axis=1)
+                least = ranks[np.arange(len(owner)), at]
+                more = least < none
+            else:
+                more = np.zeros(len(owner), bool)
+            for i, n, row in zip(owner[~more].tolist(), sizes[~more].tolist(), ids[~more].tolist()):
+                out[i] = row[:n]
+            if not more.any():
+                break
+            owner, sizes, ids, ranks, at, least = owner[more], sizes[more] - 1, ids[more], ranks[more], at[more], least[more]
+            rows, col = np.arange(len(owner)), np.arange(width - 1)
+            ids = np.take_along_axis(ids, col + (col > at[:, None]), axis=1)
+            ids[rows, at] = made[least]
+            ranks = np.take_along_axis(ranks, col[:-1] + (col[:-1] >= at[:, None]), axis=1)
+            left, right = at > 0, at < width - 2
+            r, c = rows[left], at[left]
+            ranks[r, c - 1] = rank(ids[r, c - 1], ids[r, c])
+            r, c = rows[right], at[right]
+            ranks[r, c] = rank(ids[r, c], ids[r, c + 1])
+
     def word(self, word: str) -> tuple[int, ...]:
         if self.lexicon is not None and not isinstance(word, _Cut):
             found = self.lexicon.get(word.encode())
@@ -268,67 +357,83 @@ class WordBpe:
 
     def decode(self, ids: Iterable[int]) -> str:
         """Without a decoder in the file, tokens are joined by spaces."""
-        return " ".join(self.names[i] for i in ids)
+        return " ".join(map(self.names.__getitem__, ids))
 
 
 class _Cut(str):
     """A piece that is in byte letters already."""
 
 
-class _Pieces(dict):
-    """piece -> made(its ids), worked out at first sight; starts afresh when it is full."""
+def _ids_bytes(bpe: WordBpe, ids: Iterable[int]) -> bytes:
+    return array("i", ids).tobytes()
 
-    def __init__(self, bpe: WordBpe, made):
-        super().__init__()
-        self.bpe, self.made = bpe, made
 
-    def __missing__(self, piece: str):
-        if len(self) >= MEMO_PIECES:
-            self.clear()
-        got = self[piece] = self.made(self.bpe.word(piece))
-        return got
+def _ids_and_tokens(bpe: WordBpe, ids: Iterable[int]) -> tuple[str, str]:
+    """The ids and the tokens as text."""
+    return " ".join(map(str, ids)), bpe.decode(ids)
 
-    def of(self, word: str) -> list:
-        return [self[word]] if isinstance(word, _Cut) else list(map(self.__getitem__, PLAIN_PIECES.findall(word.lower())))
 
+def _joined_bytes(parts: list[bytes]) -> bytes:
+    return b"".join(parts)
 
-class _Memo(dict):
-    """word -> ids, put together from those of its pieces at first sight."""
 
-    def __init__(self, bpe: WordBpe):
-        super().__init__()
-        self.pieces = _Pieces(bpe, tuple)
+def _joined_texts(parts: list[tuple[str, str]]) -> tuple[str, str]:
+    if len(parts) == 2:
+        (a, x), (b, y) = parts
+        return f"{a} {b}", f"{x} {y}"
+    ids, tokens = map(" ".join, zip(*parts))
+    return ids, tokens
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        ids = self[word] = tuple(chain.from_iterable(self.pieces.of(word)))
-        return ids
 
+#: What a table keeps for a piece's ids, and how those of a word's pieces are put together.
+KEPT = {"ids": (_ids_bytes, _joined_bytes), "texts": (_ids_and_tokens, _joined_texts)}
 
-class _TextMemo(dict):
-    """word -> ids as text; ``tokens`` holds word -> tokens as text beside it."""
 
-    class Tokens(dict):
-        def __missing__(self, word: str) -> str:
-            return self.owner.learn(word)[1]
+class _Memo(dict):
+    """word or piece -> what is kept for its ids, worked out at first sight."""
 
-    def __init__(self, bpe: WordBpe):
+    def __init__(self, bpe: WordBpe, kind: str):
         super().__init__()
-        self.pieces = _Pieces(bpe, lambda ids: (" ".join(map(str, ids)), bpe.decode(ids)))
-        self.tokens = self.Tokens()
-        self.tokens.owner = self
-
-    def learn(self, word: str) -> tuple[str, str]:
-        if len(self) >= MEMO_WORDS:
+        self.bpe = bpe
+        self.made, self.joined = KEPT[kind]
+
+    def of(self, word: str) -> list[str]:
+        if isinstance(word, _Cut):
+            return [word]
+        low = word.lower()
+        return [low] if low.isalpha() else PLAIN_PIECES.findall(low)  # letters alone are one piece
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Enters all the words; merges those of their pieces that are new together."""
+        words = set(words)
+        fresh = words.difference(self)
+        if len(self) + len(fresh) > MEMO_WORDS:
+            kept = [(w, self[w]) for w in words if w not in fresh]
             self.clear()
-            self.tokens.clear()
-        ids, tokens = map(" ".join, zip(*self.pieces.of(word)))
-        self[word], self.tokens[word] = ids, tokens
-        return ids, tokens
-
-    def __missing__(self, word: str) -> str:
-        return self.learn(word)[0]
+            self.update(kept)
+        cuts = {w: self.of(w) for w in fresh}
+        bpe, made, joined = self.bpe, self.made, self.joined
+        unknown, lexicon = [], bpe.lexicon
+        for p in set(chain.from_iterable(cuts.values())).difference(self):
+            found = None if lexicon is None or isinstance(p, _Cut) else lexicon.get(p.encode())
+            if found is None:
+                unknown.append(p)
+            else:
+                self[p] = made(bpe, found)
+        for p, ids in zip(unknown, bpe.merge_all(unknown)):
+            self[p] = made(bpe, ids)
+        for w, pieces in cuts.items():
+            if w not in self:
+                self[w] = joined([self[p] for p in pieces])
+
+    def __missing__(self, word: str):
+        pieces = self.of(word)
+        if pieces == [word]:
+            got = self.made(self.bpe, self.bpe.word(word))
+        else:
+            got = self.joined([self[p] for p in pieces])
+        self[word] = got
+        return got
 
 
 def _memo_for(words: list[str], plain, cut):
@@ -336,15 +441,47 @@ def _memo_for(words: list[str], plain, cut):
     return cut if words and isinstance(words[0], _Cut) else plain
 
 
-def _tables(shared: tuple[str, bytes | None], kind: type) -> tuple:
-    """(tokenizer, table of words, table of cut pieces, choice of a table), kept by a
-    worker process from task to task, so that it learns each word once. The choice is
-    kept with them, as every task brings classes of its own."""
+def _found(texts: list[str], bpe: WordBpe, plain: _Memo, cut: _Memo, memo_for) -> Iterator[Iterator[tuple[str | None, list]]]:
+    """For each text, its sections in order: (special token, []) or (None, what the table
+    keeps for some words). New words are learned for many texts at once, and for a long
+    text by stretches, so that a table holds no more than MEMO_WORDS and those."""
+
+    def of(sections):
+        for special, part in sections:
+            if special:
+                yield part, []
+                continue
+            memo = memo_for(part, plain, cut)
+            for lo in range(0, len(part), TEXT_WORDS):
+                words = part[lo : lo + TEXT_WORDS] if len(part) > TEXT_WORDS else part
+                if len(part) > TEXT_WORDS:
+                    memo.learn(words)
+                yield None, list(map(memo.__getitem__, words))
+
+    lo = 0
+    while lo < len(texts):
+        hi, held = lo + 1, len(texts[lo])
+        while hi < len(texts) and held + len(texts[hi]) <= TEXTS_CHARS:
+            held += len(texts[hi])
+            hi += 1
+        group = [[(special, part if special else bpe.words(part)) for special, part in bpe.sections(t)] for t in texts[lo:hi]]
+        short = [part for sections in group for special, part in sections if not special and len(part) <= TEXT_WORDS]
+        for memo in (plain, cut):
+            memo.learn(chain.from_iterable(words for words in short if memo_for(words, plain, cut) is memo))
+        yield from map(of, group)
+        lo = hi
+
+
+def _tables(shared: tuple[str, bytes | None], kind: str) -> tuple:
+    """(tokenizer, table of words, table of cut pieces, choice of a table, the walk over
+    texts), kept by a worker process from task to task, so that it learns each word once.
+    The functions are kept with them, as every task brings classes of its own."""
     held = sys.modules.setdefault("trendloom_worker_tables", types.ModuleType("trendloom_worker_tables")).__dict__
-    key = (kind.__name__, *map(hash, shared))
+    key = (kind, *map(hash, shared))
     if held.get("key") != key:
+        held.pop("tables", None)
         bpe = WordBpe(*shared)
-        held["key"], held["tables"] = key, (bpe, kind(bpe), kind(bpe), _memo_for)
+        held["key"], held["tables"] = key, (bpe, _Memo(bpe, kind), _Memo(bpe, kind), _memo_for, _found)
     return held["tables"]
 
 
@@ -421,19 +558,16 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     shared = _prepare(docs, tokenizer, text_col, lexicon_words)
 
     def run(batches):
-        bpe, plain, cut, memo_for = _tables(shared.value, _Memo)
+        *tables, found = _tables(shared.value, "ids")
+        bpe = tables[0]
         for batch in _slices(batches):
-            ids, ends = array("i"), [0]
-            for text in _texts(batch, "text"):
-                for special, part in bpe.sections(text):
-                    if special:
-                        ids.append(bpe.added[part])
-                        continue
-                    words = bpe.words(part)
-                    ids.extend(chain.from_iterable(map(memo_for(words, plain, cut).__getitem__, words)))
-                ends.append(len(ids))
+            ids, ends = bytearray(), [0]
+            for sections in found(_texts(batch, "text"), *tables):
+                for special, known in sections:
+                    ids += b"".join(known) if special is None else array("i", [bpe.added[special]]).tobytes()
+                ends.append(len(ids) // 4)
             offsets = pa.array(ends, pa.int32())
-            lists = pa.ListArray.from_arrays(offsets, pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)]))
+            lists = pa.ListArray.from_arrays(offsets, pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(ids)]))
             n = pc.cast(pc.subtract(offsets[1:], offsets[:-1]), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), lists, n], names=["id", "ids", "n_tokens"])
 
@@ -467,22 +601,22 @@ def digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     shared = _prepare(docs, tokenizer, text_col, lexicon_words)
 
     def run(batches):
-        bpe, plain, cut, memo_for = _tables(shared.value, _TextMemo)
+        *tables, found = _tables(shared.value, "texts")
+        bpe = tables[0]
         sha = hashlib.sha256
         for batch in _slices(batches):
             n, first, second = [], [], []
-            for text in _texts(batch, "text"):
+            for sections in found(_texts(batch, "text"), *tables):
                 numbers: list[str] = []
                 tokens: list[str] = []
-                for special, part in bpe.sections(text):
-                    if special:
-                        numbers.append(str(bpe.added[part]))
-                        tokens.append(part)
-                        continue
-                    words = bpe.words(part)
-                    memo = memo_for(words, plain, cut)
-                    numbers += map(memo.__getitem__, words)
-                    tokens += map(memo.tokens.__getitem__, words)
+                for special, known in sections:
+                    if special is not None:
+                        numbers.append(str(bpe.added[special]))
+                        tokens.append(special)
+                    elif known:
+                        a, b = zip(*known)
+                        numbers += a
+                        tokens += b
                 ids = " ".join(numbers)
                 n.append(ids.count(" ") + 1 if ids else 0)
                 first.append(sha(ids.encode()).hexdigest())
