@@ -97,6 +97,26 @@ def test_bpe_merges_side_by_side(monkeypatch):
         assert [" ".join(x) for x in found] == [" ".join(map(str, w)) for w in want]
 
 
+def test_tables_of_bpe_go_with_the_next_operator():
+    import weakref
+
+    import public_tokenizers
+
+    from trendloom.llm import bpe
+    from trendloom.llm.neardup import _sets_with_hubs
+    from trendloom.llm.shared import forget_tables, worker_tables
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    tables = bpe._tables((spec, None), "ids")
+    tables[1].learn(["some", "words,"])
+    assert bpe._tables((spec, None), "ids") is tables
+    gone = [weakref.ref(tables[0]), weakref.ref(tables[1])]
+    del tables
+    assert list(_sets_with_hubs([], 5)) == [] and "tables" not in worker_tables() and [r() for r in gone] == [None, None]
+    forget_tables()  # a second time, and where there are none
+
+
 def test_bpe_decodes_what_it_encodes(spark):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -17,9 +17,7 @@ import json
 import mmap
 import re
 import struct
-import sys
 import tempfile
-import types
 import unicodedata
 import zlib
 from array import array
@@ -34,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.shared import materialise
+from trendloom.llm.shared import forget_tables, materialise, worker_tables
 
 #: The lexicon's most words. It is a cache: any value gives the same ids.
 LEXICON_WORDS = 100_000
@@ -476,10 +474,10 @@ def _tables(shared: tuple[str, bytes | None], kind: str) -> tuple:
     """(tokenizer, table of words, table of cut pieces, choice of a table, the walk over
     texts), kept by a worker process from task to task, so that it learns each word once.
     The functions are kept with them, as every task brings classes of its own."""
-    held = sys.modules.setdefault("trendloom_worker_tables", types.ModuleType("trendloom_worker_tables")).__dict__
+    held = worker_tables()
     key = (kind, *map(hash, shared))
     if held.get("key") != key:
-        held.pop("tables", None)
+        forget_tables()
         bpe = WordBpe(*shared)
         held["key"], held["tables"] = key, (bpe, _Memo(bpe, kind), _Memo(bpe, kind), _memo_for, _found)
     return held["tables"]

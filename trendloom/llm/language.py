@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.shared import hash_share, materialise
+from trendloom.llm.shared import forget_tables, hash_share, materialise
 
 #: About so many training documents are drawn for each language, by a hash of the id.
 SAMPLE = 1000
@@ -130,6 +130,7 @@ def fit(train: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int
     chosen = chosen.where(hash_share(F.col("id"), 9) < F.col("share")).select("id", "lang", "text")
 
     def run(batches):
+        forget_tables()
         for batch in batches:
             found = []
             for t in batch.column("text").to_pylist():
@@ -193,6 +194,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     model = docs.sparkSession.sparkContext.broadcast(fit(docs.where(~held), id_col, text_col, lang_col, sample))
 
     def run(batches):
+        forget_tables()
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 batch = whole.slice(lo, 500)
@@ -221,6 +223,7 @@ def keep_identified(
     model = docs.sparkSession.sparkContext.broadcast(fit(docs.where(~held), id_col, text_col, lang_col, sample))
 
     def run(batches):
+        forget_tables()
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 batch = whole.slice(lo, 500)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.shared import ascii_words, counted, materialise, observed
+from trendloom.llm.shared import ascii_words, counted, forget_tables, materialise, observed
 
 #: The sketch: base, rate and largest value of registers, and their number.
 BASE, RATE, TOP = 1.001, 20.0, 65534
@@ -175,6 +175,7 @@ def sketch(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str =
     import pyarrow as pa
 
     def run(batches):
+        forget_tables()
         words = _WordHash()
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
@@ -230,6 +231,7 @@ def _dealt(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _sets_with_hubs(batches, width: int):
     """For each batch, (a, b, hub's set, own set) of its pairs; a task holds one hub's
     set and one other at a time."""
+    forget_tables()
     words = _WordHash()
     hub, held = None, np.empty(0, np.uint64)
 
