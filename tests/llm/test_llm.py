@@ -215,6 +215,44 @@ def test_quality_base(spark, tables):
         assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (r.base_failed and r.kept)
 
 
+def test_quality_learns_from_all_labels(spark):
+    """Of 60,000 trusted documents every one counts, and the margin is that of all scores."""
+    from trendloom.llm import quality
+
+    docs = spark.range(0, 70_000, numPartitions=16).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    labels = docs.where("doc_id < 66000").select("doc_id", (F.col("doc_id") < 60_000).cast("int").alias("quality"))
+    got, _ = quality.fit(docs, labels, "doc_id", "text", "quality")
+    memo, counts = quality._Buckets(), [[1] * quality.BUCKETS for _ in range(2)]
+    for i in range(70_000):
+        for b in quality.ngram_buckets([b"word", str(i).encode()], memo).tolist():
+            counts[0][b] += 1
+            counts[1][b] += i < 60_000
+    want = [math.log(t / sum(counts[1])) - math.log(r / sum(counts[0])) for r, t in zip(*counts)]
+    assert max(abs(a - b) for a, b in zip(got.tolist(), want)) < 1e-9
+
+
+@pytest.mark.parametrize("kind", ["mixed", "apart", "ties", "good", "bad"])
+def test_quality_margin_against_brute_force(spark, kind):
+    from trendloom.llm.quality import margin_between
+
+    rng = random.Random(kind)
+    rows = [(rng.random() < 0.7, rng.gauss(0, 1)) for _ in range(3000)]
+    rows = {
+        "mixed": [(t, x + t) for t, x in rows], "apart": [(t, x + 20 * t) for t, x in rows], "ties": [(t, float(round(x + t))) for t, x in rows],
+        "good": [(True, x) for _, x in rows], "bad": [(False, x) for _, x in rows],
+    }[kind]
+    got = margin_between(spark.createDataFrame(rows, "trusted boolean, score double").repartition(7))
+    good, bad = sorted(x for t, x in rows if t), sorted(x for t, x in rows if not t)
+    if kind == "bad":
+        assert got == -math.inf
+    elif kind == "good":
+        assert math.isclose(got, good[0] - (sum(good) / len(good) - good[0]) / 2)
+    else:
+        at = sorted({*good, *bad})
+        edges = [at[0] - 1, *((a + b) / 2 for a, b in zip(at, at[1:])), at[-1] + 1]
+        assert got == min(edges, key=lambda e: (sum(x < e for x in good) * len(bad) - sum(x < e for x in bad) * len(good), e))
+
+
 def test_html(spark, tables):
     import html
 

@@ -2,10 +2,9 @@
 raw corpus, beside countable base rules.
 
 Words and pairs of neighbouring words are hashed to ``BUCKETS`` buckets. The raw model
-counts all documents; the target model is fitted to at most about ``LABELLED`` trusted
-ones, drawn by a hash of the id. A document's score is the mean over its n-grams of
-log(target / raw). It is kept if the score reaches the margin that best tells trusted
-from distrusted labelled documents (see ``margin_between``).
+counts all documents, the target model all trusted ones. A document's score is the mean
+over its n-grams of log(target / raw). It is kept if the score reaches the margin that
+best tells all trusted from all distrusted documents (see ``margin_between``).
 """
 
 from __future__ import annotations
@@ -14,14 +13,14 @@ import re
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendloom.llm.shared import ascii_words, hash_share, materialise
+from trendloom.llm.shared import ascii_words, materialise, observed
 
 BUCKETS = 16384
-#: About so many trusted and so many distrusted rows are learned from.
-LABELLED = 50_000
+#: Bits of the filter that most texts without a label don't pass, as a power of two; 1 MB.
+FILTER_BITS = 23
 #: Least words, and most percent of words in repeated windows, of a kept document.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 MEMO_WORDS = 400_000
@@ -88,26 +87,35 @@ def _bytes(batch) -> list[bytes]:
     return [b"" if t is None else t for t in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
-def _bucket_counts(docs: DataFrame) -> DataFrame:
-    """(bucket, raw, target) from docs(text, trusted): two vectors for each task, whose
-    nonzero places are added up by bucket."""
+def _bucket_counts(texts: DataFrame, name: str) -> DataFrame:
+    """(bucket, name) from texts(text): a vector for each task, whose nonzero places are
+    added up by bucket."""
     import pyarrow as pa
 
     def run(batches):
         memo = _Buckets()
-        counts = np.zeros((2, BUCKETS), np.int64)
+        counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for text, trusted in zip(_bytes(batch), batch.column("trusted").to_pylist()):
+            for text in _bytes(batch):
                 words = ascii_words(text)
                 if words:
-                    found = np.bincount(ngram_buckets(words, memo), minlength=BUCKETS)
-                    counts[0] += found
-                    if trusted:
-                        counts[1] += found
-        at = np.flatnonzero(counts[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(c[at]) for c in counts)], names=["bucket", "raw", "target"])
+                    counts += np.bincount(ngram_buckets(words, memo), minlength=BUCKETS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bucket", "n"])
+
+    return texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias(name))
+
 
-    return docs.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+def _with_marks(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """text, trusted of all texts(id, text) that have a mark. A filter of bits, whose size
+    is bounded, holds back most others; the join, which is of one kind at every size,
+    decides."""
+    place = F.expr(f"pmod(xxhash64(id), {1 << FILTER_BITS})")
+    bits = marks.select(place.alias("at")).groupBy(F.shiftright("at", 15).alias("block")).agg(F.expr("bitmap_construct_agg(at & 32767)").alias("bits"))
+    byte = "cast(conv(hex(substr(bits, cast((at & 32767) div 8 + 1 as int), 1)), 16, 10) as int)"
+    passed = texts.withColumn("at", place).withColumn("block", F.shiftright("at", 15)).join(F.broadcast(bits), "block")
+    passed = passed.where(f"(shiftright({byte}, cast(at % 8 as int)) & 1) = 1").select("id", "text")
+    return passed.join(marks.hint("merge"), "id").select("text", "trusted")
 
 
 def log_ratio(rows: list) -> np.ndarray:
@@ -119,19 +127,38 @@ def log_ratio(rows: list) -> np.ndarray:
     return target - raw
 
 
-def margin_between(good: np.ndarray, bad: np.ndarray) -> float:
-    """The threshold with the least share of good scores under it plus share of bad ones
-    at or over it: the middle of the first best gap between neighbouring scores. Without
-    bad scores, half the distance between the least and the mean good one below the
-    least; without good ones, minus infinity."""
-    if not len(good):
+def margin_between(scored: DataFrame) -> float:
+    """From scored(trusted, score), the threshold with the least share of good scores
+    under it plus share of bad ones at or over it: the middle of the first best gap
+    between neighbouring scores, or 1 below the least. Without bad scores, half the
+    distance between the least and the mean good one below the least; without good ones,
+    minus infinity. Scores are sorted in ranges; the driver gets a row for each range."""
+    scored, seen = observed(
+        scored, F.count_if("trusted").alias("good"), F.count_if(~F.col("trusted")).alias("bad"),
+        F.min(F.when(F.col("trusted"), F.col("score"))).alias("least"), F.avg(F.when(F.col("trusted"), F.col("score"))).alias("mean"),
+    )
+    good, bad = seen["good"], seen["bad"]
+    if not good:
         return -np.inf
-    if not len(bad):
-        return float(good.min() - (good.mean() - good.min()) / 2)
-    at = np.unique(np.concatenate([good, bad]))
-    edges = np.concatenate([[at[0] - 1], (at[:-1] + at[1:]) / 2, [at[-1] + 1]])
-    wrong = np.searchsorted(np.sort(good), edges) / len(good) + 1 - np.searchsorted(np.sort(bad), edges) / len(bad)
-    return float(edges[wrong.argmin()])
+    if not bad:
+        return seen["least"] - (seen["mean"] - seen["least"]) / 2
+    each = scored.groupBy("score").agg(F.count_if("trusted").alias("good"), F.count_if(~F.col("trusted")).alias("bad"))
+    each = materialise(each.repartitionByRange("score").withColumn("part", F.spark_partition_id()))
+    parts = each.groupBy("part").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.max("score").alias("last")).orderBy("part").collect()
+    before, sums = [], (0, 0, None)
+    for r in parts:
+        before.append((r["part"], *sums))
+        sums = (sums[0] + r["good"], sums[1] + r["bad"], r["last"])
+    before = scored.sparkSession.createDataFrame(before, "part int, good_before long, bad_before long, last double")
+    order = Window.partitionBy("part").orderBy("score")
+    under = order.rowsBetween(Window.unboundedPreceding, -1)
+    below = lambda kind: F.coalesce(F.sum(kind).over(under), F.lit(0)) + F.col(f"{kind}_before")
+    rows = each.join(F.broadcast(before), "part").select(  # a row for each range
+        "score", below("good").alias("g"), below("bad").alias("b"), F.coalesce(F.lag("score").over(order), "last").alias("prior")
+    )
+    edge = F.coalesce((F.col("prior") + F.col("score")) / 2, F.col("score") - 1)
+    wrong = F.col("g").cast("decimal(19,0)") * bad - F.col("b").cast("decimal(19,0)") * good
+    return rows.agg(F.min(F.struct(wrong.alias("wrong"), edge.alias("edge")))["edge"]).first()[0]
 
 
 def _scores(words: list[bytes], memo: _Buckets, ratio: np.ndarray) -> float:
@@ -142,24 +169,23 @@ def _failed(counts: tuple) -> bool:
     return counts[0] < LEAST_WORDS or 100 * counts[4] > MOST_REPEATED * counts[0]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, trust_col: str, labelled: int = LABELLED) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, trust_col: str) -> tuple[np.ndarray, float]:
     """log(target / raw) of each bucket and the margin; zeros and minus infinity if
-    nothing is trusted. An id with several labels is trusted if one says so. Only ids of
-    the drawn labels are moved, ``labelled`` of each kind or so; the driver gets a number
-    for each bucket and a score for each drawn document that passes the base rules."""
+    nothing is trusted. An id with several labels is trusted if one says so. All labelled
+    texts are learned from; they, and few others, are moved once. The driver gets a
+    number for each bucket and a row for each range of scores."""
     import pyarrow as pa
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    marks = labels.select(F.col(id_col).alias("id"), (F.col(trust_col) == 1).alias("trusted")).where("id is not null and trusted is not null")
+    own = F.col(id_col).try_cast(docs.schema[id_col].dataType)  # equal ids of two types would have two hashes
+    marks = labels.select(own.alias("id"), (F.col(trust_col) == 1).alias("trusted")).where("id is not null and trusted is not null")
     marks = materialise(marks.groupBy("id").agg(F.max("trusted").alias("trusted")))
-    there = {r["trusted"]: r["count"] for r in marks.groupBy("trusted").count().collect()}
-    if not there.get(True):
+    if marks.where("trusted").isEmpty():
         return np.zeros(BUCKETS), -np.inf
-    share = F.when(F.col("trusted"), min(1.0, labelled / there[True])).otherwise(min(1.0, labelled / there.get(False, 1)))
-    marks = F.broadcast(marks.where(hash_share(F.col("id"), 4) < share))  # 2 * labelled rows expected
-    marked = texts.join(marks, "id", "left").select("text", "trusted")
-    spark = docs.sparkSession
-    ratio = spark.sparkContext.broadcast(log_ratio(_bucket_counts(marked).collect()))
+    marked = materialise(_with_marks(texts, marks))
+    target = _bucket_counts(marked.where("trusted").select("text"), "target")
+    counts = _bucket_counts(texts.select("text"), "raw").join(target, "bucket", "left").fillna(0, ["target"])
+    ratio = docs.sparkSession.sparkContext.broadcast(log_ratio(counts.collect()))
 
     def run(batches):
         memo = _Buckets()
@@ -171,9 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, trust_co
                     out.append((trusted, _scores(words, memo, ratio.value)))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.bool_()), pa.array([x[1] for x in out], pa.float64())], names=["trusted", "score"])
 
-    rows = marked.where("trusted is not null").mapInArrow(run, "trusted boolean, score double").collect()
-    scores = {kind: np.array([r["score"] for r in rows if r["trusted"] == kind]) for kind in (True, False)}
-    return ratio.value, margin_between(scores[True], scores[False])
+    return ratio.value, margin_between(marked.mapInArrow(run, "trusted boolean, score double"))
 
 
 def judge(
