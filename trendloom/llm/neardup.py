@@ -45,7 +45,7 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 #: Distinct words whose hashes a task remembers.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 100_000
 #: A hub's members are dealt to tasks in parts of about so many.
 HUB_PART = 64
 #: At most so many members that share an element are paired with each other directly.
