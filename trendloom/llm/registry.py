@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trendloom.llm.shared import table
 
@@ -75,6 +76,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trendloom.llm.substring import remove_repeats
+
+    rows = remove_repeats(table(spark, sf_dir, "documents"), window=35)
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trendloom.llm.divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trendloom.llm.merkle import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,9 +113,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_duplicates": op8_near_duplicates,
         "op9_language": op9_language,
         "op10_decontamination": op10_decontamination,
+        "op11_substring_dedup": op11_substring_dedup,
+        "op12_divergence": op12_divergence,
+        "op13_merkle": op13_merkle,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from trendloom.llm.oracles import SQL
+
+    return SQL
