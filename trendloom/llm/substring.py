@@ -107,7 +107,7 @@ def _messages(x, y, weight, asks, k1, k2, at, parts: int, chunk: int):
 
 
 def _settled(table: pa.Table) -> pa.Table:
-    """k1, k2, places of one part: those that ask and whose hash is somewhere else too."""
+    """k1, k2, place of one part: those that ask and whose hash is somewhere else too."""
     kind = table["kind"].to_numpy()
     get = lambda name, which, kind_of: np.frombuffer(b"".join(v.as_py() or b"" for v, k in zip(table[name], kind) if k in which), kind_of)
     x = [get("x", {k}, np.uint64) for k in (PROBE, SEVERAL, ASK)]
@@ -117,13 +117,7 @@ def _settled(table: pa.Table) -> pa.Table:
     total = _same(np.concatenate(x), np.concatenate(y) if wide else None, weight)
     found = total[len(x[0]) + len(x[1]) :] >= 2
     place = [np.concatenate([get(c, {ASK}, t)[found], get(c, {DONE}, t)]) for c, t in (("k1", np.int64), ("k2", np.int64), ("at", np.int32))]
-    order = np.lexsort(place[::-1])
-    k1, k2, at = (v[order] for v in place)
-    new = np.ones(len(k1), bool)
-    new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-    starts = np.flatnonzero(new)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(k1)), pa.int32()), pa.array(at, pa.int32()))
-    return pa.table([pa.array(k1[starts], pa.int64()), pa.array(k2[starts], pa.int64()), lists], names=["k1", "k2", "places"])
+    return pa.table([pa.array(v) for v in place], names=["k1", "k2", "place"])
 
 
 def _chunks(batches, names: tuple[str, ...]):
@@ -199,8 +193,8 @@ def _extend_hits(block: int, window: int, parts: int):
 
 def _answers(messages: DataFrame) -> DataFrame:
     """k1, k2, places: a row for each text with any."""
-    parts = messages.groupBy("q").applyInArrow(lambda table: _settled(table), "k1 long, k2 long, places array<int>")
-    return materialise(parts.groupBy("k1", "k2").agg(F.flatten(F.collect_list("places")).alias("places")))
+    places = messages.groupBy("q").applyInArrow(lambda table: _settled(table), "k1 long, k2 long, place int")
+    return materialise(places.groupBy("k1", "k2").agg(F.collect_list("place").alias("places")))
 
 
 def _joined(docs: DataFrame, found: DataFrame, hot: DataFrame, how: str) -> DataFrame:
