@@ -191,9 +191,9 @@ def _extend_hits(block: int, window: int, parts: int):
     return run
 
 
-def _answers(messages: DataFrame) -> DataFrame:
-    """k1, k2, places: a row for each text with any."""
-    places = messages.groupBy("q").applyInArrow(lambda table: _settled(table), "k1 long, k2 long, place int")
+def _answers(messages: DataFrame, parts: int) -> DataFrame:
+    """k1, k2, places: a row for each text with any. Every part is a partition."""
+    places = messages.repartition(parts, "q").groupBy("q").applyInArrow(lambda table: _settled(table), "k1 long, k2 long, place int")
     return materialise(places.groupBy("k1", "k2").agg(F.collect_list("place").alias("places")))
 
 
@@ -254,9 +254,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     hot, _ = counted(counts.groupBy("k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") > most).select("k1", "k2", F.ceil(F.col("n") / most).alias("salts")))
     hashed = F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h")
 
-    blocks = _answers(rows.select("k1", "k2", hashed).mapInArrow(_probe_blocks(block, parts), MESSAGE))
+    blocks = _answers(rows.select("k1", "k2", hashed).mapInArrow(_probe_blocks(block, parts), MESSAGE), parts)
     near = _joined(rows.select("k1", "k2", "text"), blocks, hot, "inner")
-    repeats = _answers(near.select("k1", "k2", "places", hashed).mapInArrow(_extend_hits(block, window, parts), MESSAGE))
+    repeats = _answers(near.select("k1", "k2", "places", hashed).mapInArrow(_extend_hits(block, window, parts), MESSAGE), parts)
 
     every = _joined(rows, repeats, hot, "left").select("id", "text", "places")
     kind = docs.schema[id_col].dataType.simpleString()
