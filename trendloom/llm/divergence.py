@@ -126,10 +126,9 @@ def divergence(docs: DataFrame, least_docs: int = 10, top: int = 10, text: str =
     Equal values are ranked by item, in the order of its bytes. A language without terms
     in ``least_docs`` documents has pairs of value 0; a lone source has none. An empty
     table gives no rows; other columns aren't read."""
-    spark = docs.sparkSession
     rows = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for n, c in (("text", text), ("lang", lang), ("source", source))])
     groups, seen = observed(rows.groupBy("lang", "source").agg(F.sum(F.octet_length("text")).alias("b")), F.sum("b").alias("bytes"))
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (seen["bytes"] or 0) // SHARD_BYTES + 1)
+    shards = (seen["bytes"] or 0) // SHARD_BYTES + 1
     kind = "lang string, source string, term string, n long"
     counts = rows.mapInArrow(_counts, f"{kind}, docs long").repartition(shards, "lang", "term")
     kept = materialise(counts.mapInArrow(_kept(least_docs), kind))
