@@ -46,22 +46,36 @@ def hard_chunks(text: Column, size: int = 450, overlap: int = 60) -> Column:
     return F.filter(every, lambda c: c != "")
 
 
+#: Sentences that are packed before their chunks join those of the text.
+BLOCK = 64
+
+
 def packed_chunks(text: Column, size: int = 450, overlap: int = 60) -> Column:
     """A text of up to size characters whole; of a longer one, sentences in a row packed
-    into chunks of up to size, and longer sentences in hard chunks."""
+    into chunks of up to size, and longer sentences in hard chunks. Chunks are gathered in
+    blocks, so the work grows with the text."""
 
     def pack(state: Column, s: Column) -> Column:
         done, now = state["done"], state["now"]
         flushed = F.when(now == "", done).otherwise(F.concat(done, F.array(now)))
-        both = F.when(now == "", s).otherwise(F.concat_ws(" ", now, s))
-        fits = F.length(both) <= size
         long = F.struct(F.concat(flushed, hard_chunks(s, size, overlap)).alias("done"), F.lit("").alias("now"))
-        short = F.struct(F.when(fits, done).otherwise(flushed).alias("done"), F.when(fits, both).otherwise(s).alias("now"))
-        return F.when(F.length(s) > size, long).otherwise(short)
-
-    none = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
-    packed = F.aggregate(sentences(text), none, pack, lambda st: F.when(st["now"] == "", st["done"]).otherwise(F.concat(st["done"], F.array(st["now"]))))
-    return F.when(F.length(text) <= size, F.filter(F.array(text), lambda c: c != "")).otherwise(packed)
+        first = F.struct(done.alias("done"), s.alias("now"))
+        more = F.struct(done.alias("done"), F.concat(now, F.lit(" "), s).alias("now"))
+        other = F.struct(F.concat(done, F.array(now)).alias("done"), s.alias("now"))
+        return F.when(F.length(s) > size, long).when(now == "", first).when(F.length(now) + 1 + F.length(s) <= size, more).otherwise(other)
+
+    def block(state: Column, some: Column) -> Column:
+        none = F.struct(F.array().cast("array<string>").alias("done"), state["now"].alias("now"))
+        joined = lambda r: F.struct(F.concat(state["done"], F.array(r["done"])).alias("done"), r["now"].alias("now"))
+        return _once(F.aggregate(some, none, pack), joined)
+
+    def packed(t: Column) -> Column:
+        blocks = _once(sentences(t), lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1)), F.lit(BLOCK)), lambda i: F.slice(s, i, F.lit(BLOCK))))
+        none = F.struct(F.array().cast("array<array<string>>").alias("done"), F.lit("").alias("now"))
+        last = lambda st: F.when(st["now"] == "", F.flatten(st["done"])).otherwise(F.concat(F.flatten(st["done"]), F.array(st["now"])))
+        return F.aggregate(blocks, none, block, last)
+
+    return _once(text, lambda t: F.when(F.length(t) <= size, F.filter(F.array(t), lambda c: c != "")).otherwise(packed(t)))
 
 
 def capped(chunks: Column, most: int = 6) -> Column:

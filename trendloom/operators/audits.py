@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trendloom.functions.text import content_words
 from trendloom.functions.vectors import dot, unit
-from trendloom.operators.records import page
+from trendloom.operators.records import numbered, page
 
 #: Most vectors that a drift is measured between.
 PROBES, ANCHORS = 2000, 5000
@@ -71,9 +71,9 @@ def quota_sample(rows: DataFrame, scope: str, order: list[str], record: str, siz
         remaining -= quotas[name]
     spark = rows.sparkSession
     table = spark.createDataFrame([(name, quotas[name], n) for n, name in counts if quotas[name]], rows.select(scope, F.lit(0).cast("long").alias("_q"), F.lit(0).cast("long").alias("_n")).schema)
-    numbered = rows.join(F.broadcast(table), scope).withColumn("_i", F.row_number().over(Window.partitionBy(scope).orderBy(*order)) - 1)  # a row for each scope
+    placed = numbered(rows, order, scope).drop("_n").join(F.broadcast(table), scope)  # a row for each scope
     bucket = F.expr("if(_i < _n % _q * (_n div _q + 1), _i div (_n div _q + 1), _n % _q + (_i - _n % _q * (_n div _q + 1)) div (_n div _q))")
-    return numbered.groupBy(scope, bucket.alias("bucket")).agg(F.min(record).alias(record))
+    return placed.groupBy(scope, bucket.alias("bucket")).agg(F.min(record).alias(record))
 
 
 def drift(probes: DataFrame, anchors: DataFrame, key: str, vector: str) -> DataFrame:

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendloom.functions.vectors import dot, unit
+from trendloom.functions.vectors import dot
+from trendloom.sources.stored import stored
 
 
-#: Topics whose centroids are sent to every task; more are joined.
-SENT_TOPICS = 20_000
+#: Bytes of centroids that are sent to every task; more are dealt in blocks of so many bytes,
+#: each of which meets the segments in pieces of so many rows.
+SENT_BYTES, PIECE_ROWS = 32 << 20, 16_384
 
 
 def resolve_scope(segments: DataFrame, topics: DataFrame, scope: str, pools: tuple[str, ...]) -> DataFrame:
@@ -22,79 +25,152 @@ def resolve_scope(segments: DataFrame, topics: DataFrame, scope: str, pools: tup
     return rows.withColumn("scope_key", F.coalesce("_s", "_p")).drop("_s", "_p")
 
 
-def _best_by_join(segments: DataFrame, topics: DataFrame, scope: str | None, pools: tuple[str, ...], k: int) -> DataFrame:
-    """The best k of each segment, by an equi-join on the scope: for any number of topics."""
+def _matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors as rows of unit length, and which of them are there at all."""
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    there = vectors.is_valid().to_numpy(zero_copy_only=False)
+    flat = vectors.drop_null().flatten().to_numpy(zero_copy_only=False).astype(float)
+    out = np.zeros((len(vectors), len(flat) // max(there.sum(), 1)))
+    out[there] = flat.reshape(there.sum(), -1)
+    return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-12), there
+
+
+def _best(similarities: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and values of the k best of each row, ties to the lesser column."""
+    k = min(k, similarities.shape[1])
+    if k > 16:
+        at = np.argsort(-similarities, axis=1, kind="stable")[:, :k]
+        return at, np.take_along_axis(similarities, at, axis=1)
+    left, rows, found = similarities.copy(), np.arange(len(similarities)), []
+    for _ in range(k):
+        at = left.argmax(axis=1)
+        found.append(at)
+        left[rows, at] = -np.inf
+    at = np.stack(found, axis=1)
+    return at, np.take_along_axis(similarities, at, axis=1)
+
+
+def _accepted(values: np.ndarray, threshold: float, margin: float) -> np.ndarray:
+    """Which of the descending values count: the best from threshold on, and others that
+    do too and are within margin of it."""
+    return (values >= threshold) & (values >= values[:, :1] - margin)
+
+
+def _by_scope(own: list | None, columns: dict, pooled: np.ndarray, n: int):
+    """(rows, columns) of each scope: the columns of the topics that these rows see."""
+    if own is None:
+        yield np.arange(n), columns[None] if columns else np.zeros(0, int)
+        return
+    groups: dict = {}
+    for i, name in enumerate(own):
+        groups.setdefault(name if name in columns else None, []).append(i)
+    for name, rows in groups.items():
+        yield np.array(rows), columns[name] if name in columns else pooled
+
+
+def _assign_sent(rows: DataFrame, names: pa.Array, scopes: list, matrix: np.ndarray, scope: str | None, pools: tuple[str, ...], k: int, threshold: float, margin: float, schema: str) -> DataFrame:
+    """All topics in every task: one product of matrices for each batch and scope, settled
+    in the batch."""
+    by: dict = {}
+    for column, name in enumerate(scopes):
+        by.setdefault(name, []).append(column)
+    columns = {name: np.array(c) for name, c in by.items()}
+    pooled = np.array(sorted(c for p in pools for c in by.get(p, [])), int)
+
+    def run(batches):
+        for batch in batches:
+            v, there = _matrix(batch.column("_v"))
+            at, topic, value, rank = [], [], [], []
+            for rows_of, seen in _by_scope(batch.column("_s").to_pylist() if scope else None, columns, pooled, len(v)):
+                can = there[rows_of] if len(seen) else np.zeros(len(rows_of), bool)
+                best = np.full(len(rows_of), -1.0)
+                none = ~can
+                if can.any():
+                    found, values = _best(v[rows_of[can]] @ matrix[seen].T, k)
+                    keep = _accepted(values, threshold, margin)
+                    best[can] = values[:, 0]
+                    none[can] = ~keep[:, 0]
+                    i, r = np.nonzero(keep)
+                    at.append(rows_of[can][i]), topic.append(seen[found[i, r]]), value.append(values[i, r]), rank.append(r + 1)
+                at.append(rows_of[none]), topic.append(np.full(none.sum(), -1)), value.append(best[none]), rank.append(np.ones(none.sum(), int))
+            at, topic, value, rank = (np.concatenate(x) if x else np.zeros(0, int) for x in (at, topic, value, rank))
+            picked = pa.array(topic, pa.int64(), mask=topic < 0)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_id").take(pa.array(at, pa.int64())), names.take(picked), pa.array(value, pa.float64()), pa.array(rank, pa.int32())],
+                names=["_id", "topic_id", "similarity", "rank"],
+            )
+
+    return rows.mapInArrow(run, schema)
+
+
+def _assign_dealt(rows: DataFrame, topics: DataFrame, total_bytes: int, scope: str | None, pools: tuple[str, ...], k: int, threshold: float, margin: float) -> DataFrame:
+    """Topics beyond SENT_BYTES: blocks of a scope's topics meet pieces of its segments.
+    Each meeting gives the best k of its block; those of all blocks are merged."""
+    blocks = total_bytes // SENT_BYTES + 1
+    rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()))  # rows are told apart by it from here on
     if scope:
-        topics = topics.withColumn("scope_key", F.when(F.col(scope).isin(*pools), pools[0]).otherwise(F.col(scope))).drop(scope)
-        pairs = resolve_scope(segments, topics.withColumn(scope, F.col("scope_key")), scope, pools).drop(scope).join(topics, "scope_key", "left")
+        topics = topics.withColumn("_s", F.when(F.col("_s").isin(*pools), pools[0]).otherwise(F.col("_s")))
+        placed = resolve_scope(rows, topics, "_s", pools).withColumn("_s", F.col("scope_key"))
     else:
-        pairs = segments.withColumn("_one", F.lit(1)).join(topics.withColumn("_one", F.lit(1)), "_one", "left")
-    scored = pairs.select("_id", "topic_id", F.coalesce(dot(unit(F.col("_v")), F.col("centroid")), F.lit(-1.0)).alias("similarity"))
-    order = Window.partitionBy("_id").orderBy(F.desc("similarity"), "topic_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _best_by_matrix(segments: DataFrame, names: list, scopes: list, matrix: np.ndarray, scope: str | None, pools: tuple[str, ...], k: int, kinds: tuple[str, str]) -> DataFrame:
-    """The best k of each segment: one product of matrices for each batch, no shuffle."""
-    import pandas as pd
-
-    order = np.argsort(np.array(names, object), kind="stable")
-    names, matrix = [names[i] for i in order], matrix[order]
-    allowed: dict = {}
-    for column, i in enumerate(order):
-        allowed.setdefault(scopes[i], []).append(column)
-    pooled = sorted(c for p in pools for c in allowed.get(p, []))
-
-    def run(tables):
-        for table in tables:
-            for lo in range(0, len(table), 4096):
-                part = table.iloc[lo : lo + 4096]
-                v = np.stack([np.asarray(x, float) for x in part["_v"]]) if len(part) else np.zeros((0, matrix.shape[1]))
-                sims = v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12) @ matrix.T
-                rows = []
-                for i, (key, own) in enumerate(zip(part["_id"], part[scope] if scope else part["_id"])):
-                    columns = np.array((allowed.get(own) or pooled) if scope else range(len(names)), int)
-                    if not len(columns):
-                        rows.append((key, None, -1.0, 1))
-                        continue
-                    best = columns[np.argsort(-sims[i, columns], kind="stable")[:k]]
-                    rows += [(key, names[c], float(sims[i, c]), r + 1) for r, c in enumerate(best)]
-                yield pd.DataFrame(rows, columns=["_id", "topic_id", "similarity", "rank"])
-
-    return segments.mapInPandas(run, f"_id {kinds[0]}, topic_id {kinds[1]}, similarity double, rank int")
+        topics, placed = topics.withColumn("_s", F.lit("")), rows.withColumn("_s", F.lit(""))
+    topics = topics.withColumn("_b", F.pmod(F.xxhash64("topic_id"), F.lit(blocks)))
+    pieces = rows.agg(F.count("*")).first()[0] // PIECE_ROWS + 1
+    placed = placed.withColumn("_p", F.pmod(F.xxhash64("_row"), F.lit(pieces)))
+    there = topics.groupBy("_s", "_b").agg(F.count("*").alias("_n")).drop("_n")
+    left = placed.where("_v is not null").select("_row", "_s", "_p", "_v").join(F.broadcast(there), "_s")  # a row for each block
+    right = topics.join(placed.select("_s", "_p").distinct(), "_s").select("_s", "_b", "_p", "topic_id", "centroid")
+
+    def meet(part: pa.Table, block: pa.Table) -> pa.Table:
+        names = pa.array([], pa.int64())
+        if part.num_rows and block.num_rows:
+            block = block.sort_by("topic_id")
+            v, _ = _matrix(part["_v"])
+            matrix = np.array(block["centroid"].to_pylist(), float)
+            found, values = _best(v @ matrix.T, k)
+            i = np.repeat(np.arange(len(v)), found.shape[1])
+            return pa.table({"_row": part["_row"].take(pa.array(i)), "topic_id": block["topic_id"].take(pa.array(found.ravel())), "similarity": pa.array(values.ravel())})
+        return pa.table({"_row": names, "topic_id": block["topic_id"].slice(0, 0), "similarity": pa.array([], pa.float64())})
+
+    kind = topics.schema["topic_id"].dataType.simpleString()
+    keys = ["_s", "_b", "_p"]
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, f"_row long, topic_id {kind}, similarity double")
+    order = Window.partitionBy("_row").orderBy(F.desc("similarity"), "topic_id")  # blocks times k rows
+    ranked = met.withColumns({"rank": F.row_number().over(order), "_best": F.max("similarity").over(Window.partitionBy("_row"))}).where(F.col("rank") <= k)
+    fits = (F.col("similarity") >= threshold) & (F.col("similarity") >= F.col("_best") - margin)
+    kept = ranked.where(fits | (F.col("rank") == 1)).withColumn("topic_id", F.when(fits, F.col("topic_id"))).drop("_best")
+    out = rows.select("_row", "_id").join(kept, "_row", "left")
+    return out.select("_id", "topic_id", F.coalesce("similarity", F.lit(-1.0)).alias("similarity"), F.coalesce("rank", F.lit(1)).cast("int").alias("rank"))
 
 
 def assign_topics(
     segments: DataFrame, topics: DataFrame, segment_id: str, vector: str, threshold: float, k: int = 2, margin: float = 0.05, scope: str | None = None,
     pools: tuple[str, ...] = ("__POOL__",),
 ) -> DataFrame:
-    """segment_id, topic_id, similarity, rank, assignment_type: the best topic if it
-    reaches threshold and up to k - 1 more, as long as each does and is within margin of
-    the best (EXISTING); else one row without a topic, with the best similarity
+    """segment_id, topic_id, similarity, rank, assignment_type of every row: the best
+    topic if it reaches threshold and up to k - 1 more, as long as each does and is within
+    margin of the best (EXISTING); else one row without a topic, with the best similarity
     (UNASSIGNED). topics has topic_id and centroid (of unit length), and the scope if
     named: a segment sees the topics of its scope, those of the pools if that has none,
-    and none (similarity -1) if they have none either. Ties go to the lesser topic_id.
-
-    Up to SENT_TOPICS centroids are sent to the tasks; more are joined."""
-    rows = segments.select(F.col(segment_id).alias("_id"), F.col(vector).alias("_v"), *([F.col(scope).cast("string").alias(scope)] if scope else []))
-    topics = topics.select("topic_id", "centroid", *([F.col(scope).cast("string").alias(scope)] if scope else []))
-    few = topics.limit(SENT_TOPICS + 1).collect()
-    if len(few) > SENT_TOPICS:
-        best = _best_by_join(rows, topics, scope, pools, k)
+    and none (similarity -1) if they have none either. A null vector sees none. Ties go to
+    the lesser topic_id. Rows that repeat a segment_id are assigned each for itself.
+
+    Centroids of up to SENT_BYTES are sent to the tasks; more are dealt in blocks, under
+    the same rule."""
+    text = lambda c: F.col(c).cast("string").alias("_s")
+    rows = segments.select(F.col(segment_id).alias("_id"), F.col(vector).alias("_v"), *([text(scope)] if scope else []))
+    topics = topics.select("topic_id", "centroid", *([text(scope)] if scope else []))
+    size = topics.agg(F.sum(F.size("centroid").cast("long") * 8 + 64)).first()[0] or 0
+    if size > SENT_BYTES:
+        out = _assign_dealt(rows, topics, size, scope, pools, k, threshold, margin)
     else:
-        matrix = np.array([t["centroid"] for t in few], float).reshape(len(few), -1)
+        few = topics.orderBy("topic_id").toArrow()  # SENT_BYTES at most
+        matrix = np.array(few["centroid"].to_pylist(), float).reshape(few.num_rows, -1)
         kinds = (segments.schema[segment_id].dataType.simpleString(), topics.schema["topic_id"].dataType.simpleString())
-        best = _best_by_matrix(rows, [t["topic_id"] for t in few], [t[scope] if scope else None for t in few], matrix, scope, pools, k, kinds)
-    lists = best.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("rank", "similarity", "topic_id"))).alias("b"))  # k at most
-    first = F.col("b")[0]["similarity"]
-    fits = lambda x: (x["similarity"] >= threshold) & ((x["rank"] == 1) | (x["similarity"] >= first - margin))
-    none = F.array(F.struct(F.lit(1).alias("rank"), first.alias("similarity"), F.lit(None).cast(topics.schema["topic_id"].dataType).alias("topic_id")))
-    kept = F.filter("b", fits)
-    out = lists.select("_id", F.explode(F.when(F.size(kept) > 0, kept).otherwise(none)).alias("x"))
-    return out.select(
-        F.col("_id").alias(segment_id), "x.topic_id", "x.similarity", F.col("x.rank").cast("int").alias("rank"),
-        F.when(F.col("x.topic_id").isNull(), "UNASSIGNED").otherwise("EXISTING").alias("assignment_type"),
-    )
+        schema = f"_id {kinds[0]}, topic_id {kinds[1]}, similarity double, rank int"
+        scopes = few["_s"].to_pylist() if scope else [None] * few.num_rows
+        out = _assign_sent(rows, few["topic_id"].combine_chunks(), scopes, matrix, "_s" if scope else None, pools, k, threshold, margin, schema)
+    kind = F.when(F.col("topic_id").isNull(), "UNASSIGNED").otherwise("EXISTING")
+    return out.select(F.col("_id").alias(segment_id), "topic_id", "similarity", "rank", kind.alias("assignment_type"))
 
 
 def topic_pairs(topics: DataFrame, least: float, scope: str | None = None) -> DataFrame:

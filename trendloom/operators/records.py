@@ -5,11 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendloom.sources.stored import stored
+
 
 def keep_last(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """One row for each key: the last by order."""
-    last = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+    """One row for each key: the last by order, nulls before all. Tasks reduce their own
+    rows first, so a frequent key moves one row for each task."""
+    rest = [c for c in rows.columns if c != key]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    return last.select(key, "_r.*").select(rows.columns)
+
+
+def numbered(rows: DataFrame, order: list[Column | str], scope: str | None = None) -> DataFrame:
+    """A written table: rows with _i, their place (from 0) in order, and _n, how many there
+    are, in the whole or in their scope. Ranges are sorted in parallel and only their sizes
+    meet, so a scope with a third of all rows is no task of its own."""
+    keys = [*([scope] if scope else []), *order]
+    spread = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    spread = stored(spread.withColumns({"_p": F.spark_partition_id(), "_k": F.monotonically_increasing_id() % F.lit(1 << 33)}))
+    by = F.col(scope) if scope else F.lit(0)
+    parts = spread.groupBy("_p", by.alias("_s")).agg(F.count("*").alias("_c"), F.min("_k").alias("_f"))
+    upto = F.sum("_c").over(Window.partitionBy("_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))  # a row for each partition and scope
+    starts = parts.select(F.col("_p").alias("_q"), "_s", "_f", (upto - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy("_s")).alias("_n"))
+    out = spread.join(starts, (F.col("_p") == F.col("_q")) & (by.eqNullSafe(F.col("_s"))))
+    return out.withColumn("_i", F.col("_before") + F.col("_k") - F.col("_f")).select(*rows.columns, "_i", "_n")
 
 
 def pool_small(rows: DataFrame, scope: str, record: str, least: int = 80, pool: str = "__POOL__") -> DataFrame:
@@ -28,24 +47,18 @@ def dominant(rows: DataFrame, key: str, value: str) -> DataFrame:
 def systematic_sample(rows: DataFrame, scope: str, order: list[str], share: float) -> DataFrame:
     """Evenly spaced rows of each scope in order: indices floor(i * n / m) for
     m = ceil(share * n)."""
-    at, n = Window.partitionBy(scope).orderBy(*order), Window.partitionBy(scope)
-    numbered = rows.withColumns({"_i": F.row_number().over(at) - 1, "_n": F.count("*").over(n)}).withColumn("_m", F.ceil(F.col("_n") * share))
+    rows = numbered(rows, order, scope).withColumn("_m", F.ceil(F.col("_n") * share))
     first = F.ceil(F.col("_i") * F.col("_m") / F.col("_n"))  # least j with floor(j * n / m) >= i
     taken = (F.floor(first * F.col("_n") / F.col("_m")) == F.col("_i")) & (first < F.col("_m"))
-    return numbered.where(taken).drop("_i", "_n", "_m")
+    return rows.where(taken).drop("_i", "_n", "_m")
 
 
 def equal_chunks(rows: DataFrame, order: list[Column | str], chunks: int) -> DataFrame:
     """Adds chunk: contiguous slices of n div chunks rows, the last with the rest. A
-    global order is part of the meaning; ranges are sorted in parallel and only their
-    sizes meet."""
-    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_k": F.monotonically_increasing_id() % F.lit(1 << 33)})
-    before = spread.groupBy("_p").agg(F.count("*").alias("_c"))
-    total = F.sum("_c").over(Window.partitionBy())
-    starts = before.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_s"), total.alias("_t"))
-    out = spread.join(F.broadcast(starts), "_p")  # a row for each partition
-    size = F.greatest(F.floor(F.col("_t") / chunks), F.lit(1))
-    return out.withColumn("chunk", F.least(F.floor((F.col("_s") + F.col("_k")) / size), F.lit(chunks - 1)).cast("int")).drop("_p", "_k", "_s", "_t")
+    global order is part of the meaning."""
+    rows = numbered(rows, order)
+    size = F.greatest(F.floor(F.col("_n") / chunks), F.lit(1))
+    return rows.withColumn("chunk", F.least(F.floor(F.col("_i") / size), F.lit(chunks - 1)).cast("int")).drop("_i", "_n")
 
 
 def compare_ids(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

@@ -78,11 +78,13 @@ def match_optimal(pairs: DataFrame, scope: str, least: float) -> DataFrame:
 
 def match_greedy(pairs: DataFrame, scope: str, least: float, margin: float = 0.0) -> DataFrame:
     """scope, new_id, old_id, similarity: strongest pairs first, each topic used once.
-    A pair needs least, and a lead of margin over the new topic's second best."""
+    A pair needs least and, if there is a margin, a lead of margin over the new topic's
+    second best (-1 without one): so only its best pair can win. Ties go to the lesser
+    new_id, then old_id."""
     order = Window.partitionBy(scope, "new_id").orderBy(F.desc("similarity"), "old_id")
     ranked = pairs.withColumns({"_r": F.row_number().over(order), "_next": F.lead("similarity").over(order)})
-    lead = F.max(F.when(F.col("_r") == 1, F.col("similarity") - F.coalesce("_next", F.lit(-1.0)))).over(Window.partitionBy(scope, "new_id"))
-    able = ranked.withColumn("_lead", lead).where((F.col("_lead") >= margin) & (F.col("similarity") >= least))
+    leads = (F.col("_r") == 1) & (F.col("similarity") - F.coalesce("_next", F.lit(-1.0)) >= margin)
+    able = ranked.where((F.col("similarity") >= least) & (leads if margin > 0 else F.lit(True)))
 
     def settle(table: pd.DataFrame) -> pd.DataFrame:
         taken_new, taken_old, rows = set(), set(), []
@@ -121,7 +123,7 @@ def _few(topics: DataFrame) -> DataFrame:
 
 def plan_merges(pairs: DataFrame, topics: DataFrame, scope: str, least: float, blocked: tuple = (), most_aliases: int = 0) -> DataFrame:
     """topic_id, into_id, similarity: pairs(a, b, similarity) of one scope, strongest
-    first, the lesser topic into the larger. A topic that was merged away takes no
+    first, the lesser topic into the larger, of two of one size a into b. A topic that was merged away takes no
     more, and one that has taken others isn't merged away: no chains. Blocked topics take
     no part. A topic holds at most ``most_aliases`` absorbed ids (0: any number), a merge
     bringing one and all that the lesser topic has. topics has topic_id, scope, size,
@@ -135,7 +137,7 @@ def plan_merges(pairs: DataFrame, topics: DataFrame, scope: str, least: float, b
     def settle(table: pd.DataFrame) -> pd.DataFrame:
         gone, absorbers, gained, rows = set(), set(), {}, []
         for r in table.sort_values(["similarity", "a", "b"], ascending=[False, True, True]).itertuples(index=False):
-            small_first = (r.size_a, r.b) < (r.size_b, r.a)
+            small_first = r.size_a <= r.size_b
             small, large, kept = (r.a, r.b, r.protected_a) if small_first else (r.b, r.a, r.protected_b)
             if kept or small in gone or large in gone or small in absorbers:
                 continue
@@ -320,10 +322,10 @@ def flag_topics(topics: DataFrame, veto: float = 0.1) -> DataFrame:
     return rows.withColumn("suppressed", F.col("is_junk") | F.col("is_residual") | F.col("is_campaign") | F.col("substantive").eqNullSafe(F.lit(False)))
 
 
-def dedupe_ids(topics: DataFrame, members: DataFrame, scope: str) -> DataFrame:
-    """One row for each topic_id: first the one whose scope most of its members have,
-    then the larger, then the lesser scope."""
-    n = members.groupBy("topic_id", scope).agg(F.count("*").alias("_n"))
+def dedupe_ids(topics: DataFrame, members: DataFrame, scope: str, record: str) -> DataFrame:
+    """One row for each topic_id: first the one whose scope most of its members' distinct
+    records have, then the larger, then the lesser scope."""
+    n = members.select("topic_id", scope, record).dropDuplicates(["topic_id", record]).groupBy("topic_id", scope).agg(F.count("*").alias("_n"))
     top = n.withColumn("_r", F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("_n"), scope))).where("_r = 1")
     rows = topics.join(top.select("topic_id", F.col(scope).alias("_main")), "topic_id", "left")
     order = Window.partitionBy("topic_id").orderBy(F.desc(F.coalesce(F.col(scope) == F.col("_main"), F.lit(False))), F.desc("size"), scope)

@@ -6,30 +6,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def event_recall(assigned: DataFrame, hits: DataFrame, record: str, share: float = 0.8) -> DataFrame:
-    """event, matched_records, topic_id, topic_size, recall_in_best_topic,
-    precision_in_topic, topics_spanned, topics_for_share: where the records of verified
-    events (hits: event, record) landed. Ties go to the lesser topic_id; records without
-    a topic count as matched only."""
-    pairs = assigned.where("topic_id is not null").select(record, "topic_id").distinct()
+def event_recall(assigned: DataFrame, hits: DataFrame, record: str, share: float = 0.8, time: str | None = None, onsets: DataFrame | None = None, topics: DataFrame | None = None) -> DataFrame:
+    """event, found, matched_records, topic_id, topic_size, recall_in_best_topic,
+    precision_in_topic, topics_spanned, topics_for_share: where the assigned records of
+    verified events (hits: event, record) landed. Records without a topic don't count;
+    an event without any is not found, with 0 matched and spanned and nulls besides. Ties
+    go to the lesser topic_id.
+
+    With time (of assigned) and onsets (event, onset; events of these alone are listed
+    too), first_seen of the best topic among the event's rows and lag_days from the onset;
+    with topics (topic_id, is_junk, residual_cluster), these two of the best topic."""
+    rows = assigned.where("topic_id is not null")
+    pairs = rows.select(record, "topic_id").distinct()
     sizes = pairs.groupBy("topic_id").agg(F.count("*").alias("topic_size"))
     hits = hits.select("event", record).distinct()
-    matched = hits.groupBy("event").agg(F.count("*").alias("matched_records"))
+    names = hits.select("event").distinct()
+    if onsets is not None:
+        names = names.unionByName(onsets.select("event")).distinct()
+    matched = hits.join(pairs.select(record).distinct(), record, "left_semi").groupBy("event").agg(F.count("*").alias("matched_records"))
     landed = hits.join(pairs, record).groupBy("event", "topic_id").agg(F.count("*").alias("n"))
-    down = Window.partitionBy("event").orderBy(F.desc("n"), "topic_id")
-    whole = Window.partitionBy("event")
+    down = Window.partitionBy("event").orderBy(F.desc("n"), "topic_id")  # a row for each topic
     run = landed.withColumns(
-        {"_r": F.row_number().over(down), "_run": F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("n").over(whole)}
-    )
+        {"_r": F.row_number().over(down), "_run": F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, 0))}
+    ).join(matched, "event")
     events = run.groupBy("event").agg(
         F.max(F.when(F.col("_r") == 1, F.col("topic_id"))).alias("topic_id"), F.max("n").alias("_best"), F.count("*").alias("topics_spanned"),
-        (F.count_if(F.col("_run") < share * F.col("_all")) + 1).alias("topics_for_share"),
+        (F.count_if(F.col("_run") < share * F.col("matched_records")) + 1).alias("topics_for_share"),
     )
-    rows = matched.join(events, "event", "left").join(sizes, "topic_id", "left")
-    return rows.select(
-        "event", "matched_records", "topic_id", "topic_size", (F.col("_best") / F.col("matched_records")).alias("recall_in_best_topic"),
-        (F.col("_best") / F.col("topic_size")).alias("precision_in_topic"), F.coalesce("topics_spanned", F.lit(0)).alias("topics_spanned"), "topics_for_share",
+    out = names.join(matched, "event", "left").join(events, "event", "left").join(sizes, "topic_id", "left")
+    out = out.select(
+        "event", F.col("matched_records").isNotNull().alias("found"), F.coalesce("matched_records", F.lit(0)).alias("matched_records"), "topic_id", "topic_size",
+        (F.col("_best") / F.col("matched_records")).alias("recall_in_best_topic"), (F.col("_best") / F.col("topic_size")).alias("precision_in_topic"),
+        F.coalesce("topics_spanned", F.lit(0)).alias("topics_spanned"), "topics_for_share",
     )
+    if time and onsets is not None:
+        seen = rows.join(hits, record).groupBy("event", "topic_id").agg(F.min(time).alias("first_seen"))
+        lag = (F.unix_micros(F.col("first_seen").cast("timestamp")) - F.unix_micros(F.col("onset").cast("timestamp"))) / 86_400_000_000
+        out = out.join(seen, ["event", "topic_id"], "left").join(onsets.select("event", "onset"), "event", "left").withColumn("lag_days", F.round(lag, 2))
+    if topics is not None:
+        out = out.join(topics.select("topic_id", "is_junk", "residual_cluster"), "topic_id", "left")
+    return out
 
 
 def run_card(assigned: DataFrame, record: str, segment: str) -> DataFrame:

@@ -33,10 +33,26 @@ def stabilised_topics(spark, sf_dir):
     return registry.match_optimal(registry.scoped_pairs(new, old, "scope"), "scope", -0.2).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+# Ordered choices: one pair after the other, with the lists of what is taken.
+GREEDY = f"""WITH RECURSIVE p AS (SELECT a.label % 2 AS scope, a.label AS new_id, b.label + 100 AS old_id, list_dot_product(a.centroid, b.centroid) AS s FROM {_half(0)} a JOIN {_half(1)} b ON a.label % 2 = b.label % 2),
+l AS (SELECT *, row_number() OVER w AS r, s - COALESCE(LEAD(s) OVER w, -1) AS lead FROM p WINDOW w AS (PARTITION BY new_id ORDER BY s DESC, old_id)),
+q AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY s DESC, new_id, old_id) AS i FROM l WHERE s >= 0 AND {{able}}),
+g(scope, i, n, o, new_id, old_id, s, took) AS (SELECT DISTINCT scope, 0::BIGINT, []::BIGINT[], []::BIGINT[], NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE, FALSE FROM q UNION ALL
+  SELECT q.scope, q.i, CASE WHEN ok THEN list_append(n, q.new_id) ELSE n END, CASE WHEN ok THEN list_append(o, q.old_id) ELSE o END, q.new_id, q.old_id, q.s, ok
+  FROM (SELECT g.n, g.o, q.*, NOT list_contains(g.n, q.new_id) AND NOT list_contains(g.o, q.old_id) AS ok FROM g JOIN q ON q.scope = g.scope AND q.i = g.i + 1) q)
+SELECT scope, CAST(new_id AS INT) AS new_id, CAST(old_id AS INT) AS old_id, ROUND(s, 6) AS similarity FROM g WHERE took"""
+
+
+@query(GREEDY.format(able="TRUE"))
+def greedy_matches(spark, sf_dir):
+    new, old = _runs(spark, sf_dir)
+    return registry.match_greedy(registry.scoped_pairs(new, old, "scope"), "scope", 0.0).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(GREEDY.format(able="r = 1 AND lead >= .02"))
 def greedy_mapping(spark, sf_dir):
     new, old = _runs(spark, sf_dir)
-    return registry.match_greedy(registry.scoped_pairs(new, old, "scope"), "scope", 0.0, 0.02)
+    return registry.match_greedy(registry.scoped_pairs(new, old, "scope"), "scope", 0.0, 0.02).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"""WITH p AS (SELECT a.label AS new_id, b.label + 100 AS old_id, list_dot_product(a.centroid, b.centroid) AS s FROM {_half(0)} a JOIN {_half(1)} b ON a.label % 2 = b.label % 2),
@@ -48,13 +64,20 @@ def recovered_topics(spark, sf_dir):
     return out.withColumns({"similarity": F.round("similarity", 6), "lead": F.round("lead", 6)})
 
 
-@query()
+@query(f"""WITH RECURSIVE t AS (SELECT label AS id, label % 2 AS scope, centroid, (SELECT COUNT(*) FROM embeddings e WHERE e.label = c.label AND vec_id % 2 = 0) AS size FROM {_half(0)} c
+  UNION ALL SELECT label + 100, label % 2, centroid, (SELECT COUNT(*) FROM embeddings e WHERE e.label = c.label AND vec_id % 2 = 1) FROM {_half(1)} c),
+p AS (SELECT a.scope, a.id AS a, b.id AS b, a.size AS na, b.size AS nb, list_dot_product(a.centroid, b.centroid) AS s FROM t a JOIN t b ON a.scope = b.scope AND a.id < b.id),
+q AS (SELECT *, CASE WHEN na <= nb THEN a ELSE b END AS small, CASE WHEN na <= nb THEN b ELSE a END AS large, row_number() OVER (PARTITION BY scope ORDER BY s DESC, a, b) AS i FROM p WHERE s >= .05),
+g(scope, i, gone, kept, small, large, s, took) AS (SELECT DISTINCT scope, 0::BIGINT, []::BIGINT[], []::BIGINT[], NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE, FALSE FROM q UNION ALL
+  SELECT q.scope, q.i, CASE WHEN ok THEN list_append(gone, q.small) ELSE gone END, CASE WHEN ok THEN list_append(kept, q.large) ELSE kept END, q.small, q.large, q.s, ok
+  FROM (SELECT g.gone, g.kept, q.*, q.small <> 0 AND NOT list_contains(g.gone, q.small) AND NOT list_contains(g.gone, q.large) AND NOT list_contains(g.kept, q.small) AS ok FROM g JOIN q ON q.scope = g.scope AND q.i = g.i + 1) q)
+SELECT CAST(small AS INT) AS topic_id, CAST(large AS INT) AS into_id, ROUND(s, 6) AS similarity FROM g WHERE took""")
 def planned_merges(spark, sf_dir):
     from trendloom.operators.matching import topic_pairs
 
     new, old = _runs(spark, sf_dir)
     topics = new.unionByName(old).withColumn("protected", F.col("topic_id") == 0)
-    return registry.plan_merges(topic_pairs(topics, 0.05, "scope"), topics, "scope", 0.05)
+    return registry.plan_merges(topic_pairs(topics, 0.05, "scope"), topics, "scope", 0.05).withColumn("similarity", F.round("similarity", 6))
 
 
 def _nations(spark, sf_dir):
@@ -115,27 +138,52 @@ def flagged_topics(spark, sf_dir):
 m AS (SELECT topic_id, scope AS main FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY n DESC, scope) AS r FROM n) WHERE r = 1)
 SELECT topic_id, scope, size FROM (SELECT t.*, row_number() OVER (PARTITION BY topic_id ORDER BY COALESCE(scope = main, FALSE) DESC, size DESC, scope) AS r FROM t LEFT JOIN m USING (topic_id)) WHERE r = 1""")
 def deduped_topic_ids(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("topic_id"), F.col("event_type").alias("scope"), "value")
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("topic_id"), F.col("event_type").alias("scope"), "value", "event_id")
     topics = e.groupBy("topic_id", "scope").agg(F.floor(F.sum("value")).cast("long").alias("size"))
-    return registry.dedupe_ids(topics, e.where("value > 20"), "scope").select("topic_id", "scope", "size")
+    return registry.dedupe_ids(topics, e.where("value > 20"), "scope", "event_id").select("topic_id", "scope", "size")
+
 
+def _recall_sql(assigned: str, hits: str, more: str = "", joins: str = "") -> str:
+    """assigned: r, topic_id, t; hits: event, r; names: event."""
+    return f"""WITH a AS ({assigned}), h AS ({hits}), p AS (SELECT DISTINCT r, topic_id FROM a WHERE topic_id IS NOT NULL), s AS (SELECT topic_id, COUNT(*) AS n FROM p GROUP BY 1),
+m AS (SELECT event, COUNT(DISTINCT r) AS n FROM h WHERE r IN (SELECT r FROM p) GROUP BY 1), l AS (SELECT event, topic_id, COUNT(*) AS n FROM h JOIN p USING (r) GROUP BY 1, 2),
+r AS (SELECT l.*, row_number() OVER w AS i, SUM(l.n) OVER (PARTITION BY event ORDER BY l.n DESC, topic_id ROWS UNBOUNDED PRECEDING) AS run, m.n AS t FROM l JOIN m USING (event) WINDOW w AS (PARTITION BY event ORDER BY l.n DESC, topic_id)),
+e AS (SELECT event, MAX(topic_id) FILTER (i = 1) AS topic_id, MAX(n) AS best, COUNT(*) AS spanned, COUNT(*) FILTER (run < .8 * t) + 1 AS need FROM r GROUP BY 1)
+SELECT k.event, m.n IS NOT NULL AS found, COALESCE(m.n, 0) AS matched_records, e.topic_id, s.n AS topic_size, ROUND(best / m.n::DOUBLE, 9) AS recall_in_best_topic, ROUND(best / s.n::DOUBLE, 9) AS precision_in_topic,
+  COALESCE(spanned, 0) AS topics_spanned, need AS topics_for_share{more} FROM (SELECT DISTINCT event FROM h) k LEFT JOIN m USING (event) LEFT JOIN e USING (event) LEFT JOIN s ON s.topic_id = e.topic_id{joins}"""
 
-@query("""WITH a AS (SELECT doc_id, lang || '-' || source AS topic_id FROM documents), h AS (SELECT doc_id, 'license' AS event FROM documents WHERE contains(lower(text), 'license') UNION ALL SELECT doc_id, 'email' FROM documents WHERE contains(text, '@')),
-s AS (SELECT topic_id, COUNT(DISTINCT doc_id) AS n FROM a WHERE topic_id IS NOT NULL GROUP BY 1), m AS (SELECT event, COUNT(DISTINCT doc_id) AS n FROM h GROUP BY 1),
-l AS (SELECT event, topic_id, COUNT(DISTINCT doc_id) AS n FROM h JOIN a USING (doc_id) WHERE topic_id IS NOT NULL GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER w AS r, SUM(n) OVER (PARTITION BY event ORDER BY n DESC, topic_id ROWS UNBOUNDED PRECEDING) AS run, SUM(n) OVER (PARTITION BY event) AS t FROM l WINDOW w AS (PARTITION BY event ORDER BY n DESC, topic_id)),
-e AS (SELECT event, MAX(topic_id) FILTER (r = 1) AS topic_id, MAX(n) AS best, COUNT(*) AS spanned, COUNT(*) FILTER (run < .8 * t) + 1 AS need FROM r GROUP BY 1)
-SELECT event, m.n AS matched_records, topic_id, s.n AS topic_size, ROUND(best / m.n::DOUBLE, 9) AS recall_in_best_topic, ROUND(best / s.n::DOUBLE, 9) AS precision_in_topic, COALESCE(spanned, 0) AS topics_spanned, need AS topics_for_share
-FROM m LEFT JOIN e USING (event) LEFT JOIN s USING (topic_id)""")
+
+@query(_recall_sql(
+    "SELECT doc_id AS r, CASE WHEN doc_id % 3 <> 0 THEN lang || '-' || source END AS topic_id FROM documents",
+    "SELECT doc_id AS r, 'license' AS event FROM documents WHERE contains(lower(text), 'license') UNION SELECT doc_id, 'email' FROM documents WHERE contains(text, '@') UNION SELECT doc_id, 'none' FROM documents WHERE doc_id = 0",
+))
 def event_recall(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    assigned = d.select("doc_id", F.concat(F.col("lang"), F.lit("-"), F.col("source")).alias("topic_id"))
-    marks = F.array(F.when(F.lower("text").contains("license"), F.lit("license")), F.when(F.col("text").contains("@"), F.lit("email")))
+    assigned = d.select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.concat(F.col("lang"), F.lit("-"), F.col("source"))).alias("topic_id"))
+    marks = F.array(F.when(F.lower("text").contains("license"), F.lit("license")), F.when(F.col("text").contains("@"), F.lit("email")), F.when(F.col("doc_id") == 0, F.lit("none")))
     hits = d.select("doc_id", F.explode(F.array_compact(marks)).alias("event"))
     rounded = {c: F.round(c, 9) for c in ("recall_in_best_topic", "precision_in_topic")}
     return reports.event_recall(assigned, hits, "doc_id").withColumns(rounded)
 
 
+@query(_recall_sql(
+    f"SELECT user_id AS r, CASE WHEN value >= 5 THEN topic_id END AS topic_id, ts FROM {EVENTS}",
+    "SELECT user_id AS r, 'large' AS event FROM events WHERE value >= 60 UNION SELECT user_id, 'errors' FROM events WHERE event_type = 'error' UNION SELECT user_id, 'early' FROM events WHERE ts < TIMESTAMP '2024-01-02' UNION SELECT NULL, 'never'",
+    ", f.first_seen, TIMESTAMP '2024-01-05' AS onset, ROUND(date_diff('microsecond', TIMESTAMP '2024-01-05', f.first_seen) / 86400000000.0, 2) AS lag_days, s.n % 2 = 0 AS is_junk, s.n % 3 = 0 AS residual_cluster",
+    " LEFT JOIN (SELECT event, a.topic_id, MIN(ts) AS first_seen FROM a JOIN h USING (r) GROUP BY 1, 2) f ON f.event = e.event AND f.topic_id = e.topic_id",
+))
+def event_onsets(spark, sf_dir):
+    e = topical(spark, sf_dir)
+    assigned = e.select("user_id", F.when(F.col("value") >= 5, F.col("topic_id")).alias("topic_id"), "ts")
+    marks = F.array(F.when(F.col("value") >= 60, F.lit("large")), F.when(F.col("event_type") == "error", F.lit("errors")), F.when(F.col("ts") < F.lit("2024-01-02").cast("timestamp_ntz"), F.lit("early")))
+    hits = e.select("user_id", F.explode(F.array_compact(marks)).alias("event"))
+    onsets = spark.createDataFrame([(n,) for n in ("large", "errors", "early", "never")], "event string").withColumn("onset", F.lit("2024-01-05").cast("timestamp_ntz"))
+    size = F.countDistinct("user_id")
+    topics = assigned.where("topic_id is not null").groupBy("topic_id").agg((size % 2 == 0).alias("is_junk"), (size % 3 == 0).alias("residual_cluster"))
+    out = reports.event_recall(assigned, hits, "user_id", time="ts", onsets=onsets, topics=topics)
+    return out.withColumns({c: F.round(c, 9) for c in ("recall_in_best_topic", "precision_in_topic")})
+
+
 def _assigned(spark, sf_dir):
     e = topical(spark, sf_dir)
     return e.select(F.col("event_id").alias("segment"), "user_id", F.when(F.col("value") >= 5, F.col("topic_id")).alias("topic_id"), F.round("value", 3).alias("similarity"), "ts")
