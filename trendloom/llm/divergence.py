@@ -23,7 +23,7 @@ from trendloom.llm.shared import materialise, observed
 
 #: Bytes of text for a shard; of a slice that is counted at once; partial counts that a
 #: task holds before it sends them.
-SHARD_BYTES, SLICE_BYTES, HELD = 32 << 20, 8 << 20, 1_000_000
+SHARD_BYTES, SLICE_BYTES, HELD = 8 << 20, 8 << 20, 1_000_000
 UNIT = 1_000_000_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
