@@ -130,6 +130,7 @@ def test_manifest_equals_brute_force(spark, monkeypatch, arity, rows, step):
     """Groups over many partitions, in several steps, beside small ones."""
     monkeypatch.setattr(merkle, "ROWS", rows)
     monkeypatch.setattr(merkle, "STEP", step)
+    monkeypatch.setattr(merkle, "NODES", 1)
     data = [(i, None if i % 11 == 0 else "big" if i % 3 else f"s{i % 40}", f"t{i}") for i in range(400)]
     docs = spark.createDataFrame(data, "id long, g string, text string").repartition(3)
     got = {r["id"]: r for r in merkle.manifest(docs, ("id", "text"), "g", "id", arity).collect()}

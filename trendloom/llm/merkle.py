@@ -5,7 +5,7 @@ sorted by group and order. Each partition reports how many rows of its first and
 group it has; from these few numbers (a row for each partition) every partition knows
 where in their trees its rows stand. It builds all subtrees that lie in it whole. Nodes
 whose parent is cut by a partition's border, a few at each level, are shuffled by the
-coordinate of an ancestor ``STEP`` levels up, which finishes those levels, until the roots
+coordinate of an ancestor some levels up, which finishes those levels, until the roots
 are there. The paths above a partition's nodes come back to it by the same partitioner,
 without a second shuffle of the leaves.
 """
@@ -13,6 +13,7 @@ without a second shuffle of the leaves.
 from __future__ import annotations
 
 import hashlib
+import math
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 
 from trendloom.llm.shared import counted
 
-#: Leaves of a partition, about; levels that one shuffle of border nodes finishes (the
-#: nodes of one task's key are arity ** STEP at most).
-ROWS, STEP = 10_000, 8
+#: Leaves of a partition, about; levels that a shuffle of border nodes finishes at least, and
+#: border nodes of one key that it is meant to meet (or arity ** STEP, if that is more).
+ROWS, STEP, NODES = 10_000, 7, 4000
 
 
 def node(parts) -> str:
@@ -100,59 +101,48 @@ class Forest:
         self.rows = rows.sortByKey(numPartitions=max(2, -(-n // ROWS)))
         self.parts = self.rows.getNumPartitions()
         seen = self.rows.mapPartitionsWithIndex(_ends).collect()  # a row for each partition
-        self.offsets, self.most = _offsets(seen)
-        self._settle()
-
-    def _settle(self) -> None:
-        arity, offsets = self.arity, self.offsets
+        self.offsets, most, self.groups = _offsets(seen)
+        offsets = self.offsets
 
         def emit(p, rows):
             for group, leaves, start, total in _runs(p, rows, offsets):
                 for k, i, d in border(local_levels([v[0] for _, v in leaves], start, total, arity), arity):
                     yield (group, k, i), (d, total, p)
 
-        # The same node never comes from two partitions, nor from a step besides.
-        self.border = self.rows.mapPartitionsWithIndex(emit)
-        self.steps, carried, deep = [], None, levels(self.most, arity)
-        self.roots = self.border.filter(lambda r: r[0][1] == levels(r[1][1], arity)).map(lambda r: (r[0][0], (r[1][0], r[1][1])))
-        for low in range(0, deep, STEP):
-            high = low + STEP
-
-            def pick(r, low=low, high=high):
-                (group, k, i), (d, total, _) = r
-                top = min(high, levels(total, arity))
-                return [((group, top, i // arity ** (top - k)), (k, i, d, total))] if low <= k < top else []
-
-            nodes = self.border.flatMap(pick)
-            nodes = nodes.union(carried.flatMap(pick)) if carried is not None else nodes
-
-            def finish(kv, low=low):
-                (group, top, at), found = kv
-                found = list(found)
-                paths, above = finish_step([f[:3] for f in found], low, top, found[0][3], arity)
-                return (group, top, at), (above[at], found[0][3], paths)
-
-            step = nodes.groupByKey(self._few()).map(finish)
+        # A few nodes for each level and partition: kept, and read in few tasks from here on.
+        at_borders = self.rows.mapPartitionsWithIndex(emit).persist().coalesce(self.few())
+        nodes = at_borders
+        self.roots, self.steps = nodes.filter(_is_root(arity)), []
+        deep, low = levels(most, arity), 0
+        # Under an ancestor stand the border nodes of as many partitions as it has leaves for.
+        rise = max(STEP, int(math.log(max(NODES * n / self.parts / (2 * arity * max(deep, 1)), 1), arity)))
+        while low < deep:
+            step = nodes.flatMap(_under(low, low + rise, arity)).groupByKey(self.few()).map(_finish(low, arity))
             self.steps.append(step)
-            carried = step.map(lambda kv: (kv[0], (kv[1][0], kv[1][1], -1)))
-            self.roots = self.roots.union(carried.filter(lambda r: r[0][1] == levels(r[1][1], arity)).map(lambda r: (r[0][0], (r[1][0], r[1][1]))))
+            nodes = step.map(lambda kv: (kv[0], (kv[1][0], kv[1][1], -1)))
+            self.roots = self.roots.union(nodes.filter(_is_root(arity)))
+            # Border nodes of higher levels come in with the ancestors.
+            nodes = nodes.union(at_borders)
+            low, rise = low + rise, STEP
 
-    def _few(self) -> int:
+    def few(self) -> int:
         return max(1, self.parts // 8)
 
+    def subroots(self):
+        return self.roots.map(lambda r: (r[0][0], r[1][0]))
+
     def proofs(self, above):
         """RDD of (key, value, lines, above's value) of every row, where above is an RDD of
         (group, (lines, value)) with a row for each group."""
         arity, offsets = self.arity, self.offsets
-        known = self.roots.join(above, self._few()).map(lambda r: ((r[0], levels(r[1][0][1], arity), 0), r[1][1]))
+        first = {p: o[0] for p, o in offsets.items()}
+        known = self.roots.map(lambda r: (r[0][0], r)).join(above, self.few()).map(lambda r: (r[1][0][0], (r[1][0][1][2], *r[1][1])))
+        up = known
         for step in reversed(self.steps):
-            lower = step.join(known, self._few()).flatMap(
-                lambda r: [((r[0][0], k, i), (path + r[1][1][0], r[1][1][1])) for (k, i), path in r[1][0][2]]
-            )
-            known = known.union(lower)
+            known = step.join(known, self.few()).flatMap(lambda r: [((r[0][0], k, i), (p, path + r[1][1][1], r[1][1][2])) for (k, i), p, path in r[1][0][2]])
+            up = up.union(known)
         # Back to the partition that the border node came from: by its first key.
-        first = {p: o[0] for p, o in offsets.items()}
-        up = self.border.map(lambda r: (r[0], r[1][2])).join(known, self._few()).map(lambda r: (first[r[1][0]], (r[0], r[1][1])))
+        up = up.filter(lambda r: r[1][0] >= 0).map(lambda r: (first[r[1][0]], (r[0], r[1][1:])))
         up = up.partitionBy(self.parts, self.rows.partitioner.partitionFunc).mapPartitions(lambda it: ((None, v) for _, v in it), True)
         both = up.union(self.rows)
         if both.getNumPartitions() != self.parts:
@@ -185,6 +175,46 @@ class Forest:
         return both.mapPartitionsWithIndex(finish)
 
 
+def _is_root(arity):
+    return lambda r: r[0][1] == levels(r[1][1], arity)
+
+
+def _under(low, high, arity):
+    """The nodes of levels low to high - 1, by their ancestor at high or the root."""
+
+    def pick(r):
+        (group, k, i), (d, total, p) = r
+        top = min(high, levels(total, arity))
+        return [((group, top, i // arity ** (top - k)), (k, i, d, total, p))] if low <= k < top else []
+
+    return pick
+
+
+def _finish(low, arity):
+    def run(kv):
+        (group, top, at), found = kv[0], list(kv[1])
+        paths, above = finish_step([f[:3] for f in found], low, top, found[0][3], arity)
+        return (group, top, at), (above[at], found[0][3], [(place, f[4], path) for f, (place, path) in zip(found, paths)])
+
+    return run
+
+
+def _crown(groups, n: int, arity: int):
+    """RDD of (group, (lines, (subroot, root))) of an RDD of (group, subroot): up to ROWS of
+    them are one task's, more are a forest of one tree."""
+    if n > ROWS:
+        crown = Forest(groups.map(lambda r: ((0, r[0]), (r[1],))), n, arity)
+        roots = crown.subroots().map(lambda r: (r[0], ([], r[1])))
+        return crown.proofs(roots).map(lambda r: (r[0][1], (r[2], (r[1][0], r[3]))))
+
+    def tree(kv):
+        rows = sorted(kv[1])
+        paths, above = finish_step([(0, i, d) for i, (_, d) in enumerate(rows)], 0, levels(n, arity), n, arity)
+        return [(group, (path, (d, above[0]))) for (group, d), (_, path) in zip(rows, paths)]
+
+    return groups.map(lambda r: (0, r)).groupByKey(1).flatMap(tree)
+
+
 def _chain(ahead, rows):
     yield from ahead
     yield from rows
@@ -192,32 +222,33 @@ def _chain(ahead, rows):
 
 def _ends(p, rows):
     first_key = first = last = None
-    counts = [0, 0]
+    counts, groups = [0, 0], 0
     for key, _ in rows:
         if first_key is None:
             first_key, first = key, key[0]
         if key[0] == first:
             counts[0] += 1
         if key[0] != last:
-            last, counts[1] = key[0], 0
+            last, counts[1], groups = key[0], 0, groups + 1
         counts[1] += 1
     if first_key is not None:
-        yield p, first_key, first, last, counts
+        yield p, first_key, first, last, counts, groups
 
 
-def _offsets(seen: list) -> tuple[dict, int]:
+def _offsets(seen: list) -> tuple[dict, int, int]:
     """{partition: (its first key, offset of its first group, totals of its first and last
-    group)} and the largest total that was seen."""
+    group)}, the largest of these totals, and the number of groups."""
     totals: dict = {}
-    starts = {}
-    for p, _, first, last, counts in sorted(seen):
+    starts, number, before = {}, 0, None
+    for p, _, first, last, counts, groups in sorted(seen):
         starts[p] = totals.get(first, 0)
         totals[first] = totals.get(first, 0) + counts[0]
+        number += groups - (before is not None and first == before)
+        before = last
         if last != first:
             totals[last] = counts[1]
-    out = {p: (key, starts[p], totals[first], totals[last]) for p, key, first, last, _ in seen}
-    # Groups inside a partition are smaller than the rows that a partition can hold at all.
-    return out, max([*totals.values(), 1])
+    out = {p: (key, starts[p], totals[first], totals[last]) for p, key, first, last, _, _ in seen}
+    return out, max([*totals.values(), 1]), number
 
 
 def _runs(p, rows, offsets):
@@ -270,10 +301,7 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = ("doc_id", "source", "la
     known = lambda v: (v is not None, 0 if v is None else v)
     keyed = rows.rdd.map(lambda r: ((known(r[1]), known(r[0]), r[2], r[3]), (r[2], *r[4:])))
     trees = Forest(keyed, n, arity)
-    groups = trees.roots.map(lambda r: ((0, r[0]), (r[1][0],)))
-    crown = Forest(groups, groups.count(), arity)
-    roots = crown.roots.map(lambda r: (r[0], ([], r[1][0])))
-    above = crown.proofs(roots).map(lambda r: (r[0][1], (r[2], (r[1][0], r[3]))))
+    above = _crown(trees.subroots(), trees.groups, arity)
     value = lambda k: k[1] if k[0] else None
     out = trees.proofs(above).map(lambda r: (value(r[0][1]), value(r[0][0]), r[1][0], r[2], r[3][0], r[3][1], *r[1][1:]))
     return spark.createDataFrame(out, schema, verifySchema=False)
