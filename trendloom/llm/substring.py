@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from trendloom.llm.shared import counted, materialise, observed
 
 #: Words that a task takes at once, and bytes of text for each part of the hash space.
-CHUNK, PART_BYTES = 1 << 21, 24 << 20
+CHUNK, PART_BYTES = 1 << 19, 24 << 20
 #: A text with over one row in so many, and over HOT_LEAST rows, is dealt to several tasks.
 HOT_SHARE, HOT_LEAST = 1000, 200
 
@@ -56,13 +56,14 @@ def _same(x: np.ndarray, y: np.ndarray | None, weight: np.ndarray) -> np.ndarray
     if not len(x):
         return np.zeros(0, np.int64)
     order = np.argsort(x, kind="stable") if y is None else np.lexsort((y, x))
-    new = np.ones(len(x), bool)
-    new[1:] = x[order][1:] != x[order][:-1]
-    if y is not None:
-        new[1:] |= y[order][1:] != y[order][:-1]
+    new = np.zeros(len(x), bool)
+    new[0] = True
+    for v in (x,) if y is None else (x, y):
+        sorted_ = v[order]
+        new[1:] |= sorted_[1:] != sorted_[:-1]
     starts = np.flatnonzero(new)
-    total = np.add.reduceat(weight[order], starts)
-    out = np.empty(len(x), np.int64)
+    total = np.add.reduceat(weight[order], starts, dtype=np.int64)
+    out = np.empty(len(x), np.int32)
     out[order] = np.repeat(total, np.diff(np.append(starts, len(x))))
     return out
 
@@ -73,12 +74,13 @@ def _first_of_each(x: np.ndarray, y: np.ndarray | None) -> np.ndarray:
     return np.unique(np.stack([x, y], axis=1), axis=0, return_index=True)[1]
 
 
-def _messages(x, y, weight, asks, k1, k2, at, parts: int, chunk: int):
+def _messages(x, y, weight, asks, key, owner, at, parts: int, chunk: int):
     """What a chunk has to send: hashes x (and y) with their weights, of which those in
-    asks want an answer for the place (k1, k2, at)."""
+    asks want an answer for the place (the owner's key, at)."""
     total = _same(x, y, weight)
     several, single = total >= 2, total < 2
-    part = lambda v: ((v >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+    part = lambda v: ((v >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+    placed_at = lambda i: [v.tobytes() for v in (key[owner[i], 0], key[owner[i], 1], at[i])]
     rows = []
 
     def send(kind: int, mask: np.ndarray, placed: bool) -> None:
@@ -91,15 +93,14 @@ def _messages(x, y, weight, asks, k1, k2, at, parts: int, chunk: int):
         for i in range(parts):
             some = where[bounds[i] : bounds[i + 1]]
             if len(some):
-                place = [v[some].tobytes() for v in (k1, k2, at)] if placed else [None] * 3
-                rows.append((i, kind, x[some].tobytes(), y[some].tobytes() if y is not None else None, *place))
+                rows.append((i, kind, x[some].tobytes(), y[some].tobytes() if y is not None else None, *(placed_at(some) if placed else [None] * 3)))
 
     send(PROBE, single & ~asks, False)
     send(SEVERAL, several, False)
     send(ASK, single & asks, True)
     done = np.flatnonzero(several & asks)
     if len(done):
-        rows.append((chunk % parts, DONE, None, None, *[v[done].tobytes() for v in (k1, k2, at)]))
+        rows.append((chunk % parts, DONE, None, None, *placed_at(done)))
     columns = list(zip(*rows)) if rows else [()] * 7
     kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 5
     names = ["q", "kind", "x", "y", "k1", "k2", "at"]
@@ -112,7 +113,7 @@ def _settled(table: pa.Table) -> pa.Table:
     get = lambda name, which, kind_of: np.frombuffer(b"".join(v.as_py() or b"" for v, k in zip(table[name], kind) if k in which), kind_of)
     x = [get("x", {k}, np.uint64) for k in (PROBE, SEVERAL, ASK)]
     y = [get("y", {k}, np.uint64) for k in (PROBE, SEVERAL, ASK)]
-    weight = np.concatenate([np.full(len(v), w, np.int64) for v, w in zip(x, (1, 2, 1))])
+    weight = np.concatenate([np.full(len(v), w, np.int8) for v, w in zip(x, (1, 2, 1))])
     wide = any(len(v) for v in y)
     total = _same(np.concatenate(x), np.concatenate(y) if wide else None, weight)
     found = total[len(x[0]) + len(x[1]) :] >= 2
@@ -148,7 +149,7 @@ def _laid_out(held: dict):
     starts = np.cumsum(lengths) - lengths
     h = np.concatenate([v[1] for v in held.values()]) if held else np.zeros(0, np.uint64)
     key = np.array(list(held), np.int64).reshape(-1, 2)
-    weight = np.array([min(v[0], 2) for v in held.values()], np.int64)
+    weight = np.array([min(v[0], 2) for v in held.values()], np.int8)
     return h, lengths, starts, key, weight
 
 
@@ -159,10 +160,11 @@ def _probe_blocks(block: int, parts: int):
         number = TaskContext.get().partitionId()
         for held in _chunks(batches, ("k1", "k2")):
             h, lengths, starts, key, weight = _laid_out(held)
-            owner = np.repeat(np.arange(len(lengths)), np.maximum(lengths - block + 1, 0))
-            at = np.arange(len(owner)) - np.repeat(np.cumsum(np.maximum(lengths - block + 1, 0)) - np.maximum(lengths - block + 1, 0), np.maximum(lengths - block + 1, 0))
+            windows = np.maximum(lengths - block + 1, 0)
+            owner = np.repeat(np.arange(len(lengths), dtype=np.int32), windows)
+            at = (np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)).astype(np.int32)
             x = rolled(h, block, BASES[0])[starts[owner] + at] if len(owner) else np.zeros(0, np.uint64)
-            yield _messages(x, None, weight[owner], at % block == 0, key[owner, 0], key[owner, 1], (at // block).astype(np.int32), parts, number)
+            yield _messages(x, None, weight[owner], at % block == 0, key, owner, at // block, parts, number)
             number += 7919
 
     return run
@@ -181,11 +183,11 @@ def _extend_hits(block: int, window: int, parts: int):
                 # The windows that hold a block: each holds one whole block of its grid or, for an odd width, two at most.
                 first = (found[:, None] * block - np.arange(window - block + 1)[None, :]).ravel()
                 first = np.unique(first[(first >= 0) & (first <= lengths[i] - window)])
-                owner.append(np.full(len(first), i))
+                owner.append(np.full(len(first), i, np.int32))
                 at.append(first)
             owner, at = np.concatenate(owner), np.concatenate(at)
             x, y = ((rolled(h, window, b)[starts[owner] + at] if len(owner) else np.zeros(0, np.uint64)) for b in BASES)
-            yield _messages(x, y, weight[owner], np.ones(len(at), bool), key[owner, 0], key[owner, 1], at.astype(np.int32), parts, number)
+            yield _messages(x, y, weight[owner], np.ones(len(at), bool), key, owner, at.astype(np.int32), parts, number)
             number += 7919
 
     return run
