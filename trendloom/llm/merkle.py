@@ -137,10 +137,10 @@ class Forest:
         arity, offsets = self.arity, self.offsets
         first = {p: o[0] for p, o in offsets.items()}
         known = self.roots.map(lambda r: (r[0][0], r)).join(above, self.few()).map(lambda r: (r[1][0][0], (r[1][0][1][2], *r[1][1])))
-        up = known
+        up = roots = known
         for step in reversed(self.steps):
-            known = step.join(known, self.few()).flatMap(lambda r: [((r[0][0], k, i), (p, path + r[1][1][1], r[1][1][2])) for (k, i), p, path in r[1][0][2]])
-            up = up.union(known)
+            below = step.join(known, self.few()).flatMap(lambda r: [((r[0][0], k, i), (p, path + r[1][1][1], r[1][1][2])) for (k, i), p, path in r[1][0][2]])
+            up, known = up.union(below), roots.union(below)
         # Back to the partition that the border node came from: by its first key.
         up = up.filter(lambda r: r[1][0] >= 0).map(lambda r: (first[r[1][0]], (r[0], r[1][1:])))
         up = up.partitionBy(self.parts, self.rows.partitioner.partitionFunc).mapPartitions(lambda it: ((None, v) for _, v in it), True)
