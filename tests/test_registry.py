@@ -5,7 +5,6 @@ import itertools
 import numpy as np
 
 from trendloom.operators import registry
-from trendloom.plans import lifecycle
 
 
 def test_optimal_pairs_against_all_permutations():
@@ -56,11 +55,3 @@ def test_duplicates_go_into_the_largest(spark):
     pairs = spark.createDataFrame([(1, 2, 0.95), (2, 3, 0.95), (3, 4, 0.95)], "a long, b long, similarity double")
     topics = spark.createDataFrame([(1, "x", 5), (2, "x", 4), (3, "x", 3), (4, "x", 2)], "topic_id long, scope string, size long")
     assert sorted((r.topic_id, r.into_id) for r in registry.merge_duplicates(pairs, topics, "scope", 0.9).collect()) == [(2, 1), (4, 3)]
-
-
-def test_queries_without_sql(spark):
-    sf = "/root/testdata/sf0.001"
-    for name in ("stabilised_topics", "greedy_mapping", "planned_merges"):
-        rows = getattr(lifecycle, name)(spark, sf).collect()
-        assert rows, name
-        assert len({r[1] for r in rows} if name != "planned_merges" else {r.topic_id for r in rows}) == len(rows)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,3 +134,18 @@ def keyword_hit(text: Column, groups: list[list[str]]) -> Column:
             one = one | F.contains(low, F.lit(word.lower()))
         hit = hit & one
     return hit
+
+
+def unescaped(text: Column) -> Column:
+    """Text for display: named and numbered HTML references as their characters, once."""
+    @F.pandas_udf("string")
+    def read(texts: pd.Series) -> pd.Series:
+        return texts.map(html.unescape, na_action="ignore")
+
+    # Few texts have any: only these leave the JVM's side of the row.
+    return F.when(F.contains(text, F.lit("&")), read(text)).otherwise(text)
+
+
+def enough_words(text: Column, least: int, stop: tuple[str, ...] = ()) -> Column:
+    """Whether a segment has words enough to be clustered."""
+    return content_words(text, stop) >= least

@@ -1,49 +1,38 @@
 """Topics from vectors, pool by pool: density clusters, merges by distance, splits,
 micro-clusters, groups, quality and the choice of parameters.
 
-A pool is settled in one task. Its rows there are bounded by ``MOST_POOL``: of a larger
-pool, a sample by a hash of the key is clustered, and all other rows get topics from
-``matching.assign_topics`` with the clusters' centroids.
+Vectors stay in Spark: neighbours, reachability and the spanning forest come from joins and
+leaves of bounded size (graph.py), so every row of a pool of any size gets a label. What
+one task settles are summaries: a pool's spanning forest as numbers (three a row), the
+centres of its clusters, and at most about ``MARKS`` landmarks of a group, each of which
+stands for the rows nearest to it (in a group of up to MARKS, every row is its own).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most rows of a pool that are clustered, and most points of a silhouette.
-MOST_POOL, SILHOUETTE_POINTS = 20_000, 5000
-
-
-def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    square = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T
-    return np.sqrt(np.maximum(square, 0.0))
-
-
-def _spanning_tree(x: np.ndarray, samples: int) -> list[tuple[float, int, int]]:
-    """Edges of the minimum spanning tree under mutual reachability, lightest first."""
-    n = len(x)
-    core = np.concatenate([np.partition(_distances(x[lo : lo + 512], x), min(samples, n) - 1, axis=1)[:, min(samples, n) - 1] for lo in range(0, n, 512)])
-    left = np.ones(n, bool)
-    reach, source = np.full(n, np.inf), np.zeros(n, int)
-    edges, at = [], 0
-    for _ in range(n - 1):
-        left[at] = False
-        d = np.maximum(np.maximum(_distances(x[at : at + 1], x)[0], core), core[at])
-        closer = left & (d < reach)
-        reach[closer], source[closer] = d[closer], at
-        at = int(np.where(left, reach, np.inf).argmin())
-        edges.append((float(reach[at]), int(source[at]), at))
-    return sorted(edges)
-
-
-def density_labels(x: np.ndarray, least: int, samples: int, most: int = 0) -> np.ndarray:
-    """Hierarchical density clusters: of the tree of clusters of ``least`` points or more,
-    those of the greatest excess of mass that are no larger than ``most`` (0: any). The
-    tree's root is no cluster; -1 is noise."""
-    n = len(x)
+from trendloom.functions.vectors import dot, unit
+from trendloom.operators import graph
+from trendloom.operators.graph import distances, matrix
+from trendloom.sources.stored import stored
+
+#: Landmarks of a group; rows that meet them at once; points of a silhouette; rows of a pool
+#: that a choice of parameters is made on; neighbours of a row in the graph at least.
+MARKS, PIECE_ROWS, SILHOUETTE_POINTS, TRIAL_ROWS, NEAR = 1500, 16_384, 5000, 20_000, 15
+
+
+def condensed_labels(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, least: int, most: int = 0) -> np.ndarray:
+    """Hierarchical density clusters of n points from the edges of their spanning forest,
+    lightest first: of the tree of clusters of ``least`` points or more, those of the
+    greatest excess of mass that are no larger than ``most`` (0: any). The tree's root is
+    no cluster; -1 is noise. Parts without an edge between them part at the root."""
     labels = np.full(n, -1)
     if n < max(2, least):
         return labels
@@ -56,12 +45,18 @@ def density_labels(x: np.ndarray, least: int, samples: int, most: int = 0) -> np
             i = top[i]
         return i
 
-    for w, a, b in _spanning_tree(x, samples):
-        a, b, node = find(a), find(b), len(size)
-        children[node], height[node] = (a, b), w
-        size.append(size[a] + size[b])
+    def meet(i: int, j: int, at: float) -> None:
+        node = len(size)
+        children[node], height[node] = (i, j), at
+        size.append(size[i] + size[j])
         top.append(node)
-        top[a] = top[b] = node
+        top[i] = top[j] = node
+
+    for i, j, at in zip(a.tolist(), b.tolist(), w.tolist()):
+        meet(find(i), find(j), at)
+    roots = sorted({find(i) for i in range(n)})
+    for r in roots[1:]:
+        meet(find(roots[0]), r, np.inf)
     # Condensed: a cluster lives until both sides of a split are large enough.
     parent, born, mass, members = [-1], [0.0], [0.0], [size[-1]]
     fell = np.zeros(n, int)  # the cluster that each point left
@@ -106,14 +101,15 @@ def density_labels(x: np.ndarray, least: int, samples: int, most: int = 0) -> np
     return labels
 
 
-def agglomerate(d: np.ndarray, kind: str) -> list[tuple[float, int, int]]:
+def agglomerate(d: np.ndarray, kind: str, weights: np.ndarray | None = None) -> list[tuple[float, int, int]]:
     """(height, i, j) of all merges, lowest first, by chains of nearest neighbours; kind
     is average, complete or ward (squared distances in, squared heights out). i and j
-    are the least points of the two clusters."""
+    are the least points of the two clusters. With weights, a point stands for so many
+    (for ward, d has their factor 2 u v / (u + v) already)."""
     d = d.astype(float).copy()
     n = len(d)
     np.fill_diagonal(d, np.inf)
-    size, alive, merges, chain = np.ones(n), np.ones(n, bool), [], []
+    size, alive, merges, chain = np.ones(n) if weights is None else weights.astype(float).copy(), np.ones(n, bool), [], []
     while alive.sum() > 1:
         if not chain:
             chain.append(int(np.flatnonzero(alive)[0]))
@@ -158,188 +154,261 @@ def cut(merges: list[tuple[float, int, int]], n: int, clusters: int = 1, under:
     return np.unique([find(i) for i in range(n)], return_inverse=True)[1]
 
 
-def _centres(x: np.ndarray, labels: np.ndarray) -> tuple[list[int], np.ndarray]:
-    ids = sorted({int(c) for c in labels if c >= 0})
-    return ids, np.array([x[labels == c].mean(axis=0) for c in ids])
+def _mean(vector: str):
+    return vector_to_array(Summarizer.mean(array_to_vector(vector)))
 
 
-def merge_close(x: np.ndarray, labels: np.ndarray, epsilon: float) -> np.ndarray:
-    """Clusters whose centres are nearer than epsilon times the median distance between
-    centres become one, along chains too, under the least label."""
-    ids, centres = _centres(x, labels)
-    if epsilon <= 0 or len(ids) < 2:
-        return labels
-    d = _distances(centres, centres)
-    pairs = np.triu_indices(len(ids), 1)
-    scale = np.median(d[pairs])
-    if not scale > 0:
-        return labels
-    near = [(float(d[i, j]), int(i), int(j)) for i, j in zip(*pairs) if d[i, j] < epsilon * scale]
-    top = list(range(len(ids)))
-    for _, i, j in near:
-        a, b = top[i], top[j]
-        top = [min(a, b) if t in (a, b) else t for t in top]
-    to = {c: ids[t] for c, t in zip(ids, top)}
-    return np.array([to.get(int(c), -1) for c in labels])
-
-
-def split_large(x: np.ndarray, labels: np.ndarray, most: int, least_children: int = 2, vectors: np.ndarray | None = None, alike: float = 0.0) -> np.ndarray:
-    """Clusters over most points become about size / most children of ten or more, by
-    Ward's criterion; not where two children's centres of vectors are alike."""
-    labels = labels.copy()
-    after = int(labels.max()) + 1
-    for c in sorted({int(v) for v in labels if v >= 0}):
-        at = np.flatnonzero(labels == c)
-        children = min(max(least_children, round(len(at) / most)), len(at) // 10) if most > 0 else 0
-        if most <= 0 or len(at) <= most or children < least_children:
-            continue
-        child = cut(agglomerate(_distances(x[at], x[at]) ** 2, "ward"), len(at), children)
-        if alike > 0 and vectors is not None:
-            _, centres = _centres(vectors[at], child)
-            centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-            s = centres @ centres.T
-            np.fill_diagonal(s, -1)
-            if s.max() >= alike:
-                continue
-        labels[at] = after + child
-        after += int(child.max()) + 1
-    return labels
+def _reduced(rows: DataFrame, width: int) -> DataFrame:
+    """_s, _k, _x: coordinates along the first ``width`` axes of each scope's greatest
+    variance, each axis with its largest part positive; the vector itself where it has too
+    few places or the scope too few rows. Scopes are summed up in tasks: rows never meet."""
+    if width <= 0:
+        return rows.select("_s", "_k", F.col("_v").alias("_x"))
 
+    def sums(batches):
+        for batch in batches:
+            x, by = matrix(batch.column("_v")), pd.Series(range(batch.num_rows)).groupby(batch.column("_s").to_pandas())
+            parts = [(name, len(at), x[at].sum(axis=0), (x[at].T @ x[at]).ravel()) for name, at in ((k, v.to_numpy()) for k, v in by)]
+            yield pa.RecordBatch.from_pylist([{"_s": s, "n": n, "one": one.tolist(), "two": two.tolist()} for s, n, one, two in parts], pa.schema([("_s", pa.string()), ("n", pa.int64()), ("one", pa.list_(pa.float64())), ("two", pa.list_(pa.float64()))]))
 
-def principal(x: np.ndarray, width: int) -> np.ndarray:
-    """Coordinates along the first ``width`` axes of the greatest variance, each axis with
-    its largest part positive; x itself if it has too few rows or columns."""
-    if width <= 0 or width >= min(x.shape):
-        return x
-    x = x - x.mean(axis=0)
-    _, _, axes = np.linalg.svd(x, full_matrices=False)
-    axes = axes[:width]
-    axes *= np.sign(axes[np.arange(width), np.abs(axes).argmax(axis=1)])[:, None]
-    return x @ axes.T
-
-
-def quality(x: np.ndarray, labels: np.ndarray) -> dict[str, float]:
-    """noise, clusters, share of the largest cluster, and the mean silhouette of at most
-    SILHOUETTE_POINTS points (nan with fewer than two clusters)."""
-    inside = labels >= 0
-    out = {"noise": float(1 - inside.mean()) if len(labels) else 1.0, "clusters": len({*labels[inside]}), "share": 0.0, "silhouette": float("nan")}
-    if inside.any():
-        out["share"] = float(np.bincount(labels[inside]).max() / len(labels))
-    at = np.flatnonzero(inside)
-    at = at[:: -(-len(at) // SILHOUETTE_POINTS)] if len(at) else at
-    names, y = np.unique(labels[at], return_inverse=True)
-    if len(names) < 2 or len(at) < 3:
-        return out
-    sums = np.stack([_distances(x[at], x[at[y == c]]).sum(axis=1) for c in range(len(names))], axis=1)
-    counts = np.bincount(y)
-    own, rows = sums[np.arange(len(at)), y] / np.maximum(counts[y] - 1, 1), np.arange(len(at))
-    means = sums / counts
-    means[rows, y] = np.inf
-    other = means.min(axis=1)
-    score = np.where(counts[y] > 1, (other - own) / np.maximum(np.maximum(own, other), 1e-300), 0.0)
-    return out | {"silhouette": float(score.mean())}
+    def axes(part: pd.DataFrame) -> pd.DataFrame:
+        n, mean = part["n"].sum(), np.stack(part["one"]).sum(axis=0) / part["n"].sum()
+        if width >= min(n, len(mean)):
+            return pd.DataFrame({"_s": part["_s"].iloc[:1], "mean": [mean.tolist()], "axes": [None]})
+        spread = np.stack(part["two"]).sum(axis=0).reshape(len(mean), -1) / n - np.outer(mean, mean)
+        found = np.linalg.eigh(spread)[1][:, ::-1][:, :width].T
+        found = found * np.sign(found[np.arange(width), np.abs(found).argmax(axis=1)])[:, None]
+        return pd.DataFrame({"_s": part["_s"].iloc[:1], "mean": [mean.tolist()], "axes": [found.tolist()]})
 
+    sums_of = rows.select("_s", "_v").mapInArrow(sums, "_s string, n long, one array<double>, two array<double>")
+    found = sums_of.groupBy("_s").applyInPandas(axes, "_s string, mean array<double>, axes array<array<double>>")  # a row for each batch
+    centred = F.zip_with("_v", "mean", lambda x, m: x - m)
+    return rows.join(stored(found), "_s").select("_s", "_k", F.when(F.col("axes").isNull(), F.col("_v")).otherwise(F.transform("axes", lambda a: dot(a, centred))).alias("_x"))
 
-def _bounded(rows: DataFrame, pool: str, key: str) -> DataFrame:
-    """Of each pool about MOST_POOL rows at most, by a hash of the key."""
-    n = rows.groupBy(pool).agg(F.count("*").alias("_n"))
-    share = F.least(F.lit(1.0), F.lit(float(MOST_POOL)) / F.col("_n"))
-    return rows.join(n, pool).where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 30)) < share * (1 << 30)).drop("_n")
 
+def _named(rows: DataFrame, scope: str, key: str, vector: str) -> DataFrame:
+    return rows.where(F.col(vector).isNotNull()).select(F.col(scope).cast("string").alias("_s"), F.col(key).alias("_k"), F.col(vector).cast("array<double>").alias("_v"))
 
-def _matrix(table: pd.DataFrame, vector: str) -> np.ndarray:
-    return np.stack([np.asarray(v, float) for v in table[vector]])
 
+def density_clusters(rows: DataFrame, least: int, samples: int, most: int = 0) -> DataFrame:
+    """_s, _k, label of all rows of _s, _k, _x."""
+    table = graph.leaves(rows, "_k", "_x", "_s")
+    near = graph.neighbours(table, max(samples, NEAR))
+    forest = graph.spanning_forest(graph.reachability_edges(table, near, samples))
 
-def _plain(table: pd.DataFrame) -> pd.DataFrame:
-    """An empty column of texts can't be sent in the form that pandas gives it."""
-    return table if len(table) else table.astype(object)
+    def settle(nodes: pa.Table, edges: pa.Table) -> pa.Table:
+        nodes, edges = nodes.sort_by("_k"), edges.sort_by([("w", "ascending"), ("a", "ascending"), ("b", "ascending")])
+        place = pd.Index(nodes["_k"].to_pandas())
+        ends = [place.get_indexer(edges[c].to_pandas()) for c in ("a", "b")]
+        labels = condensed_labels(*ends, edges["w"].to_numpy(), nodes.num_rows, least, most)
+        return nodes.select(["_s", "_k"]).append_column("label", pa.array(labels, pa.int64()))
 
+    kind = rows.schema["_k"].dataType.simpleString()
+    return stored(rows.select("_s", "_k").groupBy("_s").cogroup(forest.groupBy("_s")).applyInArrow(settle, f"_s string, _k {kind}, label long"))
+
+
+def close_centres(centres: np.ndarray, epsilon: float) -> np.ndarray:
+    """For each centre, the least one that it becomes one with: those nearer than epsilon
+    times the median distance between centres, along chains too."""
+    into = np.arange(len(centres))
+    if epsilon <= 0 or len(centres) < 2:
+        return into
+    d = distances(centres, centres)
+    i, j = np.triu_indices(len(centres), 1)
+    scale = np.median(d[i, j])
+    for x, y in zip(i, j):
+        if scale > 0 and d[x, y] < epsilon * scale:
+            into = np.where((into == into[x]) | (into == into[y]), min(into[x], into[y]), into)
+    return into
 
-def cluster_pools(
-    rows: DataFrame, pool: str, key: str, vector: str, least: int, samples: int, width: int = 0, epsilon: float = 0.0, most: int = 0, alike: float = 0.92
-) -> DataFrame:
-    """pool, key, label of each pool's (bounded) rows: axes of greatest variance, density
-    clusters, then close ones merged and large ones split. Rows are taken by key."""
+
+def merge_close(rows: DataFrame, epsilon: float) -> DataFrame:
+    """_s, label, into of the clusters of _s, _x, label (-1 is none)."""
+    centres = rows.where("label >= 0").groupBy("_s", "label").agg(_mean("_x").alias("c"))
+
+    def settle(table: pd.DataFrame) -> pd.DataFrame:
+        table = table.sort_values("label")
+        into = close_centres(np.stack(table["c"]), epsilon)
+        return pd.DataFrame({"_s": table["_s"], "label": table["label"], "into": table["label"].to_numpy()[into]})
+
+    return centres.groupBy("_s").applyInPandas(settle, "_s string, label long, into long")
+
+
+def landmarks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of groups (_g, _k, _x): _g, _k, mark of all rows, and _g, mark, c, n of the marks,
+    about MARKS of a group at most: drawn by a hash of the key, each with the mean and the
+    number of the rows nearest to it."""
+    sizes = rows.groupBy("_g").agg(F.count("*").alias("_n"))
+    drawn = F.pmod(F.xxhash64("_k", F.lit(29)), F.lit(1 << 30)) < F.lit(float(MARKS << 30)) / F.col("_n")
+    placed = stored(rows.join(sizes, "_g").withColumns({"_m": drawn, "_p": F.pmod(F.xxhash64("_k"), F.ceil(F.col("_n") / PIECE_ROWS))}))
+    pieces = placed.select("_g", "_p").distinct()
+    marks = placed.where("_m").select("_g", F.col("_k").alias("mark"), F.col("_x").alias("c")).join(pieces, "_g")
+    kind = rows.schema["_k"].dataType.simpleString()
+
+    def near(part: pa.Table, some: pa.Table) -> pa.Table:
+        some = some.sort_by("mark")
+        at = np.concatenate([distances(matrix(part["_x"].slice(lo, 4096)), matrix(some["c"])).argmin(axis=1) for lo in range(0, part.num_rows, 4096)] or [np.zeros(0, int)])
+        return pa.table({"_g": part["_g"], "_k": part["_k"], "mark": some["mark"].take(pa.array(at))})
+
+    mine = placed.where("_m").select("_g", "_k", F.col("_k").alias("mark"))
+    marks = marks.select(*[F.col(c).alias(c) for c in marks.columns])  # columns of their own
+    others = placed.where("not _m").groupBy("_g", "_p").cogroup(marks.groupBy("_g", "_p")).applyInArrow(lambda a, b: near(a, b) if a.num_rows else near(a, b.slice(0, 0)), f"_g string, _k {kind}, mark {kind}")
+    owned = stored(mine.unionByName(others))
+    means = placed.select("_g", "_k", "_x").join(owned, ["_g", "_k"]).groupBy("_g", "mark").agg(_mean("_x").alias("c"), F.count("*").alias("n"))
+    return owned, means
+
+
+def linked(rows: DataFrame, kind: str, under: float = np.inf, children=None) -> DataFrame:
+    """_g, _k, child of groups (_g, _k, _x): the linkage of their landmarks, cut at heights
+    under a bound or into children(size) parts."""
+    owned, means = landmarks(rows)
 
     def settle(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values(key)
-        v = _matrix(table, vector)
-        x = principal(v, width)
-        labels = split_large(x, merge_close(x, density_labels(x, least, samples), epsilon), most, 2, v, alike)
-        return table[[pool, key]].assign(label=labels)
+        table = table.sort_values("mark")
+        x, n = np.stack(table["c"]), table["n"].to_numpy(float)
+        d = distances(x, x)
+        if kind == "ward":
+            d = d**2 * 2 * np.outer(n, n) / (n[:, None] + n[None, :])
+        labels = cut(agglomerate(d, kind, n), len(x), children(int(n.sum())) if children else 1, under) if len(x) > 1 else np.zeros(len(x), int)
+        return pd.DataFrame({"_g": table["_g"], "mark": table["mark"], "child": labels})
+
+    key = rows.schema["_k"].dataType.simpleString()
+    parts = means.groupBy("_g").applyInPandas(settle, f"_g string, mark {key}, child long")
+    return owned.join(parts, ["_g", "mark"]).select("_g", "_k", "child")
+
+
+def split_large(rows: DataFrame, most: int, alike: float = 0.0, least_children: int = 2) -> DataFrame:
+    """_s, _k, label, child of rows _s, _k, _v, _x, label: clusters over most points become
+    about size / most children of ten or more points on the average, by Ward's criterion; not
+    where two children's centres of vectors are alike. Others are one child, 0."""
+    number = lambda n: min(max(least_children, round(n / most)), n // 10)
+    sizes = rows.where("label >= 0").groupBy("_s", "label").agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    large = stored(sizes.where(F.least(F.greatest(F.lit(least_children), F.rint(F.col("_n") / most)), F.floor(F.col("_n") / 10)) >= least_children).select("_s", "label", F.to_json(F.struct("_s", "label")).alias("_g")))
+    inside = stored(rows.join(large, ["_s", "label"]))
+    parts = stored(linked(inside.select("_g", "_k", "_x"), "ward", children=number))
+    if alike > 0:
+        centres = inside.join(parts, ["_g", "_k"]).groupBy("_g", "child").agg(_mean("_v").alias("c")).select("_g", "child", unit(F.col("c")).alias("c"))
+        other = centres.select("_g", F.col("child").alias("_o"), F.col("c").alias("_c"))
+        same = centres.join(other, "_g").where("child < _o").where(dot(F.col("c"), F.col("_c")) >= alike).select("_g").distinct()
+        parts = parts.join(same, "_g", "left_anti")
+    found = parts.join(large, "_g").select("_s", "_k", F.col("child").cast("long").alias("child"))
+    return rows.join(found, ["_s", "_k"], "left").select("_s", "_k", "label", F.coalesce("child", F.lit(0).cast("long")).alias("child"))
+
 
-    some = _bounded(rows.select(pool, key, vector), pool, key)
-    return some.groupBy(pool).applyInPandas(settle, some.select(pool, key, F.lit(0).cast("long").alias("label")).schema)
+def cluster_pools(
+    rows: DataFrame, pool: str, key: str, vector: str, least: int, samples: int, width: int = 0, epsilon: float = 0.0, most: int = 0, alike: float = 0.92
+) -> DataFrame:
+    """pool, key, label of every row: axes of greatest variance, density clusters, then
+    close ones merged and large ones split. Labels of a pool go from 0; -1 is noise, and
+    rows without a vector. Keys are unique. An empty table gives no rows."""
+    named = stored(_named(rows, pool, key, vector))
+    x = _reduced(named, width)
+    x = stored(x) if width > 0 else x
+    labels = density_clusters(x, least, samples)
+    if epsilon > 0:
+        into = merge_close(x.join(labels, ["_s", "_k"]), epsilon)
+        labels = labels.join(into, ["_s", "label"], "left").select("_s", "_k", F.coalesce("into", "label").alias("label"))
+    labels = labels.withColumn("child", F.lit(0).cast("long"))
+    if most > 0:
+        labels = split_large(stored(named.join(x, ["_s", "_k"]).join(labels.drop("child"), ["_s", "_k"])), most, alike)
+    labels = stored(labels)
+    order = Window.partitionBy("_s").orderBy("label", "child")  # a row for each cluster
+    numbers = labels.where("label >= 0").select("_s", "label", "child").distinct().withColumn("_l", F.row_number().over(order) - 1)
+    labels = labels.join(numbers, ["_s", "label", "child"], "left").select("_s", F.col("_k").alias(key), "_l")
+    out = rows.select(pool, key).withColumn("_s", F.col(pool).cast("string")).join(labels, ["_s", key], "left")
+    return out.select(pool, key, F.coalesce("_l", F.lit(-1)).cast("long").alias("label"))
 
 
 def choose_parameters(rows: DataFrame, pool: str, key: str, vector: str, grid: list[tuple[int, int, int]], most_share: float = 0.5, noise_weight: float = 0.35) -> DataFrame:
     """pool, width, least, samples, objective: for each pool the best of the grid, by
     silhouette in the full space + 0.1 ln(1 + clusters) - noise_weight * noise; not
-    where one cluster holds more than most_share. Every pool and choice is a task."""
-    spark = rows.sparkSession
-    some = _bounded(rows.select(pool, key, vector), pool, key)
-    choices = F.broadcast(spark.createDataFrame(grid, "width int, least int, samples int"))  # the grid
-
-    def settle(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values(key)
-        head = table.iloc[0]
-        v = _matrix(table, vector)
-        labels = density_labels(principal(v, int(head["width"])), int(head["least"]), int(head["samples"]))
-        q = quality(v, labels)
-        good = q["clusters"] >= 2 and q["share"] <= most_share
-        value = q["silhouette"] + 0.1 * np.log1p(q["clusters"]) - noise_weight * q["noise"] if good else -np.inf
-        return pd.DataFrame([(head[pool], head["width"], head["least"], head["samples"], value)], columns=[pool, "width", "least", "samples", "objective"])
-
-    schema = some.select(pool, *[F.lit(0).cast("int").alias(c) for c in ("width", "least", "samples")], F.lit(0.0).alias("objective")).schema
-    tried = some.crossJoin(choices).groupBy(pool, "width", "least", "samples").applyInPandas(settle, schema)
+    where one cluster holds more than most_share. Tried on about TRIAL_ROWS rows of a pool,
+    drawn by a hash of the key: that many settle which parameters suit it."""
+    sizes = rows.groupBy(pool).agg(F.count("*").alias("_n"))
+    drawn = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 30)) < F.lit(float(TRIAL_ROWS << 30)) / F.col("_n")
+    some = stored(rows.select(pool, key, vector).join(sizes, pool).where(drawn).drop("_n"))
+    tried = None
+    for width, least, samples in grid:
+        labelled = cluster_pools(some, pool, key, vector, least, samples, width).join(some.select(key, vector), key)
+        q = pool_quality(labelled, pool, key, vector, "label")
+        good = (F.col("clusters") >= 2) & (F.col("share") <= most_share)
+        value = F.when(good, F.col("silhouette") + 0.1 * F.log1p("clusters") - noise_weight * F.col("noise")).otherwise(float("-inf"))
+        one = stored(q.select(pool, *[F.lit(v).alias(n) for v, n in ((width, "width"), (least, "least"), (samples, "samples"))], value.alias("objective")))
+        tried = one if tried is None else tried.unionByName(one)
     best = F.max_by(F.struct("width", "least", "samples", "objective"), F.struct("objective", -F.col("width"), -F.col("least"), -F.col("samples"))).alias("b")
     return tried.groupBy(pool).agg(best).select(pool, "b.*")
 
 
 def micro_clusters(rows: DataFrame, scope: str, key: str, vector: str, author: str, distance: float, least: int, authors: int) -> DataFrame:
-    """scope, key, cluster of small tight groups of leftovers: average linkage under
-    distance, with at least so many members and distinct authors."""
-
-    def settle(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values(key)
-        x = _matrix(table, vector)
-        labels = cut(agglomerate(_distances(x, x), "average"), len(x), under=distance) if len(x) > 1 else np.zeros(len(x), int)
-        table = table.assign(cluster=labels)
-        found = table.groupby("cluster").agg(n=(key, "size"), a=(author, "nunique"))
-        good = found.index[(found["n"] >= least) & (found["a"] >= authors)]
-        return _plain(table.loc[table["cluster"].isin(good), [scope, key, "cluster"]])
-
-    some = _bounded(rows.select(scope, key, vector, author), scope, key)
-    return some.groupBy(scope).applyInPandas(settle, some.select(scope, key, F.lit(0).cast("long").alias("cluster")).schema)
+    """scope, key, cluster (its least key) of small tight groups of leftovers: average
+    linkage under distance, with at least so many members and distinct authors. A cluster
+    lies inside a component of rows nearer than distance; components are linked by
+    themselves, so all leftovers take part."""
+    named = stored(_named(rows, scope, key, vector))
+    table = graph.leaves(named, "_k", "_v", "_s")
+    edges = graph.reachability_edges(table, graph.neighbours(table, NEAR), 1).where(F.col("w") < distance)
+    parts = graph.components(edges, named)
+    inside = named.join(parts, ["_s", "_k"]).select(F.to_json(F.struct("_s", "component")).alias("_g"), "_s", "_k", F.col("_v").alias("_x"))
+    inside = stored(inside)
+    found = linked(inside.select("_g", "_k", "_x"), "average", under=distance).join(inside.select("_s", "_k"), "_k")
+    people = rows.select(F.col(key).alias("_k"), F.col(author).alias("_a"))
+    found = stored(found.join(people, "_k"))
+    good = found.groupBy("_g", "child").agg(F.count("*").alias("_n"), F.countDistinct("_a").alias("_d"), F.min("_k").alias("cluster"))
+    kept = found.join(good.where((F.col("_n") >= least) & (F.col("_d") >= authors)), ["_g", "child"]).select(F.col("_k").alias(key), "cluster")
+    return rows.select(scope, key).join(kept, key).select(scope, key, "cluster")
 
 
 def topic_groups(topics: DataFrame, scope: str, similarity: float) -> DataFrame:
     """scope, topic_id, group_id, group_size: topics of one scope (with topic_id, centroid
     and size > 0) all pairs of which are similar enough, in groups of two or more, named
-    after the largest."""
+    after the largest. Topics are summaries: a scope's are settled in one task."""
 
     def settle(table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values(["size", "topic_id"], ascending=[False, True])
-        x = _matrix(table, "centroid")
+        x = np.stack([np.asarray(v, float) for v in table["centroid"]])
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         labels = cut(agglomerate(1 - x @ x.T, "complete"), len(x), under=1 - similarity) if len(x) > 1 else np.zeros(len(x), int)
         table = table.assign(_g=labels)
         table = table[table.groupby("_g")["_g"].transform("size") > 1]
         by = table.groupby("_g")
         table = table.assign(group_id=["G_" + str(v) for v in by["topic_id"].transform("first")], group_size=by["_g"].transform("size"))
-        return _plain(table[[scope, "topic_id", "group_id", "group_size"]])
+        table = table[[scope, "topic_id", "group_id", "group_size"]]
+        return table if len(table) else table.astype(object)  # an empty column of texts can't be sent as pandas has it
 
     some = topics.where("size > 0").select(scope, "topic_id", "centroid", "size")
     return some.groupBy(scope).applyInPandas(settle, some.select(scope, "topic_id", F.lit("").alias("group_id"), F.lit(0).cast("long").alias("group_size")).schema)
 
 
-def pool_quality(rows: DataFrame, pool: str, vector: str, label: str) -> DataFrame:
-    """pool, noise, clusters, share, silhouette of labelled rows (-1: noise)."""
+def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
+    """The mean silhouette of labelled points; nan with fewer than two clusters."""
+    names, y = np.unique(labels, return_inverse=True)
+    if len(names) < 2 or len(x) < 3:
+        return float("nan")
+    sums = np.stack([distances(x, x[y == c]).sum(axis=1) for c in range(len(names))], axis=1)
+    counts, rows = np.bincount(y), np.arange(len(x))
+    own = sums[rows, y] / np.maximum(counts[y] - 1, 1)
+    means = sums / counts
+    means[rows, y] = np.inf
+    other = means.min(axis=1)
+    return float(np.where(counts[y] > 1, (other - own) / np.maximum(np.maximum(own, other), 1e-300), 0.0).mean())
+
+
+def pool_quality(rows: DataFrame, pool: str, key: str, vector: str, label: str) -> DataFrame:
+    """pool, noise, clusters, share (of the largest cluster) of labelled rows (-1: noise),
+    over all rows, and the mean silhouette of about SILHOUETTE_POINTS of a pool's clustered
+    rows, drawn by a hash of the key (null with fewer than two clusters): a bounded sample
+    is the measure's own."""
+    sizes = rows.groupBy(pool, label).agg(F.count("*").alias("_c"))
+    inside = F.when(F.col(label) >= 0, F.col("_c"))
+    whole = sizes.groupBy(pool).agg(
+        (1 - F.coalesce(F.sum(inside), F.lit(0)) / F.sum("_c")).alias("noise"), F.count(inside).alias("clusters"), F.coalesce(F.max(inside) / F.sum("_c"), F.lit(0.0)).alias("share"),
+        F.coalesce(F.sum(inside), F.lit(0)).alias("_n"),
+    )
+    drawn = F.pmod(F.xxhash64(key, F.lit(3)), F.lit(1 << 30)) < F.lit(float(SILHOUETTE_POINTS << 30)) / F.col("_n")
+    some = rows.where(F.col(label) >= 0).select(pool, key, vector, label).join(whole.select(pool, "_n"), pool).where(drawn)
 
     def settle(table: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{pool: table[pool].iat[0], **quality(_matrix(table, vector), table[label].to_numpy())}])
+        return pd.DataFrame([{pool: table[pool].iat[0], "silhouette": silhouette(np.stack([np.asarray(v, float) for v in table[vector]]), table[label].to_numpy())}])
 
-    some = rows.select(pool, vector, label)
-    names = ", ".join(["noise double", "clusters long", "share double", "silhouette double"])
-    return some.groupBy(pool).applyInPandas(settle, f"{pool} {some.schema[pool].dataType.simpleString()}, {names}")
+    found = some.groupBy(pool).applyInPandas(settle, f"{pool} {rows.schema[pool].dataType.simpleString()}, silhouette double")
+    return whole.drop("_n").join(found, pool, "left").withColumn("silhouette", F.nanvl("silhouette", F.lit(None).cast("double")))

@@ -31,7 +31,7 @@ def _matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     there = vectors.is_valid().to_numpy(zero_copy_only=False)
     flat = vectors.drop_null().flatten().to_numpy(zero_copy_only=False).astype(float)
     out = np.zeros((len(vectors), len(flat) // max(there.sum(), 1)))
-    out[there] = flat.reshape(there.sum(), -1)
+    out[there] = flat.reshape(out[there].shape)
     return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-12), there
 
 
@@ -110,7 +110,8 @@ def _assign_dealt(rows: DataFrame, topics: DataFrame, total_bytes: int, scope: s
     rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()))  # rows are told apart by it from here on
     if scope:
         topics = topics.withColumn("_s", F.when(F.col("_s").isin(*pools), pools[0]).otherwise(F.col("_s")))
-        placed = resolve_scope(rows, topics, "_s", pools).withColumn("_s", F.col("scope_key"))
+        own, seen = rows.withColumnRenamed("_s", "_of"), topics.withColumnRenamed("_s", "_of")
+        placed = resolve_scope(own, seen, "_of", pools).withColumnRenamed("scope_key", "_s").drop("_of")
     else:
         topics, placed = topics.withColumn("_s", F.lit("")), rows.withColumn("_s", F.lit(""))
     topics = topics.withColumn("_b", F.pmod(F.xxhash64("topic_id"), F.lit(blocks)))
@@ -133,12 +134,13 @@ def _assign_dealt(rows: DataFrame, topics: DataFrame, total_bytes: int, scope: s
 
     kind = topics.schema["topic_id"].dataType.simpleString()
     keys = ["_s", "_b", "_p"]
+    left, right = (t.select(*[F.col(c).alias(c) for c in t.columns]) for t in (left, right))  # columns of their own
     met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, f"_row long, topic_id {kind}, similarity double")
     order = Window.partitionBy("_row").orderBy(F.desc("similarity"), "topic_id")  # blocks times k rows
     ranked = met.withColumns({"rank": F.row_number().over(order), "_best": F.max("similarity").over(Window.partitionBy("_row"))}).where(F.col("rank") <= k)
     fits = (F.col("similarity") >= threshold) & (F.col("similarity") >= F.col("_best") - margin)
     kept = ranked.where(fits | (F.col("rank") == 1)).withColumn("topic_id", F.when(fits, F.col("topic_id"))).drop("_best")
-    out = rows.select("_row", "_id").join(kept, "_row", "left")
+    out = rows.select(F.col("_row").alias("_row"), "_id").join(kept, "_row", "left")
     return out.select("_id", "topic_id", F.coalesce("similarity", F.lit(-1.0)).alias("similarity"), F.coalesce("rank", F.lit(1)).cast("int").alias("rank"))
 
 
@@ -164,7 +166,7 @@ def assign_topics(
         out = _assign_dealt(rows, topics, size, scope, pools, k, threshold, margin)
     else:
         few = topics.orderBy("topic_id").toArrow()  # SENT_BYTES at most
-        matrix = np.array(few["centroid"].to_pylist(), float).reshape(few.num_rows, -1)
+        matrix = np.array(few["centroid"].to_pylist(), float)
         kinds = (segments.schema[segment_id].dataType.simpleString(), topics.schema["topic_id"].dataType.simpleString())
         schema = f"_id {kinds[0]}, topic_id {kinds[1]}, similarity double, rank int"
         scopes = few["_s"].to_pylist() if scope else [None] * few.num_rows

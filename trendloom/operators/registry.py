@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.functions.vectors import dot, unit
+from trendloom.sources.stored import stored
 
 
 def scoped_pairs(new: DataFrame, old: DataFrame, scope: str) -> DataFrame:
@@ -330,3 +331,56 @@ def dedupe_ids(topics: DataFrame, members: DataFrame, scope: str, record: str) -
     rows = topics.join(top.select("topic_id", F.col(scope).alias("_main")), "topic_id", "left")
     order = Window.partitionBy("topic_id").orderBy(F.desc(F.coalesce(F.col(scope) == F.col("_main"), F.lit(False))), F.desc("size"), scope)
     return rows.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r", "_main")
+
+
+def final_targets(plan: DataFrame) -> DataFrame:
+    """topic_id, into_id of merges one after the other (a into b, later b into c): where
+    each merged topic's rows are in the end. A topic that is part of a circle stays put."""
+    last = stored(plan.select("topic_id", "into_id").dropDuplicates(["topic_id"]))
+    for _ in range(64):  # each round doubles the steps
+        onward = last.select(F.col("topic_id").alias("into_id"), F.col("into_id").alias("_next"))
+        step = stored(last.join(onward, "into_id", "left").select("topic_id", F.coalesce("_next", "into_id").alias("into_id"), F.col("_next").isNotNull().alias("_moved")).where("topic_id != into_id"))
+        last = step.drop("_moved")
+        if not step.where("_moved").limit(1).count():
+            break
+    return last
+
+
+def carry_decisions(history: DataFrame, previous: DataFrame, topics: DataFrame, plan: DataFrame, key: str = "segment_id") -> tuple[DataFrame, DataFrame]:
+    """What earlier batches decided about the history's segments (previous: key, topic_id,
+    similarity, assignment_type), and the segments they never saw. Topics that have been
+    merged since, along chains too, are re-pointed; a topic that is gone goes, and a
+    segment of which nothing is left has one row UNASSIGNED. A segment and topic come once:
+    as the more similar of what became one."""
+    kept = history.select(key).distinct()
+    old = previous.join(kept, key, "left_semi").join(final_targets(plan), "topic_id", "left")
+    old = old.withColumn("topic_id", F.coalesce("into_id", "topic_id")).drop("into_id")
+    live = old.join(topics.select("topic_id").distinct(), "topic_id", "left_semi")
+    one = live.groupBy(key, "topic_id").agg(F.max_by(F.struct("similarity", "assignment_type"), F.struct("similarity", "assignment_type")).alias("_r")).select(key, "topic_id", "_r.*")
+    lost = old.select(key).distinct().join(one.select(key), key, "left_anti")
+    none = lost.select(key, F.lit(None).cast(one.schema["topic_id"].dataType).alias("topic_id"), F.lit(None).cast("double").alias("similarity"), F.lit("UNASSIGNED").alias("assignment_type"))
+    return one.unionByName(none), history.join(previous.select(key).distinct(), key, "left_anti")
+
+
+def update_centroids(topics: DataFrame, members: DataFrame, vector: str, relabel_below: float = 0.0) -> DataFrame:
+    """topics (topic_id, centroid, previous_size, label_source and others) with the members
+    filed under them first (topic_id, a vector) folded in: the old centroid counts
+    previous_size times, once at least, each member once, all of unit length. A carried
+    label whose topic moved below relabel_below from where it was is marked stale."""
+    places = members.where("topic_id is not null").select("topic_id", F.posexplode(unit(F.col(vector))).alias("_at", "_x"))
+    sums = places.groupBy("topic_id", "_at").agg(F.sum("_x").alias("_x")).groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("_at", "_x"))).alias("_l"))
+    sums = sums.select("topic_id", F.transform("_l", lambda s: s["_x"]).alias("_sum"))
+    old, weight = unit(F.col("centroid")), F.greatest(F.coalesce("previous_size", F.lit(0)), F.lit(1))
+    rows = topics.join(sums, "topic_id", "left").withColumn("_new", F.when(F.col("_sum").isNotNull(), unit(F.zip_with(old, "_sum", lambda x, y: x * weight + y))))
+    stale = (F.lit(relabel_below) > 0) & (dot(old, F.col("_new")) < relabel_below) & (F.col("label_source") == "llm_carried")
+    return rows.withColumns({"label_source": F.when(F.coalesce(stale, F.lit(False)), "llm_stale").otherwise(F.col("label_source")), "centroid": F.coalesce("_new", F.transform("centroid", lambda x: x.cast("double")))}).drop("_sum", "_new")
+
+
+def with_metrics(topics: DataFrame, hot: DataFrame) -> DataFrame:
+    """topics with the measures of hot (by topic_id); those that topics has under the same
+    name come as name_hot. In the order of the final report: suppressed and junk last, the
+    hottest first."""
+    clash = [c for c in hot.columns if c != "topic_id" and c in topics.columns]
+    rows = topics.join(hot.withColumnsRenamed({c: f"{c}_hot" for c in clash}), "topic_id", "left")
+    flags = [F.col(c).asc() for c in ("suppressed", "is_junk") if c in rows.columns]
+    return rows.orderBy(*flags, F.desc("hot_score"), F.desc("recent_volume"), "topic_id")

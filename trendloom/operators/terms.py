@@ -184,3 +184,22 @@ def duplicate_ratio(docs: DataFrame, topic: str, text: str) -> DataFrame:
     keys = docs.groupBy(topic, near_duplicate_key(F.col(text)).alias("_k")).agg(F.count("*").alias("n"))
     most = F.coalesce(F.max(F.when(F.col("_k") != "", F.col("n"))), F.lit(0))
     return keys.groupBy(topic).agg(F.sum("n").alias("members"), (most / F.sum("n")).alias("ratio"))
+
+
+def add_counts(one: DataFrame, two: DataFrame, topic: str) -> DataFrame:
+    """pair_counts() of the documents of both, which have none in common, for the topics
+    and terms of the first: a reference's counts, stored once, are added to those of each
+    window instead of counting the reference again."""
+    names = ("na", "nb", "nab", "n")
+    rows = one.join(two.withColumnsRenamed({c: f"_{c}" for c in names}), [topic, "a", "b"], "left")
+    more = two.agg(F.max("n").alias("_m"))  # one row
+    total = {c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) for c in names[:3]}
+    return rows.crossJoin(F.broadcast(more)).select(topic, "a", "b", *[v.alias(c) for c, v in total.items()], (F.col("n") + F.coalesce("_m", F.lit(0))).alias("n"))
+
+
+def reference_documents(reference: DataFrame, window: DataFrame, doc: str, most: int, seed: int = 42) -> DataFrame:
+    """Of a fixed reference, the documents that aren't in the window, ``most`` at most or
+    so: drawn by a hash of the id, so that every window sees the same ones."""
+    n = F.broadcast(reference.agg(F.count("*").alias("_n")))  # one row
+    drawn = F.pmod(F.xxhash64(doc, F.lit(seed)), F.lit(1 << 30)) < F.lit(float(most << 30)) / F.col("_n")
+    return reference.crossJoin(n).where(drawn).drop("_n").join(window.select(doc), doc, "left_anti")
