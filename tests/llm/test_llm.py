@@ -694,3 +694,33 @@ def test_pipeline(spark):
 
     rows = corpus_pipeline.run(spark, SF).collect()
     assert 0 < len(rows) <= 200 and all(r.n_tokens == len(r.ids) for r in rows)
+
+
+PARAGRAPH = "<p>Some sentence of the article, with a comma, and another one, that goes on for quite a while, number {}.</p>"
+
+
+@pytest.mark.parametrize(
+    "extra",
+    [
+        '<div class="comments">' + "".join(f"<p>Reader number {i} says a lot, with commas, about this, and about that, at great length and more.</p>" for i in range(5)) + "</div>",
+        '<form action="/x">' + "".join(f"<p>Form text number {i}, with commas, that tells what to fill in, and why, and where to send it.</p>" for i in range(3)) + '<input name="a"><textarea>t</textarea></form>',
+        '<div class="notice">' + "".join(f"<p>Notice number {i}, with commas, that says what has changed, and when, and for whom it holds.</p>" for i in range(3)) + "</div>",
+        '<div id="comment-list">' + "".join(f"<div class='comment'><p>Reader {i}, with commas, and more, and more, and a lot more than that.</p></div>" for i in range(40)) + "</div>",
+    ],
+)
+def test_html_forms_notices_and_comments_go_at_any_length(extra):
+    from trendloom.llm.html_text import main_text
+
+    article = "".join(PARAGRAPH.format(i) for i in range(3))
+    want = "\n".join(PARAGRAPH.format(i)[3:-4] for i in range(3))
+    assert main_text(f"<html><body><div class='content'>{article}</div>{extra}</body></html>") == want
+    assert main_text(f"<html><body><div>{article}{extra}</div></body></html>") == want
+
+
+@pytest.mark.parametrize("wrapper", ['<form><input type="hidden">{}</form>', '<div class="comments">{}</div>', '<div class="page-with-sidebar">{}</div>', '<div class="post notice">{}</div><p>Short line.</p>'])
+def test_html_wrappers_stay(wrapper):
+    from trendloom.llm.html_text import main_text
+
+    article = "".join(PARAGRAPH.format(i) for i in range(4))
+    text = main_text(f"<html><body>{wrapper.format(article)}</body></html>")
+    assert all(PARAGRAPH.format(i)[3:-4] in text for i in range(4))

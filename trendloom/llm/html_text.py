@@ -7,7 +7,8 @@ discounted by its own link density, is the container. The article or main that i
 in stays with all its blocks; without one, the whole page but its lists of links stays.
 Siblings of an article stay if they are articles, score like it or are paragraphs of
 running text. Elements with a class or id like that of a menu, an advertisement and the
-like go only if they hold no article and few paragraph points, or many links. Blocks of
+like go only if they hold no article and few paragraph points, or many links; forms,
+notices and comments that say so by name go at any length if the page has more. Blocks of
 what stays are the text. Inside an article only names that are whole names of menus and
 what other people add count. All steps take time in proportion to the page.
 """
@@ -49,6 +50,17 @@ INSIDE = frozenset(
     "recommendations menu nav navbar navigation breadcrumb breadcrumbs sidebar share sharing social newsletter subscribe subscription signup login widget toolbar pagination pager hidden".split()
 )
 BESIDE = frozenset("area articles bar block box buttons container content form inner items left links list module outer panel posts right section slot stories top unit wrap wrapper".split())
+#: Words of names that are those of reader comments, notices, adverts and the like: an element
+#: with such a name (beside it only words of BESIDE, and no name of ARTICLE_NAMES) is nothing
+#: else, as is a form with controls. They go however rich they are, if the page has CORE
+#: paragraph points besides; else they are wrappers around all of it.
+STRICT = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion comment comments disqus replies respond reply cookie cookies consent gdpr notice notices "
+    "alert alerts newsletter subscribe subscription signup login".split()
+)
+ARTICLE_NAMES = frozenset("article post entry story content main text body".split())
+CONTROLS = frozenset("input button select textarea option label".split())
+CORE = 4.0
 #: Elements with an unwanted name stay with so many paragraph points, foreign ones with
 #: so large a share of the page's; and with a link density under MANY_LINKS.
 POINTS, SHARE, MANY_LINKS = 4.0, 0.5, 0.33
@@ -62,15 +74,16 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("children", "commas", "doubt", "holds", "letters", "links", "parent", "points", "score", "tag", "unwanted")
+    __slots__ = ("children", "commas", "controls", "doubt", "holds", "letters", "links", "parent", "points", "score", "tag", "unwanted")
 
     def __init__(self, tag: str, parent: Node | None, unwanted: bool = False):
         self.tag, self.parent, self.unwanted = tag, parent, unwanted
         self.children: list[Node | str] = []
         self.letters = self.links = self.commas = 0
         self.score = self.points = 0.0
-        self.doubt = 0  # 1 for an unwanted name, 2 for a foreign one
+        self.doubt = 0  # 1 for an unwanted name, 2 for a foreign one, 3 for nothing but that
         self.holds = False  # an article or main
+        self.controls = False  # of a form
 
 
 def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
@@ -94,9 +107,17 @@ def _doubt(tag: str, attributes: str, inside_article: bool) -> int:
     if inside_article:
         words = [[w for w in re.split(r"[\s_-]+|\d+", name.lower()) if w] for name in " ".join(names).split()]
         names = [" ".join(w) for w in words if INSIDE.intersection(w) and INSIDE.union(BESIDE).issuperset(w)]
+    elif names and _strict(attributes):
+        return 3
     return 2 if any(map(FOREIGN.search, names)) else 1 if names or tag == "form" else 0
 
 
+def _strict(attributes: str) -> bool:
+    names = [n.lower() for name, *values in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id") for v in values for n in v.split()]
+    words = [[w for w in re.split(r"[_-]+|\d+", n) if w] for n in names]
+    return not ARTICLE_NAMES.intersection(names) and any(STRICT.intersection(w) and STRICT.union(BESIDE).issuperset(w) for w in words)
+
+
 class _Open:
     """The open elements, and the depths at which those of each name are."""
 
@@ -110,6 +131,11 @@ class _Open:
     def deepest(self, tags: Iterable[str]) -> int:
         return max((at[-1] for at in map(self.depths.get, tags) if at), default=0)
 
+    def mark_form(self) -> None:
+        at = self.depths.get("form")
+        if at:
+            self.nodes[at[-1]].controls = True
+
     def close(self, tags: Iterable[str], stop: Iterable[str] = ()) -> bool:
         """Closes the innermost of tags and all in it, unless one of stop is further in."""
         depth = self.deepest(tags)
@@ -149,6 +175,8 @@ def parse(page: str) -> Node:
                 elif not opened.close((tag,), ("table",) if tag in ("p", "li", "div", "b", "span", "a") else ()) and tag in ("br", "p"):
                     node.children.append(Node(tag, node))
             elif tag in RAW:
+                if tag == "textarea":
+                    opened.mark_form()
                 if tag not in ends:
                     ends[tag] = re.compile(rf"</{re.escape(tag)}\s*>", re.I)
                 end = ends[tag].search(page, at) if ends[tag] else None
@@ -164,6 +192,8 @@ def parse(page: str) -> Node:
                 inside = opened.deepest(("article",)) > 0
                 child = Node(tag, node, node.unwanted or _unwanted(tag, m[3], inside))
                 child.doubt = _doubt(tag, m[3], inside)
+                if tag in CONTROLS:
+                    opened.mark_form()
                 node.children.append(child)
                 if tag not in VOID and not m[3].rstrip().endswith("/"):
                     opened.push(child)
@@ -213,12 +243,26 @@ def _points(n: Node) -> float:
 
 
 def _drop_doubtful(root: Node) -> None:
-    """Elements of unwanted names go, unless they hold an article or are rich in
-    paragraph points and poor in links."""
-    for n in _measure(root):
+    """Forms and elements of strict names go if there is enough besides. Others of unwanted
+    names go, unless they hold an article or are rich in paragraph points and poor in
+    links."""
+    order = _measure(root)
+    strict = [n for n in order if not n.holds and (n.doubt == 3 or (n.tag == "form" and n.controls))]
+    inside: set[int] = set()
+    outer = []
+    for n in strict:  # in page order: the outer ones come first
+        if id(n) not in inside:
+            outer.append(n)
+            inside.update(map(id, _walk(n)))
+    if root.points - sum(n.points for n in outer) >= CORE:
+        for n in outer:
+            for x in _walk(n):
+                x.unwanted = True
+        order = _measure(root)
+    for n in order:
         if not n.doubt or n.unwanted or n.holds:
             continue
-        rich = n.points >= (POINTS if n.doubt == 1 else max(POINTS, SHARE * root.points)) and not (n.doubt == 2 and root.holds)
+        rich = n.points >= (POINTS if n.doubt == 1 else max(POINTS, SHARE * root.points)) and not (n.doubt >= 2 and root.holds)
         if not rich or _density(n) >= MANY_LINKS:
             for x in _walk(n):
                 x.unwanted = True
