@@ -3,8 +3,8 @@
 Numbers and dates are found by form and then validated (Luhn digit, IBAN remainder,
 calendar, octet and area ranges). What is valid is permuted within its own form by a
 keyed Feistel network of ``ROUNDS`` rounds whose round function is SHA-256 over a key
-of the kind's own (derived from the caller's, which so never stands in a plan), round
-and the other half. The two halves are residues of moduli whose product is
+of the kind's own (derived from the caller's, and joined as a row of its own, so that no
+plan has either), round and the other half. The two halves are residues of moduli whose product is
 exactly the number of valid values, so that the map is one-to-one within a kind, needs
 no retries, and equal values stay equal in all documents. Check digits are made anew.
 
@@ -13,8 +13,8 @@ no retries, and equal values stay equal in all documents. Check digits are made
     ipv4       2**16 x 2**16
     phone      the digits behind the country code, however it is set apart; numbers
                without one are as those of country 1
-    iban       the digits behind country and check digits, or the last 24 letters where
-               there is one digit at most; check digits anew
+    iban       digits and letters behind country and check digits, each in their places
+               and their own alphabet; check digits anew
     date       1900 to 2099: 200 years x 365 days, leap days 7 x 7 among themselves,
                the same in all orders of day, month and year
 
@@ -27,7 +27,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
@@ -74,9 +74,20 @@ def subkey(key: str, kind: str) -> str:
     return hmac.new(key.encode(), kind.encode(), hashlib.sha256).hexdigest()
 
 
-def _feistel(key: str, kind: str, a: str, b: str, ma: str, mb: str, done: str) -> str:
+#: Kinds of values with keys of their own.
+KEYED = ("mail", "ipv4", "date", "leap day", "ssn", "card", "phone", "iban", "iban letters")
+
+
+def _keys(spark: SparkSession, key: str) -> DataFrame:
+    """One row: _pii_keys, a struct of the keys of all kinds. They are data of a join, so
+    that no plan, explained or logged, has them."""
+    names = ", ".join(f"`{k}` string" for k in KEYED)
+    return spark.createDataFrame([(tuple(subkey(key, k) for k in KEYED),)], f"_pii_keys struct<{names}>")
+
+
+def _feistel(kind: str, a: str, b: str, ma: str, mb: str, done: str) -> str:
     """SQL: permutes the pair (a mod ma, b mod mb); done is an expression over s.a, s.b."""
-    noise = lambda half: f"cast(conv(substr(sha2(concat_ws('|', '{subkey(key, kind)}', cast({ma} as string), cast(i as string), cast({half} as string)), 256), 1, 15), 16, 10) as bigint)"
+    noise = lambda half: f"cast(conv(substr(sha2(concat_ws('|', _pii_keys.`{kind}`, cast({ma} as string), cast(i as string), cast({half} as string)), 256), 1, 15), 16, 10) as bigint)"
     return (
         f"aggregate(sequence(0, {ROUNDS - 1}), named_struct('a', cast({a} as bigint), 'b', cast({b} as bigint)), "
         f"(s, i) -> named_struct('a', if(i % 2 = 0, (s.a + {noise('s.b')}) % {ma}, s.a), 'b', if(i % 2 = 0, s.b, (s.b + {noise('s.a')}) % {mb})), "
@@ -84,17 +95,18 @@ def _feistel(key: str, kind: str, a: str, b: str, ma: str, mb: str, done: str) -
     )
 
 
-def _digits(key: str, kind: str, d: str) -> str:
-    """SQL: permutes a string of 2 to 36 digits among those of its length."""
+def _digits(kind: str, d: str) -> str:
+    """SQL: permutes a string of 1 to 36 digits among those of its length."""
     u = f"cast(length({d}) div 2 as int)"
     v = f"(length({d}) - {u})"
     power = lambda n: f"cast(pow(10, {n}) as bigint)"
     done = f"concat(lpad(cast(s.a as string), {u}, '0'), lpad(cast(s.b as string), {v}, '0'))"
-    return _feistel(key, kind, f"substr({d}, 1, {u})", f"substr({d}, {u} + 1)", power(u), power(v), done)
+    first = f"if({u} = 0, '0', substr({d}, 1, {u}))"
+    return _feistel(kind, first, f"substr({d}, {u} + 1)", power(u), power(v), done)
 
 
-def _letters(key: str, kind: str, text: str) -> str:
-    """SQL: permutes a string of 2 to 24 capitals among those of its length."""
+def _letters(kind: str, text: str) -> str:
+    """SQL: permutes a string of 1 to 24 capitals among those of its length."""
     capitals, places = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'0123456789ABCDEFGHIJKLMNOP'"
     u = f"cast(length({text}) div 2 as int)"
     v = f"(length({text}) - {u})"
@@ -102,7 +114,8 @@ def _letters(key: str, kind: str, text: str) -> str:
     power = lambda n: f"cast(pow(26, {n}) as bigint)"
     spelt = lambda half, n: f"lpad(conv(cast({half} as string), 10, 26), {n}, '0')"
     done = f"translate(concat({spelt('s.a', u)}, {spelt('s.b', v)}), {places}, {capitals})"
-    return _feistel(key, kind, number(f"substr({text}, 1, {u})"), number(f"substr({text}, {u} + 1)"), power(u), power(v), done)
+    first = f"if({u} = 0, '0', {number(f'substr({text}, 1, {u})')})"
+    return _feistel(kind, first, number(f"substr({text}, {u} + 1)"), power(u), power(v), done)
 
 
 def _refill(form: str, digits: str, skip: str = "0", first: str = "0", last: str = "9") -> str:
@@ -131,54 +144,57 @@ def _let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _date(key: str, y: str, m: str, d: str, form: str) -> str:
+def _date(y: str, m: str, d: str, form: str) -> str:
     """SQL: form over o.y, o.m, o.d (numbers) after the permutation of a valid date."""
     leap = f"({m} = 2 and {d} = 29)"
     out = lambda y, m, d: _let(f"named_struct('y', {y}, 'm', {m}, 'd', {d})", "o", form)
     day = "date_add(date'2001-01-01', cast(s.b as int))"
-    usual = _feistel(key, "date", f"{y} - 1900", f"dayofyear(make_date(2001, {m}, {d})) - 1", "200", "365", out("1900 + s.a", f"month({day})", f"day({day})"))
-    leaps = _feistel(key, "leap day", f"({y} - 1904) div 4 div 7", f"({y} - 1904) div 4 % 7", "7", "7", out("(1904 + 4 * (7 * s.a + s.b))", "2", "29"))
+    usual = _feistel("date", f"{y} - 1900", f"dayofyear(make_date(2001, {m}, {d})) - 1", "200", "365", out("1900 + s.a", f"month({day})", f"day({day})"))
+    leaps = _feistel("leap day", f"({y} - 1904) div 4 div 7", f"({y} - 1904) div 4 % 7", "7", "7", out("(1904 + 4 * (7 * s.a + s.b))", "2", "29"))
     return f"case when {leap} then {leaps} else {usual} end"
 
 
-def _pseudonym(key: str) -> str:
-    """SQL over h, a string of one of the forms: (kind, text), with kind null if h isn't
+def _pseudonym() -> str:
+    """SQL over _pii_keys and h, a string of one of the forms: (kind, text), with kind null if h isn't
     valid and so stays."""
     digits = "regexp_replace(h, '[^0-9]', '')"
     full = lambda kind: f"h rlike {_quoted('^(?:' + FORMS[kind] + ')$')}"
     result = lambda kind, text: f"named_struct('kind', {_quoted(kind)}, 'text', {text})"
     none = "named_struct('kind', cast(null as string), 'text', h)"
 
-    address = f"concat('u', substr(sha2(concat('{subkey(key, "mail")}', lower(h)), 256), 1, 16), '@{MAIL_DOMAIN}')"
+    address = f"concat('u', substr(sha2(concat(_pii_keys.mail, lower(h)), 256), 1, 16), '@{MAIL_DOMAIN}')"
     octets = "split(h, '[.]')"
     half = lambda i: f"cast({octets}[{i}] as bigint) * 256 + cast({octets}[{i + 1}] as bigint)"
-    ipv4 = _feistel(key, "ipv4", half(0), half(2), "65536", "65536", "concat_ws('.', s.a div 256, s.a % 256, s.b div 256, s.b % 256)")
+    ipv4 = _feistel("ipv4", half(0), half(2), "65536", "65536", "concat_ws('.', s.a div 256, s.a % 256, s.b div 256, s.b % 256)")
     part = lambda i: f"cast(split(h, '[-./]')[{i}] as int)"
     same = lambda i, value: f"if(length(split(h, '[-./]')[{i}]) = 2, lpad(cast({value} as string), 2, '0'), cast({value} as string))"
     mark = "regexp_extract(h, '[-./]', 0)"
-    ymd = _date(key, part(0), part(1), part(2), f"concat(cast(o.y as string), {mark}, {same(1, 'o.m')}, {mark}, {same(2, 'o.d')})")
+    ymd = _date(part(0), part(1), part(2), f"concat(cast(o.y as string), {mark}, {same(1, 'o.m')}, {mark}, {same(2, 'o.d')})")
     real = lambda y, m, d: f"try_cast(concat_ws('-', {y}, lpad(cast({m} as string), 2, '0'), lpad(cast({d} as string), 2, '0')) as date) is not null"
-    dmy = _date(key, part(2), part(1), part(0), f"concat({same(0, 'o.d')}, {mark}, {same(1, 'o.m')}, {mark}, cast(o.y as string))")
-    mdy = _date(key, part(2), part(0), part(1), f"concat({same(0, 'o.m')}, {mark}, {same(1, 'o.d')}, {mark}, cast(o.y as string))")
+    dmy = _date(part(2), part(1), part(0), f"concat({same(0, 'o.d')}, {mark}, {same(1, 'o.m')}, {mark}, cast(o.y as string))")
+    mdy = _date(part(2), part(0), part(1), f"concat({same(0, 'o.m')}, {mark}, {same(1, 'o.d')}, {mark}, cast(o.y as string))")
     area, rest = "cast(substr(h, 1, 3) as bigint)", "((cast(substr(h, 5, 2) as bigint) - 1) * 9999 + cast(substr(h, 8, 4) as bigint) - 1)"
     ssn = _feistel(
-        key, "ssn", f"{area} - if({area} > 666, 2, 1)", rest, "898", "989901",
+        "ssn", f"{area} - if({area} > 666, 2, 1)", rest, "898", "989901",
         "concat(lpad(cast(s.a + if(s.a >= 665, 2, 1) as string), 3, '0'), '-', lpad(cast(s.b div 9999 + 1 as string), 2, '0'), '-', lpad(cast(s.b % 9999 + 1 as string), 4, '0'))",
     )
-    body = _let(_digits(key, "card", f"substr({digits}, 1, length({digits}) - 1)"), "p", _let("concat(p, '0')", "q", f"concat(p, cast((10 - {_luhn_sum('q')} % 10) % 10 as string))"))
+    body = _let(_digits("card", f"substr({digits}, 1, length({digits}) - 1)"), "p", _let("concat(p, '0')", "q", f"concat(p, cast((10 - {_luhn_sum('q')} % 10) % 10 as string))"))
     card = _let(body, "r", _refill("h", "r"))
     one, two = (", ".join(map(_quoted, codes)) for codes in COUNTRIES)
     country = f"case when h not like '+%' then 0 when substr({digits}, 1, 1) in ({one}) then 1 when substr({digits}, 1, 2) in ({two}) then 2 else 3 end"
     country = f"({country})"
-    phone = _let(_digits(key, "phone", f"substr({digits}, {country} + 1)"), "p", _refill("h", "p", country))
+    phone = _let(_digits("phone", f"substr({digits}, {country} + 1)"), "p", _refill("h", "p", country))
     plain = "replace(h, ' ', '')"
-    held = f"regexp_replace(substr({plain}, 5), '[^0-9]', '')"
-    # Forms have up to 29 digits here; 24 letters are what two halves of 64 bits hold.
-    capitals = f"regexp_replace(substr({plain}, 5), '[^A-Z]', '')"
-    early = f"greatest(length({capitals}) - 24, 0)"
-    spelt = _let(_letters(key, "iban letters", f"substr({capitals}, {early} + 1)"), "p", _refill(f"substr({plain}, 5)", "p", early, "A", "Z"))
-    numbered = _let(_digits(key, "iban", held), "p", _refill(f"substr({plain}, 5)", "p"))
-    moved = _let(f"if(length({held}) > 1, {numbered}, {spelt})", "r", f"concat(substr(h, 1, 2), lpad(cast(98 - {_remainder97('concat(r, substr(h, 1, 2), ' + _quoted('00') + ')')} as string), 2, '0'), r)")
+    # Digits and letters behind the check digits are permuted in their own places: forms have
+    # up to 29 of either; 24 letters are what two halves of 64 bits hold, so more are
+    # permuted from both ends.
+    body = f"substr({plain}, 5)"
+    only = lambda kept: f"regexp_replace({body}, '[^{kept}]', '')"
+    numbered = _let(only("0-9"), "d", f"if(d = '', {body}, {_let(_digits('iban', 'd'), 'p', _refill(body, 'p'))})")
+    last = f"concat(substr(l, 1, length(l) - least(24, length(l))), {_letters('iban letters', 'right(l, 24)')})"
+    first = f"if(length(m) <= 24, m, concat({_letters('iban letters', 'substr(m, 1, 24)')}, substr(m, 25)))"
+    spelt = _let(only("A-Z"), "l", f"if(l = '', n, {_let(last, 'm', _let(first, 'p', _refill('n', 'p', '0', 'A', 'Z')))})")
+    moved = _let(_let(numbered, "n", spelt), "r", f"concat(substr(h, 1, 2), lpad(cast(98 - {_remainder97('concat(r, substr(h, 1, 2), ' + _quoted('00') + ')')} as string), 2, '0'), r)")
     spaced = "aggregate(split(h, ''), named_struct('out', '', 'k', 1), (s, c) -> if(c = ' ', named_struct('out', concat(s.out, ' '), 'k', s.k), named_struct('out', concat(s.out, substr(w, s.k, 1)), 'k', s.k + 1)), s -> s.out)"
     iban = _let(moved, "w", spaced)
     valid_iban = _remainder97(f"concat(substr({plain}, 5), substr({plain}, 1, 4))") + " = 1"
@@ -203,11 +219,12 @@ def replaced(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     Other columns stay as they are; their names must not begin with _pii."""
     text = F.col(text_col)
     found = F.when(text.rlike("[0-9@]") & text.rlike(ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    done = docs.withColumn("_pii_hits", found).withColumn("_pii_new", F.expr(f"transform(_pii_hits, h -> {_pseudonym(key)})"))
+    keyed = docs.crossJoin(F.broadcast(_keys(docs.sparkSession, key)))  # one row
+    done = keyed.withColumn("_pii_hits", found).withColumn("_pii_new", F.expr(f"transform(_pii_hits, h -> {_pseudonym()})"))
     pieces, new = F.split(text, ANY, -1), F.col("_pii_new")
     filled = F.concat(F.array_join(F.zip_with(F.slice(pieces, 1, F.size(new)), new, lambda p, n: F.concat(p, n["text"])), ""), F.element_at(pieces, -1))
     kinds = F.filter(F.transform(new, lambda n: n["kind"]), lambda k: k.isNotNull())
-    return done.withColumns({text_col: F.when(new.isNull(), text).otherwise(filled), "_pii_kinds": kinds}).drop("_pii_hits", "_pii_new")
+    return done.withColumns({text_col: F.when(new.isNull(), text).otherwise(filled), "_pii_kinds": kinds}).drop("_pii_keys", "_pii_hits", "_pii_new")
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
