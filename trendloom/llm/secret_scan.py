@@ -2,8 +2,8 @@
 
 Base kinds are found by form. Beside them, candidate strings (runs of a character
 class) are gone through with a window of ``WINDOW`` characters: the Shannon entropy of
-the window is kept up to date from the number of times that the entering and the leaving
-character are in it, H = log2(W) - sum(c log2 c) / W. Windows at or over the threshold of
+the window is kept up to date from counts of its characters, of which each step changes
+two, H = log2(W) - sum(c log2 c) / W. Windows at or over the threshold of
 the candidate's class make a span, from the first such window to the end of the last.
 What base spans hold and words of placeholders are cut out of candidates before; pieces
 on the allow list, and those without a digit or without a letter, are left out.
@@ -24,6 +24,8 @@ FORMS = {
     "hex": r"(?<![0-9a-f])[0-9a-f]{24,}+",
 }
 LEAST = {"assign": 6, "access": 20, "hex": 24}
+#: The characters of candidates, in the order of their counts.
+CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: A candidate is a whole run of its class; placeholders cut it.
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}+"
 #: Bits a character that a window must have, by class: hexadecimal digits, letters of
@@ -97,30 +99,31 @@ def _pieces(candidates: str, cuts: str) -> str:
 
 def _windows(word: str) -> str:
     """SQL: struct<first, last>, the ends (1-based, null if there are none) of the first
-    and the last window of word with enough bits. q is the sum of c log2 c over the
-    window's characters. A character that leaves was there c times and one that enters
-    is there c times then; both are counted among the window's characters."""
-    piece = lambda lo, n: f"substr(w, {lo}, {n})"
-    times = lambda lo, at: f"({WINDOW} - length(replace({piece(lo, WINDOW)}, {piece(at, 1)}, '')))"
+    and the last window of word with enough bits. n holds how often each character of
+    CHARACTERS is in the window, s is the sum of c log2 c over these counts. A step takes
+    one from the count of the character that leaves, and adds one to that of the character
+    that enters."""
     part = lambda c: f"element_at(parts, {c} + 1)"
+    place = lambda at: f"instr('{CHARACTERS}', substr(w, {at}, 1))"
     bits = "case " + " ".join(f"when {word} rlike {_quoted(form)} then {least}D" for form, least in BITS.items()) + f" else {OTHER_BITS}D end"
-    count = f"({WINDOW} - length(replace({piece(1, WINDOW)}, c, '')))"
-    first = f"aggregate(array_distinct(split({piece(1, WINDOW)}, '')), 0D, (q, c) -> q + {part(count)})"
-    out, into = times(f"i - {WINDOW}", f"i - {WINDOW}"), times(f"i - {WINDOW - 1}", "i")
-    move = _let("o", out, _let("n", into, f"st.s - {part('o')} + {part('(o - 1)')} - {part('(n - 1)')} + {part('n')}"))
-    enough = f"log2({WINDOW}) - q / {WINDOW} >= least - 1e-9"
-    marked = f"named_struct('s', q, 'first', if(st.first is null and {enough}, i, st.first), 'last', if({enough}, i, st.last))"
-    step = _let("q", f"if(i = {WINDOW}, {first}, {move})", marked)
+    leaves = f"if(i > {WINDOW}, {place(f'i - {WINDOW}')}, 0)"
+    had = "if(io.o = 0, 0, element_at(st.n, if(io.o = 0, 1, io.o)))"
+    has = "(element_at(st.n, io.i) - if(io.i = io.o, 1, 0))"
+    total = f"st.s - {part('cs.o')} + {part('greatest(cs.o - 1, 0)')} - {part('cs.i')} + {part('(cs.i + 1)')}"
+    counts = "transform(st.n, (x, j) -> x + if(j + 1 = io.i, 1, 0) - if(j + 1 = io.o, 1, 0))"
+    enough = f"i >= {WINDOW} and log2({WINDOW}) - q / {WINDOW} >= least - 1e-9"
+    marked = f"named_struct('s', q, 'n', {counts}, 'first', if(st.first is null and {enough}, i, st.first), 'last', if({enough}, i, st.last))"
+    step = _let("io", f"named_struct('o', {leaves}, 'i', {place('i')})", _let("cs", f"named_struct('o', {had}, 'i', {has})", _let("q", total, marked)))
     none = "cast(null as int)"
     fold = (
-        f"aggregate(sequence({WINDOW}, length(w)), named_struct('s', 0D, 'first', {none}, 'last', {none}), (st, i) -> {step}, "
+        f"aggregate(sequence(1, length(w)), named_struct('s', 0D, 'n', array_repeat(0, {len(CHARACTERS)}), 'first', {none}, 'last', {none}), (st, i) -> {step}, "
         "st -> named_struct('first', st.first + shift, 'last', st.last + shift))"
     )
     before = f"if(j = 0, '', right(element_at(cuts, if(j = 0, 1, j)), {WINDOW - 1}))"
     each = _let("shift", f"if(j = 0, 0, j * {STRETCH} - {WINDOW - 1})", _let("w", f"concat({before}, c)", fold))
     rows = f"transform(cuts, (c, j) -> {each})"
     ends = _let("rows", rows, "named_struct('first', array_min(transform(rows, r -> r.first)), 'last', array_max(transform(rows, r -> r.last)))")
-    table = f"transform(sequence(0, {WINDOW}), c -> if(c > 1, c * log2(c), 0D))"
+    table = f"transform(sequence(0, {WINDOW} + 1), c -> if(c > 1, c * log2(c), 0D))"
     return _let("parts", table, _let("least", bits, _let("cuts", f"regexp_extract_all({word}, '.{{1,{STRETCH}}}', 0)", ends)))
 
 
