@@ -23,6 +23,9 @@ from trendloom.llm.shared import hash_share, materialise
 SAMPLE = 20_000
 #: Least log-likelihood ratio of a word or stem against the share of toxic rows (1 %).
 SIGNIFICANT = 6.63
+#: Size of the model: the most significant terms and stems, and the most frequent clean words
+#: near them, are what tasks are sent (a few megabytes at any size of the corpus).
+LEXICON, CLEAN_WORDS = 20_000, 100_000
 #: Words of at least so many letters may have one edit.
 EDIT_LETTERS = 5
 WINDOW = 8
@@ -202,8 +205,9 @@ def _features(docs: DataFrame, shared, carried: str) -> DataFrame:
 def learn_lexicon(words: DataFrame, bad: int, good: int) -> tuple[dict[str, float], dict[str, float], frozenset]:
     """Terms and stems with their log odds, and words of clean rows one edit from a
     term, from words(words, toxic), the distinct words of every training row, of which
-    ``bad`` rows are toxic and ``good`` aren't. The driver gets the words and stems that
-    are SIGNIFICANT, and the clean words near them."""
+    ``bad`` rows are toxic and ``good`` aren't. All rows are counted; the driver gets the
+    words and stems that are SIGNIFICANT, LEXICON of either at most, the most significant
+    first, and CLEAN_WORDS clean words near them, the most frequent first."""
     if not bad:
         return {}, {}, frozenset()
     n = {"bad": bad, "good": good}
@@ -211,14 +215,16 @@ def learn_lexicon(words: DataFrame, bad: int, good: int) -> tuple[dict[str, floa
     stats = materialise(single.groupBy("w").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")))
     odds = F.log((F.col("bad") + 0.5) / (n["bad"] + 1) / ((F.col("good") + 0.5) / (n["good"] + 1)))
     part = lambda c, toxic: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * F.lit(n["bad"] + n["good"]) / ((F.col("bad") + F.col("good")) * F.lit(max(toxic, 1))))).otherwise(0.0)
-    sure = 2 * (part("bad", n["bad"]) + part("good", n["good"])) >= SIGNIFICANT
+    ratio = 2 * (part("bad", n["bad"]) + part("good", n["good"]))
+    sure = ratio >= SIGNIFICANT
+    first = [F.desc(F.round(ratio, 6)), F.col("w")]
     if not n["good"]:
         sure = F.lit(True)
-    terms = {r["w"]: r["odds"] for r in stats.where(sure).select("w", "bad", odds.alias("odds")).where("bad >= 3 and odds >= 2.5").collect()}
+    terms = {r["w"]: r["odds"] for r in stats.where(sure & (F.col("bad") >= 3) & (odds >= 2.5)).orderBy(*first).limit(LEXICON).select("w", odds.alias("odds")).collect()}
     cuts = F.filter(F.array(*[F.substring("w", 1, k) for k in (4, 5, 6, 7)]), lambda s: F.length(s) < F.length("w"))
     starts = stats.where("length(w) >= 5").select("bad", "good", F.explode(cuts).alias("w"))
     by_start = starts.groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("words"))
-    rows = by_start.where(sure).select("w", "bad", "words", odds.alias("odds")).where("bad >= 8 and words >= 3 and odds >= 3.5").collect()
+    rows = by_start.where(sure & (F.col("bad") >= 8) & (F.col("words") >= 3) & (odds >= 3.5)).orderBy(*first).limit(LEXICON).select("w", odds.alias("odds")).collect()
     stems: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: len(r["w"])):
         if not any(r["w"].startswith(s) for s in stems):
@@ -229,7 +235,7 @@ def learn_lexicon(words: DataFrame, bad: int, good: int) -> tuple[dict[str, floa
     lengths = sorted({len(t) for t in terms if len(t) >= EDIT_LETTERS})
     if not lengths:
         return terms, stems, frozenset()
-    near = stats.where(F.col("good") > F.col("bad")).where(F.length("w").between(lengths[0] - 1, lengths[-1] + 1)).select("w")
+    near = stats.where(F.col("good") > F.col("bad")).where(F.length("w").between(lengths[0] - 1, lengths[-1] + 1)).select("w", "good")
     both = words.sparkSession.sparkContext.broadcast((terms, stems))
 
     def run(batches):
@@ -237,10 +243,10 @@ def learn_lexicon(words: DataFrame, bad: int, good: int) -> tuple[dict[str, floa
 
         lexicon = FuzzyLexicon(*both.value)
         for batch in batches:
-            found = [w for w in batch.column("w").to_pylist() if (lexicon.classify(w) or (0, 0))[1] == 2]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["w"])
+            yield batch.filter(pa.array([(lexicon.classify(w) or (0, 0))[1] == 2 for w in batch.column("w").to_pylist()], pa.bool_()))
 
-    return terms, stems, frozenset(r["w"] for r in near.mapInArrow(run, "w string").collect())
+    clean = near.mapInArrow(run, "w string, good long").orderBy(F.desc("good"), "w").limit(CLEAN_WORDS)
+    return terms, stems, frozenset(r["w"] for r in clean.collect())
 
 
 def score(
