@@ -9,6 +9,7 @@ import string
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -348,7 +349,7 @@ def test_pii(spark):
     cards = re.findall(r"\d{16}|\d{4} \d{4} \d{4} \d{4}", got[1].text)
     assert luhn(cards[0]) and luhn(cards[1].replace(" ", "")) and cards[2] == "4111111111111112" and got[2].text == f"x {cards[0]}"
     assert not re.search(r"10\.0\.0\.1 |Ann|743\) 555-3824", got[3].text) and re.fullmatch(r"ip \d+(\.\d+){3} mail u\w+@\S+ phone \+1 \(\d{3}\) \d{3}-\d{4}", got[3].text)
-    assert re.fullmatch(r"born \d{4}-02-29 on \d\d\.\d\d\.\d{4}, not 2001-02-29; GB\d\d WEST \d{4} \d{4} \d{4} \d\d; \d{3}-\d\d-\d{4}; 000-12-3456", got[4].text)
+    assert re.fullmatch(r"born \d{4}-02-29 on \d\d\.\d\d\.\d{4}, not 2001-02-29; GB\d\d (?!WEST)[A-Z]{4} \d{4} \d{4} \d{4} \d\d; \d{3}-\d\d-\d{4}; 000-12-3456", got[4].text)
     iban = re.search(r"GB[^;]+", got[4].text)[0].replace(" ", "")
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
     assert got[5].text is None and got[6].text == "" and got[4].n_pii == 4
@@ -724,3 +725,74 @@ def test_html_wrappers_stay(wrapper):
     article = "".join(PARAGRAPH.format(i) for i in range(4))
     text = main_text(f"<html><body>{wrapper.format(article)}</body></html>")
     assert all(PARAGRAPH.format(i)[3:-4] in text for i in range(4))
+
+
+def test_pii_iban_letters_are_permuted(spark):
+    """Each place keeps its alphabet, no account's letters stay as they are, and different
+    letters stay different, those over 24 too."""
+    from trendloom.llm.pii import pseudonymise
+
+    def iban(country, body):
+        value = int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+        return f"{country}{98 - value:02d}{body}"
+
+    bodies = [("MT", "MALT01100" + "".join(random.Random(i).choices(string.ascii_uppercase, k=4)) + "2345MTLCAST001S") for i in range(60)]
+    bodies = [(c, b[:27]) for c, b in bodies] + [("GB", "NWBK6016133192681" + str(i)) for i in range(9)] + [("MT", "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + x) for x in "ABC"]
+    bodies = [(c, b) for c, b in bodies if len(b) == {"MT": 27, "GB": 18}[c]]
+    texts = [iban(c, b) for c, b in dict.fromkeys(bodies)]
+    got = pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    form = lambda s: re.sub("[A-Z]", "A", re.sub("[0-9]", "0", s))
+    new = [r.text for r in got]
+    assert [form(t) for t in new] == [form(t) for t in texts] and len({*new}) == len({*texts})
+    letters = lambda s: re.sub("[^A-Z]", "", s[4:])
+    assert all(letters(a) != letters(b) for a, b in zip(texts, new))
+    for t in new:
+        assert int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+
+
+def test_pii_keys_are_in_no_plan(spark):
+    from trendloom.llm import pii
+
+    rows = spark.createDataFrame([(1, "call +1 743 555 3824 or a@b.cd")], "doc_id long, text string")
+    out = pii.pseudonymise(rows, "a key of my own")
+    out.collect()
+    plan = out._jdf.queryExecution().toString() + out._jdf.queryExecution().explainString(out._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("extended"))
+    plan += out._jdf.queryExecution().executedPlan().toJSON() + out._jdf.queryExecution().optimizedPlan().toJSON()
+    assert "a key of my own" not in plan and not any(pii.subkey("a key of my own", k) in plan for k in pii.KEYED)
+
+
+def test_toxicity_windows_tell_quoting_from_abuse():
+    """A hit's window counts as quoted between marks or near a verb of quoting, and as
+    addressed near a word of address, up to WINDOW words away and no further."""
+    from trendloom.llm import toxicity as t
+
+    memo = t._Memo(t.FuzzyLexicon({"blorgish": 3.0}, {"vexel": 2.0}), frozenset({"blorgisk"}))
+    features = lambda text: t.document_features(text, memo)
+    none = [1.0] + [0.0] * (t.N_FEATURES - 1)
+    assert features(None) == features("") == features("nothing here blorgisk") == none
+    quoted, addressed = 4, 5
+    plain = features("it was blorgish there")
+    assert (plain[quoted], plain[addressed]) == (0.0, 0.0) and plain[1] == np.log1p(1)
+    assert features('he called it "blorgish" there')[quoted] == 1.0 and features("it was blorgish, she wrote")[quoted] == 1.0
+    assert features("you are blorgish")[addressed] == 1.0 and features("you are blorgish")[quoted] == 0.0
+    far = " ".join(["so"] * t.WINDOW)
+    assert features(f"she wrote {far} blorgish")[quoted] == 0.0 and features(f"wrote {far[:-3]} blorgish")[quoted] == 1.0
+    assert features(f'" blorgish {far} "')[quoted] == 0.0  # one mark within the window is none
+    mixed = features("you blorgish vexeling blorgush " + far + " blorgish")
+    assert mixed[1] == np.log1p(2) and mixed[2] == np.log1p(1) and mixed[3] == np.log1p(1) and mixed[addressed] == 3 / 4
+    # On rows where quoting goes with clean labels and address with toxic ones, the model says so.
+    texts = ['he wrote "blorgish" there', "you blorgish one", "the blorgish was cited", "blorgish you are"] * 25
+    x = np.array([features(v) for v in texts])
+    w = t.fit_logistic(x, np.array([0, 1, 0, 1] * 25, float))
+    score = lambda text: float(1 / (1 + np.exp(-np.array(features(text)) @ w)))
+    assert score("he wrote of a blorgish thing") < t.THRESHOLD < score("you are so blorgish")
+
+
+def test_toxicity_lexicon_is_bounded(spark, monkeypatch):
+    from trendloom.llm import toxicity as t
+
+    monkeypatch.setattr(t, "LEXICON", 2)
+    rows = [(1, ["common", "rareone", "raretwo", "worst"])] * 6 + [(1, ["worst"])] * 4 + [(0, ["common"])] * 400 + [(0, ["worsts", "rareon"])] * 3
+    words = spark.createDataFrame([(w, x) for x, w in rows], "words array<string>, toxic long")
+    terms, stems, clean = t.learn_lexicon(words, 10, 403)
+    assert set(terms) == {"worst", "rareone"} and set(stems) == {"rare"} and clean == {"worsts", "rareon"}

@@ -46,7 +46,7 @@ def same(df, name, rows=None):
     return got
 
 
-@pytest.mark.parametrize("name", ["op11_substring_dedup", "op12_divergence", "op13_merkle"])
+@pytest.mark.parametrize("name", ["op8_near_duplicates", "op11_substring_dedup", "op12_divergence", "op13_merkle"])
 def test_query_equals_sql(spark, name):
     assert len(same(registry.queries()[name](spark, SF), name)) > 100
 

@@ -116,7 +116,25 @@ ascend(r, k, i, f, p) AS (
 SELECT doc_id, leaf, s.h AS subroot, root.h AS root, sha256(a.p) AS proof_sha256, a.f AS folded_root, a.f = root.h AS verified
 FROM placed JOIN subroots AS s USING (g) JOIN ascend AS a ON a.r = placed.r CROSS JOIN root WHERE a.k = (SELECT max(k) FROM crown)"""
 
+#: Sets of three-word shingles, all pairs that share one, and who is reached by links.
+NEAR_DUPLICATES = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS w, len(w) AS n
+  FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_SPACES}') AS w FROM documents)),
+three AS (SELECT doc_id, w, n, lead(w, 1) OVER ahead AS w2, lead(w, 2) OVER ahead AS w3 FROM words WINDOW ahead AS (PARTITION BY doc_id ORDER BY i)),
+elements AS (
+  SELECT DISTINCT doc_id, w || ' ' || w2 || ' ' || w3 AS e FROM three WHERE w3 IS NOT NULL
+  UNION ALL SELECT doc_id, string_agg(w, ' ' ORDER BY i) FROM words WHERE n < 3 GROUP BY doc_id),
+sizes AS (SELECT doc_id, count(*) AS n FROM elements GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM elements AS a JOIN elements AS b ON a.e = b.e AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes AS x ON x.doc_id = a JOIN sizes AS y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, w.b FROM reached AS r JOIN ways AS w ON w.a = r.b),
+least AS (SELECT a, min(b) AS b FROM reached GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, b AS component_id, b = d.doc_id AS kept FROM documents AS d LEFT JOIN sizes USING (doc_id) JOIN least ON a = d.doc_id"""
+
 SQL = {
+    "op8_near_duplicates": NEAR_DUPLICATES,
     "op11_substring_dedup": SUBSTRING.replace("FROM docs", "FROM documents"),
     "op12_divergence": DIVERGENCE,
     "op13_merkle": MERKLE,
