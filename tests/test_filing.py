@@ -311,3 +311,28 @@ def test_chunks_are_handed_over_once(spark, tmp_path):
     go()
     go()
     assert {r.topic: r["size"] for r in tables.read("registry").collect()} == {"a": 3, "b": 2, "c": 2, "d": 2}
+
+
+def test_state_files(spark, tmp_path):
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    from trendloom.sources import state
+
+    schema = StructType([StructField("topic_id", StringType()), StructField("size", LongType()), StructField("label", StringType())])
+    topics = spark.createDataFrame([("a", 1, None), ("b", None, "B")], schema)
+    state.save_topics(topics.withColumn("more", F.lit(1)), str(tmp_path / "t"))
+    rows = lambda path: sorted(map(tuple, state.load_topics(spark, path, schema).collect()))
+    assert rows(str(tmp_path / "t")) == [("a", 1, None), ("b", None, "B")]
+    (tmp_path / "array.json").write_text('[\n {"topic_id": "x", "other": 2},\n {"topic_id": "y",\n  "size": 3}]')
+    assert rows(str(tmp_path / "array.json")) == [("x", None, None), ("y", 3, None)]
+    assert rows(None) == rows(str(tmp_path / "nowhere")) == []
+    left = spark.createDataFrame([tuple("abcdefg")], ", ".join(f"{c} string" for c in state.BUFFER)).withColumns({"segment_index": F.lit(1), "embedding": F.array(F.lit(1.0), F.lit(2.0))})
+    state.save_buffer(left, str(tmp_path / "b"))
+    held, why = state.load_buffer(spark, str(tmp_path / "b"), 2)
+    assert why is None and [list(r["embedding"]) for r in held.collect()] == [[1.0, 2.0]]
+    held, why = state.load_buffer(spark, str(tmp_path / "b"), 3)
+    assert held.count() == 0 and "width 3" in why
+    left.drop("brand").write.parquet(str(tmp_path / "c"))
+    held, why = state.load_buffer(spark, str(tmp_path / "c"), 2)
+    assert held.count() == 0 and "brand" in why
+    assert state.load_buffer(spark, None, 2)[0].count() == state.load_buffer(spark, str(tmp_path / "d"), 2)[0].count() == 0

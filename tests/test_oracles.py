@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from trendloom.plans import audits, discovery, filing, lifecycle  # noqa: F401  add their queries
+from trendloom.plans import audits, comparing, discovery, filing, lifecycle  # noqa: F401  add their queries
 from trendloom.plans.queries import QUERIES, SQL
 
 SF = Path("/root/testdata/sf0.001")

@@ -200,38 +200,36 @@ def similarity_bands(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _expected_information(a: np.ndarray, b: np.ndarray) -> float:
-    """Mutual information to be expected of two labellings with these sizes by chance."""
-    from math import lgamma
-
-    n = int(a.sum())
-    fact = np.array([lgamma(i + 1) for i in range(n + 1)])
-    out = 0.0
-    for x in a.astype(int):
-        for y in b.astype(int):
-            k = np.arange(max(1, x + y - n), min(x, y) + 1)
-            p = fact[x] + fact[y] + fact[n - x] + fact[n - y] - fact[n] - fact[k] - fact[x - k] - fact[y - k] - fact[n - x - y + k]
-            out += float((k / n * np.log(n * k / (x * y)) * np.exp(p)).sum())
-    return out
-
-
 def adjusted_information(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """One row: ami, the adjusted mutual information of two labellings (mean of the
-    entropies as the norm), from the contingency table: a cell for each two topics."""
-    import pandas as pd
-
-    def settle(cells: pd.DataFrame) -> pd.DataFrame:
-        table = cells.pivot_table(index="x", columns="y", values="n", aggfunc="sum", fill_value=0).to_numpy(float)
-        n, rows, columns = table.sum(), table.sum(axis=1), table.sum(axis=0)
-        at = table > 0
-        shared = float((table[at] / n * np.log(n * table[at] / np.outer(rows, columns)[at])).sum())
-        entropy = lambda v: float(-(v / n * np.log(v / n)).sum())
-        chance = _expected_information(rows, columns)
-        norm = (entropy(rows) + entropy(columns)) / 2 - chance
-        return pd.DataFrame({"ami": [(shared - chance) / norm if abs(norm) > 1e-15 else 1.0]})
-
-    cells = pairs.groupBy(F.col(a).cast("string").alias("x"), F.col(b).cast("string").alias("y")).agg(F.count("*").alias("n"))
-    return cells.groupBy(F.lit(1).alias("_one")).applyInPandas(settle, "ami double")
+    entropies as the norm). What chance gives depends on clusters' sizes only, so each two
+    sizes that occur are reckoned once, in tasks."""
+    cells = stored(pairs.groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("n")))
+    sides = [stored(cells.groupBy(c).agg(F.sum("n").alias("s"))) for c in ("x", "y")]
+    total = F.broadcast(cells.agg(F.sum("n").alias("t")))  # one row
+    rows = cells.join(sides[0].withColumnRenamed("s", "sx"), "x").join(sides[1].withColumnRenamed("s", "sy"), "y").crossJoin(total)
+    shared = rows.agg(F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("sx").cast("double") * F.col("sy")))).alias("shared"))
+    share = F.col("s") / F.col("t")
+    entropy = [s.crossJoin(total).agg((-F.sum(share * F.log(share))).alias(name)) for s, name in zip(sides, ("hx", "hy"))]
+    sizes = [s.groupBy("s").agg(F.count("*").alias("c")).select(F.col("s").alias(f"s{n}"), F.col("c").alias(f"c{n}")) for s, n in zip(sides, "xy")]
+    by_size = sizes[0].crossJoin(F.broadcast(sizes[1])).crossJoin(total).repartition("sx", "sy")  # sizes: about sqrt(2 t) differ at most
+
+    def chance(batches):
+        from math import lgamma
+
+        for batch in batches:
+            out = []
+            for x, y, t, times in zip(*(batch.column(c).to_pylist() for c in ("sx", "sy", "t", "times"))):
+                k = np.arange(max(1, x + y - t), min(x, y) + 1)
+                log = np.vectorize(lambda v: lgamma(v + 1), otypes=[float])
+                p = lgamma(x + 1) + lgamma(y + 1) + lgamma(t - x + 1) + lgamma(t - y + 1) - lgamma(t + 1) - log(k) - log(x - k) - log(y - k) - log(t - x - y + k)
+                out.append(times * float((k / t * (np.log(t) + np.log(k) - np.log(x) - np.log(y)) * np.exp(p)).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], names=["e"])
+
+    expected = by_size.select("sx", "sy", "t", (F.col("cx") * F.col("cy")).alias("times")).mapInArrow(chance, "e double").agg(F.coalesce(F.sum("e"), F.lit(0.0)).alias("e"))
+    one = shared.crossJoin(entropy[0]).crossJoin(entropy[1]).crossJoin(expected)  # one row each
+    norm = (F.col("hx") + F.col("hy")) / 2 - F.col("e")
+    return one.select(F.when(F.abs(norm) > 1e-15, (F.col("shared") - F.col("e")) / norm).otherwise(1.0).alias("ami"))
 
 
 def rand_index(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -6,19 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.functions.text import is_noise_term, near_duplicate_key
+from trendloom.sources.stored import stored
 
 WORD = r"\p{L}{3,}"
 
 
-def words(docs: DataFrame, text: str, *keep: str) -> DataFrame:
-    """keep columns and term, one row for each word of the text."""
+def words(docs: DataFrame, text: str, *keep: str, once: bool = False) -> DataFrame:
+    """keep columns and term, one row for each word of the text, or (once) each
+    different one."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
-    return docs.select(*keep, F.explode(found).alias("term"))
+    return docs.select(*keep, F.explode(F.array_distinct(found) if once else found).alias("term"))
 
 
 def top_terms(docs: DataFrame, topic: str, doc: str, text: str, most: int = 10) -> DataFrame:
     """topic, term, df, rank by document frequency; ties go by the term."""
-    df = words(docs, text, topic, doc).distinct().groupBy(topic, "term").agg(F.count("*").alias("df"))
+    df = words(docs, text, topic, doc, once=True).distinct().groupBy(topic, "term").agg(F.count("*").alias("df"))
     order = Window.partitionBy(topic).orderBy(F.desc("df"), "term")
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
@@ -26,7 +28,7 @@ def top_terms(docs: DataFrame, topic: str, doc: str, text: str, most: int = 10)
 def class_tfidf(docs: DataFrame, topic: str, text: str, most: int = 5) -> DataFrame:
     """topic, term, score, rank: share of the topic's words times ln(1 + topics / topics
     that have the term)."""
-    tf = words(docs, text, topic).groupBy(topic, "term").agg(F.count("*").alias("n"))
+    tf = stored(words(docs, text, topic).groupBy(topic, "term").agg(F.count("*").alias("n")))  # used four times
     total = tf.groupBy(topic).agg(F.sum("n").alias("total"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     topics = F.broadcast(tf.select(topic).distinct().agg(F.count("*").alias("topics")))
@@ -112,13 +114,13 @@ def pair_counts(docs: DataFrame, terms: DataFrame, topic: str, doc: str, text: s
     among them: how many documents have a, b, both, and how many there are. A document's
     pairs are made from the wanted terms that it has only, and only where some topic has
     both."""
-    wanted = terms.select("term").distinct()
+    wanted = F.broadcast(terms.agg(F.collect_set("term").alias("_wanted")))  # one row: a few terms for each topic
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(form), F.lit(0))
     one, two = terms.select(F.col(topic).alias("t"), F.col("term").alias("a")), terms.select(F.col(topic).alias("t"), F.col("term").alias("b"))
     pairs = one.join(two, "t")
     partners = pairs.where("a <= b").groupBy("a").agg(F.collect_set("b").alias("_with"))  # as many as topics have terms
-    seen = docs.select(doc, F.explode(F.array_distinct(found)).alias("term")).join(wanted, "term").distinct()
-    held = seen.groupBy(doc).agg(F.collect_set("term").alias("_held"))  # wanted terms of one document
+    seen = docs.crossJoin(wanted).select(doc, F.array_intersect(found, "_wanted").alias("_seen")).where(F.size("_seen") > 0)
+    held = seen.groupBy(doc).agg(F.array_distinct(F.flatten(F.collect_list("_seen"))).alias("_held"))  # wanted terms of one document
     both = held.select(F.explode("_held").alias("a"), "_held").join(partners, "a").select("a", F.explode(F.array_intersect("_held", "_with")).alias("b"))
     both = both.groupBy("a", "b").agg(F.count("*").alias("nab"))
     df = both.where("a = b").select(F.col("a").alias("term"), F.col("nab").alias("df"))
