@@ -56,6 +56,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a batch for Python, and what the setting is where nobody has chosen it.
+BATCH_ROWS, BATCH_SETTING, BATCH_DEFAULT = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Texts go to Python 1000 at a time: the buffers of 10,000 stay with the executor, on
+    both sides, for as long as it lives. A session's own choice is left alone."""
+    if spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+
+
 def observed(df: DataFrame, *metrics: Column) -> tuple[DataFrame, dict]:
     """materialise(), with aggregates over the rows that are worked out on the way."""
     seen = Observation()
