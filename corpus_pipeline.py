@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.llm import bpe, decontam, language, neardup, pii
-from trendloom.llm.shared import materialise, table
+from trendloom.llm.shared import materialise, short_batches, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is told with some confidence stay. Null, empty and
     letterless texts go; repeated rows are judged alike; an empty table gives no rows."""
+    short_batches(spark)
     return language.keep_identified(docs)
 
 
@@ -24,6 +25,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document with the least id of each group stays, on one row: of rows that
     repeat its id, the one with the least text. Rows with a null id, and those without
     words (null and empty texts), all stay. An empty table gives no rows."""
+    short_batches(spark)
     found = neardup.near_duplicates(docs, width=5, percent=80)
     gone = materialise(found.where(~F.col("kept")).select("doc_id").distinct())
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
@@ -56,6 +58,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     table gives no rows."""
     import public_tokenizers
 
+    short_batches(spark)
     return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
