@@ -232,3 +232,25 @@ def test_manifold_store(spark, tmp_path):
     _, third, why = ask(far, refit=True)
     assert why == "refit" and third["version"] != moved["version"]
     assert M.get_or_fit(far, store, "id", "v", n_neighbors=8, n_components=2, densmap=True)[2] == "fitted" and M.current(spark, store)[1]["version"] == third["version"]
+
+
+def test_grid_over_manifolds(spark):
+    x, _ = blobs(9, (60, 60, 60))
+    rows = M.choose_manifold(frame(spark, x + 5), "id", "v", [(2, 8, 150, 5), (2, 8, 15, 5)]).collect()
+    assert [r.least for r in rows] == [15, 150] and rows[0].clusters >= 2 and rows[0].objective > 0 and rows[1].objective is None
+
+
+def test_queries_without_sql(spark):
+    from trendloom.plans import discovery
+
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    pools = discovery.pool_clusters(spark, sf).collect()
+    assert len(pools) == len({r.vec_id for r in pools}) == n and {r.pool for r in pools} == {"P0", "P1"}
+    assert max(np.bincount([r.label for r in pools if r.label >= 0 and r.pool == "P0"], minlength=1)) <= n
+    places = discovery.manifold_places(spark, sf).collect()
+    assert len(places) == 3 * n and all(np.isfinite(r.x) for r in places)
+    assert {r.pool for r in discovery.pool_parameters(spark, sf).collect()} == {"P0", "P1"}
+    assert len(discovery.manifold_grid(spark, sf).collect()) == 3
+    micro = discovery.micro_clusters(spark, sf).collect()
+    assert len({r.vec_id for r in micro}) == len(micro)

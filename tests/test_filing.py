@@ -336,3 +336,53 @@ def test_state_files(spark, tmp_path):
     held, why = state.load_buffer(spark, str(tmp_path / "c"), 2)
     assert held.count() == 0 and "brand" in why
     assert state.load_buffer(spark, None, 2)[0].count() == state.load_buffer(spark, str(tmp_path / "d"), 2)[0].count() == 0
+
+
+def test_record_files(spark, tmp_path):
+    from trendloom.sources.records import read_records, write_table
+
+    (tmp_path / "a.csv").write_text('tweet_id,event_time,author_id,text,brand\n1,2024-01-01 00:00:00,u,"two\nlines ""quoted""",A\n2,not a time,u,x,A\n3,2024-01-02 00:00:00,u,,\n')
+    (tmp_path / "b.csv").write_text("tweet_id,event_time,text,brand\n1,2023-01-01 00:00:00,later file,B\n4,2024-01-03 00:00:00,new,B\n4,2024-01-04 00:00:00,newest,B\n")
+    rows = read_records(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
+    assert sorted((r.tweet_id, r.text, r.brand, r.author_id) for r in rows.collect()) == [("1", "later file", "B", None), ("3", "", "unknown", "u"), ("4", "newest", "B", None)]
+    one = read_records(spark, [str(tmp_path / "a.csv")]).where("tweet_id = '1'").first()
+    assert one.text == 'two\nlines "quoted"'
+    (tmp_path / "c.csv").write_text("tweet_id,text\n1,x\n")
+    with pytest.raises(ValueError, match="event_time, brand"):
+        read_records(spark, [str(tmp_path / "c.csv")])
+    with pytest.raises(ValueError, match="no files"):
+        read_records(spark, [])
+    assert write_table(rows, str(tmp_path / "out"), ["brand"]) and spark.read.parquet(str(tmp_path / "out")).count() == 3
+    assert not write_table(rows.limit(0), str(tmp_path / "none"), only_rows=True) and not (tmp_path / "none").exists()
+
+
+def test_windowed_volumes(spark, tmp_path):
+    from trendloom.streaming import counts
+
+    day = 86_400_000_000
+    first = [("a", 1, 0.1), ("a", 1, 0.2), ("a", 2, 0.9), ("b", 3, 1.5), ("a", 4, 5.0)]
+    second = [("a", 9, 0.5), ("a", 5, 5.1), ("b", 6, 9.0)]  # the first is later than the watermark
+    results = {}
+    for name, make in (("day", lambda s: counts.windowed_volumes(s, "at", "topic", "record", "1 day", "1 day")), ("hop", lambda s: counts.windowed_volumes(s, "at", "topic", "record", "2 days", "1 day", "1 day")), ("session", lambda s: counts.session_volumes(s, "at", "topic", "record", "6 hours", "1 day"))):
+        folder, out = str(tmp_path / name / "in"), str(tmp_path / name / "out")
+        for rows in (first, second, [("z", 0, 30.0)], [("z", 0, 60.0)]):
+            made = spark.createDataFrame(rows, "topic string, record long, d double").select("topic", "record", F.timestamp_micros((F.col("d") * day).cast("long") + 1_700_006_400_000_000).alias("at"))
+            made.coalesce(1).write.mode("append").parquet(folder)
+            stream = spark.readStream.schema("topic string, record long, at timestamp").parquet(folder)
+            make(stream).writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", out + "-progress").trigger(availableNow=True).start().awaitTermination()
+        start = F.round((F.unix_micros("window.start") - 1_700_006_400_000_000) / day, 2)
+        results[name] = sorted((r.topic, r.s, r.records, r.rows) for r in spark.read.parquet(out).withColumn("s", start).where("topic != 'z'").collect())
+    assert results["day"] == [("a", 0.0, 2, 3), ("a", 5.0, 2, 2), ("b", 1.0, 1, 1), ("b", 9.0, 1, 1)]
+    assert ("a", 0.0, 2, 3) in results["hop"] and ("a", -1.0, 2, 3) in results["hop"]
+    assert results["session"] == [("a", 0.1, 1, 2), ("a", 0.9, 1, 1), ("a", 5.0, 2, 2), ("b", 1.5, 1, 1), ("b", 9.0, 1, 1)]
+
+
+def test_labels_and_bounds(spark, monkeypatch):
+    from trendloom.operators import terms
+
+    rows = spark.createDataFrame([("x", "b", 2), ("x", "a", 1), ("y", "c", 1)], "t string, term string, rank int")
+    assert sorted(map(tuple, terms.joined_labels(rows, "t").collect())) == [("x", "a / b"), ("y", "c")]
+    monkeypatch.setattr(registry, "MOST_PAIRS", 2)
+    pairs = spark.createDataFrame([("s", 1, 2, 0.5)] * 3, "scope string, new_id long, old_id long, similarity double")
+    with pytest.raises(ValueError, match="3 pairs"):
+        registry.match_optimal(pairs, "scope", 0.1)

@@ -114,11 +114,6 @@ def junk_term_ratio(label: Column) -> Column:
     return F.size(junk) / F.greatest(F.size(terms), F.lit(1))
 
 
-def option_text(label: Column, example: Column, most: int = 12) -> Column:
-    """A label and the first words of an example, as one choice of a question."""
-    return F.concat_ws(": ", label, F.array_join(F.slice(F.split(F.trim(example), r"\s+"), 1, most), " "))
-
-
 def near_duplicate_key(text: Column) -> Column:
     """Lower case, without punctuation and digits."""
     t = F.regexp_replace(F.lower(normalize_text(text)), r"[^\p{L}_\s]", " ")

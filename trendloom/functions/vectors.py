@@ -18,17 +18,6 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / norm)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    norm = lambda v: F.greatest(F.sqrt(dot(v, v)), F.lit(LEAST_NORM))
-    return dot(a, b) / (norm(a) * norm(b))
-
-
-def weighted_merge(a: Column, size_a: Column, b: Column, size_b: Column) -> Column:
-    """Unit vector of the mean of two centroids, weighted by sizes of at least 1."""
-    wa, wb = F.greatest(size_a, F.lit(1)), F.greatest(size_b, F.lit(1))
-    return unit(F.zip_with(a, b, lambda x, y: (x * wa + y * wb) / (wa + wb)))
-
-
 def centroids(members: DataFrame, topic: str, vector: str) -> DataFrame:
     """topic, centroid (unit mean), size. Partial sums by topic and place: no list of a
     topic's members is ever built."""

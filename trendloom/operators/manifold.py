@@ -241,3 +241,29 @@ def get_or_fit(rows: DataFrame, store: str, key: str, vector: str, scope: str |
         meta["refit_trigger"] = {"measured": round(measured, 5), "threshold": most_drift}
     meta = save(model, meta, store)
     return spark.read.parquet(f"{store}/{meta['version']}"), meta, why
+
+
+def choose_manifold(rows: DataFrame, key: str, vector: str, grid: list[tuple[int, int, int, int]], most_share: float = 0.5, noise_weight: float = 0.35) -> DataFrame:
+    """n_components, n_neighbors, least, samples, clusters, noise, objective of each choice
+    of the grid, the best first: density clusters of the placed rows, judged like
+    clustering.choose_parameters() by the silhouette in the full space. A choice with fewer
+    than two clusters, or one of over most_share, comes last, without a value. Tried on
+    about clustering.TRIAL_ROWS rows, drawn by a hash of the key."""
+    from trendloom.operators import clustering
+
+    n = F.broadcast(rows.agg(F.count("*").alias("_n")))  # one row
+    drawn = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 30)) < F.lit(float(clustering.TRIAL_ROWS << 30)) / F.col("_n")
+    some = stored(rows.crossJoin(n).where(drawn).select(F.lit(GLOBAL).alias("_pool"), key, vector))
+    placed: dict[tuple[int, int], DataFrame] = {}
+    tried = []
+    for width, near, least, samples in grid:
+        if (width, near) not in placed:
+            model, meta = fit(some, key, vector, n_components=width, n_neighbors=near)
+            placed[(width, near)] = stored(transform(some, model, meta, key, vector).join(some, key))
+        labelled = clustering.cluster_pools(placed[(width, near)], "_pool", key, "place", least, samples).join(some.select(key, vector), key)
+        q = clustering.pool_quality(labelled, "_pool", key, vector, "label").first()
+        good = q is not None and q["clusters"] >= 2 and q["share"] <= most_share and q["silhouette"] is not None
+        value = float(q["silhouette"] + 0.1 * np.log1p(q["clusters"]) - noise_weight * q["noise"]) if good else None
+        tried.append((width, near, least, samples, q["clusters"] if q else 0, q["noise"] if q else 1.0, value))
+    schema = "n_components int, n_neighbors int, least int, samples int, clusters long, noise double, objective double"
+    return rows.sparkSession.createDataFrame(sorted(tried, key=lambda t: (t[6] is None, -(t[6] or 0.0), t[:4])), schema)

@@ -14,10 +14,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendloom.functions.vectors import dot, unit
+from trendloom.functions.vectors import centroids, dot, unit
 from trendloom.sources.stored import stored
 
 
+#: Pairs of a scope (2000 new topics with 2000 old ones) that are matched at most.
+MOST_PAIRS = 4_000_000
+
+
 def scoped_pairs(new: DataFrame, old: DataFrame, scope: str) -> DataFrame:
     """scope, new_id, old_id, similarity of all new and old topics of one scope, both
     with topic_id and centroid."""
@@ -66,7 +70,11 @@ def optimal_pairs(gain: np.ndarray) -> list[tuple[int, int]]:
 
 def match_optimal(pairs: DataFrame, scope: str, least: float) -> DataFrame:
     """scope, new_id, old_id, similarity: within each scope the one-to-one matching of
-    largest total similarity; afterwards, matches under least are dropped."""
+    largest total similarity; afterwards, matches under least are dropped. A scope of over
+    MOST_PAIRS pairs is refused: its grid is one task's, and the work grows with its cube."""
+    most = pairs.groupBy(scope).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > MOST_PAIRS:
+        raise ValueError(f"a scope has {most} pairs; {MOST_PAIRS} are matched at most")
 
     def settle(table: pd.DataFrame) -> pd.DataFrame:
         grid = table.pivot(index="new_id", columns="old_id", values="similarity").sort_index().sort_index(axis=1)
@@ -275,7 +283,7 @@ def stabilise(new: DataFrame, old: DataFrame, matches: DataFrame, end: Column, m
 
 def remap(assignments: DataFrame, plan: DataFrame, *key: str) -> DataFrame:
     """Assignments under the topics that theirs went into; one row for each key and topic."""
-    moved = assignments.join(F.broadcast(plan.select("topic_id", "into_id")), "topic_id", "left")  # a row for each merged topic
+    moved = assignments.join(plan.select("topic_id", "into_id"), "topic_id", "left")
     return moved.withColumn("topic_id", F.coalesce("into_id", "topic_id")).drop("into_id").dropDuplicates([*key, "topic_id"])
 
 
@@ -384,3 +392,12 @@ def with_metrics(topics: DataFrame, hot: DataFrame) -> DataFrame:
     rows = topics.join(hot.withColumnsRenamed({c: f"{c}_hot" for c in clash}), "topic_id", "left")
     flags = [F.col(c).asc() for c in ("suppressed", "is_junk") if c in rows.columns]
     return rows.orderBy(*flags, F.desc("hot_score"), F.desc("recent_volume"), "topic_id")
+
+
+def make_topics(members: DataFrame, topic: str, record: str, vector: str, time: str, labels: DataFrame | None = None) -> DataFrame:
+    """topic, centroid, size (distinct records), first_seen, last_seen and, of labels (topic,
+    label), the label of every topic with members. The sums go by topic and place."""
+    rows = members.where(F.col(topic).isNotNull())
+    seen = rows.groupBy(topic).agg(F.countDistinct(record).alias("size"), F.min(time).alias("first_seen"), F.max(time).alias("last_seen"))
+    out = centroids(rows.where(F.col(vector).isNotNull()), topic, vector).drop("size").join(seen, topic)
+    return out if labels is None else out.join(labels.select(topic, "label"), topic, "left")

@@ -62,6 +62,12 @@ def tfidf_terms(docs: DataFrame, topic: str, doc: str, text: str, stop: tuple[st
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
+def joined_labels(terms: DataFrame, topic: str) -> DataFrame:
+    """topic, label: the terms (topic, term, rank) of each, joined by strokes."""
+    listed = terms.groupBy(topic).agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("_t"))  # a few terms
+    return listed.select(topic, F.array_join(F.transform("_t", lambda x: x["term"]), " / ").alias("label"))
+
+
 def class_labels(docs: DataFrame, topic: str, text: str, stop: tuple[str, ...], most: int = 5, scope: str | None = None) -> DataFrame:
     """topic, label: the topic's most characteristic words and pairs by class-based
     TF-IDF, without artefacts and without terms whose words hold or are held by those of

@@ -53,3 +53,9 @@ def manifold_places(spark, sf_dir):
     model, meta = manifold.fit(e.where("vec_id % 2 = 0"), "vec_id", "embedding", n_components=3)
     rows = manifold.transform(e, model, meta, "vec_id", "embedding")
     return rows.select("vec_id", F.posexplode("place").alias("axis", "x")).withColumn("x", F.round("x", 6))
+
+
+@query()
+def manifold_grid(spark, sf_dir):
+    out = manifold.choose_manifold(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", [(3, 10, 10, 5), (3, 10, 20, 5), (5, 15, 10, 5)], most_share=0.9)
+    return out.withColumns({"noise": F.round("noise", 6), "objective": F.round("objective", 6)})

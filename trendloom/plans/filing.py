@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trendloom.functions import answers, text as T
 from trendloom.functions import vectors as V
-from trendloom.operators import decisions, registry, review, terms
+from trendloom.operators import decisions, matching, registry, reports, review, terms
 from trendloom.plans.audits import NPMI, PAIRS
 from trendloom.plans.queries import CENTRE, EVENTS, HOT, QUERIES, query, read, topical
 from trendloom.sources import embedded, prepared
@@ -237,3 +237,29 @@ def streamed_registry(spark, sf_dir):
 def hot_report(spark, sf_dir):
     topics = topical(spark, sf_dir).select("topic_id", F.col("event_type").alias("kind")).distinct()
     return registry.with_metrics(topics, QUERIES["hot_scores"](spark, sf_dir)).select("topic_id", "kind", "hot_score", "status", "recent_volume")
+
+
+@query("""WITH d AS (SELECT *, doc_id % 7 || '-' || lang AS t FROM documents), m AS (SELECT t, i, AVG(v) AS m FROM (SELECT t, i, list_extract([1.0, n_chars / 1000.0, doc_id % 5], i) / sqrt(1 + (n_chars / 1000.0) * (n_chars / 1000.0) + (doc_id % 5) * (doc_id % 5)) AS v FROM d, (SELECT UNNEST([1, 2, 3]) AS i)) GROUP BY 1, 2),
+n AS (SELECT t, sqrt(SUM(m * m)) AS n FROM m GROUP BY 1), s AS (SELECT t, COUNT(DISTINCT source) AS size, MIN(doc_id) AS first_seen, MAX(doc_id) AS last_seen FROM d GROUP BY 1)
+SELECT t AS topic, size, first_seen, last_seen, CAST(i - 1 AS INT) AS pos, ROUND(m / n, 6) AS x FROM m JOIN n USING (t) JOIN s USING (t)""")
+def made_topics(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    v = F.array(F.lit(1.0), F.col("n_chars") / 1000, (F.col("doc_id") % 5).cast("double"))
+    rows = d.select(F.concat_ws("-", F.col("doc_id") % 7, "lang").alias("topic"), "source", V.unit(v).alias("v"), "doc_id")
+    out = registry.make_topics(rows, "topic", "source", "v", "doc_id")
+    return out.select("topic", "size", "first_seen", "last_seen", F.posexplode("centroid").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+@query(f"WITH h AS ({HOT}), e AS (SELECT quantile_cont(growth_rate, .98) AS e FROM h) SELECT topic_id, recent_volume, ROUND(LEAST(growth_rate, e), 6) AS growth FROM h, e")
+def growth_map(spark, sf_dir):
+    return reports.growth_map(QUERIES["hot_scores"](spark, sf_dir)).withColumn("growth", F.round("growth", 6))
+
+
+@query("""WITH c AS (SELECT event_type AS x, user_id % 6 AS y, COUNT(*)::DOUBLE AS n FROM events GROUP BY 1, 2), t AS (SELECT SUM(n) AS t FROM c), a AS (SELECT x, SUM(n) AS s FROM c GROUP BY 1), b AS (SELECT y, SUM(n) AS s FROM c GROUP BY 1),
+m AS (SELECT SUM(n / t * ln(n * t / (a.s * b.s))) AS m FROM c JOIN a USING (x) JOIN b USING (y), t), hx AS (SELECT -SUM(s / t * ln(s / t)) AS h FROM a, t), hy AS (SELECT -SUM(s / t * ln(s / t)) AS h FROM b, t),
+k AS (SELECT a.s AS x, b.s AS y, t, UNNEST(generate_series(GREATEST(1, (a.s + b.s - t)::BIGINT), LEAST(a.s, b.s)::BIGINT))::DOUBLE AS k FROM a, b, t),
+e AS (SELECT SUM(k / t * ln(t * k / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(t - x + 1) + lgamma(t - y + 1) - lgamma(t + 1) - lgamma(k + 1) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(t - x - y + k + 1))) AS e FROM k)
+SELECT ROUND((m - e) / ((hx.h + hy.h) / 2 - e), 6) AS ami FROM m, hx, hy, e""")
+def clustering_information(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumn("y", F.col("user_id") % 6)
+    return matching.adjusted_information(e, "event_type", "y").withColumn("ami", F.round("ami", 6))

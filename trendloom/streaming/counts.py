@@ -1,19 +1,22 @@
-"""Streaming daily counts and windowed volumes with late data."""
+"""Windowed volumes of a stream, with late data."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def windowed_volumes(stream: DataFrame, time: str, topic: str, record: str, window: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Approximate distinct records for each window and topic of a stream; rows later
-    than the watermark are dropped, state is bounded by it."""
+def _volumes(stream: DataFrame, time: str, topic: str, record: str, window: Column, late: str) -> DataFrame:
     marked = stream.withWatermark(time, late)
-    return marked.groupBy(F.window(time, window), topic).agg(F.approx_count_distinct(record).alias("records"), F.count("*").alias("rows"))
+    return marked.groupBy(window.alias("window"), topic).agg(F.approx_count_distinct(record).alias("records"), F.count("*").alias("rows"))
 
 
-def run_batches(stream: DataFrame, each, checkpoint: str):
-    """Runs each(batch, number) over what is there now, once per micro-batch, with
-    progress in checkpoint, so that a restart goes on where it stopped."""
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def windowed_volumes(stream: DataFrame, time: str, topic: str, record: str, window: str = "1 day", late: str = "2 days", slide: str | None = None) -> DataFrame:
+    """window, topic, records (distinct, about), rows of tumbling windows, or of hopping ones
+    with slide. Rows later than the watermark are dropped; state is bounded by it."""
+    return _volumes(stream, time, topic, record, F.window(time, window, slide) if slide else F.window(time, window), late)
+
+
+def session_volumes(stream: DataFrame, time: str, topic: str, record: str, gap: str = "1 hour", late: str = "2 days") -> DataFrame:
+    """The same for sessions: a topic's rows with no gap that long between them."""
+    return _volumes(stream, time, topic, record, F.session_window(time, gap), late)
