@@ -795,4 +795,15 @@ def test_toxicity_lexicon_is_bounded(spark, monkeypatch):
     rows = [(1, ["common", "rareone", "raretwo", "worst"])] * 6 + [(1, ["worst"])] * 4 + [(0, ["common"])] * 400 + [(0, ["worsts", "rareon"])] * 3
     words = spark.createDataFrame([(w, x) for x, w in rows], "words array<string>, toxic long")
     terms, stems, clean = t.learn_lexicon(words, 10, 403)
-    assert set(terms) == {"worst", "rareone"} and set(stems) == {"rare"} and clean == {"worsts", "rareon"}
+    assert set(terms) == {"worst", "rareone"} and set(stems) == {"rare"} and clean == {"worsts"}
+
+
+def test_near_duplicates_of_named_documents(spark):
+    from trendloom.llm.neardup import near_duplicates
+
+    base = [f"w{i}" for i in range(60)]
+    rows = [("b", " ".join(base)), ("a", " ".join([*base[:59], "x"])), ("c", "nothing like it at all in here"), (None, " ".join(base)), ("d", None), ("b", " ".join(base))]
+    got = near_duplicates(spark.createDataFrame(rows, "name string, text string"), 3, 85, "name").collect()
+    assert sorted((r["name"] or "", r["n_shingles"], r["component_id"], r["kept"]) for r in got) == [
+        ("", 58, None, True), ("a", 58, "a", True), ("b", 58, "a", False), ("b", 58, "a", False), ("c", 5, "c", True), ("d", 0, "d", True),
+    ]

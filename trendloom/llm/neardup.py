@@ -37,8 +37,10 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from trendloom.llm.shared import ascii_words, counted, forget_tables, materialise, observed
+from trendloom.operators.records import numbered
 
 #: The sketch: base, rate and largest value of registers, and their number.
 BASE, RATE, TOP = 1.001, 20.0, 65534
@@ -405,8 +407,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     repeat an id count as one document: with different sets, the least non-empty one (by
     size, then key) speaks for the id, and the component is that set's. A row with a
     null id is linked with nothing: component_id null, kept true. An empty table
-    gives no rows. Other columns aren't read.
+    gives no rows. Other columns aren't read. Ids that aren't whole numbers are numbered
+    in their order first, which moves the texts once more.
     """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        names = numbered(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_name")).distinct(), ["_name"]).select("_name", "_i")
+        rows = docs.select(F.col(id_col).alias("_name"), F.col(text_col).alias("text")).join(names, "_name", "left")
+        out = near_duplicates(rows.select("_i", "text"), width, percent, "_i", "text")
+        other = names.select(F.col("_i").alias("component_id"), F.col("_name").alias("_least"))
+        out = out.join(names, "_i", "left").join(other, "component_id", "left")
+        return out.select(F.col("_name").alias(id_col), "n_shingles", F.col("_least").alias("component_id"), "kept")
     keys = ["n", "k1", "k2"]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     full = materialise(sketch(rows, width, "id", "text"))
