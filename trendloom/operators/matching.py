@@ -11,9 +11,9 @@ from trendloom.functions.vectors import dot
 from trendloom.sources.stored import stored
 
 
-#: Bytes of centroids that are sent to every task; more are dealt in blocks of so many bytes,
-#: each of which meets the segments in pieces of so many rows.
-SENT_BYTES, PIECE_ROWS = 32 << 20, 16_384
+#: Topics, and bytes of centroids, that are sent to every task; more are dealt in blocks of so
+#: many bytes, each of which meets the segments in pieces of so many rows.
+SENT_TOPICS, SENT_BYTES, PIECE_ROWS = 8192, 32 << 20, 16_384
 
 
 def resolve_scope(segments: DataFrame, topics: DataFrame, scope: str, pools: tuple[str, ...]) -> DataFrame:
@@ -156,16 +156,18 @@ def assign_topics(
     and none (similarity -1) if they have none either. A null vector sees none. Ties go to
     the lesser topic_id. Rows that repeat a segment_id are assigned each for itself.
 
-    Centroids of up to SENT_BYTES are sent to the tasks; more are dealt in blocks, under
-    the same rule."""
+    Up to SENT_TOPICS centroids of up to SENT_BYTES are sent to the tasks; more are dealt in
+    blocks, under the same rule."""
     text = lambda c: F.col(c).cast("string").alias("_s")
     rows = segments.select(F.col(segment_id).alias("_id"), F.col(vector).alias("_v"), *([text(scope)] if scope else []))
     topics = topics.select("topic_id", "centroid", *([text(scope)] if scope else []))
-    size = topics.agg(F.sum(F.size("centroid").cast("long") * 8 + 64)).first()[0] or 0
-    if size > SENT_BYTES:
+    few = topics.limit(SENT_TOPICS + 1).toArrow()
+    if few.num_rows > SENT_TOPICS or few.nbytes > SENT_BYTES:
+        topics = stored(topics)
+        size = topics.agg(F.sum(F.size("centroid").cast("long") * 8 + 64)).first()[0]
         out = _assign_dealt(rows, topics, size, scope, pools, k, threshold, margin)
     else:
-        few = topics.orderBy("topic_id").toArrow()  # SENT_BYTES at most
+        few = few.sort_by("topic_id")
         matrix = np.array(few["centroid"].to_pylist(), float)
         kinds = (segments.schema[segment_id].dataType.simpleString(), topics.schema["topic_id"].dataType.simpleString())
         schema = f"_id {kinds[0]}, topic_id {kinds[1]}, similarity double, rank int"

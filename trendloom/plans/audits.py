@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trendloom.functions import text as T
 from trendloom.functions import vectors as V
 from trendloom.operators import audits, matching, terms
-from trendloom.plans.queries import CENTRE, EVENTS, STOP, WORDS, query, read, topical
+from trendloom.plans.queries import CENTRE, EVENTS, STOP, WORDS, query, read, texts, topical
 
 TOKENS = f"list_filter(regexp_extract_all(lower(COALESCE(text, '')), '[\\p{{L}}\\p{{N}}_\\p{{M}}]{{2,}}'), lambda w: w NOT IN {STOP})"
 GRAMS = "list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))"
@@ -19,7 +19,7 @@ w AS (SELECT t.lang, t.doc_id, t.term, s.docs, n * (ln((1 + docs) / (1 + df)::DO
 m AS (SELECT lang, doc_id, sqrt(SUM(w * w)) AS m FROM w GROUP BY 1, 2), k AS (SELECT w.lang, term, ROUND(SUM(w / m) / MAX(docs), 9) AS score FROM w JOIN m ON m.lang = w.lang AND m.doc_id = w.doc_id GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, term) AS rank FROM k) SELECT lang, term, ROUND(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5""")
 def tfidf_terms(spark, sf_dir):
-    return terms.tfidf_terms(read(spark, sf_dir, "documents"), "lang", "doc_id", "text", STOP).withColumn("score", F.round("score", 6))
+    return terms.tfidf_terms(texts(spark, sf_dir), "lang", "doc_id", "text", STOP).withColumn("score", F.round("score", 6))
 
 
 FOLD = """list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(terms, lambda t: [t])), lambda acc, c: CASE WHEN len(acc) >= 5 OR len(list_filter(acc, lambda k:
@@ -32,14 +32,14 @@ s AS (SELECT source, term, ROUND(n / SUM(n) OVER (PARTITION BY source) * ln(1 +
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, term) AS r FROM s), l AS (SELECT source, list(term ORDER BY r) AS terms FROM r WHERE r <= 60 AND NOT ({NOISY}) GROUP BY 1)
 SELECT source, array_to_string({FOLD}, ' / ') AS label FROM l""")
 def class_labels(spark, sf_dir):
-    return terms.class_labels(read(spark, sf_dir, "documents"), "source", "text", STOP)
+    return terms.class_labels(texts(spark, sf_dir), "source", "text", STOP)
 
 
 @query(f"""WITH w AS (SELECT source, UNNEST({WORDS}) AS term FROM documents), t AS (SELECT source, term, COUNT(*) AS n FROM w WHERE term NOT IN {STOP} GROUP BY 1, 2),
 z AS (SELECT source, SUM(n) AS total FROM t GROUP BY 1), s AS (SELECT t.source, term, ROUND(n / total::DOUBLE * ln(1 + (SELECT AVG(total) FROM z) / SUM(n) OVER (PARTITION BY term)), 9) AS score FROM t JOIN z USING (source)),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, term) AS rank FROM s) SELECT source, term, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10""")
 def audit_terms(spark, sf_dir):
-    return terms.audit_terms(read(spark, sf_dir, "documents"), "source", "text", STOP)
+    return terms.audit_terms(texts(spark, sf_dir), "source", "text", STOP)
 
 
 # DuckDB's word boundary knows ASCII only, so whole words are cut first.
@@ -56,7 +56,7 @@ CONTEXT = """c AS (SELECT *, SUM(v) OVER (PARTITION BY lang, b) AS s FROM v), e
 
 
 def _pairs(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return terms.pair_counts(docs, terms.top_terms(docs, "lang", "doc_id", "text").select("lang", "term"), "lang", "doc_id", "text")
 
 
@@ -82,14 +82,14 @@ def benchmark_coherence(spark, sf_dir):
 
 @query(f"WITH {PAIRS.split(', u AS')[0]} SELECT ROUND(COUNT(DISTINCT term) / COUNT(*)::DOUBLE, 9) AS diversity FROM t")
 def term_diversity(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return terms.diversity(terms.top_terms(docs, "lang", "doc_id", "text")).withColumn("diversity", F.round("diversity", 9))
 
 
 @query(f"""WITH {PAIRS}, m AS (SELECT lang, AVG({NPMI}) FILTER (a < b) AS c FROM p GROUP BY 1), s AS (SELECT lang, COUNT(*) AS size FROM documents GROUP BY 1)
 SELECT ROUND(SUM(c * size) / SUM(size), 6) AS coherence FROM m JOIN s USING (lang) WHERE c IS NOT NULL""")
 def weighted_coherence(spark, sf_dir):
-    sizes = read(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("size"))
+    sizes = texts(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("size"))
     return audits.weighted_mean(terms.npmi(_pairs(spark, sf_dir), "lang").join(sizes, "lang"), "coherence", "size").withColumn("coherence", F.round("coherence", 6))
 
 

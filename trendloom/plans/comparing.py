@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trendloom.functions import text as T
 from trendloom.functions import vectors as V
 from trendloom.operators import compare, reports
-from trendloom.plans.queries import CENTRE, EVENTS, STOP, query, read, topical
+from trendloom.plans.queries import CENTRE, EVENTS, STOP, query, read, texts, topical
 
 
 def _runs(spark, sf_dir):
@@ -81,4 +81,4 @@ def status_histogram(spark, sf_dir):
 
 @query(f"""SELECT doc_id FROM documents WHERE len(list_filter(regexp_extract_all(lower(COALESCE(text, '')), '\\p{{L}}+'), lambda w: length(w) >= 3 AND w NOT IN {STOP})) >= 40""")
 def worded_documents(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where(T.enough_words(F.col("text"), 40, STOP)).select("doc_id")
+    return texts(spark, sf_dir).where(T.enough_words(F.col("text"), 40, STOP)).select("doc_id")

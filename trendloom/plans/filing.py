@@ -11,7 +11,7 @@ from trendloom.functions import answers, text as T
 from trendloom.functions import vectors as V
 from trendloom.operators import decisions, matching, registry, reports, review, terms
 from trendloom.plans.audits import NPMI, PAIRS
-from trendloom.plans.queries import CENTRE, EVENTS, HOT, QUERIES, query, read, topical
+from trendloom.plans.queries import CENTRE, EVENTS, HOT, QUERIES, query, read, texts, topical
 from trendloom.sources import embedded, prepared
 from trendloom.sources.stored import shared_folder
 from trendloom.streaming import centroids, runs
@@ -129,7 +129,7 @@ def resolved_brands(spark, sf_dir):
 def reference_coherence(spark, sf_dir):
     """Terms of the odd documents, over these and the even ones: counts of the even ones are
     added to those of the odd ones."""
-    docs = read(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     window, reference = docs.where("doc_id % 2 = 1"), docs.where("doc_id % 2 = 0")
     top = terms.top_terms(window, "lang", "doc_id", "text").select("lang", "term")
     count = lambda rows: terms.pair_counts(rows, top, "lang", "doc_id", "text")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trendloom.functions import text as T
 from trendloom.functions import vectors as V
 from trendloom.operators import matching, records, terms, timeseries
+from trendloom.sources.stored import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,6 +31,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, for work on their texts: on all cores."""
+    return spread(read(spark, sf_dir, "documents"))
+
+
 def topical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as assigned records: topic_id from type and user."""
     topic = F.concat_ws("-", "event_type", (F.col("user_id") % 20).cast("string"))
@@ -111,7 +117,7 @@ def _normal_sql(t: str) -> str:
 
 @query(f"SELECT doc_id, {_normal_sql('text')} AS clean_text FROM documents")
 def normalized_text(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("clean_text"))
+    return texts(spark, sf_dir).select("doc_id", T.normalize_text(F.col("text")).alias("clean_text"))
 
 
 # A list whose last member is the chunk that is being packed ('' for none).
@@ -126,7 +132,7 @@ SELECT CAST(doc_id AS VARCHAR) || '::' || CAST(i AS VARCHAR) AS segment_id, doc_
   CASE WHEN len(k) > 6 THEN k[CAST(floor(i * (len(k) - 1) / 5.0) AS BIGINT) + 1] ELSE k[i + 1] END AS clean_text FROM f""")
 def segments(spark, sf_dir):
     chunks = T.capped(T.packed_chunks(T.normalize_text(F.col("text"))))
-    rows = read(spark, sf_dir, "documents").select("doc_id", chunks.alias("c")).select("doc_id", F.size("c").alias("segment_count"), F.posexplode("c").alias("segment_index", "clean_text"))
+    rows = texts(spark, sf_dir).select("doc_id", chunks.alias("c")).select("doc_id", F.size("c").alias("segment_count"), F.posexplode("c").alias("segment_index", "clean_text"))
     name = F.concat_ws("::", F.col("doc_id").cast("string"), F.col("segment_index").cast("string"))
     return rows.select(name.alias("segment_id"), "doc_id", "segment_index", "segment_count", "clean_text")
 
@@ -136,7 +142,7 @@ STOP = ("the", "and", "that", "with", "for", "der", "die", "und", "que", "les",
 
 @query(f"""SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower(COALESCE(text, '')), '\\p{{L}}+'), lambda w: length(w) >= 3 AND w NOT IN {STOP})) AS INT) AS content_words FROM documents""")
 def content_words(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.content_words(F.col("text"), STOP).alias("content_words"))
+    return texts(spark, sf_dir).select("doc_id", T.content_words(F.col("text"), STOP).alias("content_words"))
 
 
 @query(f"""SELECT p_partkey, list_aggregate(list_sort(list_distinct(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda w: w NOT IN {T.LABEL_FILLERS}))), 'string_agg', ' ') AS wordset FROM part""")
@@ -148,7 +154,7 @@ def label_wordsets(spark, sf_dir):
 @query("""SELECT doc_id FROM documents WHERE (contains(lower(text), 'license') OR contains(lower(text), 'copyright')) AND (contains(lower(text), 'version') OR contains(lower(text), 'cc'))""")
 def keyword_events(spark, sf_dir):
     hit = T.keyword_hit(F.col("text"), [["license", "copyright"], ["version", "cc"]])
-    return read(spark, sf_dir, "documents").where(hit).select("doc_id")
+    return texts(spark, sf_dir).where(hit).select("doc_id")
 
 
 CENTRE = """(WITH m AS (SELECT label, i, AVG(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, (SELECT UNNEST(generate_series(1, 64)) AS i) GROUP BY 1, 2),
@@ -273,14 +279,14 @@ WORDS = "regexp_extract_all(lower(COALESCE(text, '')), '\\p{L}{3,}')"
 @query(f"""WITH w AS (SELECT DISTINCT lang, doc_id, UNNEST({WORDS}) AS term FROM documents), d AS (SELECT lang, term, COUNT(*) AS df FROM w GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY df DESC, term) AS rank FROM d) SELECT lang, term, df, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10""")
 def top_terms(spark, sf_dir):
-    return terms.top_terms(read(spark, sf_dir, "documents"), "lang", "doc_id", "text")
+    return terms.top_terms(texts(spark, sf_dir), "lang", "doc_id", "text")
 
 
 @query(f"""WITH w AS (SELECT source, UNNEST({WORDS}) AS term FROM documents), t AS (SELECT source, term, COUNT(*) AS n FROM w GROUP BY 1, 2),
 s AS (SELECT source, term, ROUND(n / SUM(n) OVER (PARTITION BY source) * ln(1 + (SELECT COUNT(DISTINCT source) FROM t) / (COUNT(*) OVER (PARTITION BY term))::DOUBLE), 9) AS score FROM t),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, term) AS rank FROM s) SELECT source, term, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5""")
 def class_tfidf(spark, sf_dir):
-    return terms.class_tfidf(read(spark, sf_dir, "documents"), "source", "text")
+    return terms.class_tfidf(texts(spark, sf_dir), "source", "text")
 
 
 KEY = f"trim(regexp_replace(regexp_replace(lower({_normal_sql('text')}), '[^\\p{{L}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -289,7 +295,7 @@ KEY = f"trim(regexp_replace(regexp_replace(lower({_normal_sql('text')}), '[^\\p{
 @query(f"""WITH k AS (SELECT source, {KEY} AS k, COUNT(*) AS n FROM documents GROUP BY 1, 2)
 SELECT source, CAST(SUM(n) AS BIGINT) AS members, ROUND(COALESCE(MAX(n) FILTER (k <> ''), 0) / SUM(n)::DOUBLE, 9) AS ratio FROM k GROUP BY 1""")
 def duplicate_ratio(spark, sf_dir):
-    return terms.duplicate_ratio(read(spark, sf_dir, "documents"), "source", "text").withColumn("ratio", F.round("ratio", 9))
+    return terms.duplicate_ratio(texts(spark, sf_dir), "source", "text").withColumn("ratio", F.round("ratio", 9))
 
 
 @query(f"""WITH c AS {CENTRE}, s AS (SELECT vec_id, e.label AS own, c.label AS topic_id, row_number() OVER (PARTITION BY vec_id ORDER BY list_dot_product(embedding::DOUBLE[], centroid) DESC, c.label) AS r FROM embeddings e CROSS JOIN c),
