@@ -32,11 +32,11 @@ def top_terms(docs: DataFrame, topic: str, doc: str, text: str, most: int = 10)
 def class_tfidf(docs: DataFrame, topic: str, text: str, most: int = 5) -> DataFrame:
     """topic, term, score, rank: share of the topic's words times ln(1 + topics / topics
     that have the term)."""
-    tf = stored(words(docs, text, topic).groupBy(topic, "term").agg(F.count("*").alias("n")))  # used four times
+    tf = stored(words(docs, text, topic).groupBy(topic, "term").agg(F.count("*").alias("n")))  # used three times
     total = tf.groupBy(topic).agg(F.sum("n").alias("total"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    topics = F.broadcast(tf.select(topic).distinct().agg(F.count("*").alias("topics")))
-    scored = tf.join(df, "term").join(total, topic).crossJoin(topics)
+    df = F.count("*").over(Window.partitionBy("term"))  # a row for each topic
+    topics = F.broadcast(total.agg(F.count("*").alias("topics")))
+    scored = tf.withColumn("df", df).join(total, topic).crossJoin(topics)
     scored = scored.select(topic, "term", F.round(F.col("n") / F.col("total") * F.log1p(F.col("topics") / F.col("df")), 9).alias("score"))
     order = Window.partitionBy(topic).orderBy(F.desc("score"), "term")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
