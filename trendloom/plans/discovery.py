@@ -23,7 +23,7 @@ def _pooled(spark, sf_dir):
 
 @query()
 def pool_clusters(spark, sf_dir):
-    return clustering.cluster_pools(_pooled(spark, sf_dir), "pool", "vec_id", "embedding", 10, 5, width=12, epsilon=0.4, most=60)
+    return clustering.cluster_pools(_pooled(spark, sf_dir), "pool", "vec_id", "embedding", 8, 1, width=4, epsilon=0.2, most=60)
 
 
 @query()
@@ -35,7 +35,7 @@ def pool_parameters(spark, sf_dir):
 @query()
 def micro_clusters(spark, sf_dir):
     rows = _pooled(spark, sf_dir).withColumn("author", F.col("vec_id") % 7)
-    return clustering.micro_clusters(rows, "pool", "vec_id", "embedding", "author", 0.9, 4, 3)
+    return clustering.micro_clusters(rows, "pool", "vec_id", "embedding", "author", 1.3, 4, 3)
 
 
 @query("""WITH s AS (SELECT 'P' || (label % 2) AS pool, label, COUNT(*) AS n FROM embeddings GROUP BY 1, 2) SELECT pool, ROUND(SUM(n) FILTER (label > 7) / SUM(n)::DOUBLE, 9) AS noise,
