@@ -267,3 +267,32 @@ def test_drift_is_over_all_vectors(spark, monkeypatch):
     got = audits.drift(frame(spark, x), frame(spark, y), "id", "v").first()["drift"]
     assert abs(got - (1 - (unit(x) @ unit(y).T).max(axis=1)).mean()) < 1e-12
     assert audits.drift(frame(spark, x[:3]), frame(spark, x[:3]).limit(0), "id", "v").first()["drift"] is None
+
+
+def test_exact_neighbours(spark, monkeypatch):
+    """Of all pairs, over several blocks and steps, with copies and ties at the last place."""
+    for name, value in (("BLOCK_ROWS", 150), ("STEP_ROWS", 16), ("STEP_COLUMNS", 40)):
+        monkeypatch.setattr(G, name, value)
+    monkeypatch.setattr(G, "LEAF", 64)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(700, 6))
+    x[600:640] = x[3]  # more copies than neighbours
+    x[640:660] = np.round(x[640:660])
+    near = {r["_k"]: [(n["d"], n["b"]) for n in r["near"]] for r in G.exact_neighbours(frame(spark, x), "id", "v", 5).collect()}
+    d = np.round(np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)), 7)
+    np.fill_diagonal(d, np.inf)
+    assert near == {i: [(d[i, j], j) for j in np.argsort(d[i], kind="stable")[:5]] for i in range(len(x))}
+    few = {r["_k"]: len(r["near"]) for r in G.exact_neighbours(frame(spark, x[:3]), "id", "v", 5).collect()}
+    assert few == {0: 2, 1: 2, 2: 2} and G.exact_neighbours(frame(spark, x[:3]).limit(0), "id", "v", 5).count() == 0
+
+
+def test_neighbour_graph_is_exact_beyond_a_leaf(spark):
+    import duckdb
+
+    from trendloom.plans import discovery
+    from trendloom.plans.queries import SQL
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    want = db.sql(SQL["neighbour_graph"]).fetchall()
+    assert sorted(map(tuple, discovery.neighbour_graph(spark, SF).select("vec_id", "neighbour", "place").collect())) == sorted(want)
