@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from math import sqrt
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,10 +54,132 @@ def grams(text: Column, stop: tuple[str, ...], form: str = r"(?U)\b\w\w+\b") ->
     return F.element_at(F.transform(F.array(kept), lambda w: F.concat(w, pairs(w))), 1)
 
 
+#: Terms that a task counts before it sends them on; terms that tasks are sent; texts read at once.
+HELD_TERMS, SENT_TERMS, PIECE_TEXTS = 400_000, 200_000, 256
+
+
+def _worded(docs: DataFrame, topic: str, text: Column, *keep: str, form: str = r"(?U)\b\w\w+\b") -> DataFrame:
+    """topic, keep columns and _w: the words of each text, with a space between them."""
+    return docs.select(topic, *keep, F.array_join(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(form), F.lit(0)), " ").alias("_w"))
+
+
+def _texts(batches, keys: list[str], stop: tuple[str, ...]):
+    """Values of the keys and texts of each row, as lists of words without stop words."""
+    stop = frozenset(stop)
+    for batch in batches:
+        for lo in range(0, batch.num_rows, PIECE_TEXTS):
+            part = batch.slice(lo, PIECE_TEXTS)
+            for *name, texts in zip(*[part.column(k).to_pylist() for k in (*keys, "_w")]):
+                yield tuple(name), [[w for w in t.split(" ") if w and w not in stop] for t in texts.split("\n")]
+
+
+def _pairs_of(words: list[str], wanted) -> list[str]:
+    if wanted is None:
+        return [f"{x} {y}" for x, y in zip(words, words[1:])]
+    return [f"{x} {y}" for x, y in zip(words, words[1:]) if x in wanted and y in wanted]
+
+
+def gram_counts(docs: DataFrame, keys: list[str], stop: tuple[str, ...], pairs: bool, wanted=None) -> DataFrame:
+    """keys, term, n, df: under each key, the number of every word, or of every pair of
+    neighbours both of which are wanted (a function of the keys; null: all), and of the
+    rows (keys, _w) that have it. Words have a row of a null term too: n of all words
+    and pairs. Tasks count what they read; what they counted is added up."""
+
+    def run(batches):
+        tallies: dict = {}
+
+        def told(kinds):
+            for name, (n, df, grams) in tallies.items():
+                whole = [] if pairs else [None]
+                terms = pa.array([*n, *whole], pa.string())
+                own = [pa.array([v] * len(terms), k) for v, k in zip(name, kinds)]
+                counts = [pa.array([*n.values(), *[grams for _ in whole]], pa.int64()), pa.array([*(df[t] for t in n), *[0 for _ in whole]], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*own, terms, *counts], names=[*keys, "term", "n", "df"])
+            tallies.clear()
+
+        held, kinds = 0, []
+        for batch in batches:
+            kinds = [batch.column(k).type for k in keys]
+            for name, texts in _texts([batch], keys, stop):
+                if name not in tallies:
+                    tallies[name] = [Counter(), Counter(), 0]
+                tally = tallies[name]
+                only = wanted(*name) if wanted else None
+                found = [g for words in texts for g in (_pairs_of(words, only) if pairs else words)]
+                held -= len(tally[0])
+                tally[0].update(found)
+                tally[1].update(set(found))
+                tally[2] += sum(max(2 * len(words) - 1, 0) for words in texts)
+                held += len(tally[0])
+                if held > HELD_TERMS:
+                    yield from told(kinds)
+                    held = 0
+        yield from told(kinds)
+
+    named = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
+    counted = docs.select(*keys, "_w").mapInArrow(run, f"{named}, term string, n long, df long")
+    return counted.groupBy(*keys, "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+
+
+def _sent(rows: DataFrame) -> list | None:
+    """The rows, if there are SENT_TERMS at most."""
+    found = rows.limit(SENT_TERMS + 1).collect()
+    return found if len(found) <= SENT_TERMS else None
+
+
 def tfidf_terms(docs: DataFrame, topic: str, doc: str, text: str, stop: tuple[str, ...], most: int = 5, features: int = 1000) -> DataFrame:
     """topic, term, score, rank: mean TF-IDF over the topic's documents of words and
     pairs; of each topic, only its ``features`` most frequent ones. Every document's
-    vector has unit length; idf is ln((1 + n) / (1 + df)) + 1 within the topic."""
+    vector has unit length; idf is ln((1 + n) / (1 + df)) + 1 within the topic. A pair is
+    no more frequent than its words, so only pairs of words that are as frequent as the
+    last feature among words are counted."""
+    size = docs.where(F.col(topic).isNotNull()).groupBy(topic).agg(F.count("*").alias("docs"), F.countDistinct(doc).alias("_d"), F.count(doc).alias("_n"))
+    topics = _sent(size)
+    if topics is None or len(topics) * features > SENT_TERMS:
+        return _tfidf_joined(docs, topic, doc, text, stop, most, features)
+    rows = _worded(docs.where(F.col(topic).isNotNull() & F.col(doc).isNotNull()), topic, F.col(text), doc)
+    if any(r["_d"] != r["_n"] for r in topics):  # a document on several rows: of one document, all texts
+        rows = rows.groupBy(topic, doc).agg(F.array_join(F.collect_list("_w"), "\n").alias("_w"))
+    order = Window.partitionBy(topic).orderBy(F.desc("n"), "term")
+    top = lambda t: t.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= features)
+    words = stored(gram_counts(rows, [topic], stop, False).where("term is not null"))
+    first = stored(top(words))
+    least = first.groupBy(topic).agg(F.when(F.count("*") >= features, F.min("n")).otherwise(0).alias("_least"))
+    often = _sent(words.join(least, topic).where("n >= _least").select(F.col(topic).alias("t"), "term"))
+    by: dict = {}
+    for r in often or []:
+        by.setdefault(r["t"], set()).add(r["term"])
+    pairs = gram_counts(rows, [topic], stop, True, None if often is None else lambda name: by.get(name, ()))
+    chosen = top(first.drop("_r").unionByName(pairs)).select(F.col(topic).alias("t"), "term", "df").collect()  # at most SENT_TERMS
+    number = {r[topic]: r["docs"] for r in topics}
+    spark = docs.sparkSession
+    weights: dict = {}
+    log = spark.createDataFrame([(i, (1 + number[r["t"]]) / (1 + r["df"])) for i, r in enumerate(chosen)], "i long, x double").select("i", F.log("x").alias("x")).collect() if chosen else []
+    for r in log:
+        weights.setdefault(chosen[r["i"]]["t"], {})[chosen[r["i"]]["term"]] = r["x"] + 1
+
+    def run(batches):
+        sums: dict = {}
+        for batch in batches:
+            kind = batch.column(topic).type
+            for (name,), texts in _texts([batch], [topic], stop):
+                idf = weights.get(name, {})
+                found = Counter(g for words in texts for g in (*words, *_pairs_of(words, None)) if g in idf)
+                norm = sqrt(sum((n * idf[g]) ** 2 for g, n in found.items()))
+                mine = sums.setdefault(name, {})
+                for g, n in found.items():
+                    mine[g] = mine.get(g, 0.0) + n * idf[g] / norm
+        for name, mine in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(mine)).cast(kind), pa.array(list(mine), pa.string()), pa.array(list(mine.values()), pa.float64())], names=[topic, "term", "s"])
+
+    parts = rows.select(topic, "_w").mapInArrow(run, f"{topic} {docs.schema[topic].dataType.simpleString()}, term string, s double")
+    scored = parts.groupBy(topic, "term").agg(F.sum("s").alias("s")).join(size, topic).select(topic, "term", F.round(F.col("s") / F.col("docs"), 9).alias("score"))
+    best = Window.partitionBy(topic).orderBy(F.desc("score"), "term")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
+
+
+def _tfidf_joined(docs: DataFrame, topic: str, doc: str, text: str, stop: tuple[str, ...], most: int, features: int) -> DataFrame:
+    """tfidf_terms() of more topics than tasks can be sent the features of."""
     tf = docs.select(topic, doc, F.explode(grams(F.col(text), stop)).alias("term")).groupBy(topic, doc, "term").agg(F.count("*").alias("n"))
     df = tf.groupBy(topic, "term").agg(F.sum("n").alias("all"), F.count("*").alias("df"))
     df = df.withColumn("r", F.row_number().over(Window.partitionBy(topic).orderBy(F.desc("all"), "term"))).where(F.col("r") <= features)
@@ -76,23 +202,38 @@ def class_labels(docs: DataFrame, topic: str, text: str, stop: tuple[str, ...],
     """topic, label: the topic's most characteristic words and pairs by class-based
     TF-IDF, without artefacts and without terms whose words hold or are held by those of
     one before, joined by strokes. Scored over all topics, or within each scope that
-    has several. The best ``12 * most`` terms are looked at."""
+    has several. The best ``12 * most`` terms are looked at. Words are counted first; of
+    pairs, only those that can still be among these."""
     pool = F.lit(0) if scope is None else F.col(scope)
-    tf = docs.select(topic, pool.alias("_p"), F.explode(grams(F.col(text), stop)).alias("term")).groupBy("_p", topic, "term").agg(F.count("*").alias("n"))
-    topics = tf.select("_p", topic).distinct()
-    if scope is not None:  # a scope of one topic is compared with all topics
-        alone = topics.groupBy("_p").agg(F.count("*").alias("k")).where("k = 1").select("_p", F.lit(True).alias("_alone"))
-        tf = tf.join(alone, "_p", "left")
-    idf = tf.groupBy("_p", "term").agg(F.count("*").alias("df")).join(topics.groupBy("_p").agg(F.count("*").alias("topics")), "_p")
-    rows = tf.join(idf, ["_p", "term"])
-    if scope is not None:
-        over = tf.groupBy("term").agg(F.countDistinct("_p", topic).alias("_df")).crossJoin(F.broadcast(topics.agg(F.count("*").alias("_topics"))))  # one row
-        rows = rows.join(over, "term")
-        rows = rows.withColumns({"df": F.when(F.col("_alone"), F.col("_df")).otherwise(F.col("df")), "topics": F.when(F.col("_alone"), F.col("_topics")).otherwise(F.col("topics"))})
-    total = tf.groupBy("_p", topic).agg(F.sum("n").alias("total"))
-    rows = rows.join(total, ["_p", topic]).select("_p", topic, "term", F.round(F.col("n") / F.col("total") * F.log1p(F.col("topics") / F.col("df")), 9).alias("score"))
+    rows = _worded(docs.withColumn("_p", pool), topic, F.col(text), "_p")
+    whole = stored(gram_counts(rows, ["_p", topic], stop, False).drop("df"))
+    total = stored(whole.where("term is null and n > 0").select("_p", topic, F.col("n").alias("total")))
+    topics = total.select("_p", topic)
+
+    def scores(tf: DataFrame) -> DataFrame:
+        """_p, topic, term, n, score of the counts of all topics."""
+        if scope is not None:  # a scope of one topic is compared with all topics
+            alone = topics.groupBy("_p").agg(F.count("*").alias("k")).where("k = 1").select("_p", F.lit(True).alias("_alone"))
+            tf = tf.join(alone, "_p", "left")
+        found = tf.withColumn("df", F.count("*").over(Window.partitionBy("_p", "term"))).join(topics.groupBy("_p").agg(F.count("*").alias("topics")), "_p")
+        if scope is not None:
+            over = tf.groupBy("term").agg(F.countDistinct("_p", topic).alias("_df")).crossJoin(F.broadcast(topics.agg(F.count("*").alias("_topics"))))  # one row
+            found = found.join(over, "term")
+            found = found.withColumns({"df": F.when(F.col("_alone"), F.col("_df")).otherwise(F.col("df")), "topics": F.when(F.col("_alone"), F.col("_topics")).otherwise(F.col("topics"))})
+        return found.join(total, ["_p", topic]).select("_p", topic, "term", "n", F.round(F.col("n") / F.col("total") * F.log1p(F.col("topics") / F.col("df")), 9).alias("score"))
+
     order = Window.partitionBy("_p", topic).orderBy(F.desc("score"), "term")
-    best = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 12 * most).where(~is_noise_term(F.col("term")))
+    top = lambda t: t.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 12 * most)
+    words = whole.where("term is not null")
+    first = stored(top(scores(words)))
+    # A pair is no more frequent than its words, and no term scores more than one of one topic.
+    highest = F.broadcast(topics.agg(F.log1p(F.count("*").cast("double")).alias("_h")))  # one row
+    least = first.groupBy("_p", topic).agg(F.when(F.count("*") >= 12 * most, F.min("score")).otherwise(0.0).alias("_s")).join(total, ["_p", topic]).crossJoin(highest)
+    least = least.select("_p", topic, ((F.col("_s") - 1e-9) * F.col("total") / F.col("_h") * (1 - 1e-12)).alias("_least"))
+    often = _sent(words.join(least, ["_p", topic]).where("n >= _least").select("term").distinct())
+    wanted = None if often is None else frozenset(r["term"] for r in often)
+    pairs = stored(gram_counts(rows, ["_p", topic], stop, True, None if wanted is None else lambda *_: wanted).drop("df"))
+    best = top(first.drop("r").unionByName(scores(pairs))).where(~is_noise_term(F.col("term")))
     listed = best.groupBy("_p", topic).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]).alias("terms"))
     inside = lambda a, b: F.size(F.array_except(F.split(a, " "), F.split(b, " "))) == 0
     fold = F.aggregate(
