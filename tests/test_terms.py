@@ -87,3 +87,12 @@ def test_rare_pairs_are_not_counted(spark, monkeypatch):
     terms.class_labels(df, "topic", "text", STOP, most=1).collect()
     terms.tfidf_terms(df, "topic", "doc", "text", STOP, most=1, features=12).collect()
     assert [p for p, _ in sizes] == [False, True, False, True] and sizes[1][1] < pairs and sizes[3][1] < pairs / 3
+
+
+def test_texts_are_worked_out_once(spark):
+    from trendloom.plans.queries import QUERIES
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(QUERIES["segments"](spark, "/root/testdata/sf0.001")).count("(?:https?://|www") == 1
+    _, df = corpus(spark, 3)
+    assert plan(terms.words(df, "text", "topic")).count("regexp_extract_all") == 1

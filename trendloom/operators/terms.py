@@ -19,7 +19,8 @@ def words(docs: DataFrame, text: str, *keep: str, once: bool = False) -> DataFra
     """keep columns and term, one row for each word of the text, or (once) each
     different one."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
-    return docs.select(*keep, F.explode(F.array_distinct(found) if once else found).alias("term"))
+    # Outer: Spark would else look whether there are words by finding them all before.
+    return docs.select(*keep, F.explode_outer(F.array_distinct(found) if once else found).alias("term")).where("term is not null")
 
 
 def top_terms(docs: DataFrame, topic: str, doc: str, text: str, most: int = 10) -> DataFrame:
