@@ -296,3 +296,15 @@ def test_neighbour_graph_is_exact_beyond_a_leaf(spark):
     db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
     want = db.sql(SQL["neighbour_graph"]).fetchall()
     assert sorted(map(tuple, discovery.neighbour_graph(spark, SF).select("vec_id", "neighbour", "place").collect())) == sorted(want)
+
+
+def test_places_don_t_hang_on_the_rows_held_at_once(spark, monkeypatch):
+    """A task holds the distances of a few rows only, at any size of its batches."""
+    x, _ = blobs()
+    model, meta = M.fit(frame(spark, x), "id", "v", n_components=2, n_neighbors=5)
+    places = lambda: {r.id: r.place for r in M.transform(frame(spark, x), model, meta, "id", "v").collect()}
+    whole = places()
+    assert M.STEP_ROWS <= 256
+    monkeypatch.setattr(M, "STEP_ROWS", 7)
+    some = places()
+    assert len(some) == len(x) and all(np.allclose(whole[k], some[k]) for k in whole)
