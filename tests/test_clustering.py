@@ -308,3 +308,13 @@ def test_places_don_t_hang_on_the_rows_held_at_once(spark, monkeypatch):
     monkeypatch.setattr(M, "STEP_ROWS", 7)
     some = places()
     assert len(some) == len(x) and all(np.allclose(whole[k], some[k]) for k in whole)
+
+
+def test_components_need_no_forest(spark, monkeypatch):
+    monkeypatch.setattr(G, "LAST_EDGES", 20)
+    monkeypatch.setattr(G, "spanning_forest", None)
+    pairs = [(i, i + 2) for i in range(60)] + [(100, 105), (101, 105)]
+    edges = spark.createDataFrame([("s", a, b) for a, b in pairs], "_s string, a long, b long")
+    nodes = spark.createDataFrame([("s", k) for k in [*range(62), 100, 101, 105, 200]], "_s string, _k long")
+    found = {r["_k"]: r["component"] for r in G.components(edges, nodes).collect()}
+    assert found == {**{k: k % 2 for k in range(62)}, 100: 100, 101: 100, 105: 100, 200: 200}
