@@ -3,8 +3,10 @@
 import math
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trendloom.operators import terms
 
@@ -89,6 +91,43 @@ def test_rare_pairs_are_not_counted(spark, monkeypatch):
     assert [p for p, _ in sizes] == [False, True, False, True] and sizes[1][1] < pairs and sizes[3][1] < pairs / 3
 
 
+def test_words_are_cut_once(spark, monkeypatch):
+    """Passes read stored words, not texts, and count the same in pieces of any size."""
+    plans, counted = [], terms.gram_counts
+
+    def spy(docs, *args):
+        plans.append(docs._jdf.queryExecution().optimizedPlan().toString())
+        return counted(docs, *args)
+
+    monkeypatch.setattr(terms, "gram_counts", spy)
+    _, df = corpus(spark)
+
+    def found():
+        scores = terms.tfidf_terms(df, "topic", "doc", "text", STOP, most=4, features=12).withColumn("score", F.round("score", 6))
+        return {*scores.collect()}, {*terms.class_labels(df, "topic", "text", STOP, most=2).collect()}
+
+    whole = found()
+    assert len(plans) == 4 and not any("lower(" in p for p in plans)
+    monkeypatch.setattr(terms, "PIECE_BYTES", 50)
+    monkeypatch.setattr(terms, "HELD_TERMS", 20)
+    assert found() == whole
+
+
+def test_words_are_those_of_the_sql(spark, tmp_path):
+    """Digits and marks of all kinds are characters of words, as in the SQL."""
+    from trendloom.plans.audits import class_labels, tfidf_terms
+    from trendloom.plans.queries import SQL
+
+    texts = ["x² ½cup x² Ⓐb ça c\u0327a\u0301 d\u200de", "a_b a‿b ½cup 12 Ⅻ ǅa x² Straße", "the and", None, "日本 語 日本-語x\n½cup\u00a0ça a'b"]
+    rows = [(i, t, "en", f"s{i % 2}", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for query in (tfidf_terms, class_labels):
+        got = query(spark, str(tmp_path))
+        assert {*map(tuple, got.collect())} == {*con.sql(SQL[query.__name__]).select(*got.columns).fetchall()}
+
+
 def test_texts_are_worked_out_once(spark):
     from trendloom.plans.queries import QUERIES
 

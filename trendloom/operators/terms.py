@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from math import sqrt
-
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +12,8 @@ from trendloom.functions.text import is_noise_term, near_duplicate_key
 from trendloom.sources.stored import stored
 
 WORD = r"\p{L}{3,}"
+#: Characters of the words of grams, as the SQL has them, for patterns of Java and of Arrow.
+LETTERS = r"\p{L}\p{N}\p{M}_"
 
 
 def words(docs: DataFrame, text: str, *keep: str, once: bool = False) -> DataFrame:
@@ -47,7 +48,7 @@ def class_tfidf(docs: DataFrame, topic: str, text: str, most: int = 5) -> DataFr
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
-def grams(text: Column, stop: tuple[str, ...], form: str = r"(?U)\b\w\w+\b") -> Column:
+def grams(text: Column, stop: tuple[str, ...], form: str = f"[{LETTERS}]{{2,}}") -> Column:
     """Words of a text without stop words, then pairs of neighbours among them."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(form), F.lit(0))
     kept = F.filter(found, lambda w: ~w.isin(*stop)) if stop else found
@@ -55,73 +56,147 @@ def grams(text: Column, stop: tuple[str, ...], form: str = r"(?U)\b\w\w+\b") ->
     return F.element_at(F.transform(F.array(kept), lambda w: F.concat(w, pairs(w))), 1)
 
 
-#: Terms that a task counts before it sends them on; terms that tasks are sent; texts read at once.
-HELD_TERMS, SENT_TERMS, PIECE_TEXTS = 400_000, 200_000, 256
-
+#: Terms that a task holds counts of before it sends them on; terms that tasks are sent; bytes of text read at once.
+HELD_TERMS, SENT_TERMS, PIECE_BYTES = 1_000_000, 200_000, 4 << 20
 
-def _worded(docs: DataFrame, topic: str, text: Column, *keep: str, form: str = r"(?U)\b\w\w+\b") -> DataFrame:
-    """topic, keep columns and _w: the words of each text, with a space between them."""
-    return docs.select(topic, *keep, F.array_join(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(form), F.lit(0)), " ").alias("_w"))
 
+def _worded(docs: DataFrame, topic: str, text: Column, *keep: str) -> DataFrame:
+    """topic, keep columns and _w: each text in lower case, with a space for all between words."""
+    low = docs.select(topic, *keep, F.lower(F.coalesce(text, F.lit(""))).alias("_w"))
 
-def _texts(batches, keys: list[str], stop: tuple[str, ...]):
-    """Values of the keys and texts of each row, as lists of words without stop words."""
-    stop = frozenset(stop)
-    for batch in batches:
-        for lo in range(0, batch.num_rows, PIECE_TEXTS):
-            part = batch.slice(lo, PIECE_TEXTS)
-            for *name, texts in zip(*[part.column(k).to_pylist() for k in (*keys, "_w")]):
-                yield tuple(name), [[w for w in t.split(" ") if w and w not in stop] for t in texts.split("\n")]
-
+    def run(batches):
+        for piece in _pieces(batches, PIECE_BYTES):
+            yield piece.set_column(piece.schema.get_field_index("_w"), "_w", pc.replace_substring_regex(piece.column("_w"), f"[^{LETTERS}]+", " "))
 
-def _pairs_of(words: list[str], wanted) -> list[str]:
-    if wanted is None:
-        return [f"{x} {y}" for x, y in zip(words, words[1:])]
-    return [f"{x} {y}" for x, y in zip(words, words[1:]) if x in wanted and y in wanted]
+    return low.mapInArrow(run, low.schema)
 
 
-def gram_counts(docs: DataFrame, keys: list[str], stop: tuple[str, ...], pairs: bool, wanted=None) -> DataFrame:
+def _pieces(batches, size: int):
+    """The batches' rows, about size bytes of text at once."""
+    for batch in batches:
+        ends, lo = np.cumsum(pc.binary_length(batch.column("_w")).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
+def _spelled(piece: pa.RecordBatch, stop: tuple[str, ...], vocabulary: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Row and number of each word that isn't a stop word, in order, and the words by
+    number: the vocabulary, or else those of the piece. The number is -1 where one text
+    of a row ends (at a line feed), and for words outside the vocabulary."""
+    lists = pc.split_pattern(pc.replace_substring(piece.column("_w"), "\n", " \n "), " ")
+    coded = lists.flatten().dictionary_encode()
+    here, found = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    ends, long = pc.equal(here, "\n").to_numpy(zero_copy_only=False), pc.greater(pc.utf8_length(here), 1).to_numpy(zero_copy_only=False)
+    stays = (ends | long & ~pc.is_in(here, value_set=pa.array(stop, here.type)).to_numpy(zero_copy_only=False))[found]
+    row, found = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)[stays], found[stays]
+    if vocabulary is None:
+        number = np.where(ends, -1, np.arange(len(here)))
+    else:
+        number = pc.fill_null(pc.index_in(here, value_set=vocabulary.cast(here.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    return row, number[found], here if vocabulary is None else vocabulary
+
+
+def _neighbours(row: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Places of words that a word of the same text follows."""
+    return np.flatnonzero((row[1:] == row[:-1]) & (word[1:] >= 0) & (word[:-1] >= 0))
+
+
+def _numbers(piece: pa.RecordBatch, keys: list[str], known: dict) -> tuple[np.ndarray, list[int]]:
+    """A number for each row's keys, as known (which is added to), and the first rows of new ones."""
+    before, new, out = len(known), [], np.empty(piece.num_rows, np.int64)
+    for i, name in enumerate(zip(*[piece.column(k).to_pylist() for k in keys])):
+        out[i] = known.setdefault(name, len(known))
+        if len(known) > before:
+            before += 1
+            new.append(i)
+    return out, new
+
+
+def _places(found: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Places of what was found among sorted numbers; -1 for others."""
+    if not len(among):
+        return np.full(len(found), -1)
+    at = np.minimum(np.searchsorted(among, found), len(among) - 1)
+    return np.where(among[at] == found, at, -1)
+
+
+def gram_counts(docs: DataFrame, keys: list[str], stop: tuple[str, ...], pairs: bool, wanted: dict | None = None) -> DataFrame:
     """keys, term, n, df: under each key, the number of every word, or of every pair of
-    neighbours both of which are wanted (a function of the keys; null: all), and of the
-    rows (keys, _w) that have it. Words have a row of a null term too: n of all words
-    and pairs. Tasks count what they read; what they counted is added up."""
+    neighbours both of which are wanted (by keys; under None, of all others; null: all),
+    and of the rows (keys, _w) that have it. Words have a row of a null term too: n of
+    all words and pairs. Tasks count what they read, by numbers of words; what they
+    counted is added up."""
+    coded = pairs and wanted is not None
+    vocabulary = sorted(set().union(*wanted.values())) if coded else None
+    place = {w: i for i, w in enumerate(vocabulary or ())}
+    lots = {name: i for i, name in enumerate(wanted)} if coded else {}
+    allowed = np.sort(np.array([lots[name] * len(place) + place[w] for name in lots for w in wanted[name]], np.int64))
 
     def run(batches):
-        tallies: dict = {}
-
-        def told(kinds):
-            for name, (n, df, grams) in tallies.items():
-                whole = [] if pairs else [None]
-                terms = pa.array([*n, *whole], pa.string())
-                own = [pa.array([v] * len(terms), k) for v, k in zip(name, kinds)]
-                counts = [pa.array([*n.values(), *[grams for _ in whole]], pa.int64()), pa.array([*(df[t] for t in n), *[0 for _ in whole]], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*own, terms, *counts], names=[*keys, "term", "n", "df"])
-            tallies.clear()
-
-        held, kinds = 0, []
-        for batch in batches:
-            kinds = [batch.column(k).type for k in keys]
-            for name, texts in _texts([batch], keys, stop):
-                if name not in tallies:
-                    tallies[name] = [Counter(), Counter(), 0]
-                tally = tallies[name]
-                only = wanted(*name) if wanted else None
-                found = [g for words in texts for g in (_pairs_of(words, only) if pairs else words)]
-                held -= len(tally[0])
-                tally[0].update(found)
-                tally[1].update(set(found))
-                tally[2] += sum(max(2 * len(words) - 1, 0) for words in texts)
-                held += len(tally[0])
-                if held > HELD_TERMS:
-                    yield from told(kinds)
-                    held = 0
-        yield from told(kinds)
+        spelling = pa.array(vocabulary, pa.string()) if coded else None
+        known, seen, lot, held = {}, [], np.empty(0, np.int64), []
+
+        def told():
+            whole = pa.concat_tables(held)
+            t, own = whole.column("t").combine_chunks(), pa.Table.from_batches(seen).take(whole.column("g"))
+            if coded:
+                one, two = np.divmod(t.to_numpy(zero_copy_only=False), max(len(spelling), 1))
+                t = pc.binary_join_element_wise(spelling.take(pa.array(one)), spelling.take(pa.array(two)), " ")
+            known.clear(), seen.clear(), held.clear()
+            table = pa.table([*own.columns, t, whole.column("n"), whole.column("df")], names=[*keys, "term", "n", "df"])
+            yield from table.to_batches(max_chunksize=1 << 16)
+
+        for piece in _pieces(batches, PIECE_BYTES):
+            group, new = _numbers(piece, keys, known)
+            if new:
+                seen.append(piece.select(keys).take(pa.array(new, pa.int64())))
+            row, word, spelt = _spelled(piece, stop, spelling)
+            if coded:
+                lot = np.array([lots.get(name, lots.get(None, -1)) for name in known], np.int64)[group]
+                word = np.where((word >= 0) & (lot[row] >= 0) & (_places(lot[row] * len(spelt) + word, allowed) >= 0), word, -1)
+            at = _neighbours(row, word)
+            if pairs:
+                row, code, span = row[at], word[at] * len(spelt) + word[at + 1], len(spelt) ** 2
+            else:
+                every = np.bincount(group[row[word >= 0]], minlength=len(known)) + np.bincount(group[row[at]], minlength=len(known))
+                row, code, span = row[word >= 0], word[word >= 0], len(spelt)
+            own, n = np.unique(row * span + code, return_counts=True)  # of each row
+            row, code = np.divmod(own, max(span, 1))
+            code += group[row] * span
+            order = np.argsort(code)
+            code, n = code[order], n[order]
+            first = np.flatnonzero(np.diff(code, prepend=-1))
+            g, code = np.divmod(code[first], max(span, 1))
+            n, df = np.add.reduceat(n, first) if len(n) else n, np.diff(first, append=len(n))
+            if coded:
+                t = pa.array(code)
+            elif pairs:
+                one, two = np.divmod(code, max(len(spelt), 1))
+                t = pc.binary_join_element_wise(spelt.take(pa.array(one)), spelt.take(pa.array(two)), " ")
+            else:
+                t = spelt.take(pa.array(code))
+                g, n, df = np.append(g, np.arange(len(known))), np.append(n, every), np.append(df, np.zeros(len(known), np.int64))
+                t = pa.concat_arrays([t, pa.nulls(len(known), t.type)])
+            held.append(pa.table({"g": g, "t": t, "n": n, "df": df}))
+            if sum(len(h) for h in held) > HELD_TERMS:
+                held[:] = [_added(held)]
+                if len(held[0]) > HELD_TERMS // 2:
+                    yield from told()
+        if held:
+            held[:] = [_added(held)]
+            yield from told()
 
     named = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
     counted = docs.select(*keys, "_w").mapInArrow(run, f"{named}, term string, n long, df long")
     return counted.groupBy(*keys, "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
+def _added(counts: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(counts).group_by(["g", "t"], use_threads=False).aggregate([("n", "sum"), ("df", "sum")]).rename_columns(["g", "t", "n", "df"])
+
+
 def _sent(rows: DataFrame) -> list | None:
     """The rows, if there are SENT_TERMS at most."""
     found = rows.limit(SENT_TERMS + 1).collect()
@@ -141,6 +216,8 @@ def tfidf_terms(docs: DataFrame, topic: str, doc: str, text: str, stop: tuple[st
     rows = _worded(docs.where(F.col(topic).isNotNull() & F.col(doc).isNotNull()), topic, F.col(text), doc)
     if any(r["_d"] != r["_n"] for r in topics):  # a document on several rows: of one document, all texts
         rows = rows.groupBy(topic, doc).agg(F.array_join(F.collect_list("_w"), "\n").alias("_w"))
+    rows = stored(rows.select(topic, "_w"))  # texts are read and cut into words once, not for each of three passes
+    size = F.broadcast(docs.sparkSession.createDataFrame(topics, size.schema).select(topic, "docs"))
     order = Window.partitionBy(topic).orderBy(F.desc("n"), "term")
     top = lambda t: t.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= features)
     words = stored(gram_counts(rows, [topic], stop, False).where("term is not null"))
@@ -149,31 +226,41 @@ def tfidf_terms(docs: DataFrame, topic: str, doc: str, text: str, stop: tuple[st
     often = _sent(words.join(least, topic).where("n >= _least").select(F.col(topic).alias("t"), "term"))
     by: dict = {}
     for r in often or []:
-        by.setdefault(r["t"], set()).add(r["term"])
-    pairs = gram_counts(rows, [topic], stop, True, None if often is None else lambda name: by.get(name, ()))
-    chosen = top(first.drop("_r").unionByName(pairs)).select(F.col(topic).alias("t"), "term", "df").collect()  # at most SENT_TERMS
-    number = {r[topic]: r["docs"] for r in topics}
-    spark = docs.sparkSession
-    weights: dict = {}
-    log = spark.createDataFrame([(i, (1 + number[r["t"]]) / (1 + r["df"])) for i, r in enumerate(chosen)], "i long, x double").select("i", F.log("x").alias("x")).collect() if chosen else []
-    for r in log:
-        weights.setdefault(chosen[r["i"]]["t"], {})[chosen[r["i"]]["term"]] = r["x"] + 1
+        by.setdefault((r["t"],), set()).add(r["term"])
+    pairs = gram_counts(rows, [topic], stop, True, None if often is None else by)
+    idf = (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf")
+    chosen = top(first.drop("_r").unionByName(pairs)).join(size, topic).select(F.col(topic).alias("t"), "term", idf).collect()  # at most SENT_TERMS
+    vocabulary = sorted({w for r in chosen for w in r["term"].split(" ")})
+    place, lots = {w: i for i, w in enumerate(vocabulary)}, {}
+    codes: tuple[list, list] = ([], [])  # of words and of pairs: topic and words in one number, which feature
+    for i, r in enumerate(chosen):
+        at = [place[w] for w in r["term"].split(" ")]
+        t = lots.setdefault((r["t"],), len(lots))
+        codes[len(at) - 1].append((t * len(place) + at[0] if len(at) == 1 else (t * len(place) + at[0]) * len(place) + at[1], i))
+    sought = [np.array(sorted(c), np.int64).reshape(-1, 2).T for c in codes]
+    weight, terms, of = np.array([r["idf"] for r in chosen], float), [r["term"] for r in chosen], np.array([lots[(r["t"],)] for r in chosen], np.int64)
 
     def run(batches):
-        sums: dict = {}
-        for batch in batches:
-            kind = batch.column(topic).type
-            for (name,), texts in _texts([batch], [topic], stop):
-                idf = weights.get(name, {})
-                found = Counter(g for words in texts for g in (*words, *_pairs_of(words, None)) if g in idf)
-                norm = sqrt(sum((n * idf[g]) ** 2 for g, n in found.items()))
-                mine = sums.setdefault(name, {})
-                for g, n in found.items():
-                    mine[g] = mine.get(g, 0.0) + n * idf[g] / norm
-        for name, mine in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(mine)).cast(kind), pa.array(list(mine), pa.string()), pa.array(list(mine.values()), pa.float64())], names=[topic, "term", "s"])
-
-    parts = rows.select(topic, "_w").mapInArrow(run, f"{topic} {docs.schema[topic].dataType.simpleString()}, term string, s double")
+        spelling, known, names, sums = pa.array(vocabulary, pa.string()), dict(lots), {}, np.zeros(len(terms))
+        for piece in _pieces(batches, PIECE_BYTES):
+            group, _ = _numbers(piece, [topic], known)
+            for g, i in zip(*np.unique(group, return_index=True)):
+                names.setdefault(int(g), piece.column(topic).slice(int(i), 1))
+            row, word, _ = _spelled(piece, stop, spelling)
+            code, at, mine = group[row] * len(spelling) + word, _neighbours(row, word), []
+            for of_row, found, (among, feature) in ((row[word >= 0], code[word >= 0], sought[0]), (row[at], code[at] * len(spelling) + word[at + 1], sought[1])):
+                there = _places(found, among)
+                mine.append(of_row[there >= 0] * len(terms) + feature[there[there >= 0]])
+            own, n = np.unique(np.concatenate(mine), return_counts=True)
+            row, feature = np.divmod(own, max(len(terms), 1))
+            w = n * weight[feature]
+            norm = np.sqrt(np.bincount(row, w * w, piece.num_rows))
+            sums += np.bincount(feature, w / norm[row], len(terms))
+        for g, name in names.items():
+            some = np.flatnonzero((of == g) & (sums > 0))
+            yield pa.RecordBatch.from_arrays([name.take(pa.array(np.zeros(len(some), np.int64))), pa.array([terms[i] for i in some], pa.string()), pa.array(sums[some])], names=[topic, "term", "s"])
+
+    parts = rows.mapInArrow(run, f"{topic} {docs.schema[topic].dataType.simpleString()}, term string, s double")
     scored = parts.groupBy(topic, "term").agg(F.sum("s").alias("s")).join(size, topic).select(topic, "term", F.round(F.col("s") / F.col("docs"), 9).alias("score"))
     best = Window.partitionBy(topic).orderBy(F.desc("score"), "term")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
@@ -206,7 +293,7 @@ def class_labels(docs: DataFrame, topic: str, text: str, stop: tuple[str, ...],
     has several. The best ``12 * most`` terms are looked at. Words are counted first; of
     pairs, only those that can still be among these."""
     pool = F.lit(0) if scope is None else F.col(scope)
-    rows = _worded(docs.withColumn("_p", pool), topic, F.col(text), "_p")
+    rows = stored(_worded(docs.withColumn("_p", pool), topic, F.col(text), "_p"))  # read twice
     whole = stored(gram_counts(rows, ["_p", topic], stop, False).drop("df"))
     total = stored(whole.where("term is null and n > 0").select("_p", topic, F.col("n").alias("total")))
     topics = total.select("_p", topic)
@@ -232,8 +319,8 @@ def class_labels(docs: DataFrame, topic: str, text: str, stop: tuple[str, ...],
     least = first.groupBy("_p", topic).agg(F.when(F.count("*") >= 12 * most, F.min("score")).otherwise(0.0).alias("_s")).join(total, ["_p", topic]).crossJoin(highest)
     least = least.select("_p", topic, ((F.col("_s") - 1e-9) * F.col("total") / F.col("_h") * (1 - 1e-12)).alias("_least"))
     often = _sent(words.join(least, ["_p", topic]).where("n >= _least").select("term").distinct())
-    wanted = None if often is None else frozenset(r["term"] for r in often)
-    pairs = stored(gram_counts(rows, ["_p", topic], stop, True, None if wanted is None else lambda *_: wanted).drop("df"))
+    wanted = None if often is None else {None: {r["term"] for r in often}}
+    pairs = stored(gram_counts(rows, ["_p", topic], stop, True, wanted).drop("df"))
     best = top(first.drop("r").unionByName(scores(pairs))).where(~is_noise_term(F.col("term")))
     listed = best.groupBy("_p", topic).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]).alias("terms"))
     inside = lambda a, b: F.size(F.array_except(F.split(a, " "), F.split(b, " "))) == 0
