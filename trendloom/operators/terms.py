@@ -228,6 +228,7 @@ def tfidf_terms(docs: DataFrame, topic: str, doc: str, text: str, stop: tuple[st
     for r in often or []:
         by.setdefault((r["t"],), set()).add(r["term"])
     pairs = gram_counts(rows, [topic], stop, True, None if often is None else by)
+    pairs = pairs.join(F.broadcast(least), topic).where("n >= _least").drop("_least")  # others come after all of the first
     idf = (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf")
     chosen = top(first.drop("_r").unionByName(pairs)).join(size, topic).select(F.col(topic).alias("t"), "term", idf).collect()  # at most SENT_TERMS
     vocabulary = sorted({w for r in chosen for w in r["term"].split(" ")})
