@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from trendloom.operators import registry
 
@@ -55,3 +56,23 @@ def test_duplicates_go_into_the_largest(spark):
     pairs = spark.createDataFrame([(1, 2, 0.95), (2, 3, 0.95), (3, 4, 0.95)], "a long, b long, similarity double")
     topics = spark.createDataFrame([(1, "x", 5), (2, "x", 4), (3, "x", 3), (4, "x", 2)], "topic_id long, scope string, size long")
     assert sorted((r.topic_id, r.into_id) for r in registry.merge_duplicates(pairs, topics, "scope", 0.9).collect()) == [(2, 1), (4, 3)]
+
+
+def test_deduped_ids_don_t_hang_on_how_rows_are_dealt(spark, tmp_path):
+    """Sums whose last bit decides, events in several files, and rows without a type or an id,
+    or twice: as one thread of the SQL has them."""
+    import duckdb
+
+    from trendloom.plans.lifecycle import deduped_topic_ids
+    from trendloom.plans.queries import SQL
+
+    events = spark.read.parquet("/root/testdata/sf0.1/events.parquet").select("event_id", "user_id", "event_type", "value")
+    copies = events.crossJoin(spark.range(6)).select((F.col("event_id") + 100000 * F.col("id")).alias("event_id"), "user_id", "event_type", "value")
+    copies.repartitionByRange(9, "event_id").sortWithinPartitions("event_id").write.parquet(str(tmp_path / "events.parquet"))
+    odd = [(1, 1, "b", 30.0), (1, 1, "b", 30.0), (2, 1, "a", 30.0), (3, 2, None, 40.5), (4, 2, "z", 40.0), (5, 3, None, 25.0), (None, 3, "c", 25.0), (None, 3, "c", 25.0), (6, 4, "x", None), (7, 5, "d", 9.0), (8, 5, None, 9.0)]
+    spark.createDataFrame(odd, "event_id long, user_id long, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "odd" / "events.parquet"))
+    for folder in (tmp_path, tmp_path / "odd"):
+        db = duckdb.connect(config={"threads": 1})
+        db.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+        want = db.sql(SQL["deduped_topic_ids"]).fetchall()
+        assert sorted(map(tuple, deduped_topic_ids(spark, str(folder)).collect()), key=repr) == sorted(want, key=repr)

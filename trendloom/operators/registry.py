@@ -333,11 +333,11 @@ def flag_topics(topics: DataFrame, veto: float = 0.1) -> DataFrame:
 
 def dedupe_ids(topics: DataFrame, members: DataFrame, scope: str, record: str) -> DataFrame:
     """One row for each topic_id: first the one whose scope most of its members' distinct
-    records have, then the larger, then the lesser scope."""
+    records have, then the larger, then the lesser scope (none is the last)."""
     n = members.select("topic_id", scope, record).dropDuplicates(["topic_id", record]).groupBy("topic_id", scope).agg(F.count("*").alias("_n"))
-    top = n.withColumn("_r", F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("_n"), scope))).where("_r = 1")
+    top = n.withColumn("_r", F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("_n"), F.asc_nulls_last(scope)))).where("_r = 1")
     rows = topics.join(top.select("topic_id", F.col(scope).alias("_main")), "topic_id", "left")
-    order = Window.partitionBy("topic_id").orderBy(F.desc(F.coalesce(F.col(scope) == F.col("_main"), F.lit(False))), F.desc("size"), scope)
+    order = Window.partitionBy("topic_id").orderBy(F.desc(F.coalesce(F.col(scope) == F.col("_main"), F.lit(False))), F.desc("size"), F.asc_nulls_last(scope))
     return rows.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r", "_main")
 
 
