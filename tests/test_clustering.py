@@ -318,3 +318,37 @@ def test_components_need_no_forest(spark, monkeypatch):
     nodes = spark.createDataFrame([("s", k) for k in [*range(62), 100, 101, 105, 200]], "_s string, _k long")
     found = {r["_k"]: r["component"] for r in G.components(edges, nodes).collect()}
     assert found == {**{k: k % 2 for k in range(62)}, 100: 100, 101: 100, 105: 100, 200: 200}
+
+
+def test_micro_clusters_are_of_all_rows(spark, monkeypatch):
+    """Average linkage of every pair, beyond what a task holds and beyond any number of
+    landmarks: in rounds, over blocks, with copies of a vector and clusters larger than a task's."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=(230, 3)), blobs(8, (60, 50), 0.1)[0]])
+    x[5:12] = x[4]
+    for name, value in (("MARKS", 40), ("GROUP_CLUSTERS", 12), ("GROUP_ROWS", 30), ("BLOCK_CLUSTERS", 60), ("STEP_CELLS", 700)):
+        monkeypatch.setattr(C, name, value, raising=False)
+    df = frame(spark, x, "ab")
+    for under in (0.9, 2.5):
+        got = {r.id: r.cluster for r in C.micro_clusters(df, "pool", "id", "v", "author", under, 1, 1).collect()}
+        assert len(got) == len(x)
+        for start in (0, 1):
+            at = np.arange(start, len(x), 2)
+            want = C.cut(C.agglomerate(G.distances(x[at], x[at]), "average"), len(at), under=under)
+            assert same([got[i] for i in at], want) and all(got[i] == at[want == c].min() for i, c in zip(at, want))
+    none = C.micro_clusters(df.limit(0), "pool", "id", "v", "author", 1.0, 1, 1)
+    assert none.count() == 0
+
+
+def test_light_forest():
+    """Of all pairs, and of rows with columns."""
+    x = np.random.default_rng(3).normal(size=(40, 3))
+    d = G.distances(x, x)
+    np.fill_diagonal(d, np.inf)
+    want = [w for _, _, w in brute_forest(G.distances(x, x)) if w < 0.9]
+    assert len(want) < 39 and np.allclose(sorted(C.light_forest(d, True, 0.9)[2]), want)
+    both = np.full((40, 40), np.inf)
+    both[:25, 25:] = d[:25, 25:]
+    want = [w for _, _, w in brute_forest(np.minimum(both, both.T)) if w < 0.9]
+    i, j, w = C.light_forest(d[:25, 25:], False, 0.9)
+    assert np.allclose(sorted(w), want) and np.allclose(both[np.minimum(i, j), np.maximum(i, j)], w)

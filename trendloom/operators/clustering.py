@@ -6,10 +6,13 @@ leaves of bounded size (graph.py), so every row of a pool of any size gets a lab
 one task settles are summaries: a pool's spanning forest as numbers (three a row), the
 centres of its clusters, and at most about ``MARKS`` landmarks of a group, each of which
 stands for the rows nearest to it (in a group of up to MARKS, every row is its own).
+Micro-clusters know no landmarks: their average linkage is that of all pairs of rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -26,6 +29,9 @@ from trendloom.sources.stored import stored
 #: Landmarks of a group; rows that meet them at once; points of a silhouette; rows of a pool
 #: that a choice of parameters is made on; neighbours of a row in the graph at least.
 MARKS, PIECE_ROWS, SILHOUETTE_POINTS, TRIAL_ROWS, NEAR = 1500, 16_384, 5000, 20_000, 15
+#: Of an average linkage: clusters and rows that one task finishes at most, clusters and rows of
+#: a block of all pairs, blocks at least, and distances that a task holds at once.
+GROUP_CLUSTERS, GROUP_ROWS, BLOCK_CLUSTERS, BLOCK_ROWS, BLOCKS, STEP_CELLS = 4000, 32_768, 3000, 32_768, 4, 1 << 21
 
 
 def condensed_labels(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, least: int, most: int = 0) -> np.ndarray:
@@ -339,22 +345,156 @@ def choose_parameters(rows: DataFrame, pool: str, key: str, vector: str, grid: l
     return tried.groupBy(pool).agg(best).select(pool, "b.*")
 
 
+def mean_distances(x: np.ndarray, y: np.ndarray, of_x: np.ndarray, of_y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray) -> np.ndarray:
+    """Between clusters, the means of their rows' distances: x and y are in the order of
+    their clusters' numbers of_x and of_y, which go from 0, and stand for n_x and n_y rows."""
+    starts = np.searchsorted(of_y, np.arange(of_y[-1] + 1))
+    sums, step = np.zeros((of_x[-1] + 1, len(starts))), max(1, STEP_CELLS // len(y))
+    for lo in range(0, len(x), step):
+        own = of_x[lo : lo + step]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        d = distances(x[lo : lo + step], y) * n_y
+        d = (np.add.reduceat(d, starts, axis=1) if len(starts) < len(y) else d) * n_x[lo : lo + step, None]
+        sums[own[first]] += np.add.reduceat(d, first, axis=0)
+    return sums / np.bincount(of_x, n_x)[:, None] / np.bincount(of_y, n_y)
+
+
+def light_forest(d: np.ndarray, own: bool, under: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, j, weight of the least spanning forest of edges under a bound, between rows and
+    columns (numbered after the rows), or where rows and columns are the same (own)."""
+    n = len(d) if own else sum(d.shape)
+    turned = d if own else np.ascontiguousarray(d.T)
+    left, reach, source, at, edges = np.ones(n, bool), np.full(n, np.inf), np.zeros(n, int), 0, []
+    for _ in range(n - 1):
+        left[at] = False
+        lo, row = (0, d[at]) if own else (len(d), d[at]) if at < len(d) else (0, turned[at - len(d)])
+        closer = np.flatnonzero(row < reach[lo : lo + len(row)])
+        reach[lo + closer], source[lo + closer] = row[closer], at
+        at = int(np.where(left, reach, np.inf).argmin())
+        if not left[at]:  # nothing leads on: a tree of its own
+            at = int(left.argmax())
+        elif reach[at] < under:
+            edges.append((int(source[at]), at, float(reach[at])))
+    i, j, w = zip(*edges) if edges else ((), (), ())
+    return np.array(i, int), np.array(j, int), np.array(w, float)
+
+
+def apart(a: np.ndarray, b: np.ndarray, w: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The group of each cluster (its least one) and how far all others are from it at
+    least, from the edges of the least spanning forest, lightest first: the largest
+    subtrees that a task can take, and any two that are each other's nearest. Nothing but
+    inf is around a whole tree."""
+    n = len(rows)
+    top, inside, many, held, whole, limit = list(range(n)), list(range(n)), [1] * n, rows.tolist(), [True] * n, np.full(n, np.inf)
+
+    def find(tops: list[int], i: int) -> int:
+        while tops[i] != i:
+            tops[i] = tops[tops[i]]
+            i = tops[i]
+        return i
+
+    for i, j, at in zip(a.tolist(), b.tolist(), w.tolist()):
+        i, j = sorted((find(top, i), find(top, j)))
+        fits = many[i] + many[j] <= GROUP_CLUSTERS and held[i] + held[j] <= GROUP_ROWS or many[i] == many[j] == 1
+        if whole[i] and whole[j] and fits:
+            inside[j] = i
+        else:
+            for r in (i, j):
+                if whole[r]:
+                    whole[r], limit[r] = False, at
+        top[j] = i
+        many[i], held[i] = many[i] + many[j], held[i] + held[j]
+    group = np.array([find(inside, i) for i in range(n)], int)
+    return group, limit[group]
+
+
+def average_linkage(rows: DataFrame, distance: float) -> DataFrame:
+    """_k, c (the least key) of rows _s, _k, _x: clusters of each scope by average linkage of
+    all its rows, merged at heights under distance. Copies of a vector are one weighted row.
+
+    Merging never brings clusters nearer to a third one. So clusters that all others are at
+    a height or more from may be merged under it by themselves: a round takes the least
+    spanning forest of the clusters' mean distances, block by block of all pairs, and a task
+    finishes each of its subtrees up to the height at which the next edge leads on. A tree
+    that a task holds whole is done. The work of a round is quadratic."""
+    kind = rows.schema["_k"].dataType.simpleString()
+    if distance <= 0:
+        return rows.select("_k", F.col("_k").alias("c"))
+    alike = Window.partitionBy("_s", "_x")
+    named = stored(rows.select(F.to_json(F.struct("_s")).alias("_s"), "_k", "_x", F.min("_k").over(alike).alias("_one"), F.count("*").over(alike).cast("double").alias("n")))
+    live, done = named.where("_k = _one").select("_s", "_k", "_x", "n", F.col("_k").alias("c")), []
+
+    def parts(table: pa.Table):
+        table = table.sort_by([("c", "ascending"), ("_k", "ascending")])
+        names = table["c"].combine_chunks().dictionary_encode()
+        return names.dictionary, matrix(table["_x"]), names.indices.to_numpy().astype(int), table["n"].to_numpy()
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:  # met nothing
+            return pa.schema([]).empty_table()
+        own = left["_p"][0] == left["_b"][0]
+        (names, x, of_x, n_x), (others, y, of_y, n_y) = parts(left), parts(right)
+        d = mean_distances(x, y, of_x, of_y, n_x, n_y)
+        if own:
+            d = np.minimum(d, d.T)
+            np.fill_diagonal(d, np.inf)
+        i, j, w = light_forest(d, own, distance)
+        names = names if own else pa.concat_arrays([names, others])
+        return pa.table({"_s": left["_s"].take(pa.array(np.zeros(len(i), int))), "a": names.take(pa.array(i)), "b": names.take(pa.array(j)), "w": pa.array(w)})
+
+    def settle(nodes: pa.Table, edges: pa.Table) -> pa.Table:
+        nodes, edges = nodes.sort_by("c"), edges.sort_by([("w", "ascending"), ("a", "ascending"), ("b", "ascending")])
+        place, rows_of = pd.Index(nodes["c"].to_pandas()), nodes["rows"].to_numpy()
+        group, limit = apart(*(place.get_indexer(edges[c].to_pandas()) for c in ("a", "b")), edges["w"].to_numpy(), rows_of)
+        many, held = np.bincount(group), np.bincount(group, rows_of).astype(int)
+        return pa.table({"c": nodes["c"], "g": nodes["c"].take(pa.array(group)), "limit": pa.array(limit), "many": pa.array(many[group], pa.int64()), "rows": pa.array(held[group], pa.int64())})
+
+    def merge(table: pa.Table) -> pa.Table:
+        names, x, of, n = parts(table)
+        limit = table["limit"][0].as_py()
+        merges = agglomerate(mean_distances(x, x, of, of, n, n), "average", np.bincount(of, n))
+        # Of those that others are as near to, the first two are each other's nearest.
+        under = distance if limit == np.inf else max(limit, np.nextafter(merges[0][0], np.inf))
+        labels = cut(merges, len(names), under=under)
+        return pa.table({"c": names, "new": names.take(pa.array(np.unique(labels, return_index=True)[1][labels]))})
+
+    while True:
+        clusters = stored(live.groupBy("_s", "c").agg(F.count("*").alias("rows")))
+        scopes = stored(clusters.groupBy("_s").agg(F.count("*").alias("many"), F.sum("rows").alias("rows"), F.min("c").alias("g")))
+        fits = (F.col("many") <= GROUP_CLUSTERS) & (F.col("rows") <= GROUP_ROWS)
+        plan = clusters.select("_s", "c").join(scopes.where(fits), "_s").select("c", "g", F.lit(np.inf).alias("limit"), "many", "rows")
+        if scopes.where(~fits).limit(1).count():
+            blocks = F.greatest(F.lit(BLOCKS), F.ceil(F.col("many") / BLOCK_CLUSTERS), F.ceil(F.col("rows") / BLOCK_ROWS)).cast("long")
+            placed = stored(live.join(scopes.where(~fits).select("_s", blocks.alias("_of")), "_s").withColumn("_at", F.pmod(F.xxhash64("c"), F.col("_of"))))
+            base = [F.col(c).alias(c) for c in ("_s", "_k", "_x", "n", "c")]
+            left = placed.select(*base, F.col("_at").alias("_p"), F.explode(F.expr("sequence(_at, _of - 1)")).alias("_b"))
+            right = placed.select(*base, F.explode(F.expr("sequence(0L, _at)")).alias("_p"), F.col("_at").alias("_b"))
+            edges = left.groupBy("_s", "_p", "_b").cogroup(right.groupBy("_s", "_p", "_b")).applyInArrow(meet, f"_s string, a {kind}, b {kind}, w double")
+            forest = graph.spanning_forest(stored(edges.select("_s", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w")))
+            large = clusters.join(scopes.where(~fits).select("_s"), "_s", "left_semi")
+            plan = plan.unionByName(large.groupBy("_s").cogroup(forest.groupBy("_s")).applyInArrow(settle, f"c {kind}, g {kind}, limit double, many long, rows long"))
+        plan = stored(plan)
+        two = (F.col("many") == 2) & (F.col("rows") > GROUP_ROWS)  # their height is known
+        inside = live.join(plan.where((F.col("many") > 1) & ~two).select("c", "g", "limit"), "c")
+        new = inside.groupBy("g").applyInArrow(merge, f"c {kind}, new {kind}").unionByName(plan.where(two).select("c", F.col("g").alias("new")))
+        over = plan.select("c", (F.col("limit") == np.inf).alias("over"))
+        moved = stored(live.join(over, "c").join(new, "c", "left").select("_s", "_k", "_x", "n", F.coalesce("new", "c").alias("c"), "over"))
+        done.append(moved.where("over").select(F.col("_k").alias("_one"), "c"))
+        live = moved.where("not over").drop("over")
+        if not live.limit(1).count():
+            break
+    return named.select("_k", "_one").join(reduce(DataFrame.unionByName, done), "_one").select("_k", "c")
+
+
 def micro_clusters(rows: DataFrame, scope: str, key: str, vector: str, author: str, distance: float, least: int, authors: int) -> DataFrame:
     """scope, key, cluster (its least key) of small tight groups of leftovers: average
-    linkage under distance, with at least so many members and distinct authors. A cluster
-    lies inside a component of rows nearer than distance; components are linked by
-    themselves, so all leftovers take part."""
-    named = stored(_named(rows, scope, key, vector))
-    table = graph.leaves(named, "_k", "_v", "_s")
-    edges = graph.reachability_edges(table, graph.neighbours(table, NEAR), 1).where(F.col("w") < distance)
-    parts = graph.components(edges, named)
-    inside = named.join(parts, ["_s", "_k"]).select(F.to_json(F.struct("_s", "component")).alias("_g"), "_s", "_k", F.col("_v").alias("_x"))
-    inside = stored(inside)
-    found = linked(inside.select("_g", "_k", "_x"), "average", under=distance).join(inside.select("_s", "_k"), "_k")
+    linkage of all rows of a scope under distance, with at least so many members and
+    distinct authors."""
+    inside = rows.where(F.col(vector).isNotNull()).select(F.col(scope).cast("string").alias("_s"), F.col(key).alias("_k"), F.col(vector).alias("_x"))
     people = rows.select(F.col(key).alias("_k"), F.col(author).alias("_a"))
-    found = stored(found.join(people, "_k"))
-    good = found.groupBy("_g", "child").agg(F.count("*").alias("_n"), F.countDistinct("_a").alias("_d"), F.min("_k").alias("cluster"))
-    kept = found.join(good.where((F.col("_n") >= least) & (F.col("_d") >= authors)), ["_g", "child"]).select(F.col("_k").alias(key), "cluster")
+    found = stored(average_linkage(inside, distance).join(people, "_k"))
+    good = found.groupBy("c").agg(F.count("*").alias("_n"), F.countDistinct("_a").alias("_d"))
+    kept = found.join(good.where((F.col("_n") >= least) & (F.col("_d") >= authors)), "c").select(F.col("_k").alias(key), F.col("c").alias("cluster"))
     return rows.select(scope, key).join(kept, key).select(scope, key, "cluster")
 
 
