@@ -31,7 +31,7 @@ from trendloom.sources.stored import stored
 MARKS, PIECE_ROWS, SILHOUETTE_POINTS, TRIAL_ROWS, NEAR = 1500, 16_384, 5000, 20_000, 15
 #: Of an average linkage: clusters and rows that one task finishes at most, clusters and rows of
 #: a block of all pairs, blocks at least, and distances that a task holds at once.
-GROUP_CLUSTERS, GROUP_ROWS, BLOCK_CLUSTERS, BLOCK_ROWS, BLOCKS, STEP_CELLS = 4000, 32_768, 3000, 32_768, 4, 1 << 21
+GROUP_CLUSTERS, GROUP_ROWS, BLOCK_CLUSTERS, BLOCK_ROWS, BLOCKS, STEP_CELLS = 4000, 32_768, 3000, 32_768, 4, 1 << 19
 
 
 def condensed_labels(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, least: int, most: int = 0) -> np.ndarray:
@@ -345,18 +345,28 @@ def choose_parameters(rows: DataFrame, pool: str, key: str, vector: str, grid: l
     return tried.groupBy(pool).agg(best).select(pool, "b.*")
 
 
-def mean_distances(x: np.ndarray, y: np.ndarray, of_x: np.ndarray, of_y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray) -> np.ndarray:
+def mean_distances(x: np.ndarray, y: np.ndarray, of_x: np.ndarray, of_y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, own: bool = False) -> np.ndarray:
     """Between clusters, the means of their rows' distances: x and y are in the order of
-    their clusters' numbers of_x and of_y, which go from 0, and stand for n_x and n_y rows."""
-    starts = np.searchsorted(of_y, np.arange(of_y[-1] + 1))
-    sums, step = np.zeros((of_x[-1] + 1, len(starts))), max(1, STEP_CELLS // len(y))
-    for lo in range(0, len(x), step):
-        own = of_x[lo : lo + step]
-        first = np.flatnonzero(np.diff(own, prepend=-1))
-        d = distances(x[lo : lo + step], y) * n_y
-        d = (np.add.reduceat(d, starts, axis=1) if len(starts) < len(y) else d) * n_x[lo : lo + step, None]
-        sums[own[first]] += np.add.reduceat(d, first, axis=0)
-    return sums / np.bincount(of_x, n_x)[:, None] / np.bincount(of_y, n_y)
+    their clusters' numbers of_x and of_y, which go from 0, and stand for n_x and n_y rows.
+    Where y is x (own), each pair of clusters is looked at once."""
+    starts, step = np.searchsorted(of_x, np.arange(of_x[-1] + 1)), max(16, STEP_CELLS // len(x))
+    squares, sums = (x * x).sum(axis=1)[:, None], np.zeros((len(starts), of_y[-1] + 1))
+    for lo in range(0, len(y), step):
+        some, of = y[lo : lo + step], of_y[lo : lo + step]
+        c = of[0] if own else 0
+        at = starts[c]
+        d = x[at:] @ (-2 * some).T
+        d += squares[at:]
+        d += (some * some).sum(axis=1)
+        np.sqrt(np.maximum(d, 0.0, out=d), out=d)
+        d *= n_x[at:, None]
+        d = np.add.reduceat(d, starts[c:] - at, axis=0) if len(starts) < len(x) else d
+        d *= n_y[lo : lo + step]
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        sums[c:, of[0] : of[-1] + 1] += np.add.reduceat(d, first, axis=1) if len(first) < len(of) else d
+    sums /= np.bincount(of_x, n_x)[:, None]
+    sums /= np.bincount(of_y, n_y)
+    return np.tril(sums) + np.tril(sums, -1).T if own else sums
 
 
 def light_forest(d: np.ndarray, own: bool, under: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -432,11 +442,10 @@ def average_linkage(rows: DataFrame, distance: float) -> DataFrame:
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:  # met nothing
             return pa.schema([]).empty_table()
-        own = left["_p"][0] == left["_b"][0]
+        own = left["_p"][0].as_py() == left["_b"][0].as_py()
         (names, x, of_x, n_x), (others, y, of_y, n_y) = parts(left), parts(right)
-        d = mean_distances(x, y, of_x, of_y, n_x, n_y)
+        d = mean_distances(x, y, of_x, of_y, n_x, n_y, own)
         if own:
-            d = np.minimum(d, d.T)
             np.fill_diagonal(d, np.inf)
         i, j, w = light_forest(d, own, distance)
         names = names if own else pa.concat_arrays([names, others])
@@ -452,7 +461,7 @@ def average_linkage(rows: DataFrame, distance: float) -> DataFrame:
     def merge(table: pa.Table) -> pa.Table:
         names, x, of, n = parts(table)
         limit = table["limit"][0].as_py()
-        merges = agglomerate(mean_distances(x, x, of, of, n, n), "average", np.bincount(of, n))
+        merges = agglomerate(mean_distances(x, x, of, of, n, n, True), "average", np.bincount(of, n))
         # Of those that others are as near to, the first two are each other's nearest.
         under = distance if limit == np.inf else max(limit, np.nextafter(merges[0][0], np.inf))
         labels = cut(merges, len(names), under=under)
